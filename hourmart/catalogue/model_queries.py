@@ -8,13 +8,13 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from hourmart.catalogue.bindings import DAY, day_rows, lines
-from hourmart.model import feature_columns
 from hourmart.operators.dims import dim_entity
 from hourmart.operators.stats import daily_stats, split_date
 from hourmart.plans.features import model_rows, training_table
 from hourmart.plans.forecast import ForecastJob, run_batch
 from hourmart.plans.training import (
-    Models, TrainSettings, fit_rain, fit_values, sample_weights, score, time_split, train,
+    Models, TrainSettings, fit_prepare, fit_rain, fit_values, sample_weights, score, time_split,
+    train, vectors,
 )
 from hourmart.session import shared_folder, written
 from hourmart.sources.tables import Warehouse
@@ -33,30 +33,27 @@ def _prepared(spark, d):
 
 
 def _halves(rows):
-    """Complete rows up to the split day, weighted, and those after it."""
+    """The fitted vector step, weighted vectors up to the split day, and rows after it."""
     stored = written(rows, "model_rows")
     earlier, later = time_split(
         stored, DAY.date, split_date(stored, DAY.date).first()["split_date"])
-    doubles = {c: F.col(c).cast("double") for c in feature_columns(DAY)}
-    return sample_weights(earlier).withColumns(doubles), later
+    prepare = fit_prepare(earlier, DAY)
+    fit_on = vectors(sample_weights(earlier), prepare, DAY, [*DAY.columns, "weight"])
+    return prepare, written(fit_on, "vectors"), later
 
 
 def q_gbt_forecast(spark, d):
     """Hold-out rows scored by the three value models."""
-    fit_on, later = _halves(_prepared(spark, d)[3])
-    models = Models(DAY, feature_columns(DAY), fit_values(fit_on, DAY, SETTINGS))
-    rows = later.drop("rain").withColumn("rain_pred", F.lit(None).cast("double"))
-    return score(rows, models, [*DAY.keys, "temp", "hum", "wind"]).drop("rain_pred")
+    prepare, fit_on, later = _halves(_prepared(spark, d)[3])
+    models = Models(DAY, prepare, fit_values(fit_on, DAY, SETTINGS))
+    return score(later, models, [*DAY.keys, "temp", "hum", "wind"])
 
 
 def q_two_stage(spark, d):
     """Hold-out rows scored by the wet classifier and the amount model."""
-    fit_on, later = _halves(_prepared(spark, d)[3])
+    prepare, fit_on, later = _halves(_prepared(spark, d)[3])
     wet, amount = fit_rain(fit_on, DAY, SETTINGS)
-    models = Models(DAY, feature_columns(DAY), {}, wet, amount)
-    others = [c for c in DAY.columns if c != "rain"]
-    rows = later.withColumns({f"{c}_pred": F.lit(None).cast("double") for c in others})
-    return score(rows, models, [*DAY.keys, "rain"]).drop(*[f"{c}_pred" for c in others])
+    return score(later, Models(DAY, prepare, wet=wet, amount=amount), [*DAY.keys, "rain"])
 
 
 def q_model_metrics(spark, d):

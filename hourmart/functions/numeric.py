@@ -60,14 +60,12 @@ def known_count(values: list[Column]) -> Column:
     return total([F.when(v.isNotNull(), 1).otherwise(0) for v in values])
 
 
-def row_mean(values: list[Column]) -> Column:
-    """Mean over the values that are known; NULL when none is."""
-    n = known_count(values)
-    return F.when(n > 0, total([F.coalesce(v, F.lit(0.0)) for v in values]) / n)
+def row_mean(values: list[Column], known: Column) -> Column:
+    """Mean over the ``known`` number of values that are not NULL; NULL when none is."""
+    return F.try_divide(total([F.coalesce(v, F.lit(0.0)) for v in values]), known.cast("double"))
 
 
-def row_std(values: list[Column]) -> Column:
-    """Sample deviation over the known values; NULL below two of them."""
-    n, mean = known_count(values), row_mean(values)
+def row_std(values: list[Column], known: Column, mean: Column) -> Column:
+    """Sample deviation over the values that are not NULL; NULL below two of them."""
     squares = total([F.coalesce((v - mean) * (v - mean), F.lit(0.0)) for v in values])
-    return F.when(n > 1, F.sqrt(squares / (n - 1)))
+    return F.when(known > 1, F.sqrt(squares / F.greatest(known - 1, F.lit(1))))

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from hourmart.functions.numeric import row_mean, row_std, total, wet_flag
-from hourmart.model import FLAG_LAGS, LAG_DAYS, LONG_SPAN, SHORT_SPAN, Panel, flag_columns
+from hourmart.functions.numeric import known_count, row_mean, row_std, total, wet_flag
+from hourmart.model import (
+    FLAG_LAGS, LAG_DAYS, LONG_SPAN, SHORT_SPAN, Panel, flag_columns, rolling_columns,
+)
 
 BLOCK_DAYS = 64
 
@@ -96,20 +98,27 @@ def with_rolling(df: DataFrame, panel: Panel) -> DataFrame:
     """Rolling means, deviation, trend and recent wet count from the lag columns.
 
     Plain arithmetic on the row, so training and serving share it and it stays
-    in generated code.
+    in generated code. Counts and means are columns of a first step, which the
+    deviations of the second step refer to instead of repeating them.
     """
+    spans = {
+        (s, span): [F.col(panel.lag(n, s)) for n in range(1, span + 1)]
+        for s, _ in panel.measures for span in (SHORT_SPAN, LONG_SPAN)}
+    counted = df.withColumns({
+        f"_known_{span}_{s}": known_count(lags) for (s, span), lags in spans.items()})
+    averaged = counted.withColumns({
+        f"rolling_{span}d_{s}_mean": row_mean(lags, F.col(f"_known_{span}_{s}"))
+        for (s, span), lags in spans.items()})
     found = {}
     for s, _ in panel.measures:
-        near = [F.col(panel.lag(n, s)) for n in range(1, SHORT_SPAN + 1)]
-        far = [F.col(panel.lag(n, s)) for n in range(1, LONG_SPAN + 1)]
-        found[f"rolling_{SHORT_SPAN}d_{s}_mean"] = row_mean(near)
-        found[f"rolling_{LONG_SPAN}d_{s}_mean"] = row_mean(far)
-        found[f"rolling_{SHORT_SPAN}d_{s}_std"] = row_std(near)
+        near = spans[s, SHORT_SPAN]
+        found[f"rolling_{SHORT_SPAN}d_{s}_std"] = row_std(
+            near, F.col(f"_known_{SHORT_SPAN}_{s}"), F.col(f"rolling_{SHORT_SPAN}d_{s}_mean"))
         found[f"trend_{SHORT_SPAN}d_{s}"] = near[0] - near[-1]
     flags = flag_columns(panel)
     if flags:
         found["recent_rain_count"] = total([F.col(c) for c in flags])
-    return df.withColumns(found)
+    return averaged.withColumns(found).select(*df.columns, *rolling_columns(panel))
 
 
 def rolling_by_frames(rows: DataFrame, panel: Panel) -> DataFrame:

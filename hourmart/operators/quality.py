@@ -39,7 +39,8 @@ RULES = (
 
 def _reason(rules: tuple[RangeRule, ...]) -> Column:
     """Name of the first broken rule, or NULL."""
-    return F.coalesce(*[F.when(r.broken, F.lit(r.name)) for r in rules])
+    names = [F.when(r.broken, F.lit(r.name)) for r in rules]
+    return F.coalesce(F.lit(None).cast("string"), *names)
 
 
 def validate(rows: DataFrame, rules: tuple[RangeRule, ...] = RULES, strict: bool = False

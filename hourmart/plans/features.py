@@ -48,9 +48,14 @@ def training_table(fact: DataFrame, daily: DataFrame, panel: Panel) -> DataFrame
 
 
 def model_rows(table: DataFrame, panel: Panel) -> DataFrame:
-    """Training table with rolling features, only rows where nothing is missing."""
-    rows = with_rolling(table, panel)
-    return rows.dropna(subset=[*feature_columns(panel), *panel.columns])
+    """Training table with rolling features, only rows where nothing is missing.
+
+    Rolling columns are known wherever all lags are, so rows are dropped before
+    they are computed.
+    """
+    rolling = set(rolling_columns(panel))
+    required = [c for c in feature_columns(panel) if c not in rolling]
+    return with_rolling(table.dropna(subset=[*required, *panel.columns]), panel)
 
 
 def serving_features(targets: DataFrame, source: DataFrame, fact: DataFrame, daily: DataFrame,

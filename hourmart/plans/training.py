@@ -6,10 +6,10 @@ from dataclasses import dataclass, field
 from datetime import date
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hourmart.functions.numeric import clip, wet_flag
@@ -22,6 +22,7 @@ from hourmart.operators.stats import (
 from hourmart.session import shared_folder, written
 
 PROBABILITY = "rain_prob"
+VECTOR = "_features"
 
 
 @dataclass(frozen=True)
@@ -53,31 +54,37 @@ class TrainSettings:
 
 @dataclass
 class Models:
-    """Fitted pipelines by target column, the two rain stages apart."""
+    """Fitted models by target column, the two rain stages apart.
+
+    ``prepare`` turns feature columns into the one vector all of them read.
+    """
 
     panel: Panel
-    features: list[str]
-    values: dict[str, PipelineModel] = field(default_factory=dict)
-    wet: PipelineModel | None = None
-    amount: PipelineModel | None = None
+    prepare: PipelineModel
+    values: dict[str, GBTRegressionModel] = field(default_factory=dict)
+    wet: GBTClassificationModel | None = None
+    amount: GBTRegressionModel | None = None
 
     def save(self, root: str) -> None:
-        for column, model in self.values.items():
-            model.write().overwrite().save(f"{root}/{column}")
+        parts = {"prepare": self.prepare, **self.values}
         if self.wet is not None:
-            self.wet.write().overwrite().save(f"{root}/rain_classifier")
+            parts["rain_classifier"] = self.wet
         if self.amount is not None:
-            self.amount.write().overwrite().save(f"{root}/rain_regressor")
+            parts["rain_regressor"] = self.amount
+        for name, part in parts.items():
+            part.write().overwrite().save(f"{root}/{name}")
 
     @staticmethod
     def load(root: str, panel: Panel, with_amount: bool = True) -> Models:
-        values = {
-            c: PipelineModel.load(f"{root}/{c}") for c in panel.columns if c != panel.wet_column}
-        wet = panel.wet_column is not None
-        return Models(
-            panel, feature_columns(panel), values,
-            PipelineModel.load(f"{root}/rain_classifier") if wet else None,
-            PipelineModel.load(f"{root}/rain_regressor") if wet and with_amount else None)
+        models = Models(panel, PipelineModel.load(f"{root}/prepare"))
+        for c in panel.columns:
+            if c != panel.wet_column:
+                models.values[c] = GBTRegressionModel.load(f"{root}/{c}")
+        if panel.wet_column:
+            models.wet = GBTClassificationModel.load(f"{root}/rain_classifier")
+            if with_amount:
+                models.amount = GBTRegressionModel.load(f"{root}/rain_regressor")
+        return models
 
 
 def sample_weights(rows: DataFrame, year: str = "year", out: str = "weight") -> DataFrame:
@@ -94,45 +101,49 @@ def time_split(rows: DataFrame, day: str, split: date | Column) -> tuple[DataFra
     return rows.where(F.col(day) <= at), rows.where(F.col(day) > at)
 
 
-def _pipeline(features: list[str], learner) -> Pipeline:
-    """Fill what is missing with training medians, assemble in trained order, learn."""
+def _numeric(rows: DataFrame, features: list[str]) -> DataFrame:
+    """Features as doubles, which the imputer requires."""
+    return rows.withColumns({c: F.col(c).cast("double") for c in features})
+
+
+def fit_prepare(train: DataFrame, panel: Panel) -> PipelineModel:
+    """Fill what is missing with training medians, then assemble in trained order."""
+    features = feature_columns(panel)
     filled = [f"_{c}" for c in features]
     return Pipeline(stages=[
         Imputer(strategy="median", inputCols=features, outputCols=filled),
-        VectorAssembler(inputCols=filled, outputCol="_features"),
-        learner,
-    ])
+        VectorAssembler(inputCols=filled, outputCol=VECTOR),
+    ]).fit(_numeric(train, features))
+
+
+def vectors(rows: DataFrame, prepare: PipelineModel, panel: Panel, keep: list[str]) -> DataFrame:
+    """``keep`` columns as they are, beside the feature vector."""
+    kept = {f"_keep_{c}": F.col(c) for c in keep}
+    ready = prepare.transform(_numeric(rows.withColumns(kept), feature_columns(panel)))
+    return ready.select(*[F.col(f"_keep_{c}").alias(c) for c in keep], VECTOR)
 
 
 def _learner(kind, label: str, weight: str | None, s: TreeSettings, output: str):
     learner = kind(
-        featuresCol="_features", labelCol=label, predictionCol=output, maxIter=s.trees,
+        featuresCol=VECTOR, labelCol=label, predictionCol=output, maxIter=s.trees,
         maxDepth=s.depth, stepSize=s.step, subsamplingRate=s.row_share,
         featureSubsetStrategy=str(s.column_share), minInstancesPerNode=s.min_rows,
         seed=s.seed, cacheNodeIds=True, checkpointInterval=10)
     return learner.setWeightCol(weight) if weight else learner
 
 
-def _numeric(rows: DataFrame, features: list[str]) -> DataFrame:
-    """Features as doubles, which the imputer requires."""
-    return rows.withColumns({c: F.col(c).cast("double") for c in features})
-
-
-def fit_values(train: DataFrame, panel: Panel, settings: TrainSettings,
-               weight: str = "weight") -> dict[str, PipelineModel]:
-    """One weighted regressor per measure other than rain."""
-    features = feature_columns(panel)
+def fit_values(train: DataFrame, panel: Panel, settings: TrainSettings, weight: str = "weight"
+               ) -> dict[str, GBTRegressionModel]:
+    """One weighted regressor per measure other than rain, on vectors."""
     return {
-        c: _pipeline(
-            features, _learner(GBTRegressor, c, weight, settings.value, f"{c}_pred")).fit(train)
+        c: _learner(GBTRegressor, c, weight, settings.value, f"{c}_pred").fit(train)
         for c in panel.columns if c != panel.wet_column
     }
 
 
 def fit_rain(train: DataFrame, panel: Panel, settings: TrainSettings, weight: str = "weight"
-             ) -> tuple[PipelineModel, PipelineModel | None]:
+             ) -> tuple[GBTClassificationModel, GBTRegressionModel | None]:
     """Wet/dry classifier with balanced weights, and the amount model on wet rows."""
-    features = feature_columns(panel)
     is_wet = F.col(panel.wet_column) > panel.wet_above
     balance = class_balance(train, is_wet).first()
     scaled = F.col(weight) * F.when(is_wet, F.lit(float(balance["scale_pos"]))).otherwise(1.0)
@@ -141,48 +152,39 @@ def fit_rain(train: DataFrame, panel: Panel, settings: TrainSettings, weight: st
         "_wet_weight": scaled})
     classifier = _learner(GBTClassifier, "_wet", "_wet_weight", settings.wet, "_wet_pred")
     classifier = classifier.setProbabilityCol("_wet_probability").setRawPredictionCol("_wet_raw")
-    wet = _pipeline(features, classifier).fit(labelled)
     amount = None
     if balance["n_pos"] > settings.min_wet_rows:
-        learner = _learner(GBTRegressor, panel.wet_column, None, settings.amount, "_amount")
-        amount = _pipeline(features, learner).fit(train.where(is_wet))
-    return wet, amount
+        amount = _learner(
+            GBTRegressor, panel.wet_column, None, settings.amount, "_amount"
+        ).fit(train.where(is_wet))
+    return classifier.fit(labelled), amount
 
 
 def score(rows: DataFrame, models: Models, keep: list[str]) -> DataFrame:
-    """``keep`` columns with ``<measure>_pred`` per measure and the wet probability.
+    """``keep`` columns with ``<measure>_pred`` per fitted measure and the wet probability.
 
     Rain is the amount where the probability passes its cut, and 0 elsewhere.
     """
     panel = models.panel
-    kept = [f"_keep_{c}" for c in keep]
-    rows = _numeric(
-        rows.withColumns(dict(zip(kept, [F.col(c) for c in keep], strict=True))), models.features)
-    for c, model in models.values.items():
-        rows = _plain(model.transform(rows), models.features)
+    scored = vectors(rows, models.prepare, panel, keep)
+    outputs = []
+    for short, c in panel.measures:
+        if c in models.values:
+            scored = models.values[c].transform(scored)
+            value = F.col(f"{c}_pred")
+            bounded = clip(value, *HUMIDITY_RANGE) if short == "hum" else value
+            outputs.append(bounded.alias(f"{c}_pred"))
     if models.wet is not None:
-        rows = _plain(models.wet.transform(rows), models.features)
-        rows = rows.withColumn(PROBABILITY, vector_to_array("_wet_probability")[1])
+        scored = models.wet.transform(scored)
+        scored = scored.withColumn(PROBABILITY, vector_to_array("_wet_probability")[1])
         amount = F.lit(0.0)
         if models.amount is not None:
-            rows = _plain(models.amount.transform(rows), models.features)
+            scored = models.amount.transform(scored)
             amount = F.greatest(F.col("_amount"), F.lit(0.0))
         wet = F.col(PROBABILITY) > WET_PROBABILITY
-        rows = rows.withColumn(f"{panel.wet_column}_pred", F.when(wet, amount).otherwise(0.0))
-    return rows.select(
-        *[F.col(k).alias(c) for k, c in zip(kept, keep, strict=True)],
-        *[_bounded(c, s).alias(f"{c}_pred") for s, c in panel.measures],
-        *([PROBABILITY] if models.wet is not None else []))
-
-
-def _plain(rows: DataFrame, features: list[str]) -> DataFrame:
-    """Without the pipeline's own columns, so the next model can add its."""
-    return rows.drop("_features", *[f"_{c}" for c in features])
-
-
-def _bounded(column: str, short: str) -> Column:
-    value = F.col(f"{column}_pred")
-    return clip(value, *HUMIDITY_RANGE) if short == "hum" else value
+        outputs += [F.when(wet, amount).otherwise(0.0).alias(f"{panel.wet_column}_pred"),
+                    F.col(PROBABILITY)]
+    return scored.select(*keep, *outputs)
 
 
 def evaluate(scored: DataFrame, panel: Panel) -> DataFrame:
@@ -213,8 +215,10 @@ def train(table: DataFrame, panel: Panel, settings: TrainSettings | None = None
     if split is None:
         raise ValueError("no complete training rows")
     earlier, later = time_split(rows, panel.date, split)
-    fit_on = _numeric(sample_weights(earlier), features)
-    models = Models(panel, features, fit_values(fit_on, panel, settings))
+    prepare = fit_prepare(earlier, panel)
+    fit_on = vectors(
+        sample_weights(earlier), prepare, panel, [*panel.columns, "weight"])
+    models = Models(panel, prepare, fit_values(fit_on, panel, settings))
     if panel.wet_column:
         models.wet, models.amount = fit_rain(fit_on, panel, settings)
     scored = written(score(later, models, [*panel.keys, *panel.columns]), "holdout")
