@@ -13,9 +13,7 @@ from hourmart.model import (
     LAG_DAYS, day_history_columns, flag_columns, lag_columns, rolling_columns,
     slot_history_columns,
 )
-from hourmart.operators.history import (
-    same_day_history, same_day_history_join, same_slot_history, same_slot_history_join,
-)
+from hourmart.operators.history import same_day_history, same_slot_history
 from hourmart.operators.lags import (
     calendar_lags, calendar_lags_join, rolling_by_frames, with_flags, with_rolling,
 )
@@ -35,18 +33,10 @@ def q_hist_same_day(spark, d):
     return rounded(same_day_history(_daily(spark, d), DAY))
 
 
-def q_hist_same_day_join(spark, d):
-    return rounded(same_day_history_join(_daily(spark, d), DAY))
-
-
 def q_hist_same_day_slot(spark, d):
     return rounded(same_slot_history(slot_rows(spark, d), SLOT))
 
 
-def q_hist_same_day_slot_join(spark, d):
-    return rounded(same_slot_history_join(slot_rows(spark, d), SLOT))
-
-
 def q_calendar_lags(spark, d):
     return rounded(calendar_lags(day_rows(spark, d), DAY))
 
@@ -135,9 +125,7 @@ def q_wet_metrics(spark, d):
 
 QUERIES = {
     "hist_same_day": q_hist_same_day,
-    "hist_same_day_join": q_hist_same_day_join,
     "hist_same_day_slot": q_hist_same_day_slot,
-    "hist_same_day_slot_join": q_hist_same_day_slot_join,
     "calendar_lags": q_calendar_lags,
     "calendar_lags_join": q_calendar_lags_join,
     "hourly_lags": q_hourly_lags,
@@ -246,9 +234,7 @@ def _cycle(value: str, period: str, name: str) -> str:
 
 ORACLES = {
     "hist_same_day": _HIST_SQL,
-    "hist_same_day_join": _HIST_SQL,
     "hist_same_day_slot": _SLOT_SQL,
-    "hist_same_day_slot_join": _SLOT_SQL,
     "calendar_lags": _LAG_SQL,
     "calendar_lags_join": _LAG_SQL,
     "hourly_lags": with_(HOURS, _lagged("hours", ("value",), "hour")) + f"""

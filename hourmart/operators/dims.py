@@ -5,24 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from hourmart.functions.calendar import calendar_parts, period_of_day
-from hourmart.session import shared_folder
+from hourmart.session import written
 
 
 def dense_key(df: DataFrame, order_by: list[str], key: str) -> DataFrame:
     """Number rows 1..n in ``order_by`` order without a single-task sort.
 
     Rows are range-partitioned and sorted, and their (partition, position) is
-    frozen by a checkpoint; the offset of each partition is then the running
+    frozen in a written step; the offset of each partition is then the running
     total of the sizes before it. Only that size list, one row per partition,
     is broadcast.
     """
-    shared_folder(df.sparkSession)
-    placed = (
+    placed = written(
         df.repartitionByRange(*order_by)
         .sortWithinPartitions(*order_by)
-        .withColumn("_at", F.monotonically_increasing_id())
-        .checkpoint()
-    )
+        .withColumn("_at", F.monotonically_increasing_id()),
+        "keys")
     # The id holds the partition number above bit 33 and the position below it.
     placed = placed.withColumns({
         "_part": F.shiftright("_at", 33),

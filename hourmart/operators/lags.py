@@ -12,32 +12,39 @@ from hourmart.model import (
 BLOCK_DAYS = 64
 
 
-def calendar_lags(rows: DataFrame, panel: Panel, horizon: int = LAG_DAYS,
-                  block_days: int = BLOCK_DAYS) -> DataFrame:
-    """Every measure exactly 1..horizon calendar days earlier in the same series.
+def _over_blocks(rows: DataFrame, panel: Panel, reach: int, block_days: int, columns
+                 ) -> DataFrame:
+    """Window columns that look back at most ``reach`` days, one shuffle for all of them.
 
-    A series is cut into blocks of ``block_days``; the last ``horizon`` days of
-    a block are also sent to the next one as lead-in. One shuffle then serves
-    all lags, and no task holds more than ``block_days + horizon`` rows of a
-    series: one long or dominant series spreads over its blocks. ``rows`` has
-    one row per key; a missing day gives NULL, never the nearest day.
+    A series is cut into blocks of ``block_days``; the last ``reach`` days of a
+    block are also sent to the next one as lead-in. No task needs more than
+    ``block_days + reach`` rows of a series, and a long or dominant series
+    spreads over its blocks. ``columns`` maps the series window to expressions.
     """
-    if block_days < horizon:
-        raise ValueError("a block must be at least as long as the horizon")
+    if block_days < reach:
+        raise ValueError("a block must be at least as long as the reach")
     day = F.unix_date(panel.date)
     own = F.floor(day / block_days).cast("int")
-    is_tail = F.pmod(day, F.lit(block_days)) >= block_days - horizon
+    is_tail = F.pmod(day, F.lit(block_days)) >= block_days - reach
     blocks = F.when(is_tail, F.array(own, own + 1)).otherwise(F.array(own))
     cut = rows.withColumns({"_day": day, "_own": own}).withColumn("_block", F.explode(blocks))
-
     series = Window.partitionBy(*panel.series, "_block").orderBy("_day")
-    lags = {}
-    for n in range(1, horizon + 1):
-        exactly = series.rangeBetween(-n, -n)
-        for short, column in panel.measures:
-            lags[panel.lag(n, short)] = F.first(column).over(exactly)
-    lagged = cut.withColumns(lags).where(F.col("_block") == F.col("_own"))
-    return lagged.drop("_day", "_own", "_block")
+    found = cut.withColumns(columns(series)).where(F.col("_block") == F.col("_own"))
+    return found.drop("_day", "_own", "_block")
+
+
+def calendar_lags(rows: DataFrame, panel: Panel, horizon: int = LAG_DAYS,
+                  block_days: int = BLOCK_DAYS) -> DataFrame:
+    """Every measure exactly 1..horizon calendar days earlier in the same series.
+
+    ``rows`` has one row per key; a missing day gives NULL, never the nearest day.
+    """
+    def lags(series):
+        return {
+            panel.lag(n, short): F.first(column).over(series.rangeBetween(-n, -n))
+            for n in range(1, horizon + 1) for short, column in panel.measures}
+
+    return _over_blocks(rows, panel, horizon, block_days, lags)
 
 
 def calendar_lags_join(rows: DataFrame, panel: Panel, horizon: int = LAG_DAYS) -> DataFrame:
@@ -121,20 +128,22 @@ def with_rolling(df: DataFrame, panel: Panel) -> DataFrame:
     return averaged.withColumns(found).select(*df.columns, *rolling_columns(panel))
 
 
-def rolling_by_frames(rows: DataFrame, panel: Panel) -> DataFrame:
+def rolling_by_frames(rows: DataFrame, panel: Panel, block_days: int = BLOCK_DAYS) -> DataFrame:
     """The rolling columns straight from date-range frames, without lag columns."""
-    series = Window.partitionBy(*panel.series).orderBy(F.unix_date(panel.date))
-    near, far = series.rangeBetween(-SHORT_SPAN, -1), series.rangeBetween(-LONG_SPAN, -1)
-    found = {}
-    for s, c in panel.measures:
-        found[f"rolling_{SHORT_SPAN}d_{s}_mean"] = F.avg(c).over(near)
-        found[f"rolling_{LONG_SPAN}d_{s}_mean"] = F.avg(c).over(far)
-        found[f"rolling_{SHORT_SPAN}d_{s}_std"] = F.stddev_samp(c).over(near)
-        found[f"trend_{SHORT_SPAN}d_{s}"] = (
-            F.first(c).over(series.rangeBetween(-1, -1))
-            - F.first(c).over(series.rangeBetween(-SHORT_SPAN, -SHORT_SPAN)))
-    if panel.wet_column:
-        flag = wet_flag(F.col(panel.wet_column), panel.wet_above)
-        frame = series.rangeBetween(-FLAG_LAGS, -1)
-        found["recent_rain_count"] = F.coalesce(F.sum(flag).over(frame), F.lit(0))
-    return rows.withColumns(found)
+    def columns(series):
+        near, far = series.rangeBetween(-SHORT_SPAN, -1), series.rangeBetween(-LONG_SPAN, -1)
+        found = {}
+        for s, c in panel.measures:
+            found[f"rolling_{SHORT_SPAN}d_{s}_mean"] = F.avg(c).over(near)
+            found[f"rolling_{LONG_SPAN}d_{s}_mean"] = F.avg(c).over(far)
+            found[f"rolling_{SHORT_SPAN}d_{s}_std"] = F.stddev_samp(c).over(near)
+            found[f"trend_{SHORT_SPAN}d_{s}"] = (
+                F.first(c).over(series.rangeBetween(-1, -1))
+                - F.first(c).over(series.rangeBetween(-SHORT_SPAN, -SHORT_SPAN)))
+        if panel.wet_column:
+            flag = wet_flag(F.col(panel.wet_column), panel.wet_above)
+            frame = series.rangeBetween(-FLAG_LAGS, -1)
+            found["recent_rain_count"] = F.coalesce(F.sum(flag).over(frame), F.lit(0))
+        return found
+
+    return _over_blocks(rows, panel, LONG_SPAN, block_days, columns)

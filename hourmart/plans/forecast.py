@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from hourmart.functions.numeric import score_round
 from hourmart.model import (
-    FORECAST_DAYS, MAX_FORECAST_DAYS, MAX_RANGE_DAYS, Panel,
+    FORECAST_DAYS, LAG_DAYS, MAX_FORECAST_DAYS, MAX_RANGE_DAYS, Panel,
 )
 from hourmart.operators.quality import RangeRule, change_audit, repair, touch, validate
 from hourmart.operators.serving import coverage_by_day, day_spine, prefer_actual, slot_spine
@@ -73,6 +73,20 @@ def known_entities(requests: DataFrame, entities: DataFrame, panel: Panel
     return wanted.join(entities, panel.entity), errors
 
 
+def _between(rows: DataFrame, panel: Panel, start: date, end: date) -> DataFrame:
+    """Days from start up to but not including end; prunes by year where rows have it."""
+    day = F.col(panel.date)
+    found = rows.where((day >= F.lit(start)) & (day < F.lit(end)))
+    if "year" in rows.columns:
+        found = found.where(F.col("year").between(start.year, end.year))
+    return found
+
+
+def _before_year(rows: DataFrame, panel: Panel, day: date) -> DataFrame:
+    year = F.col("year") if "year" in rows.columns else F.year(panel.date)
+    return rows.where(year < day.year)
+
+
 def predict_day(job: ForecastJob, day: date, entities: DataFrame | None = None) -> DataFrame:
     """Scores for all entities and slots of one day, rounded as they are stored."""
     panel = job.panel
@@ -81,12 +95,13 @@ def predict_day(job: ForecastJob, day: date, entities: DataFrame | None = None)
         targets = slot_spine(entities, day, day, panel, job.slots)
     else:
         targets = day_spine(entities, day, day, panel)
-    start = day - timedelta(days=7)
-    recent = (F.col(panel.date) >= F.lit(start)) & (F.col(panel.date) < F.lit(day))
-    source = prefer_actual(job.actual.where(recent), job.forecasts().where(recent), panel)
-    earlier = F.year(panel.date) < day.year
+    start = day - timedelta(days=LAG_DAYS)
+    source = prefer_actual(
+        _between(job.actual, panel, start, day), _between(job.forecasts(), panel, start, day),
+        panel)
+    fact, daily = _before_year(job.actual, panel, day), _before_year(job.daily, panel, day)
     features = serving_features_for_day(
-        targets, day, source, job.actual.where(earlier), job.daily.where(earlier), panel)
+        targets, day, source, fact, daily, panel)
     scored = score(features, job.models, panel.keys)
     columns = [score_round(F.col(f"{c}_pred"), 2).alias(c) for c in panel.columns]
     chance = F.lit(None).cast("double")

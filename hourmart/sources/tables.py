@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from hourmart.operators.writes import insert_if_absent, replace_groups, upsert
 from hourmart.session import written
 
+MAX_LISTED_PARTITIONS = 1000
+
 
 @dataclass(frozen=True)
 class Warehouse:
@@ -68,10 +70,19 @@ class Warehouse:
         )
 
     def touched(self, table: str, incoming: DataFrame, partition: str) -> DataFrame:
-        """Existing rows of the partitions that ``incoming`` falls in."""
+        """Existing rows of the partitions that ``incoming`` falls in.
+
+        The partition values become a literal list so that only those folders
+        are listed and read; beyond a bound, a semi-join takes over.
+        """
         existing = self.read(table, incoming.schema)
         parts = incoming.select(partition).distinct()
-        return existing.join(parts, partition, "left_semi").select(*incoming.columns)
+        values = [row[0] for row in parts.limit(MAX_LISTED_PARTITIONS + 1).collect()]
+        if len(values) <= MAX_LISTED_PARTITIONS:
+            kept = existing.where(F.col(partition).isin(values))
+        else:
+            kept = existing.join(parts, partition, "left_semi")
+        return kept.select(*incoming.columns)
 
     def replace(self, table: str, incoming: DataFrame, keys: list[str], partition: str) -> None:
         """Drop every (``keys``) group that ``incoming`` names, then add ``incoming``."""
