@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
 from datetime import datetime
 
-from pyspark.sql import functions as F
-
 from hourmart.catalogue.bindings import DAY, day_rows, lines
+from hourmart.catalogue.stream_queries import scratch
 from hourmart.operators.dims import dim_entity
 from hourmart.operators.stats import daily_stats, split_date
 from hourmart.plans.features import model_rows, training_table
@@ -16,7 +14,7 @@ from hourmart.plans.training import (
     Models, TrainSettings, fit_prepare, fit_rain, fit_values, sample_weights, score, time_split,
     train, vectors,
 )
-from hourmart.session import shared_folder, written
+from hourmart.session import written
 from hourmart.sources.tables import Warehouse
 
 SETTINGS = TrainSettings.small(trees=5, depth=3)
@@ -64,10 +62,9 @@ def q_chained_forecast(spark, d):
     """Two days after the last measured one, the second seeing the first as its lag."""
     entities, actual, daily, rows = _prepared(spark, d)
     models, _ = train(rows, DAY, SETTINGS)
-    warehouse = Warehouse(spark, f"{shared_folder(spark)}/hourmart/{uuid.uuid4().hex}")
+    warehouse = Warehouse(spark, scratch(spark))
     job = ForecastJob(warehouse, models, entities, actual, daily)
-    last = actual.agg(F.max("full_date")).first()[0]
-    return run_batch(job, last, datetime(2026, 3, 20, 0, 5), days=2)
+    return run_batch(job, None, datetime(2026, 3, 20, 0, 5), days=2)
 
 
 QUERIES = {

@@ -15,7 +15,8 @@ from hourmart.streaming.daily import current_daily_stats, run_daily_stats, strea
 from hourmart.streaming.ingest import IngestJob, run_ingest
 
 
-def _scratch(spark) -> str:
+def scratch(spark) -> str:
+    """A folder of its own for one run, below the shared one."""
     return f"{shared_folder(spark).rstrip('/')}/hourmart/{uuid.uuid4().hex}"
 
 
@@ -27,7 +28,7 @@ def _stream(spark, d, name):
 
 def q_stream_daily(spark, d):
     events = _stream(spark, d, "events").withColumnRenamed("event_type", "entity")
-    path = f"{_scratch(spark)}/daily"
+    path = f"{scratch(spark)}/daily"
     run_daily_stats(stream_daily_stats(events, HOUR, "ts"), HOUR, path)
     return rounded(current_daily_stats(spark.read.parquet(path), HOUR))
 
@@ -50,7 +51,7 @@ def _guarded(spark, d, lineitem, status):
 def q_stream_upsert(spark, d):
     """Open lines streamed into the table of finished ones."""
     keys, order = ["entity", "full_date"], ["temp", "hum", "rain"]
-    warehouse = Warehouse(spark, _scratch(spark))
+    warehouse = Warehouse(spark, scratch(spark))
     finished = _guarded(spark, d, table(spark, d, "lineitem"), "F")
     warehouse.refresh(
         "forecast",

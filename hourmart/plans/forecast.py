@@ -12,7 +12,9 @@ from hourmart.model import (
     FORECAST_DAYS, LAG_DAYS, MAX_FORECAST_DAYS, MAX_RANGE_DAYS, Panel,
 )
 from hourmart.operators.quality import RangeRule, change_audit, repair, touch, validate
-from hourmart.operators.serving import coverage_by_day, day_spine, prefer_actual, slot_spine
+from hourmart.operators.serving import (
+    coverage_by_day, day_spine, last_date, prefer_actual, slot_spine,
+)
 from hourmart.plans.features import serving_features_for_day
 from hourmart.plans.training import PROBABILITY, Models, score
 from hourmart.session import written
@@ -153,9 +155,11 @@ def predict_range(job: ForecastJob, start: str | date, days: int, as_of: datetim
     return stored
 
 
-def run_batch(job: ForecastJob, base_date: str | date, as_of: datetime,
+def run_batch(job: ForecastJob, base_date: str | date | None, as_of: datetime,
               days: int = FORECAST_DAYS) -> DataFrame:
-    """The days after ``base_date`` for all entities."""
+    """The days after ``base_date`` (default: the last measured day) for all entities."""
+    if base_date is None:
+        base_date = last_date(job.actual, job.panel.date, as_of.date()).first()[0]
     return predict_range(
         job, check_date(base_date) + timedelta(days=1), check_days(days), as_of)
 
