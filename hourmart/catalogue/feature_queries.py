@@ -22,7 +22,7 @@ from hourmart.operators.stats import (
     year_bounds,
 )
 from hourmart.plans.features import training_table
-from hourmart.plans.training import sample_weights, time_split
+from hourmart.plans.training import sample_weights
 
 
 def _daily(spark, d):
@@ -80,11 +80,11 @@ def q_complete_rows(spark, d):
 
 def q_time_split_counts(spark, d):
     rows = day_rows(spark, d)
-    split = split_date(rows, "full_date")
-    earlier, later = time_split(rows, "full_date", split.scalar())
-    return split.withColumns({
-        "train_rows": earlier.agg(F.count(F.lit(1))).scalar(),
-        "test_rows": later.agg(F.count(F.lit(1))).scalar()})
+    at = split_date(rows, "full_date").scalar()
+    earlier, later = (
+        F.count_if(F.col("full_date") <= at), F.count_if(F.col("full_date") > at))
+    return rows.agg(
+        at.alias("split_date"), earlier.alias("train_rows"), later.alias("test_rows"))
 
 
 def q_sample_weights(spark, d):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from hourmart.catalogue.bindings import (
@@ -49,9 +51,8 @@ def q_serving_lags(spark, d):
 
 def q_serving_lags_next_day(spark, d):
     """Lags of the day after the last one known."""
-    source = _source(spark, d)
-    target = last_date(source, "full_date", "1970-01-01").select(F.date_add("last_date", 1))
-    return rounded(lags_for_day(source, DAY, target.scalar()))
+    last = last_date(lines(spark, d), "full_date", "1970-01-01").first()[0]
+    return rounded(lags_for_day(_source(spark, d), DAY, last + timedelta(days=1)))
 
 
 def q_serving_day_history(spark, d):

@@ -147,12 +147,25 @@ DIM_DATE = _fields(
     ("day_of_year", _S), ("day_of_week", _S), ("week_of_year", _S), ("quarter", _S),
     ("month_name", T.StringType()), ("is_weekend", T.BooleanType()), ("month_day", _S))
 DIM_HOUR = _fields(("hour_id", _S), ("hour", _S), ("period_of_day", T.StringType()))
-FACT_HOURLY = _fields(("district_id", _I), ("date_id", _I), ("hour_id", _S), *_MEASURES)
-FACT_FORECAST = _fields(
-    ("district_name", T.StringType()), ("full_date", T.DateType()), ("hour", _I), *_MEASURES,
-    ("rain_probability", _D), ("predicted_at", T.TimestampType()),
-    ("updated_at", T.TimestampType()))
+FACT_HOURLY = _fields(
+    ("district_id", _I), ("date_id", _I), ("hour_id", _S), *_MEASURES,
+    ("full_date", T.DateType()), ("year", _I))   # stored by year
 FORECAST_HISTORY = _fields(
     ("district_name", T.StringType()), ("full_date", T.DateType()), ("hour", _I),
     ("old_temperature_c", _D), ("new_temperature_c", _D),
-    ("old_rain_mm", _D), ("new_rain_mm", _D), ("changed_at", T.TimestampType()))
+    ("old_rain_mm", _D), ("new_rain_mm", _D), ("changed_at", T.TimestampType()),
+    ("batch", T.StringType()))                   # stored by batch
+FACT_FORECAST = _fields(
+    ("district_name", T.StringType()), ("hour", _I), *_MEASURES, ("rain_probability", _D),
+    ("predicted_at", T.TimestampType()), ("updated_at", T.TimestampType()),
+    ("full_date", T.DateType()))                 # stored by day
+
+TABLES = {
+    "staging/raw_weather": RAW_READINGS,
+    "dw/dim_district": DIM_DISTRICT,
+    "dw/dim_date": DIM_DATE,
+    "dw/dim_hour": DIM_HOUR,
+    "dw/fact_weather_hourly": FACT_HOURLY,
+    "dw/fact_weather_forecast": FACT_FORECAST,
+    "dw/forecast_history": FORECAST_HISTORY,
+}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from hourmart.functions.numeric import known_count, row_mean, row_std, total, wet_flag
@@ -58,8 +60,8 @@ def calendar_lags_join(rows: DataFrame, panel: Panel, horizon: int = LAG_DAYS) -
     return result
 
 
-def lags_for_day(history: DataFrame, panel: Panel, target_date, horizon: int = LAG_DAYS
-                 ) -> DataFrame:
+def lags_for_day(history: DataFrame, panel: Panel, target_date: date | str,
+                 horizon: int = LAG_DAYS) -> DataFrame:
     """Lags of one target day, one row per series: the last days pivoted by distance.
 
     The half-open date range reaches the scan, so only those days are read.

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from hourmart.model import GAUGES, Panel
+from hourmart.model import FACT_HOURLY, GAUGES, Panel
 from hourmart.operators.dims import dim_date, dim_entity, dim_hour
 from hourmart.operators.facts import dedup_fact, load_fact, star_view
 from hourmart.sources.readings_csv import read_readings
@@ -36,6 +36,7 @@ def load_star(warehouse: Warehouse, readings: DataFrame) -> None:
 
     fact = dedup_fact(load_fact(readings, districts, dates, GAUGES.columns), _KEYED)
     keyed = fact.join(dates.select("date_id", "full_date", "year"), "date_id")
+    keyed = keyed.select(*FACT_HOURLY.names)
     warehouse.refresh(
         "dw/fact_weather_hourly", keyed, partition_by=["year"], sort_by=["full_date"])
 

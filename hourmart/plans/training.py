@@ -10,7 +10,7 @@ from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from hourmart.functions.numeric import clip, wet_flag
 from hourmart.model import (
@@ -65,7 +65,7 @@ class Models:
     wet: GBTClassificationModel | None = None
     amount: GBTRegressionModel | None = None
 
-    def save(self, root: str) -> None:
+    def save(self, spark: SparkSession, root: str) -> None:
         parts = {"prepare": self.prepare, **self.values}
         if self.wet is not None:
             parts["rain_classifier"] = self.wet
@@ -73,16 +73,20 @@ class Models:
             parts["rain_regressor"] = self.amount
         for name, part in parts.items():
             part.write().overwrite().save(f"{root}/{name}")
+        # An amount model of an earlier training may still be there; say whether it counts.
+        staged = F.lit("yes" if self.amount is not None else "no").alias("value")
+        spark.range(1).select(staged).write.mode("overwrite").text(f"{root}/two_stage")
 
     @staticmethod
-    def load(root: str, panel: Panel, with_amount: bool = True) -> Models:
+    def load(spark: SparkSession, root: str, panel: Panel) -> Models:
+        """What :meth:`save` wrote; the amount model only if there is one."""
         models = Models(panel, PipelineModel.load(f"{root}/prepare"))
         for c in panel.columns:
             if c != panel.wet_column:
                 models.values[c] = GBTRegressionModel.load(f"{root}/{c}")
         if panel.wet_column:
             models.wet = GBTClassificationModel.load(f"{root}/rain_classifier")
-            if with_amount:
+            if spark.read.text(f"{root}/two_stage").first()[0] == "yes":
                 models.amount = GBTRegressionModel.load(f"{root}/rain_regressor")
         return models
 
@@ -216,8 +220,8 @@ def train(table: DataFrame, panel: Panel, settings: TrainSettings | None = None
         raise ValueError("no complete training rows")
     earlier, later = time_split(rows, panel.date, split)
     prepare = fit_prepare(earlier, panel)
-    fit_on = vectors(
-        sample_weights(earlier), prepare, panel, [*panel.columns, "weight"])
+    fit_on = written(
+        vectors(sample_weights(earlier), prepare, panel, [*panel.columns, "weight"]), "vectors")
     models = Models(panel, prepare, fit_values(fit_on, panel, settings))
     if panel.wet_column:
         models.wet, models.amount = fit_rain(fit_on, panel, settings)
