@@ -21,10 +21,9 @@ TABLES = (
 
 def _readings(spark, d):
     """Lines as raw readings; the line number is the hour."""
-    moment = F.timestamp_seconds(
-        F.unix_date("full_date").cast("bigint") * 86400 + F.col("slot") * 3600)
+    moment = F.col("full_date").cast("timestamp_ntz") + F.make_dt_interval(hours=F.col("slot"))
     return lines(spark, d).withColumnsRenamed(_RENAMED).select(
-        F.col("entity").alias("district"), moment.cast("timestamp_ntz").alias("datetime"),
+        F.col("entity").alias("district"), moment.alias("datetime"),
         *GAUGES.columns)
 
 

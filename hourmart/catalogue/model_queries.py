@@ -63,7 +63,7 @@ def q_chained_forecast(spark, d):
     entities, actual, daily, rows = _prepared(spark, d)
     models, _ = train(rows, DAY, SETTINGS)
     warehouse = Warehouse(spark, scratch(spark))
-    job = ForecastJob(warehouse, models, entities, actual, daily)
+    job = ForecastJob(warehouse, models, entities, actual, daily, rules=())
     return run_batch(job, None, datetime(2026, 3, 20, 0, 5), days=2)
 
 

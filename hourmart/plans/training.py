@@ -132,7 +132,7 @@ def _learner(kind, label: str, weight: str | None, s: TreeSettings, output: str)
         featuresCol=VECTOR, labelCol=label, predictionCol=output, maxIter=s.trees,
         maxDepth=s.depth, stepSize=s.step, subsamplingRate=s.row_share,
         featureSubsetStrategy=str(s.column_share), minInstancesPerNode=s.min_rows,
-        seed=s.seed, cacheNodeIds=True, checkpointInterval=10)
+        seed=s.seed, checkpointInterval=10)
     return learner.setWeightCol(weight) if weight else learner
 
 

@@ -7,14 +7,19 @@ from pyspark.sql import DataFrame, functions as F
 from hourmart.model import Panel
 from hourmart.session import shared_folder
 
+_DAY_SECONDS = 86400
+
 
 def stream_daily_stats(readings: DataFrame, panel: Panel, event_time: str,
                        lateness: str = "1 day") -> DataFrame:
     """Mean, deviation, min, max (and wet total) by entity and day window.
 
-    Watermarks need TIMESTAMP, so the event time is cast. State older than the
-    watermark is dropped, and rows later than that with it.
+    Watermarks need TIMESTAMP, so each row carries midnight of its calendar day
+    as one, counted from the epoch whatever the session's time zone. State older
+    than the watermark is dropped, and rows later than that with it.
     """
+    midnight = F.timestamp_seconds(
+        F.unix_date(F.to_date(event_time)).cast("bigint") * _DAY_SECONDS)
     stats = []
     for s, c in panel.measures:
         stats += [
@@ -23,10 +28,12 @@ def stream_daily_stats(readings: DataFrame, panel: Panel, event_time: str,
     if panel.wet_column:
         stats.append(F.sum(panel.wet_column).alias(f"{panel.wet}_total"))
     return (
-        readings.withColumn("_at", F.col(event_time).cast("timestamp"))
+        readings.withColumn("_at", midnight)
         .withWatermark("_at", lateness)
         .groupBy(panel.entity, F.window("_at", "1 day").alias("_day")).agg(*stats)
-        .withColumn(panel.date, F.to_date("_day.start")).drop("_day")
+        .withColumn(panel.date, F.date_from_unix_date(
+            F.floor(F.unix_seconds("_day.start") / _DAY_SECONDS).cast("int")))
+        .drop("_day")
     )
 
 

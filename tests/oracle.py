@@ -6,6 +6,7 @@ python -m tests.oracle SF_DIR [query ...]
 from __future__ import annotations
 
 import math
+import os
 import sys
 import time
 from datetime import date, datetime
@@ -71,7 +72,8 @@ def main(sf_dir: str, only: list[str]) -> int:
     spark = build_session(
         "oracle", "local[8]", **{
             "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g",
-            "spark.ui.enabled": "false"})
+            "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
+            **dict(pair.split("=", 1) for pair in os.environ.get("ORACLE_CONF", "").split())})
     spark.sparkContext.setLogLevel("ERROR")
     con, oracles, failed = connect(sf_dir), oracle_sql(), 0
     for name, query in queries().items():
