@@ -135,14 +135,27 @@ def _label(temp: str, hum: str, wind: str, rain: str, prob: str) -> str:
     CASE WHEN {wind} > 15 THEN 'gio manh' WHEN {wind} > 10 THEN 'gio vua' END)"""
 
 
-_SUMMARY = ", ".join([
+_SUMMARY_PARTS = [
     _even("min(temp)", 1, "temp_min"), _even("max(temp)", 1, "temp_max"),
     _even("avg(temp)", 1, "temp_avg"), _even("avg(hum)", 1, "humidity_avg"),
-    _even("sum(rain)", 2, "rain_total"), _even("max(wind)", 1, "wind_max")])
+    _even("sum(rain)", 2, "rain_total"), _even("max(wind)", 1, "wind_max")]
+_SUMMARY = ", ".join(_SUMMARY_PARTS)
 _SHOWN = ", ".join(_even(s, 2 if s == "rain" else 1, s) for s in SHORTS)
 _SLOT_LABEL = _label("temp", "hum", "wind", "rain", "rain_probability")
 _FORECAST = with_(LINES, FORECAST_SLOTS)
 
+
+def _field(text: str) -> str:
+    """``expression AS name`` as a struct entry."""
+    expression, name = text.rsplit(" AS ", 1)
+    return f"'{name}': {expression}"
+
+
+_summary_fields = ", ".join(_field(t) for t in _SUMMARY_PARTS)
+_entry_fields = ", ".join(
+    [_field(_even(s, 2 if s == "rain" else 1, s)) for s in SHORTS]
+    + [_field(_even("rain_probability", 1, "rain_probability"))])
+
 ORACLES = {
     "forecast_summary": _FORECAST + f"""
 SELECT entity, full_date, {_up("min(temp)", 1, "temp_min")}, {_up("max(temp)", 1, "temp_max")},
@@ -188,6 +201,14 @@ SELECT entity, full_date,
        {_even("avg(temp) OVER (PARTITION BY entity, full_date)", 1, "temp_avg")},
        {_even("sum(rain) OVER (PARTITION BY entity, full_date)", 2, "rain_total")}
 FROM forecast_slots""",
+    "document_json": _FORECAST + f"""
+SELECT entity, full_date, CAST(to_json({{
+         'district': entity, 'date': strftime(full_date, '%Y-%m-%d'),
+         'hourly': list({{'slot': slot, {_entry_fields},
+                         'description': description}} ORDER BY slot),
+         'summary': {{{_summary_fields}}}}}) AS VARCHAR) AS document
+FROM (SELECT *, {_SLOT_LABEL} AS description FROM forecast_slots)
+GROUP BY entity, full_date""",
     "forecast_days": with_(LINES)
     + "SELECT DISTINCT full_date FROM lines WHERE status = 'O' ORDER BY full_date",
     "forecast_listing": _FORECAST + f"""

@@ -89,7 +89,9 @@ def _assemble(targets, lags, fact, daily, panel: Panel, lag_keys: list[str]) ->
 def build_feature_tables(warehouse: Warehouse, panel: Panel = GAUGES) -> None:
     """Daily statistics, both histories and the training table, each stored once."""
     fact = actual_rows(warehouse).select(panel.entity_id, *panel.keys, *panel.columns)
-    daily = warehouse.refresh("features/agg_daily_weather", daily_stats(fact, panel))
+    daily = warehouse.refresh(
+        "features/agg_daily_weather", daily_stats(fact, panel),
+        partition_by=["year"], sort_by=[panel.date])
     warehouse.refresh("features/agg_historical_same_day", same_day_history(daily, panel))
     warehouse.refresh(
         "features/agg_historical_same_day_hour", same_slot_history(fact, panel))

@@ -15,7 +15,7 @@ from hourmart.plans import reports
 from hourmart.plans.etl import actual_rows, extract, load_star, run_etl
 from hourmart.plans.features import build_feature_tables, model_rows
 from hourmart.plans.forecast import (
-    AUDIT, FORECAST, ForecastJob, batch_totals, check_days, known_entities, predict_day,
+    AUDIT, FORECAST, ForecastJob, _same_day_before, batch_totals, check_days, known_entities, predict_day,
     predict_range, run_batch, run_if_needed, save_day,
 )
 from hourmart.plans.training import Models, TrainSettings, train
@@ -216,6 +216,16 @@ def test_recent_actuals_take_three_days_newest_first(job):
         (DAYS[-1] - timedelta(days=d), p) for d in range(3) for p in sorted(PLACES)]
 
 
+def test_history_of_a_forecast_day_reads_only_that_day(job):
+    for rows in (job.actual, job.daily):
+        found = _same_day_before(rows, GAUGES, date(2026, 3, 10), job.first_year)
+        days = {r.full_date for r in found.select("full_date").distinct().collect()}
+        assert days == {date(y, 3, 10) for y in (2022, 2023, 2024, 2025)}
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "PushedFilters: [Or(" in plan or "EqualTo(full_date" in plan
+    assert _same_day_before(job.actual, GAUGES, date(2024, 2, 29), 2022).isEmpty()
+
+
 def test_forecast_table_reads_prune_days(job):
     plan = job.forecasts().where("full_date = DATE '2025-03-21'")._jdf.queryExecution()
     assert "PartitionFilters: [isnotnull(full_date" in plan.executedPlan().toString()
