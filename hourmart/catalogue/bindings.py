@@ -3,7 +3,8 @@
 ==========  =====================  ==================  =========================
 binding     entity                 time                measures
 ==========  =====================  ==================  =========================
-lines       nation of the supplier ship date, line no. quantity, price, discount, tax
+lines       nation of the supplier ship date, line no. quantity, price in thousands,
+                                                       discount, tax
 day / slot  the same, one row per (entity, day) or (entity, day, line no.)
 events      event type             hour of the event   value
 actual / forecast   the lines with status F / O, one row per (entity, day)
@@ -44,8 +45,8 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select(
             F.col("n_name").alias("entity"), F.to_date("l_shipdate").alias("full_date"),
             F.col("l_linenumber").alias("slot"), F.col("l_quantity").alias("temp"),
-            F.col("l_extendedprice").alias("hum"), F.abs("l_discount").alias("wind"),
-            F.abs("l_tax").alias("rain"), F.col("l_linestatus").alias("status"),
+            (F.col("l_extendedprice") / 1000.0).alias("hum"),
+            F.abs("l_discount").alias("wind"), F.abs("l_tax").alias("rain"), F.col("l_linestatus").alias("status"),
             F.col("l_shipdate").alias("datetime"))
     )
 
@@ -92,11 +93,16 @@ def hour_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge_readings(readings, HOUR)
 
 
+# Means of values on a decimal lattice often end in exactly half of the last
+# digit kept, where the order of summation would decide. This moves them off it.
+OFF_HALF = 3e-9
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Computed doubles rounded, so that summation order does not show."""
     return df.select(*[
-        (F.round(c, digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c)
-        for c, t in df.dtypes])
+        (F.round(F.col(c) + OFF_HALF, digits) + F.lit(0.0)).alias(c) if t == "double"
+        else F.col(c) for c, t in df.dtypes])
 
 
 # --------------------------------------------------------------------------
@@ -106,7 +112,7 @@ SHORTS = ("temp", "hum", "wind", "rain")
 LINES = """
 lines AS (
   SELECT n_name AS entity, CAST(l_shipdate AS DATE) AS full_date, l_linenumber AS slot,
-         l_quantity AS temp, l_extendedprice AS hum, abs(l_discount) AS wind,
+         l_quantity AS temp, l_extendedprice / 1000.0::DOUBLE AS hum, abs(l_discount) AS wind,
          abs(l_tax) AS rain, l_linestatus AS status, l_shipdate AS datetime
   FROM lineitem JOIN supplier ON l_suppkey = s_suppkey
                 JOIN nation ON s_nationkey = n_nationkey)"""
@@ -143,8 +149,12 @@ def daily(source: str = "lines", name: str = "daily") -> str:
   FROM {source} GROUP BY entity, full_date)"""
 
 
+def r6_value(expression: str) -> str:
+    return f"round(({expression}) + {OFF_HALF}::DOUBLE, 6) + 0.0::DOUBLE"
+
+
 def r6(expression: str, name: str | None = None) -> str:
-    return f"round({expression}, 6) + 0.0::DOUBLE AS {name or expression}"
+    return f"{r6_value(expression)} AS {name or expression}"
 
 
 def r6_all(*names: str) -> str:

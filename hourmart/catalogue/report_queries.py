@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hourmart.catalogue.bindings import (
-    ACTUAL_SLOTS, DAY, FORECAST_SLOTS, HOURS, LINES, SHORTS, SLOT, actual_slots, daily,
-    forecast_rows, lines, r6, r6_all, rounded, table, with_,
+    ACTUAL_SLOTS, DAY, FORECAST_SLOTS, LINES, SHORTS, SLOT, actual_slots, daily, forecast_rows,
+    lines, r6, r6_all, r6_value, rounded, table, with_,
 )
 from hourmart.catalogue.star_queries import q_dim_district
 from hourmart.functions.calendar import clock_hour, iso_date
@@ -219,7 +219,7 @@ SELECT CAST(row_number() OVER (ORDER BY entity) AS INTEGER) AS entity_id, entity
 FROM (SELECT DISTINCT entity FROM lines) ORDER BY entity""",
     "top_days": with_(LINES, daily()) + f"""
 SELECT entity, full_date, {r6("temp_max")}, {r6("rain_total")}
-FROM daily ORDER BY round(daily.rain_total, 6) DESC, entity, full_date LIMIT 50""",
+FROM daily ORDER BY {r6_value("daily.rain_total")} DESC, entity, full_date LIMIT 50""",
     "describe_labels": f"""
 SELECT {_label("l_quantity", "(l_extendedprice / 1000.0::DOUBLE)",
                "(l_discount * 199.9::DOUBLE)", "(l_tax * 99.7::DOUBLE)",

@@ -7,8 +7,8 @@ from datetime import timedelta
 from pyspark.sql import functions as F
 
 from hourmart.catalogue.bindings import (
-    ACTUAL, ACTUAL_SLOTS, DAY, FORECAST, FORECAST_SLOTS, LINES, MONTH_DAY, SHORTS, SLOT, WET,
-    YEAR, actual_days, actual_slots, daily, forecast_days, forecast_rows, lines, r6, r6_all,
+    ACTUAL, ACTUAL_SLOTS, DAY, FORECAST, FORECAST_SLOTS, LINES, MONTH_DAY, SHORTS, SLOT, YEAR,
+    actual_days, actual_slots, daily, forecast_days, forecast_rows, lines, r6, r6_all,
     rounded, table, with_,
 )
 from hourmart.catalogue.feature_queries import SLOT_STATS, lag_joins
@@ -168,6 +168,8 @@ _HIST = ", ".join(
     f"avg(p.{s}_mean) AS hist_{s}_mean, avg(p.{s}_std) AS hist_{s}_std, "
     f"min(p.{s}_min) AS hist_{s}_min, max(p.{s}_max) AS hist_{s}_max" for s in SHORTS)
 _HIST_OUT = [c for c in day_history_columns(DAY) if c != "years_count"]
+_MATCHED_STATS = SLOT_STATS.replace(   # an unmatched row is neither wet nor dry
+    "ELSE 0.0::DOUBLE END", "WHEN p.entity IS NOT NULL THEN 0.0::DOUBLE END")
 _NEXT = ", ".join(
     f"max(CASE WHEN target - full_date = {n} THEN {s} END) AS lag_{n}d_{s}"
     for n in range(1, LAG_DAYS + 1) for s in SHORTS)
@@ -203,7 +205,7 @@ past AS (SELECT *, {YEAR} AS year, {MONTH_DAY} AS month_day FROM actual_slots)""
 target AS (SELECT *, {YEAR} AS year, {MONTH_DAY} AS month_day FROM forecast_slots)""", f"""
 found AS (
   SELECT c.entity, c.full_date, c.slot,
-         {SLOT_STATS.replace("ELSE 0.0::DOUBLE END", "WHEN p.entity IS NOT NULL THEN 0.0::DOUBLE END")}
+         {_MATCHED_STATS}
   FROM target c LEFT JOIN past p ON p.entity = c.entity AND p.slot = c.slot
                                AND p.month_day = c.month_day AND p.year < c.year
   GROUP BY c.entity, c.full_date, c.slot)""") + f"""
@@ -217,7 +219,8 @@ GROUP BY entity, full_date""",
     "coverage_gaps": with_(LINES, FORECAST, _CALENDAR.format(table="forecast")) + """
 SELECT entity, full_date FROM spine ANTI JOIN forecast USING (entity, full_date)""",
     "coverage_by_day": with_(LINES, FORECAST, _CALENDAR.format(table="forecast")) + """
-SELECT full_date, count(f.temp) AS covered, count(*) AS expected, count(f.temp) < count(*) AS missing
+SELECT full_date, count(f.temp) AS covered, count(*) AS expected,
+       count(f.temp) < count(*) AS missing
 FROM spine LEFT JOIN forecast f USING (entity, full_date) GROUP BY full_date""",
     "days_present": with_(LINES) + """
 SELECT DISTINCT CAST(o_orderdate AS DATE) AS full_date FROM orders

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hourmart.catalogue.bindings import (
-    DAY, DAYS, HOUR, LINES, MONTH_DAY, SHORTS, SLOT, SLOTS, YEAR, daily, event_readings,
-    hour_rows, lines, r6, r6_all, rounded, slot_rows, table, with_,
+    DAY, HOUR, LINES, MONTH_DAY, SHORTS, SLOTS, daily, event_readings, hour_rows,
+    lines, r6, r6_all, rounded, slot_rows, table, with_,
 )
 from hourmart.functions.calendar import with_cyclic
 from hourmart.model import GAUGES, Panel

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hourmart.catalogue.bindings import (
-    ACTUAL, DAY, FORECAST, LINES, SHORTS, actual_days, forecast_days, r6_all, rounded, table,
-    with_,
+    ACTUAL, DAY, FORECAST, LINES, SHORTS, actual_days, forecast_days, r6, r6_all, rounded,
+    table, with_,
 )
 from hourmart.operators.quality import RangeRule, change_audit, repair, touch, validate
 from hourmart.operators.writes import (
@@ -144,9 +144,9 @@ SELECT o_custkey, full_date, o_totalprice, o_orderkey, o_orderpriority FROM (
   FROM orders)
 WHERE rn = 1""",
     "conditional_update": f"""
-SELECT o_orderkey, o_orderpriority, round(
+SELECT o_orderkey, o_orderpriority, {r6('''
          CASE WHEN o_orderpriority = '1-URGENT' THEN o_totalprice * 1.01::DOUBLE
-              ELSE o_totalprice END, 6) AS o_totalprice
+              ELSE o_totalprice END''', "o_totalprice")}
 FROM orders""",
     "conditional_delete": """
 SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders
@@ -162,7 +162,7 @@ SELECT l_orderkey, l_linenumber, {r6_all("temp", "hum", "rain")},
 FROM guarded WHERE {_BAD_TEMP} OR {_BAD_HUM}""",
     "repair": _GUARDED + f"""
 SELECT l_orderkey, l_linenumber, {r6_all("temp", "hum")},
-       round(CASE WHEN rain < 0 THEN 0.0::DOUBLE ELSE rain END, 6) + 0.0::DOUBLE AS rain
+       {r6("CASE WHEN rain < 0 THEN 0.0::DOUBLE ELSE rain END", "rain")}
 FROM guarded""",
     "change_audit": _AF + f"""
 SELECT entity, full_date, {r6_all("old_temp", "new_temp", "old_rain", "new_rain")},

@@ -11,17 +11,19 @@ from hourmart.operators.writes import insert_if_absent, replace_groups, upsert
 from hourmart.session import written
 
 MAX_LISTED_PARTITIONS = 1000
+# Conditions Spark reports for a table with no files yet.
+_ABSENT = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
 
 
 @dataclass(frozen=True)
 class Warehouse:
     """Named Parquet tables below one root folder.
 
-    Partitioned tables are only ever overwritten partition by partition, with
-    dynamic overwrite: Spark moves the new files in when the job commits, so
-    readers of other partitions are not disturbed and a failed job leaves the
-    old data. What is written over a table it was read from goes through a
-    written step first.
+    ``refresh`` replaces a whole table and is for tables that can be derived
+    again. All other writes replace single partitions with dynamic overwrite:
+    Spark moves the new files in when the job commits, so other partitions are
+    not touched and a failed job leaves the old data. What is written over a
+    table it was read from goes through a written step first.
     """
 
     spark: SparkSession
@@ -34,8 +36,8 @@ class Warehouse:
         """The table; with ``schema``, an empty frame when it was never written."""
         try:
             return self.spark.read.parquet(self.path(table))
-        except AnalysisException:
-            if schema is None:
+        except AnalysisException as e:
+            if schema is None or e.getCondition() not in _ABSENT:
                 raise
             return self.spark.createDataFrame([], schema)
 
@@ -65,8 +67,8 @@ class Warehouse:
     def overwrite_partitions(self, table: str, df: DataFrame, partition_by: list[str]) -> None:
         """Replace the partitions ``df`` has rows for; ``df`` must not read the table."""
         (
-            df.hint("rebalance", *partition_by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-            .partitionBy(*partition_by).parquet(self.path(table))
+            df.hint("rebalance", *partition_by).write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(self.path(table))
         )
 
     def touched(self, table: str, incoming: DataFrame, partition: str) -> DataFrame:
@@ -102,9 +104,12 @@ class Warehouse:
 
     def has_rows(self, table: str, where: str) -> bool:
         try:
-            return not self.spark.read.parquet(self.path(table)).where(F.expr(where)).isEmpty()
-        except AnalysisException:
-            return False
+            rows = self.spark.read.parquet(self.path(table))
+        except AnalysisException as e:
+            if e.getCondition() in _ABSENT:
+                return False
+            raise
+        return not rows.where(where).isEmpty()
 
     def write_once(self, table: str, df: DataFrame, batch: str) -> None:
         """Add the rows of a named batch, unless that batch is already there.
