@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from tests.twins import same_day_history_join, same_slot_history_join
 
-from hourmart.catalogue.bindings import DAY, SLOT, lines, slot_rows
+from hourmart.catalogue.bindings import DAY, OFF_HALF, SLOT, lines, slot_rows
 from hourmart.model import Panel, rolling_columns
 from hourmart.operators.facts import dedup_fact
 from hourmart.operators.history import (
@@ -34,7 +34,8 @@ def frame(spark, values, panel=ONE):
 def same(a, b, digits=6):
     def shown(df):
         return sorted(
-            tuple(round(v, digits) + 0.0 if isinstance(v, float) else str(v) for v in row)
+            tuple(round(v + OFF_HALF, digits) + 0.0 if isinstance(v, float) else str(v)
+                  for v in row)
             for row in df.select(*sorted(a.columns)).collect())
     return shown(a) == shown(b)
 
