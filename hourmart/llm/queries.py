@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from hourmart.llm import near_dedup
+from hourmart.llm import near_dedup, records, word_bpe
 from hourmart.llm.oracles import NEAR_DEDUP
 
 
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -16,8 +21,18 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.token_records(table(spark, sf_dir, "documents"), BYTE_BPE)
+
+
+def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_bpe.bpe_round_trip(table(spark, sf_dir, "documents"), WORD_BPE)
+
+
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
+    "op4_token_records": op4_token_records,
+    "op9_bpe_round_trip": op9_bpe_round_trip,
 }
 
 ORACLES = {
