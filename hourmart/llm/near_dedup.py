@@ -28,6 +28,8 @@ SHINGLE = 5
 PERCENT = 75
 SIZE = 128            # coordinates of a sketch, a power of two
 BAND = 4              # coordinates of a band
+AGREEING = 73         # coordinates that must agree before two full sets are compared: 4.5 deviations below 0.75
+BLOCK = 512           # members of a bucket that are handled side by side
 
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -95,14 +97,16 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows, texts in B.text_slices(batches):
         values, bounds = shingle_sets(texts)
         counts = np.diff(bounds)
-        keys = band_keys(sketches(values, bounds))
+        rows_of = sketches(values, bounds)
+        keys = band_keys(rows_of)
         full = counts > 0
         where = np.arange(len(full) + 1) * keys.shape[1]
         yield pa.RecordBatch.from_arrays(
             [rows.column("doc_id"), pa.array(counts.astype(np.int64)),
              pa.array(set_keys(values, bounds).view(np.int64), mask=~full),
-             B.list_array(keys.ravel().view(np.int64), where, ~full)],
-            ["doc_id", "n_shingles", "set_key", "bands"])
+             B.list_array(keys.ravel().view(np.int64), where, ~full),
+             pa.array([x.tobytes() for x in rows_of.astype(np.uint16)], pa.binary(), mask=~full)],
+            ["doc_id", "n_shingles", "set_key", "bands", "sketch"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,28 +117,24 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ["set_key", "shingles"])
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Those pairs (a, b) whose full sets are similar enough."""
+def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) with their distance (1 - similarity) and whether they are linked, by their full sets."""
     left = sets.select(F.col("set_key").alias("a"), F.col("shingles").alias("of_a"))
     right = sets.select(F.col("set_key").alias("b"), F.col("shingles").alias("of_b"))
-    # a link needs 100 * smaller >= percent * larger, so pairs of very unequal sets end before the second join
-    sized = pairs.join(sets.select(F.col("set_key").alias("b"), F.size("shingles").alias("size_b")), "b")
-    held = sized.join(left, "a").filter(
-        100 * F.least(F.size("of_a"), F.col("size_b")) >= percent * F.greatest(F.size("of_a"), F.col("size_b")))
-    common = F.size(F.array_intersect("of_a", "of_b"))
-    return (held.join(right, "b").withColumn("common", common)
-            .filter(100 * F.col("common") >= percent * (F.size("of_a") + F.size("of_b") - F.col("common")))
-            .select("a", "b"))
+    both = pairs.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("of_a", "of_b")))
+    union = F.size("of_a") + F.size("of_b") - F.col("common")
+    return both.select("a", "b", (1 - F.col("common") / union).alias("distance"), (100 * F.col("common") >= PERCENT * union).alias("linked"))
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT, steps: Steps | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, steps: Steps | None = None) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, kept.
 
     Documents with equal sets are one class from the start, so a group of exact copies costs one
     member. Within a bucket (documents that share a band) every member is first compared with one
-    hub. Linked members then need no comparison with each other; only pairs that the links so far
-    leave in different components are compared, all of them. No link between different components
-    is lost and a group of near copies is never expanded into all its pairs.
+    hub, the member that shares most buckets. Linked members then need no comparison with each
+    other; of the pairs that the links so far leave in different components, all are tested on their
+    sketches and then on their full sets. No link between different components is lost and a group
+    of near copies is never expanded into all its pairs.
 
     A null or empty text, or one without words, has an empty set and links with nothing. A repeated
     doc_id gives a row for each of its rows. A null doc_id is no candidate for component_id and is
@@ -143,13 +143,20 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, steps: Steps | None
     steps = steps or Steps(session_of(docs))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     described = steps.keep(
-        texts.mapInArrow(_describe, "doc_id long, n_shingles long, set_key long, bands array<long>"), "described")
+        texts.mapInArrow(_describe, "doc_id long, n_shingles long, set_key long, bands array<long>, sketch binary"), "described")
     members = described.filter("set_key is not null")
-    rows = members.groupBy("set_key").agg(F.first("bands").alias("bands")).select(F.explode("bands").alias("band"), "set_key")
+    rows = members.groupBy("set_key").agg(F.first("bands").alias("bands")).select(F.posexplode("bands").alias("number", "band"), "set_key")
     rows = steps.keep(rows, "bands")
-    shared = rows.groupBy("band").agg(F.count("*").alias("n"), F.min("set_key").alias("hub")).filter("n > 1").drop("n")
-    buckets = steps.keep(rows.join(shared, "band"), "buckets")
+    shared = rows.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
+    together = steps.keep(rows.join(shared, "band"), "together")
     steps.drop(rows)
+    # the text that copies were made from shares more bands with them than they do with each other
+    weight = together.groupBy("set_key").agg(F.sum("n").alias("weight"))
+    order = F.shiftleft("weight", 24) + F.col("set_key").bitwiseAND(0xFFFFFF)
+    hubs = (together.select("band", "set_key").join(weight, "set_key").groupBy("band")
+            .agg(F.max_by("set_key", order).alias("hub")))
+    buckets = steps.keep(together.select("band", "number", "set_key").join(hubs, "band"), "buckets")
+    steps.drop(together)
 
     candidates = buckets.select("set_key").distinct()
     owners = members.join(candidates, "set_key", "left_semi").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"))
@@ -158,9 +165,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, steps: Steps | None
     sets = steps.keep(sets.dropDuplicates(["set_key"]), "sets")
 
     stars = (buckets.filter("set_key <> hub").select(F.col("hub").alias("a"), F.col("set_key").alias("b")).distinct())
-    links = steps.keep(verified(stars, sets, percent), "links")
+    spokes = steps.keep(compared(stars, sets), "spokes")
+    links = spokes.filter("linked").select("a", "b")
     labels = components(links, steps)
-    links = steps.keep(links.unionByName(verified(_crossing(buckets, labels, steps), sets, percent)), "all-links")
+    near = compared(_crossing(buckets, spokes, labels, described), sets).filter("linked").select("a", "b")
+    links = steps.keep(links.unionByName(near), "links")
     steps.drop(buckets, sets)
     labels = components(links, steps)
 
@@ -173,17 +182,69 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, steps: Steps | None
         F.coalesce(F.col("doc_id") == F.coalesce("component_id", "doc_id"), F.lit(False)).alias("kept"))
 
 
-def _crossing(buckets: DataFrame, labels: DataFrame, steps: Steps) -> DataFrame:
-    """Pairs of a bucket's members that lie in different components and were not compared with the hub."""
-    named = steps.keep(
-        buckets.join(labels.withColumnRenamed("node", "set_key"), "set_key", "left")
-        .select("band", "hub", "set_key", F.coalesce("label", "set_key").alias("label")), "named")
-    mixed = named.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
-    kinds = steps.keep(
-        named.join(mixed.select("band"), "band", "left_semi").filter("set_key <> hub")
-        .select("band", "label").distinct(), "kinds")
-    facing = (kinds.join(kinds.select("band", F.col("label").alias("other")), "band").filter("label < other"))
-    one = named.filter("set_key <> hub").select("band", "label", F.col("set_key").alias("a"))
-    two = named.filter("set_key <> hub").select("band", F.col("label").alias("other"), F.col("set_key").alias("b"))
-    return (facing.join(one, ["band", "label"]).join(two, ["band", "other"])
-            .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+def _crossing(buckets: DataFrame, spokes: DataFrame, labels: DataFrame, described: DataFrame) -> DataFrame:
+    """Pairs of a bucket's members that were not compared yet, lie in different components and may be linked.
+
+    Buckets are cut into blocks and every two blocks meet in one group, so a group is bounded whatever
+    the bucket's size; inside a group only pairs that pass the tests of :func:`_pairs_of` become rows.
+    """
+    members = (buckets.join(labels.withColumnRenamed("node", "set_key"), "set_key", "left")
+               .select("band", "number", "hub", "set_key", F.coalesce("label", "set_key").alias("label")))
+    mixed = (members.groupBy("band").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
+             .filter("n > 2 and low <> high").select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
+    spokes = spokes.select(F.col("a").alias("hub"), F.col("b").alias("set_key"), "distance")
+    sketch = described.filter("set_key is not null").groupBy("set_key").agg(F.first("sketch").alias("sketch"))
+    open_rows = members.join(mixed, "band").join(spokes, ["hub", "set_key"]).join(sketch, "set_key")
+    own = F.pmod(F.xxhash64("set_key"), F.col("blocks")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    blocked = (open_rows.withColumn("own", own).withColumn("other", other)
+               .select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+                       "number", "own", "set_key", "label", "distance", "sketch"))
+    keys = ["band", "i", "j"]
+    return blocked.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_pairs_of, "a long, b long")
+
+
+def _pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidate pairs of each group (band, i, j); rows come sorted by group.
+
+    A pair is left out if it is in one component already; if an earlier band has it too; if the two
+    distances to the hub differ by more than a link allows (distances obey the triangle inequality);
+    or if so few coordinates agree that a linked pair falls below with a probability of about 5e-6.
+    """
+    rest = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch] if rest is None else [rest, batch]).combine_chunks()
+        keys = np.stack([table.column(c).to_numpy() for c in ("band", "i", "j")])
+        cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1
+        last = int(cuts[-1]) if len(cuts) else 0
+        yield from _pairs_in(table.slice(0, last), cuts)
+        rest = table.slice(last).combine_chunks().to_batches()[0] if table.num_rows > last else None
+    if rest is not None:
+        yield from _pairs_in(pa.Table.from_batches([rest]), np.array([rest.num_rows]))
+
+
+def _pairs_in(table: pa.Table, cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    if not table.num_rows:
+        return
+    column = {c: table.column(c).to_numpy() for c in ("i", "j", "number", "own", "set_key", "label", "distance")}
+    raw = b"".join(table.column("sketch").to_pylist())
+    coordinates = np.frombuffer(raw, np.uint16).reshape(table.num_rows, SIZE)
+    found_a, found_b = [], []
+    for start, end in zip([0, *cuts[:-1].tolist()], cuts.tolist()):
+        label, distance, own = (column[c][start:end] for c in ("label", "distance", "own"))
+        inside = column["i"][start] == column["j"][start]
+        x, y = np.nonzero((label[:, None] != label[None, :]) & (np.abs(distance[:, None] - distance[None, :]) <= 1 - PERCENT / 100 + 1e-9)
+                          & (inside | (own[:, None] < own[None, :])))
+        if inside:
+            x, y = x[x < y], y[x < y]
+        number = int(column["number"][start])
+        for at in range(0, len(x), 1 << 14):
+            p, q = x[at:at + (1 << 14)] + start, y[at:at + (1 << 14)] + start
+            same = coordinates[p] == coordinates[q]
+            bands = same.reshape(len(p), -1, BAND).all(2)
+            take = (same.sum(1) >= AGREEING) & (bands.argmax(1) == number)
+            found_a.append(column["set_key"][p[take]])
+            found_b.append(column["set_key"][q[take]])
+    if found_a:
+        a, b = np.concatenate(found_a), np.concatenate(found_b)
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
