@@ -26,3 +26,71 @@ lowest AS (SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_i
 SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, l.component_id, d.doc_id = l.component_id AS kept
 FROM documents d JOIN lowest l USING (doc_id) LEFT JOIN sizes s USING (doc_id)
 """
+
+QUALITY_RULES = r"""
+WITH
+texts AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+found AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM texts),
+hashed AS (
+  SELECT *, list_transform(w, lambda x: ('0x' || substr(md5(x), 1, 7))::BIGINT) AS h FROM found),
+grams AS (
+  SELECT doc_id, unnest(list_concat(
+    list_transform(h, lambda x: x % 16384),
+    CASE WHEN len(h) < 2 THEN [] ELSE list_transform(range(1, len(h)), lambda i: (h[i] * 31 + h[i + 1] + 1) % 16384) END)) AS bucket
+  FROM hashed),
+good AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1),
+counted AS (
+  SELECT b.bucket, count(g.bucket) AS raw, count(t.doc_id) AS good
+  FROM range(16384) b(bucket) LEFT JOIN grams g ON g.bucket = b.bucket LEFT JOIN good t ON t.doc_id = g.doc_id GROUP BY 1),
+sums AS (SELECT sum(good) AS goods, sum(raw) AS raws FROM counted),
+weighed AS (
+  SELECT bucket, CASE WHEN goods = 0 THEN 0
+    ELSE round((ln((good + 0.5) / (goods + 8192.0)) - ln((raw + 0.5) / (raws + 8192.0))) * 1000000) END::BIGINT AS weight
+  FROM counted, sums),
+scored AS (SELECT doc_id, sum(weight)::DOUBLE / count(*) AS mean FROM grams JOIN weighed USING (bucket) GROUP BY 1),
+lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM texts),
+dup AS (
+  SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY 1),
+windows AS (
+  SELECT doc_id, unnest(range(1, len(w) - 6)) AS i,
+    unnest(list_transform(range(1, len(w) - 6), lambda j: array_to_string(w[j:j + 7], ' '))) AS x
+  FROM found WHERE len(w) >= 8),
+again AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, x) AS n FROM windows) WHERE n > 1),
+covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM again, range(8) r(k) GROUP BY 1),
+base AS (
+  SELECT f.doc_id, len(w)::BIGINT AS n_words,
+    length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+    (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+    coalesce(d.n, 0)::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words
+  FROM found f LEFT JOIN dup d USING (doc_id) LEFT JOIN covered c USING (doc_id)),
+judged AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM base)
+SELECT j.*, NOT base_failed AND coalesce(mean, 0) >= -300000 AS kept, floor(coalesce(mean, 0))::BIGINT AS weight
+FROM judged j LEFT JOIN scored s USING (doc_id)
+"""
+
+DECONTAMINATE = r"""
+WITH
+doc AS (
+  SELECT doc_id, regexp_extract_all(FOLD, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+item AS (
+  SELECT item_id, regexp_extract_all(FOLD, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+wanted AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS n, unnest(list_transform(
+    range(1, greatest(len(w) - 10, 0) + 2), lambda i: array_to_string(w[i:i + 9], ' '))) AS x
+  FROM item WHERE len(w) > 0),
+lengths AS (SELECT DISTINCT n FROM wanted),
+windows AS (
+  SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS i,
+    unnest(list_transform(range(1, len(w) - n + 2), lambda j: array_to_string(w[j:j + n - 1], ' '))) AS x
+  FROM doc, lengths WHERE len(w) >= n),
+hits AS (SELECT doc_id, i, s.n, item_id FROM windows s JOIN wanted t ON s.n = t.n AND s.x = t.x),
+covered AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n FROM hits, range(10) r(k) WHERE k < hits.n GROUP BY 1),
+items AS (
+  SELECT doc_id, count(DISTINCT item_id) AS n, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids
+  FROM hits GROUP BY 1)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(c.n, 0)::BIGINT AS n_hit, coalesce(i.n, 0)::BIGINT AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(c.n, 0) > 0 AS contaminated
+FROM doc d LEFT JOIN covered c USING (doc_id) LEFT JOIN items i USING (doc_id)
+""".replace("FOLD", _FOLD)

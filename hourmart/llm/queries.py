@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from hourmart.llm import near_dedup, records, word_bpe
-from hourmart.llm.oracles import NEAR_DEDUP
+from hourmart.llm import decontaminate, importance_rules, near_dedup, records, word_bpe
+from hourmart.llm.oracles import DECONTAMINATE, NEAR_DEDUP, QUALITY_RULES
 
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -21,6 +21,11 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("longest_match")
+
+
 def op4_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.token_records(table(spark, sf_dir, "documents"), BYTE_BPE)
 
@@ -29,12 +34,20 @@ def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_bpe.bpe_round_trip(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
+    "op2_decontaminate": op2_decontaminate,
     "op4_token_records": op4_token_records,
     "op9_bpe_round_trip": op9_bpe_round_trip,
+    "op10_quality_rules": op10_quality_rules,
 }
 
 ORACLES = {
     "op1_near_dedup": NEAR_DEDUP,
+    "op2_decontaminate": DECONTAMINATE,
+    "op10_quality_rules": QUALITY_RULES,
 }
