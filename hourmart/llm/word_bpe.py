@@ -182,8 +182,6 @@ class WordBpe:
         for i in failing:
             proposed[i] = self.merged([self.vocab[c] for c in words[i][:-1]] + [self.vocab[words[i][-1] + WORD_END]])
         self.exact_words += len(failing)
-        if len(self.words) > LIMIT:
-            self.words.clear()
         self.words.update(zip(words, proposed))
 
     def pieces(self, text: str) -> list[str | int]:
@@ -200,6 +198,8 @@ class WordBpe:
         return found
 
     def encode(self, strings: list[str]) -> list[list[int]]:
+        if len(self.words) > LIMIT:
+            self.words.clear()
         pieces = [(s.lower(),) if s.isascii() and s.isalpha() else self.pieces(s) for s in strings]
         new = list(dict.fromkeys(w for p in pieces for w in p if isinstance(w, str) and w not in self.words))
         if new:
