@@ -5,8 +5,8 @@ element is thrown into a bin by a hash of its own, each bin keeps its lowest (ro
 and the rounds stop once all bins are filled; from round SIZE on, all elements go into bin r - SIZE,
 so after 2 * SIZE rounds no bin can be empty. Two sets agree in a coordinate with a probability
 equal to their similarity, and the filled bins give the average the bounds of sampling without
-replacement. The coordinates are cut into bands; documents that share a band are compared on their
-full sets.
+replacement. The first BANDED coordinates are cut into bands; documents that share a band are
+compared, on their whole sketches where there are many, and on their full sets.
 
 With 32 bands of 4, a pair at similarity 0.75 shares no band with probability 5e-6, at 0.8 2e-8.
 """
@@ -26,9 +26,10 @@ from hourmart.llm.staging import Steps, session_of
 
 SHINGLE = 5
 PERCENT = 75
-SIZE = 128            # coordinates of a sketch, a power of two
+SIZE = 512            # coordinates of a sketch, a power of two
+BANDED = 128          # those that make up the bands
 BAND = 4              # coordinates of a band
-AGREEING = 73         # coordinates that must agree before two full sets are compared: 4.5 deviations below 0.75
+AGREEING = 340        # coordinates that must agree before two full sets are compared: 4.5 deviations below 0.75
 BLOCK = 512           # members of a bucket that are handled side by side
 
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -67,13 +68,15 @@ def sketches(values: np.ndarray, bounds: np.ndarray, size: int = SIZE) -> np.nda
         if not len(values):
             break
         h = B.mix(values ^ rounds[r])
-        at = h & np.uint64(size - 1) if r < size else np.uint64(r - size)
-        value = (h >> np.uint64(8)) | np.uint64(r << 56)
-        np.minimum.at(bins, owner * size + np.int64(at) if r >= size else owner * size + at.astype(np.int64), value)
-        open_sets = (bins.reshape(n, size) == _EMPTY).any(1)
-        still = open_sets[owner]
-        if not still.all():
-            values, owner = values[still], owner[still]
+        at = (h & np.uint64(size - 1)).astype(np.int64) if r < size else r - size
+        np.minimum.at(bins, owner * size + at, (h >> np.uint64(12)) | np.uint64(r << 52))
+        if r < 4 or r % 8 == 0:      # a later round changes no filled bin, so sets may go on for a while
+            sets = np.flatnonzero(np.diff(owner, prepend=-1))
+            full = np.zeros(n, bool)
+            full[owner[sets]] = (bins.reshape(n, size)[owner[sets]] != _EMPTY).all(1)
+            still = ~full[owner]
+            if not still.all():
+                values, owner = values[still], owner[still]
     return bins.reshape(n, size)
 
 
@@ -98,14 +101,14 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values, bounds = shingle_sets(texts)
         counts = np.diff(bounds)
         rows_of = sketches(values, bounds)
-        keys = band_keys(rows_of)
+        keys = band_keys(rows_of[:, :BANDED])
         full = counts > 0
         where = np.arange(len(full) + 1) * keys.shape[1]
         yield pa.RecordBatch.from_arrays(
             [rows.column("doc_id"), pa.array(counts.astype(np.int64)),
              pa.array(set_keys(values, bounds).view(np.int64), mask=~full),
              B.list_array(keys.ravel().view(np.int64), where, ~full),
-             pa.array([x.tobytes() for x in rows_of.astype(np.uint16)], pa.binary(), mask=~full)],
+             pa.array([x.tobytes() for x in rows_of.astype(np.uint8)], pa.binary(), mask=~full)],
             ["doc_id", "n_shingles", "set_key", "bands", "sketch"])
 
 
@@ -209,7 +212,7 @@ def _pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     A pair is left out if it is in one component already; if an earlier band has it too; if the two
     distances to the hub differ by more than a link allows (distances obey the triangle inequality);
-    or if so few coordinates agree that a linked pair falls below with a probability of about 5e-6.
+    or if so few coordinates agree that a linked pair falls below with a probability under 4e-6.
     """
     rest = None
     for batch in batches:
@@ -228,7 +231,7 @@ def _pairs_in(table: pa.Table, cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
         return
     column = {c: table.column(c).to_numpy() for c in ("i", "j", "number", "own", "set_key", "label", "distance")}
     raw = b"".join(table.column("sketch").to_pylist())
-    coordinates = np.frombuffer(raw, np.uint16).reshape(table.num_rows, SIZE)
+    coordinates = np.frombuffer(raw, np.uint8).reshape(table.num_rows, SIZE)
     found_a, found_b = [], []
     for start, end in zip([0, *cuts[:-1].tolist()], cuts.tolist()):
         label, distance, own = (column[c][start:end] for c in ("label", "distance", "own"))
@@ -238,10 +241,10 @@ def _pairs_in(table: pa.Table, cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
         if inside:
             x, y = x[x < y], y[x < y]
         number = int(column["number"][start])
-        for at in range(0, len(x), 1 << 14):
-            p, q = x[at:at + (1 << 14)] + start, y[at:at + (1 << 14)] + start
+        for at in range(0, len(x), 1 << 13):
+            p, q = x[at:at + (1 << 13)] + start, y[at:at + (1 << 13)] + start
             same = coordinates[p] == coordinates[q]
-            bands = same.reshape(len(p), -1, BAND).all(2)
+            bands = same[:, :BANDED].reshape(len(p), -1, BAND).all(2)
             take = (same.sum(1) >= AGREEING) & (bands.argmax(1) == number)
             found_a.append(column["set_key"][p[take]])
             found_b.append(column["set_key"][q[take]])
