@@ -16,7 +16,7 @@ from hourmart.llm.staging import session_of
 BUCKETS = 16384
 ALPHA = 0.5               # added to each bucket's count
 SCALE = 1_000_000         # units of a weight
-THRESHOLD = -300_000      # lowest mean weight of a kept document
+THRESHOLD = -100_000      # lowest mean weight of a kept document
 MIN_WORDS = 20
 REPEAT_PERCENT = 30
 WINDOW = 8

@@ -65,7 +65,7 @@ base AS (
     coalesce(d.n, 0)::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words
   FROM found f LEFT JOIN dup d USING (doc_id) LEFT JOIN covered c USING (doc_id)),
 judged AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM base)
-SELECT j.*, NOT base_failed AND coalesce(mean, 0) >= -300000 AS kept, floor(coalesce(mean, 0))::BIGINT AS weight
+SELECT j.*, NOT base_failed AND coalesce(mean, 0) >= -100000 AS kept, floor(coalesce(mean, 0))::BIGINT AS weight
 FROM judged j LEFT JOIN scored s USING (doc_id)
 """
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from hourmart.llm import decontaminate, importance_rules, near_dedup, records, word_bpe
+from hourmart.llm import decontaminate, importance_rules, language_id, near_dedup, quality_mil, records, word_bpe
 from hourmart.llm.oracles import DECONTAMINATE, NEAR_DEDUP, QUALITY_RULES
 
 
@@ -30,6 +30,14 @@ def op4_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.token_records(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.languages(table(spark, sf_dir, "documents"))
+
+
+def op7_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_mil.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_bpe.bpe_round_trip(table(spark, sf_dir, "documents"), WORD_BPE)
 
@@ -42,6 +50,8 @@ QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op2_decontaminate": op2_decontaminate,
     "op4_token_records": op4_token_records,
+    "op6_language_id": op6_language_id,
+    "op7_quality_mil": op7_quality_mil,
     "op9_bpe_round_trip": op9_bpe_round_trip,
     "op10_quality_rules": op10_quality_rules,
 }
