@@ -5,11 +5,12 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from hourmart.llm import decontaminate, importance_rules, language_id, near_dedup, quality_mil, records, word_bpe
+from hourmart.llm import decontaminate, edit_counts, importance_rules, language_id, near_dedup, quality_mil, records, word_bpe
 from hourmart.llm.oracles import DECONTAMINATE, NEAR_DEDUP, QUALITY_RULES
 
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -38,6 +39,10 @@ def op7_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_mil.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_counts.edited_counts(table(spark, sf_dir, "documents"), BYTE_RANKS, public_tokenizers.PATTERN)
+
+
 def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_bpe.bpe_round_trip(table(spark, sf_dir, "documents"), WORD_BPE)
 
@@ -52,6 +57,7 @@ QUERIES = {
     "op4_token_records": op4_token_records,
     "op6_language_id": op6_language_id,
     "op7_quality_mil": op7_quality_mil,
+    "op8_edit_counts": op8_edit_counts,
     "op9_bpe_round_trip": op9_bpe_round_trip,
     "op10_quality_rules": op10_quality_rules,
 }
