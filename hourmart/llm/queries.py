@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from hourmart.llm import decontaminate, edit_counts, importance_rules, language_id, near_dedup, quality_mil, records, word_bpe
+from hourmart.llm import context_mixing, decontaminate, edit_counts, importance_rules, language_id, near_dedup, quality_mil, records, word_bpe
 from hourmart.llm.oracles import DECONTAMINATE, NEAR_DEDUP, QUALITY_RULES
 
 
@@ -27,6 +27,10 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("longest_match")
 
 
+def op3_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_mixing.language_scores(table(spark, sf_dir, "documents"))
+
+
 def op4_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.token_records(table(spark, sf_dir, "documents"), BYTE_BPE)
 
@@ -54,6 +58,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op2_decontaminate": op2_decontaminate,
+    "op3_context_mixing": op3_context_mixing,
     "op4_token_records": op4_token_records,
     "op6_language_id": op6_language_id,
     "op7_quality_mil": op7_quality_mil,
