@@ -150,7 +150,7 @@ class SpanHasher:
         """Hashes of all windows of a fixed length."""
         h = self.sums[length:] - self.sums[:-length]
         h *= self.down[:len(h)]
-        h += np.uint64(length) * np.uint64(_STEP)
+        h += np.uint64(length * _STEP & 0xFFFFFFFFFFFFFFFF)
         return mix(h)
 
 
