@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hourmart.llm import batches as B
@@ -105,11 +105,11 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         full = counts > 0
         where = np.arange(len(full) + 1) * keys.shape[1]
         yield pa.RecordBatch.from_arrays(
-            [rows.column("doc_id"), pa.array(counts.astype(np.int64)),
+            [rows.column("doc_id"), rows.column("row_key"), pa.array(counts.astype(np.int64)),
              pa.array(set_keys(values, bounds).view(np.int64), mask=~full),
              B.list_array(keys.ravel().view(np.int64), where, ~full),
              pa.array([x.tobytes() for x in rows_of.astype(np.uint8)], pa.binary(), mask=~full)],
-            ["doc_id", "n_shingles", "set_key", "bands", "sketch"])
+            ["doc_id", "row_key", "n_shingles", "set_key", "bands", "sketch"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,24 +129,16 @@ def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", (1 - F.col("common") / union).alias("distance"), (100 * F.col("common") >= PERCENT * union).alias("linked"))
 
 
-def near_duplicates(docs: DataFrame, steps: Steps | None = None) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id, kept.
+def _row_key() -> Column:
+    """A key of a row's doc_id and text; rows that share it are repeats of each other."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
-    Documents with equal sets are one class from the start, so a group of exact copies costs one
-    member. Within a bucket (documents that share a band) every member is first compared with one
-    hub, the member that shares most buckets. Linked members then need no comparison with each
-    other; of the pairs that the links so far leave in different components, all are tested on their
-    sketches and then on their full sets. No link between different components is lost and a group
-    of near copies is never expanded into all its pairs.
 
-    A null or empty text, or one without words, has an empty set and links with nothing. A repeated
-    doc_id gives a row for each of its rows. A null doc_id is no candidate for component_id and is
-    never kept. An empty table gives no rows. Other columns are ignored.
-    """
-    steps = steps or Steps(session_of(docs))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def _labelled(docs: DataFrame, steps: Steps) -> DataFrame:
+    """(doc_id, row_key, n_shingles, label) of all rows: a label for each component, null for empty sets."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _row_key().alias("row_key"))
     described = steps.keep(
-        texts.mapInArrow(_describe, "doc_id long, n_shingles long, set_key long, bands array<long>, sketch binary"), "described")
+        texts.mapInArrow(_describe, "doc_id long, row_key long, n_shingles long, set_key long, bands array<long>, sketch binary"), "described")
     members = described.filter("set_key is not null")
     rows = members.groupBy("set_key").agg(F.first("bands").alias("bands")).select(F.posexplode("bands").alias("number", "band"), "set_key")
     rows = steps.keep(rows, "bands")
@@ -176,15 +168,47 @@ def near_duplicates(docs: DataFrame, steps: Steps | None = None) -> DataFrame:
     steps.drop(buckets, sets)
     labels = components(links, steps)
 
-    found = (described.select("doc_id", "n_shingles", "set_key")
-             .join(labels.withColumnRenamed("node", "set_key"), "set_key", "left")
-             .select("doc_id", "n_shingles", F.coalesce("label", "set_key").alias("label")))
-    lowest = (found.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id")))
+    return steps.last(
+        described.select("doc_id", "row_key", "n_shingles", "set_key")
+        .join(labels.withColumnRenamed("node", "set_key"), "set_key", "left")
+        .select("doc_id", "row_key", "n_shingles", F.coalesce("label", "set_key").alias("label")), "labelled")
+
+
+def near_duplicates(docs: DataFrame, steps: Steps | None = None) -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id, kept.
+
+    Documents with equal sets are one class from the start, so a group of exact copies costs one
+    member. Within a bucket (documents that share a band) every member is first compared with one
+    hub, the member that shares most buckets. Linked members then need no comparison with each
+    other; of the pairs that the links so far leave in different components, all are tested on their
+    sketches and then on their full sets. No link between different components is lost and a group
+    of near copies is never expanded into all its pairs.
+
+    A null or empty text, or one without words, has an empty set and links with nothing. A repeated
+    doc_id gives a row for each of its rows. A null doc_id is no candidate for component_id and is
+    never kept. An empty table gives no rows. Other columns are ignored.
+    """
+    found = _labelled(docs, steps or Steps(session_of(docs)))
+    lowest = found.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
     return found.join(lowest, "label", "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"),
         F.coalesce(F.col("doc_id") == F.coalesce("component_id", "doc_id"), F.lit(False)).alias("kept"))
 
 
+def deduplicated(docs: DataFrame, steps: Steps | None = None) -> DataFrame:
+    """The documents, with all their columns, of which one row of each component stays: the lowest doc_id.
+
+    Documents with empty sets all stay. Of rows that share doc_id and text one stays; a null doc_id
+    stays only where its component has no other.
+    """
+    found = _labelled(docs, steps or Steps(session_of(docs)))
+    first = (found.filter("label is not null").groupBy("label")
+             .agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("row")).select("row.row_key"))
+    stay = first.unionByName(found.filter("label is null").select("row_key")).distinct()
+    keyed = docs.withColumn("row_key_", _row_key()).join(stay.withColumnRenamed("row_key", "row_key_"), "row_key_", "left_semi")
+    return keyed.dropDuplicates(["row_key_"]).drop("row_key_")
+
+
 def _crossing(buckets: DataFrame, spokes: DataFrame, labels: DataFrame, described: DataFrame) -> DataFrame:
     """Pairs of a bucket's members that were not compared yet, lie in different components and may be linked.
 

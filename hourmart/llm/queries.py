@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from hourmart.llm import context_mixing, decontaminate, edit_counts, importance_rules, language_id, near_dedup, quality_mil, records, word_bpe
+from hourmart.llm import context_mixing, decontaminate, edit_counts, importance_rules, language_id, near_dedup, quality_mil, records, suffix_dedup, word_bpe
 from hourmart.llm.oracles import DECONTAMINATE, NEAR_DEDUP, QUALITY_RULES
 
 
@@ -35,6 +35,10 @@ def op4_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.token_records(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_bytes(table(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.languages(table(spark, sf_dir, "documents"))
 
@@ -60,6 +64,7 @@ QUERIES = {
     "op2_decontaminate": op2_decontaminate,
     "op3_context_mixing": op3_context_mixing,
     "op4_token_records": op4_token_records,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_language_id": op6_language_id,
     "op7_quality_mil": op7_quality_mil,
     "op8_edit_counts": op8_edit_counts,

@@ -42,6 +42,7 @@ class Steps:
         self.spark = spark
         self.folder = f"{shared_folder(spark)}/llm-{uuid.uuid4().hex}"
         self.count = 0
+        self.live: list[str] = []
 
     def path(self, name: str) -> str:
         self.count += 1
@@ -51,13 +52,23 @@ class Steps:
         """Writes df and returns it as read from there."""
         path = self.path(name)
         df.write.parquet(path)
+        self.live.append(path)
         found = self.spark.read.schema(df.schema).parquet(path)
         found._written_at = path
         return found
 
+    def last(self, df: DataFrame, name: str) -> DataFrame:
+        """The same for the step that the result is read from; all steps before it are removed."""
+        before, self.live = self.live, []
+        found = self.keep(df, name)
+        for path in before:
+            self.remove(path)
+        return found
+
     def drop(self, *steps: DataFrame) -> None:
         """Removes steps that nothing reads any more."""
         for step in steps:
+            self.live.remove(step._written_at)
             self.remove(step._written_at)
 
     def remove(self, path: str) -> None:
