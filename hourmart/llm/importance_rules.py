@@ -33,15 +33,25 @@ def _count_of(text: Column, characters: str) -> Column:
 
 
 def word_hashes(found: Column) -> Column:
-    """A number of 28 bits for each word."""
-    return F.transform(found, lambda w: F.conv(F.substring(F.md5(w), 1, 7), 16, 10).cast("long"))
+    """A number of 60 bits for each word."""
+    return F.transform(found, lambda w: F.conv(F.substring(F.md5(w), 1, 15), 16, 10).cast("long"))
 
 
-def buckets(hashes: Column) -> Column:
-    """Buckets of all unigrams, then of all bigrams."""
-    pairs = F.zip_with(F.slice(hashes, 1, F.greatest(F.size(hashes) - 1, F.lit(0))), F.slice(hashes, 2, F.size(hashes)),
-                       lambda a, b: ((a * 31 + b + 1) % BUCKETS).cast("int"))
-    return F.concat(F.transform(hashes, lambda h: (h % BUCKETS).cast("int")), pairs)
+def joined(hashes: Column, reach: int) -> Column:
+    """Hash of each entry and the one `reach` further on; of 1, 2 and 4 they make that of 8 words."""
+    return F.zip_with(hashes, F.slice(hashes, reach + 1, F.size(hashes)), lambda a, b: F.xxhash64(a, b))
+
+
+def with_buckets(rows: DataFrame) -> DataFrame:
+    """Adds `grams`: buckets of all unigrams, then of all bigrams, by the leading 28 bits of `hashes`.
+
+    An array that is used more than once is a column of a step of its own, so it is worked out once.
+    """
+    rows = rows.withColumn("short", F.transform("hashes", lambda h: F.shiftright(h, 32)))
+    rows = rows.withColumn("pairs", F.zip_with("short", F.slice("short", 2, F.size("short")), lambda a, b: ((a * 31 + b + 1) % BUCKETS).cast("int")))
+    return rows.withColumn("grams", F.concat(
+        F.transform("short", lambda h: (h % BUCKETS).cast("int")),
+        F.slice("pairs", 1, F.greatest(F.size("pairs") - 1, F.lit(0))))).drop("short", "pairs")
 
 
 def weights(docs: DataFrame, trusted: DataFrame) -> DataFrame:
@@ -51,7 +61,8 @@ def weights(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     are shuffled, and there are BUCKETS of them whatever the input.
     """
     marked = docs.join(trusted.withColumn("good", F.lit(1)), "doc_id", "left")
-    grams = marked.select("good", F.explode(buckets(word_hashes(words(F.col("text"))))).alias("bucket"))
+    hashed = marked.select("good", words(F.col("text")).alias("words")).select("good", word_hashes(F.col("words")).alias("hashes"))
+    grams = with_buckets(hashed).select("good", F.explode("grams").alias("bucket"))
     counted = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("good").alias("good"))
     all_buckets = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"))
     filled = all_buckets.join(counted, "bucket", "left").na.fill(0, ["raw", "good"])
@@ -103,16 +114,16 @@ def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rows = rows.select(
         "doc_id", F.size("words").cast("long").alias("n_words"), "word_chars", "n_symbols",
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        word_hashes(F.col("words")).alias("hashes"), "words")
-    rows = rows.withColumn("windows", F.when(F.col("n_words") >= WINDOW, F.transform(
-        F.sequence(F.lit(1), (F.col("n_words") - WINDOW + 1).cast("int")),
-        lambda i: F.xxhash64(F.slice("words", i, WINDOW)))).otherwise(F.array().cast("array<bigint>")))
-    rows = rows.drop("words").withColumn("repeated", F.size(F.array_distinct("windows")) < F.size("windows"))
+        word_hashes(F.col("words")).alias("hashes"))
+    for reach in (1, 2, 4):      # one step each, so that no array is worked out twice
+        rows = rows.withColumn("windows", joined(F.col("hashes" if reach == 1 else "windows"), reach))
+    rows = rows.withColumn("windows", F.slice("windows", 1, F.greatest(F.col("n_words") - (WINDOW - 1), F.lit(0)).cast("int")))
+    rows = rows.withColumn("repeated", F.size(F.array_distinct("windows")) < F.size("windows"))
     rows = rows.withColumn("windows", F.when(F.col("repeated"), F.array_sort(F.transform(
         "windows", lambda h, i: F.struct(h.alias("hash"), i.alias("place"))))))
     rows = rows.withColumn("n_repeat_words", F.coalesce(F.when(
         F.col("repeated"), repeat_words(F.col("hashes"), F.col("windows"))), F.lit(0)).cast("long"))
-    rows = rows.drop("windows", "repeated").withColumn("grams", buckets(F.col("hashes"))).drop("hashes")
+    rows = with_buckets(rows.drop("windows", "repeated")).drop("hashes")
     rows = rows.withColumn("table", table)
     total = F.aggregate("grams", F.lit(0).cast("long"), lambda a, g: a + F.col("table")[g])
     rows = rows.select(
