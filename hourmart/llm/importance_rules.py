@@ -62,7 +62,9 @@ def weights(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """
     marked = docs.join(trusted.withColumn("good", F.lit(1)), "doc_id", "left")
     hashed = marked.select("good", words(F.col("text")).alias("words")).select("good", word_hashes(F.col("words")).alias("hashes"))
-    grams = with_buckets(hashed).select("good", F.explode("grams").alias("bucket"))
+    # the outer form, whose empty rows match no bucket below: a plain explode puts a test for empty
+    # arrays under all the steps above and so works them out again
+    grams = with_buckets(hashed).select("good", F.explode_outer("grams").alias("bucket"))
     counted = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("good").alias("good"))
     all_buckets = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"))
     filled = all_buckets.join(counted, "bucket", "left").na.fill(0, ["raw", "good"])
