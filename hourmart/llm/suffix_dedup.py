@@ -37,6 +37,7 @@ LENGTH = 400
 HALF = LENGTH // 2
 SHORT = 300
 SLACK = LENGTH - SHORT + 1       # SHORT-byte strings in a string of LENGTH bytes
+PART_BITS = 18                   # bits of a filter that are put together in one task
 FILTER_BITS = 26                 # a filter is 2 ** FILTER_BITS bits, whatever the input; it only saves work
 
 
@@ -74,18 +75,32 @@ class Filter:
     """A set of hashes in a fixed number of bits: no false negatives."""
 
     def __init__(self, hashes: DataFrame):
-        word = F.shiftright(F.col("hash").bitwiseAND((1 << FILTER_BITS) - 1), 5)
-        bits = F.expr("shiftleft(1L, cast(hash & 31 as int))")
-        words = (hashes.select(word.alias("word"), bits.alias("bits"))
-                 .groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas())       # 2 ** (FILTER_BITS - 5) rows at most
+        bit = F.col("hash").bitwiseAND((1 << FILTER_BITS) - 1)
+        dealt = hashes.select(F.shiftright(bit, PART_BITS).cast("int").alias("part"), bit.bitwiseAND((1 << PART_BITS) - 1).cast("int").alias("bit"))
+        parts = dealt.repartition("part").mapInArrow(_bit_parts, "part int, bits binary")
         self.words = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
-        self.words[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).astype(np.uint32)
+        size = 1 << (PART_BITS - 5)
+        for row in parts.toLocalIterator():         # 2 ** FILTER_BITS bits in all
+            self.words[row.part * size:(row.part + 1) * size] = np.frombuffer(row.bits, np.uint32)
 
     def has(self, hashes: np.ndarray) -> np.ndarray:
         bit = hashes & np.uint64((1 << FILTER_BITS) - 1)
         return ((self.words[(bit >> np.uint64(5)).astype(np.int64)] >> (bit & np.uint64(31)).astype(np.uint32)) & np.uint32(1)).astype(bool)
 
 
+def _bit_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bits of each part of a filter; all rows of a part are in one task, which holds the bits alone."""
+    parts: dict[int, np.ndarray] = {}
+    for batch in batches:
+        part, bit = batch.column("part").to_numpy(), batch.column("bit").to_numpy()
+        for p in np.unique(part).tolist():
+            own = bit[part == p]
+            bits = parts.setdefault(p, np.zeros(1 << (PART_BITS - 5), np.uint32))
+            np.bitwise_or.at(bits, own >> 5, np.uint32(1) << (own & 31).astype(np.uint32))
+    if parts:
+        yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array([b.tobytes() for b in parts.values()], pa.binary())], ["part", "bits"])
+
+
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
