@@ -60,7 +60,8 @@ def weights(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     `docs` has (doc_id, text), `trusted` doc_ids without repeats. Buckets are counted before they
     are shuffled, and there are BUCKETS of them whatever the input.
     """
-    marked = docs.join(trusted.withColumn("good", F.lit(1)), "doc_id", "left")
+    # labels grow with the corpus: the join sorts and merges at every size instead of changing its plan
+    marked = docs.join(trusted.withColumn("good", F.lit(1)).hint("merge"), "doc_id", "left")
     hashed = marked.select("good", words(F.col("text")).alias("words")).select("good", word_hashes(F.col("words")).alias("hashes"))
     # the outer form, whose empty rows match no bucket below: a plain explode puts a test for empty
     # arrays under all the steps above and so works them out again
