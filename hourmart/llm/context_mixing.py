@@ -1,6 +1,6 @@
 """Language-model scores by online logistic mixing of hashed-context bit predictors.
 
-Texts are predicted bit by bit. Each context (the last 1, 2, 3 or 5 bytes, or the word so far) and the
+Texts are predicted bit by bit. Each context (the last 2 or 4 bytes, or the word so far) and the
 bits of the byte so far name a slot of that context's table; the slot's counts of zeros and ones, over
 all training documents, give a log-odds. A mixer adds the log-odds with weights and turns the sum into
 a probability. The bit's place in the byte gates which set of weights is used, and after each bit the
@@ -25,12 +25,13 @@ from hourmart.llm.staging import Steps, session_of
 from hourmart.llm.training import fold
 
 FOLDS, HELD_OUT = 5, 1
-ORDERS = (1, 2, 3, 5)              # bytes of the contexts; the last context is the word so far
-TABLE_BITS = (18, 20, 22, 22, 22)  # slots of each context's table, fixed whatever the input
+ORDERS = (2, 4)                    # bytes of the contexts; the last context is the word so far
+CONTEXTS = len(ORDERS) + 1
+TABLE_BITS = 20                    # of a slot's number: the tables have a fixed size whatever the input
 CHUNK = 1 << 12                    # slots that are summed as one row
 SEGMENT = 512
 RATE = 0.02
-START = 0.3                        # first weight of every context
+START = 0.45                       # first weight of every context
 PRIOR = 0.3                        # added to both counts of a slot
 LEVELS = 16                        # steps of a stored log-odds for each unit
 FREQUENT = 1 << 20                 # at most so many words have 1 / FREQUENT of all training tokens or more
@@ -68,39 +69,51 @@ class Stream:
 
     @staticmethod
     def _fold(x: np.ndarray) -> np.ndarray:
-        return (B.mix(x) >> np.uint64(32)).astype(np.uint32)
+        return (B.mix(x) >> np.uint64(64 - TABLE_BITS)).astype(np.intp)
 
 
-def slots(context: np.ndarray, node: np.ndarray, bits: int) -> np.ndarray:
-    """The slot of each context with the bits of the byte so far (with a leading one)."""
-    return (context + node * np.uint32(0x9E3779B1)) >> np.uint32(32 - bits)
+def _by_bit() -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
+    byte = np.arange(256, dtype=np.uint64)
+    nodes, counted, signs = [], [], []
+    for j in range(8):
+        before = (byte >> np.uint64(8 - j)) | np.uint64(1 << j)
+        node = (B.mix(before + np.uint64(3)) >> np.uint64(64 - TABLE_BITS)).astype(np.intp)
+        bit = ((byte >> np.uint64(7 - j)) & np.uint64(1)).astype(np.intp)
+        nodes.append(node)
+        counted.append(2 * node + bit)
+        signs.append((1 - 2 * bit).astype(np.float32))
+    return nodes, counted, signs
+
+
+#: For each place of a bit and each byte: a number for the bits before it (with a leading one), to be joined
+#: with a context's number by exclusive or; twice that plus the bit; and -1 for a one, 1 for a zero.
+NODES, COUNTED, SIGNS = _by_bit()
 
 
 class Counts:
     """Counts of zeros and ones in all slots."""
 
     def __init__(self) -> None:
-        self.tables = [np.zeros((2, 1 << bits), np.uint32) for bits in TABLE_BITS]
+        self.tables = [np.zeros(2 << TABLE_BITS, np.uint32) for _ in range(CONTEXTS)]
 
     def add(self, stream: Stream) -> None:
-        data = stream.data.astype(np.uint32)
-        for table, context, bits in zip(self.tables, stream.contexts, TABLE_BITS):
-            for j in range(8):
-                at = slots(context, (data >> np.uint32(8 - j)) | np.uint32(1 << j), bits)
-                one = ((data >> np.uint32(7 - j)) & np.uint32(1)).astype(bool)
-                for bit, own in ((0, at[~one]), (1, at[one])):
-                    np.add.at(table[bit], own, np.uint32(1))
+        doubled = [2 * c for c in stream.contexts]
+        for counted in COUNTED:
+            node = counted[stream.data]
+            for table, context in zip(self.tables, doubled):
+                np.add.at(table, context ^ node, np.uint32(1))
 
     def rows(self) -> Iterator[pa.RecordBatch]:
         """One row for each chunk with counts: context, chunk, compressed counts."""
         pack = zstandard.ZstdCompressor(level=1)
         for number, table in enumerate(self.tables):
-            for at in range(0, table.shape[1], 64 * CHUNK):
-                part = table[:, at:at + 64 * CHUNK].reshape(2, -1, CHUNK).swapaxes(0, 1)
-                used = np.flatnonzero(part.any((1, 2)))
+            chunks = table.reshape(-1, 2 * CHUNK)
+            for at in range(0, len(chunks), 64):
+                part = chunks[at:at + 64]
+                used = np.flatnonzero(part.any(1))
                 if len(used):
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(used), number, np.int32)), pa.array((used + at // CHUNK).astype(np.int32)),
+                        [pa.array(np.full(len(used), number, np.int32)), pa.array((used + at).astype(np.int32)),
                          pa.array([pack.compress(part[i].tobytes()) for i in used], pa.binary())],
                         ["context", "chunk", "counts"])
 
@@ -120,7 +133,7 @@ def _sum_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     key, total = None, None
 
     def done() -> pa.RecordBatch:
-        odds = np.log((total[1] + PRIOR) / (total[0] + PRIOR)) * LEVELS
+        odds = np.log((total[:, 1] + PRIOR) / (total[:, 0] + PRIOR)) * LEVELS
         return pa.RecordBatch.from_arrays(
             [pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()),
              pa.array([np.clip(np.rint(odds), -127, 127).astype(np.int8).tobytes()], pa.binary())],
@@ -128,11 +141,11 @@ def _sum_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for context, chunk, counts in zip(*(batch.column(c).to_pylist() for c in ("context", "chunk", "counts"))):
-            part = np.frombuffer(unpack.decompress(counts), np.uint32).reshape(2, CHUNK)
+            part = np.frombuffer(unpack.decompress(counts), np.uint32).reshape(CHUNK, 2)
             if (context, chunk) != key:
                 if key:
                     yield done()
-                key, total = (context, chunk), np.zeros((2, CHUNK), np.int64)
+                key, total = (context, chunk), np.zeros((CHUNK, 2), np.int64)
             total += part
     if key:
         yield done()
@@ -147,7 +160,7 @@ def bit_model(training: DataFrame) -> list[np.ndarray]:
     """
     parts = training.select("text").mapInArrow(_bit_counts, "context int, chunk int, counts binary")
     dealt = parts.repartition("context", "chunk").sortWithinPartitions("context", "chunk")
-    tables = [np.zeros(1 << bits, np.int8) for bits in TABLE_BITS]
+    tables = [np.zeros(1 << TABLE_BITS, np.int8) for _ in range(CONTEXTS)]
     for row in dealt.mapInArrow(_sum_chunks, "context int, chunk int, odds binary").toLocalIterator():
         tables[row.context][row.chunk * CHUNK:(row.chunk + 1) * CHUNK] = np.frombuffer(row.odds, np.int8)
     return tables
@@ -165,31 +178,33 @@ def log_probabilities(texts: B.Texts, tables: list[np.ndarray]) -> np.ndarray:
     order = np.argsort(-length, kind="stable")        # lanes that end leave from the back
     start, length, text = start[order], length[order], text[order]
     lanes = len(start)
-    weights = np.full((8, len(tables), lanes), START, np.float32)
+    weights = np.full((8, len(tables), lanes), START / LEVELS, np.float32)     # for log-odds in stored steps
+    rate = np.float32(RATE / LEVELS ** 2)
     total = np.zeros(lanes, np.float64)
-    scale = np.float32(1 / LEVELS)
     for t in range(int(length[0])):
         live = int(np.searchsorted(-length, -t, "left"))
         at = start[:live] + t
-        byte = stream.data[at].astype(np.uint32)
+        byte = stream.data[at].astype(np.intp)
         contexts = [c[at] for c in stream.contexts]
-        node = np.ones(live, np.uint32)
-        cost = np.zeros(live, np.float32)
+        cost = np.ones(live, np.float64)            # one over the byte's probability
         for j in range(8):
-            bit = (byte >> np.uint32(7 - j)) & np.uint32(1)
-            w = weights[j]
-            odds = [table[slots(c, node, bits)] * scale for table, c, bits in zip(tables, contexts, TABLE_BITS)]
+            w, node, sign = weights[j], NODES[j].take(byte), SIGNS[j].take(byte)
+            odds = [table.take(c ^ node).astype(np.float32) for table, c in zip(tables, contexts)]
             mixed = odds[0] * w[0, :live]
             for k in range(1, len(odds)):
                 mixed += odds[k] * w[k, :live]
-            sign = np.float32(1) - np.float32(2) * bit.astype(np.float32)
-            right = np.float32(1) / (np.float32(1) + np.exp(np.clip(sign * mixed, -20, 20)))      # probability of the bit
-            cost += np.log(right)
-            step = (np.float32(-RATE) * sign) * (np.float32(1) - right)
+            mixed *= sign
+            np.minimum(mixed, np.float32(40), out=mixed)
+            np.exp(mixed, out=mixed)                # odds against the bit
+            mixed += np.float32(1)                  # one over the bit's probability
+            cost *= mixed
+            step = np.float32(1) / mixed
+            step -= np.float32(1)                   # minus the probability of the other bit
+            step *= sign
+            step *= rate
             for k in range(len(odds)):
                 w[k, :live] += step * odds[k]
-            node = (node << np.uint32(1)) | bit
-        total[:live] += cost
+        total[:live] -= np.log(cost)
     return np.bincount(text, total, len(sizes))
 
 

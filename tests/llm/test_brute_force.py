@@ -130,7 +130,7 @@ def test_bit_probabilities_sum_to_one():
     from hourmart.llm import batches as B
     import pyarrow as pa
 
-    tables = [np.random.default_rng(k).integers(-90, 90, 1 << bits).astype(np.int8) for k, bits in enumerate(context_mixing.TABLE_BITS)]
+    tables = [np.random.default_rng(k).integers(-90, 90, 1 << context_mixing.TABLE_BITS).astype(np.int8) for k in range(context_mixing.CONTEXTS)]
     # the empty text and all texts that begin with one of 127 bytes share what 7 of 8 bits leave
     one = np.exp(context_mixing.log_probabilities(B.texts_of(pa.array([""])), tables))[0]
     two = np.exp(context_mixing.log_probabilities(B.texts_of(pa.array([chr(c) for c in range(1, 128)])), tables))
@@ -141,7 +141,7 @@ def test_scores_do_not_depend_on_neighbours():
     from hourmart.llm import batches as B
     import pyarrow as pa
 
-    tables = [np.random.default_rng(k).integers(-90, 90, 1 << bits).astype(np.int8) for k, bits in enumerate(context_mixing.TABLE_BITS)]
+    tables = [np.random.default_rng(k).integers(-90, 90, 1 << context_mixing.TABLE_BITS).astype(np.int8) for k in range(context_mixing.CONTEXTS)]
     texts = ["one text", "", "another text " * 100, "é"]
     together = context_mixing.log_probabilities(B.texts_of(pa.array(texts)), tables)
     alone = [context_mixing.log_probabilities(B.texts_of(pa.array([t])), tables)[0] for t in texts]
