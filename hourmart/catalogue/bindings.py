@@ -46,7 +46,7 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("n_name").alias("entity"), F.to_date("l_shipdate").alias("full_date"),
             F.col("l_linenumber").alias("slot"), F.col("l_quantity").alias("temp"),
             (F.col("l_extendedprice") / 1000.0).alias("hum"),
-            F.abs("l_discount").alias("wind"), F.abs("l_tax").alias("rain"), F.col("l_linestatus").alias("status"),
+            F.col("l_discount").alias("wind"), F.col("l_tax").alias("rain"), F.col("l_linestatus").alias("status"),
             F.col("l_shipdate").alias("datetime"))
     )
 
@@ -112,8 +112,8 @@ SHORTS = ("temp", "hum", "wind", "rain")
 LINES = """
 lines AS (
   SELECT n_name AS entity, CAST(l_shipdate AS DATE) AS full_date, l_linenumber AS slot,
-         l_quantity AS temp, l_extendedprice / 1000.0::DOUBLE AS hum, abs(l_discount) AS wind,
-         abs(l_tax) AS rain, l_linestatus AS status, l_shipdate AS datetime
+         l_quantity AS temp, l_extendedprice / 1000.0::DOUBLE AS hum, l_discount AS wind,
+         l_tax AS rain, l_linestatus AS status, l_shipdate AS datetime
   FROM lineitem JOIN supplier ON l_suppkey = s_suppkey
                 JOIN nation ON s_nationkey = n_nationkey)"""
 _AVG = ", ".join(f"avg({s}) AS {s}" for s in SHORTS)

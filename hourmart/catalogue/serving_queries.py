@@ -7,8 +7,8 @@ from datetime import timedelta
 from pyspark.sql import functions as F
 
 from hourmart.catalogue.bindings import (
-    ACTUAL, ACTUAL_SLOTS, DAY, FORECAST, FORECAST_SLOTS, LINES, MONTH_DAY, SHORTS, SLOT, YEAR,
-    actual_days, actual_slots, daily, forecast_days, forecast_rows, lines, r6, r6_all,
+    ACTUAL, ACTUAL_SLOTS, DAY, FORECAST, FORECAST_SLOTS, HOUR, HOURS, LINES, MONTH_DAY, SHORTS, SLOT, YEAR,
+    actual_days, actual_slots, daily, forecast_days, forecast_rows, hour_rows, lines, r6, r6_all,
     rounded, table, with_,
 )
 from hourmart.catalogue.feature_queries import SLOT_STATS, lag_joins
@@ -73,12 +73,11 @@ def q_day_spine(spark, d):
 
 
 def q_slot_gaps(spark, d):
-    """Missing slots per entity and day of the whole calendar."""
-    rows = lines(spark, d)
-    spine = slot_spine(_entities(spark, d), *_span(rows), SLOT, slots=8)
-    have = rows.select(*SLOT.keys).distinct()
+    """Hours without an event per event type and day, between the first and the last day."""
+    rows = hour_rows(spark, d)
+    spine = slot_spine(rows.select("entity").distinct(), *_span(rows), HOUR, slots=24)
     return (
-        spine.join(have, SLOT.keys, "left_anti").groupBy("entity", "full_date")
+        spine.join(rows.select(*HOUR.keys), HOUR.keys, "left_anti").groupBy("entity", "full_date")
         .agg(F.count(F.lit(1)).alias("missing_slots")))
 
 
@@ -211,10 +210,13 @@ found AS (
   GROUP BY c.entity, c.full_date, c.slot)""") + f"""
 SELECT entity, full_date, slot, {r6_all(*slot_history_columns(SLOT))} FROM found""",
     "day_spine": with_(LINES, _CALENDAR.format(table="lines")) + "SELECT * FROM spine",
-    "slot_gaps": with_(LINES, _CALENDAR.format(table="lines")) + """
+    "slot_gaps": with_(HOURS, """
+span AS (SELECT min(full_date) AS low, max(full_date) AS high FROM hours),
+spine AS (
+  SELECT entity, CAST(low + CAST(i AS INTEGER) AS DATE) AS full_date, CAST(h AS INTEGER) AS hour
+  FROM (SELECT DISTINCT entity FROM hours), span, range(high - low + 1) days(i), range(24) r(h))""") + """
 SELECT entity, full_date, count(*) AS missing_slots
-FROM (SELECT entity, full_date, CAST(s AS INTEGER) AS slot FROM spine, range(8) r(s)
-      EXCEPT SELECT entity, full_date, slot FROM lines)
+FROM (SELECT entity, full_date, hour FROM spine EXCEPT SELECT entity, full_date, hour FROM hours)
 GROUP BY entity, full_date""",
     "coverage_gaps": with_(LINES, FORECAST, _CALENDAR.format(table="forecast")) + """
 SELECT entity, full_date FROM spine ANTI JOIN forecast USING (entity, full_date)""",

@@ -96,7 +96,7 @@ def q_dedup_fact(spark, d):
         ("rain", "l_tax")))
     rows = table(spark, d, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice",
-        F.abs("l_discount").alias("l_discount"), F.abs("l_tax").alias("l_tax"), "l_suppkey")
+        "l_discount", "l_tax", "l_suppkey")
     return dedup_fact(rows, panel)
 
 
@@ -201,10 +201,10 @@ FROM events JOIN districts ON district_name = event_type""",
     "dedup_fact": """
 SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_suppkey
 FROM (
-  SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, abs(l_discount) AS l_discount,
-         abs(l_tax) AS l_tax, l_suppkey, row_number() OVER (
+  SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_discount,
+         l_tax, l_suppkey, row_number() OVER (
            PARTITION BY l_orderkey, l_linenumber
-           ORDER BY l_quantity, l_extendedprice, abs(l_discount), abs(l_tax), l_suppkey) AS rn
+           ORDER BY l_quantity, l_extendedprice, l_discount, l_tax, l_suppkey) AS rn
   FROM lineitem)
 WHERE rn = 1""",
     "merge_readings": with_(LINES, SLOTS)

@@ -16,13 +16,12 @@ SHORT_SPAN, LONG_SPAN = 3, 7  # rolling spans, in lags
 HOURS_PER_DAY, DAYS_PER_YEAR, MONTHS_PER_YEAR = 24.0, 365.25, 12.0
 TRAIN_QUANTILE = 0.85
 WET_PROBABILITY = 0.5        # two-stage cut, strict
-MIN_WET_ROWS = 100           # the amount model needs more wet rows than this
 HUMIDITY_RANGE = (0.0, 100.0)
 TEMPERATURE_RANGE = (5.0, 45.0)
 AUDIT_TEMPERATURE, AUDIT_RAIN = 0.5, 0.1
 FORECAST_DAYS = 2
 MAX_FORECAST_DAYS, MAX_RANGE_DAYS = 7, 30
-RECENT_DAYS, RECENT_LIMIT, RECENT_SHOWN = 2, 120, 60
+RECENT_DAYS = 2
 
 
 @dataclass(frozen=True)

@@ -21,7 +21,8 @@ from hourmart.plans.training import PROBABILITY, Models, score
 from hourmart.session import written
 from hourmart.sources.tables import Warehouse
 
-FORECAST, AUDIT = "dw/fact_weather_forecast", "dw/forecast_history"
+FORECAST, AUDIT, REJECTS = (
+    "dw/fact_weather_forecast", "dw/forecast_history", "dw/forecast_rejects")
 
 
 def check_date(value: str | date) -> date:
@@ -133,12 +134,15 @@ def predict_day(job: ForecastJob, day: date, entities: DataFrame | None = None)
 def save_day(job: ForecastJob, scored: DataFrame, as_of: datetime) -> DataFrame:
     """Replace the forecast of each (entity, day) in ``scored``; returns rejected rows.
 
-    Rows are validated, repaired and stamped; what the new rows change beyond
-    the thresholds goes to the audit table first, then the day's partition is
-    rewritten. Run again with the same ``as_of``, it changes nothing.
+    Rows are validated, repaired and stamped; rejected rows and what the new
+    rows change beyond the thresholds are stored first, then the day's partition
+    is rewritten. Run again with the same rows and ``as_of``, it changes nothing.
     """
     panel = job.panel
     stamp = F.lit(as_of)
+    # the batch is named by the keys it is for, so other entities of that day are another batch
+    digest = scored.agg(F.coalesce(F.sum(F.xxhash64(*panel.keys).cast("decimal(38,0)")), F.lit(0))).first()[0]
+    name = f"forecast {as_of:%F %T} of {digest}"
     accepted, rejected = validate(scored, job.rules)
     if panel.wet_column:
         accepted = repair(accepted, panel.wet_column)
@@ -148,8 +152,8 @@ def save_day(job: ForecastJob, scored: DataFrame, as_of: datetime) -> DataFrame:
     if temp and panel.wet_column:
         old = job.warehouse.touched(FORECAST, rows, panel.date)
         changes = change_audit(old, rows, panel.keys, stamp, temp, panel.wet_column)
-        days = rows.agg(F.min(panel.date), F.max(panel.date)).first()
-        job.warehouse.write_once(AUDIT, changes, f"forecast {days[0]} {days[1]} at {as_of:%F %T}")
+        job.warehouse.write_once(AUDIT, changes, name)
+    job.warehouse.write_once(REJECTS, rejected, name)
     job.warehouse.replace(FORECAST, rows, [panel.entity, panel.date], panel.date)
     return rejected
 

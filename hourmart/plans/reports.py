@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from hourmart.functions.calendar import iso_date, period_of_day
 from hourmart.functions.labels import describe
 from hourmart.functions.numeric import report_round, score_round
-from hourmart.model import RECENT_DAYS, RECENT_LIMIT, Panel
+from hourmart.model import RECENT_DAYS, Panel
 from hourmart.operators.stats import distinct_pairs
 
 
@@ -140,8 +140,8 @@ def forecast_listing(forecast: DataFrame, panel: Panel) -> DataFrame:
 
 
 def recent_actuals(actual: DataFrame, panel: Panel, days: int = RECENT_DAYS,
-                   limit: int | None = RECENT_LIMIT) -> DataFrame:
-    """Daily summary of the last days that have measurements, newest first."""
+                   limit: int | None = None) -> DataFrame:
+    """Daily summary of the last days that have measurements, newest first; all rows unless a limit is named."""
     c = _columns(panel)
     newest = actual.agg(F.date_sub(F.max(panel.date), days)).scalar()
     daily = (

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from hourmart.functions.numeric import clip, wet_flag
 from hourmart.model import (
-    HUMIDITY_RANGE, MIN_WET_ROWS, TRAIN_QUANTILE, WET_PROBABILITY, Panel, feature_columns,
+    HUMIDITY_RANGE, TRAIN_QUANTILE, WET_PROBABILITY, Panel, feature_columns,
 )
 from hourmart.operators.stats import (
     class_balance, classification_metrics, error_metrics, split_date, year_bounds,
@@ -44,7 +44,6 @@ class TrainSettings:
     wet: TreeSettings = TreeSettings(trees=400, depth=7)
     amount: TreeSettings = TreeSettings(trees=400, depth=7, min_rows=3)
     quantile: float = TRAIN_QUANTILE
-    min_wet_rows: int = MIN_WET_ROWS
 
     @staticmethod
     def small(trees: int = 5, depth: int = 3) -> TrainSettings:
@@ -147,7 +146,7 @@ def fit_values(train: DataFrame, panel: Panel, settings: TrainSettings, weight:
 
 def fit_rain(train: DataFrame, panel: Panel, settings: TrainSettings, weight: str = "weight"
              ) -> tuple[GBTClassificationModel, GBTRegressionModel | None]:
-    """Wet/dry classifier with balanced weights, and the amount model on wet rows."""
+    """Wet/dry classifier with balanced weights, and the amount model on wet rows, if there are any."""
     is_wet = F.col(panel.wet_column) > panel.wet_above
     balance = class_balance(train, is_wet).first()
     scaled = F.col(weight) * F.when(is_wet, F.lit(float(balance["scale_pos"]))).otherwise(1.0)
@@ -157,7 +156,7 @@ def fit_rain(train: DataFrame, panel: Panel, settings: TrainSettings, weight: st
     classifier = _learner(GBTClassifier, "_wet", "_wet_weight", settings.wet, "_wet_pred")
     classifier = classifier.setProbabilityCol("_wet_probability").setRawPredictionCol("_wet_raw")
     amount = None
-    if balance["n_pos"] > settings.min_wet_rows:
+    if balance["n_pos"]:
         amount = _learner(
             GBTRegressor, panel.wet_column, None, settings.amount, "_amount"
         ).fit(train.where(is_wet))

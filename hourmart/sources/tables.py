@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -10,7 +11,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from hourmart.operators.writes import insert_if_absent, replace_groups, upsert
 from hourmart.session import written
 
-MAX_LISTED_PARTITIONS = 1000
 # Conditions Spark reports for a table with no files yet.
 _ABSENT = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
 
@@ -19,8 +19,8 @@ _ABSENT = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
 class Warehouse:
     """Named Parquet tables below one root folder.
 
-    ``refresh`` replaces a whole table and is for tables that can be derived
-    again. All other writes replace single partitions with dynamic overwrite:
+    ``refresh`` replaces a whole table: the new one is written beside it and
+    takes its place when it is whole. All other writes replace single partitions with dynamic overwrite:
     Spark moves the new files in when the job commits, so other partitions are
     not touched and a failed job leaves the old data. What is written over a
     table it was read from goes through a written step first.
@@ -54,15 +54,27 @@ class Warehouse:
             df = df.hint("rebalance", *partition_by)
         if sort_by:
             df = df.sortWithinPartitions(*(partition_by or []), *sort_by)
-        writer = df.write.mode("overwrite").option("partitionOverwriteMode", "static")
+        beside = f"{self.path(table)}__{uuid.uuid4().hex}"
+        writer = df.write
         if partition_by:
             writer = writer.partitionBy(*partition_by)
-        writer.parquet(self.path(table))
+        writer.parquet(beside)
+        self._put_in_place(beside, self.path(table))
         return self.read(table)
 
-    def append(self, table: str, df: DataFrame, partition_by: list[str] | None = None) -> None:
-        writer = df.write.mode("append")
-        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(self.path(table))
+    def _put_in_place(self, new: str, path: str) -> None:
+        """Moves a whole new folder to ``path``; what was there goes afterwards."""
+        context = self.spark.sparkContext
+        make = context._jvm.org.apache.hadoop.fs.Path
+        files = make(path).getFileSystem(context._jsc.hadoopConfiguration())
+        old = make(f"{new}-old")
+        if files.exists(make(path)) and not files.rename(make(path), old):
+            raise OSError(f"cannot move {path} aside")
+        if not files.rename(make(new), make(path)):
+            files.rename(old, make(path))
+            raise OSError(f"cannot move {new} to {path}")
+        files.delete(old, True)
+        self.spark.catalog.refreshByPath(path)
 
     def overwrite_partitions(self, table: str, df: DataFrame, partition_by: list[str]) -> None:
         """Replace the partitions ``df`` has rows for; ``df`` must not read the table."""
@@ -74,17 +86,12 @@ class Warehouse:
     def touched(self, table: str, incoming: DataFrame, partition: str) -> DataFrame:
         """Existing rows of the partitions that ``incoming`` falls in.
 
-        The partition values become a literal list so that only those folders
-        are listed and read; beyond a bound, a semi-join takes over.
+        A semi-join on the partition column, so dynamic partition pruning can
+        leave the other folders unread.
         """
-        existing = self.read(table, incoming.schema)
         parts = incoming.select(partition).distinct()
-        values = [row[0] for row in parts.limit(MAX_LISTED_PARTITIONS + 1).collect()]
-        if len(values) <= MAX_LISTED_PARTITIONS:
-            kept = existing.where(F.col(partition).isin(values))
-        else:
-            kept = existing.join(parts, partition, "left_semi")
-        return kept.select(*incoming.columns)
+        existing = self.read(table, incoming.schema).join(parts, partition, "left_semi")
+        return existing.select(*incoming.columns)
 
     def replace(self, table: str, incoming: DataFrame, keys: list[str], partition: str) -> None:
         """Drop every (``keys``) group that ``incoming`` names, then add ``incoming``."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from hashlib import sha256
 
 from pyspark.sql import Column, DataFrame
 
@@ -35,16 +36,16 @@ class IngestJob:
         return f"{self.table}_rejects"
 
 
-def ingest_batch(job: IngestJob, batch: DataFrame, batch_id: int, as_of: Column) -> None:
+def ingest_batch(job: IngestJob, batch: DataFrame, batch_id: int, as_of: Column, source: str = "") -> None:
     """One micro-batch through the batch operators; safe to run again.
 
-    Rejects and audit rows are written once per batch id, before the target
-    changes; the upsert itself gives the same table however often it runs.
+    Rejects and audit rows are written once per source and batch id, before the
+    target changes; a source is one stream with its checkpoint, whose ids start at 0; the upsert itself gives the same table however often it runs.
     """
     accepted, rejected = validate(batch, job.rules)
     clean = latest_per_key(repair(accepted, job.rain), job.keys, job.order)
     rows = written(touch(clean, as_of), "incoming")
-    name = f"batch {batch_id}"
+    name = f"batch {source} {batch_id}"
     job.warehouse.write_once(job.rejects, rejected, name)
     old = job.warehouse.touched(job.table, rows, job.partition)
     changes = change_audit(old, rows, job.keys, as_of, job.temp, job.rain)
@@ -55,10 +56,11 @@ def ingest_batch(job: IngestJob, batch: DataFrame, batch_id: int, as_of: Column)
 
 def run_ingest(job: IngestJob, stream: DataFrame, as_of: Column, checkpoint: str) -> None:
     """Process all available input of ``stream`` into the target table."""
+    source = sha256(checkpoint.encode()).hexdigest()[:16]
     query = (
         stream.writeStream.trigger(availableNow=True)
         .option("checkpointLocation", checkpoint)
-        .foreachBatch(lambda batch, batch_id: ingest_batch(job, batch, batch_id, as_of))
+        .foreachBatch(lambda batch, batch_id: ingest_batch(job, batch, batch_id, as_of, source))
         .start()
     )
     query.awaitTermination()

@@ -15,7 +15,7 @@ from hourmart.plans import reports
 from hourmart.plans.etl import actual_rows, extract, load_star, run_etl
 from hourmart.plans.features import build_feature_tables, model_rows
 from hourmart.plans.forecast import (
-    AUDIT, FORECAST, ForecastJob, _same_day_before, batch_totals, check_days, known_entities, predict_day,
+    AUDIT, FORECAST, REJECTS, ForecastJob, _same_day_before, batch_totals, check_days, known_entities, predict_day,
     predict_range, run_batch, run_if_needed, save_day,
 )
 from hourmart.plans.training import Models, TrainSettings, train
@@ -167,6 +167,21 @@ def test_rejected_rows_never_reach_the_table(job):
     assert job.forecasts().where(F.col("full_date") == day).count() == 46
 
 
+def test_rejects_and_audit_of_every_subset_are_stored(job):
+    day, at = date(2025, 3, 27), AS_OF + timedelta(hours=5)
+    save_day(job, predict_day(job, day), AS_OF)
+    warmer = predict_day(job, day).withColumn(
+        "temperature_c", F.when(F.col("hour") == 3, 50.0).otherwise(F.col("temperature_c") + 2.0)).cache()
+    names = [r[0] for r in warmer.select("district_name").distinct().collect()]
+    for name in [*names, names[0]]:
+        save_day(job, warmer.where(F.col("district_name") == name), at)
+    audit = job.warehouse.read(AUDIT).where((F.col("full_date") == day) & (F.col("changed_at") == F.lit(at)))
+    assert audit.select("district_name").distinct().count() == len(names) == 2
+    rejects = job.warehouse.read(REJECTS).where(F.col("full_date") == day)
+    assert rejects.count() == 2
+    warmer.unpersist()
+
+
 def test_batch_runs_only_when_days_lack_forecasts(job):
     base = date(2025, 3, 28)
     assert run_if_needed(job, base, AS_OF).count() == 96

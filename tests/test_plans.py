@@ -4,8 +4,7 @@ from __future__ import annotations
 
 import pytest
 
-from __spark_entry__ import queries
-from hourmart.catalogue import job_queries, model_queries, stream_queries
+from hourmart.catalogue import all_queries as queries, job_queries, model_queries, stream_queries
 
 SF = "/root/testdata/sf0.001"
 JOBS = {*job_queries.QUERIES, *model_queries.QUERIES, *stream_queries.QUERIES}

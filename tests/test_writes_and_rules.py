@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from hourmart.operators.dims import dense_key, dim_date, dim_hour, ensure_dates
 from hourmart.operators.quality import (
-    RejectedRows, change_audit, repair, touch, validate,
+    RangeRule, RejectedRows, change_audit, repair, touch, validate,
 )
 from hourmart.operators.serving import (
     backfill_columns, coverage_by_day, coverage_gaps, last_date, slot_spine,
@@ -18,6 +18,7 @@ from hourmart.operators.writes import (
 )
 from hourmart.model import GAUGES
 from hourmart.sources.tables import Warehouse
+from hourmart.streaming.ingest import IngestJob, ingest_batch
 
 FORECAST = (
     "district_id int, date_id int, hour_id int, temperature_c double, humidity_percent double, "
@@ -140,6 +141,28 @@ def test_write_once_ignores_a_second_try(spark, tmp_path):
     assert warehouse.read("log").count() == 4
 
 
+def test_a_failing_refresh_leaves_the_old_table(spark, tmp_path):
+    warehouse = Warehouse(spark, str(tmp_path))
+    warehouse.refresh("t", spark.range(10))
+    with pytest.raises(Exception):
+        warehouse.refresh("t", spark.range(10).select(F.expr("assert_true(id < 5)").cast("long").alias("id")))
+    assert warehouse.read("t").count() == 10
+    warehouse.refresh("t", spark.range(3))
+    assert warehouse.read("t").count() == 3
+
+
+def test_two_streams_into_one_table_keep_all_rejects(spark, tmp_path):
+    schema = "entity string, full_date date, temp double, hum double, rain double, year int"
+    rules = (RangeRule("temperature", "temp", 5.0, 45.0),)
+    job = IngestJob(Warehouse(spark, str(tmp_path)), "t", ["entity", "full_date"], ["temp", "rain"], "year", ["temp"], "temp", "rain", rules)
+    at = F.lit("2026-03-20 00:05:00").cast("timestamp_ntz")
+    for source, name in (("first", "a"), ("second", "b"), ("second", "b")):
+        batch = spark.createDataFrame([(name, date(2026, 3, 1), 99.0, 50.0, 0.0, 2026), (name, date(2026, 3, 2), 20.0, 50.0, 0.0, 2026)], schema)
+        ingest_batch(job, batch, 0, at, source)
+    assert sorted(r.entity for r in job.warehouse.read(job.rejects).collect()) == ["a", "b"]
+    assert job.warehouse.read("t").count() == 2
+
+
 def test_dense_key_is_dense_and_ordered(spark):
     names = [f"n{i * 7919 % 1000:04d}" for i in range(1000)]
     df = spark.createDataFrame([(n,) for n in names], "name string").repartition(5)
