@@ -14,11 +14,8 @@ SHARED = "spark.checkpoint.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's shared folder; where the setting is missing, a folder in the session's warehouse is set."""
-    folder = spark.conf.get(SHARED, None)
-    if not folder:
-        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/written_steps"
-        spark.conf.set(SHARED, folder)
+    """The folder named by the session's setting; where that is missing, one in the session's warehouse."""
+    folder = spark.conf.get(SHARED, None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/written_steps"
     return folder.rstrip("/")
 
 
