@@ -154,8 +154,8 @@ def _labelled(docs: DataFrame, steps: Steps) -> DataFrame:
     steps.drop(together)
 
     candidates = buckets.select("set_key").distinct()
-    owners = members.join(candidates, "set_key", "left_semi").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"))
-    chosen = texts.join(owners.select("doc_id").distinct(), "doc_id", "left_semi")
+    owners = members.join(candidates, "set_key", "left_semi").groupBy("set_key").agg(F.min("row_key").alias("row_key"))
+    chosen = texts.join(owners.select("row_key").distinct(), "row_key", "left_semi")
     sets = chosen.mapInArrow(_sets, "set_key long, shingles array<long>")
     sets = steps.keep(sets.dropDuplicates(["set_key"]), "sets")
 
