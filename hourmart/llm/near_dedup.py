@@ -140,7 +140,7 @@ def _labelled(docs: DataFrame, steps: Steps) -> DataFrame:
     described = steps.keep(
         texts.mapInArrow(_describe, "doc_id long, row_key long, n_shingles long, set_key long, bands array<long>, sketch binary"), "described")
     members = described.filter("set_key is not null")
-    rows = members.groupBy("set_key").agg(F.first("bands").alias("bands")).select(F.posexplode("bands").alias("number", "band"), "set_key")
+    rows = members.groupBy("set_key").agg(F.first("bands").alias("bands")).select(F.explode("bands").alias("band"), "set_key")
     rows = steps.keep(rows, "bands")
     shared = rows.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
     together = steps.keep(rows.join(shared, "band"), "together")
@@ -150,7 +150,7 @@ def _labelled(docs: DataFrame, steps: Steps) -> DataFrame:
     order = F.shiftleft("weight", 24) + F.col("set_key").bitwiseAND(0xFFFFFF)
     hubs = (together.select("band", "set_key").join(weight, "set_key").groupBy("band")
             .agg(F.max_by("set_key", order).alias("hub")))
-    buckets = steps.keep(together.select("band", "number", "set_key").join(hubs, "band"), "buckets")
+    buckets = steps.keep(together.select("band", "set_key").join(hubs, "band"), "buckets")
     steps.drop(together)
 
     candidates = buckets.select("set_key").distinct()
@@ -216,17 +216,17 @@ def _crossing(buckets: DataFrame, spokes: DataFrame, labels: DataFrame, describe
     the bucket's size; inside a group only pairs that pass the tests of :func:`_pairs_of` become rows.
     """
     members = (buckets.join(labels.withColumnRenamed("node", "set_key"), "set_key", "left")
-               .select("band", "number", "hub", "set_key", F.coalesce("label", "set_key").alias("label")))
+               .select("band", "hub", "set_key", F.coalesce("label", "set_key").alias("label")))
     mixed = (members.groupBy("band").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
              .filter("n > 2 and low <> high").select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
     spokes = spokes.select(F.col("a").alias("hub"), F.col("b").alias("set_key"), "distance")
-    sketch = described.filter("set_key is not null").groupBy("set_key").agg(F.first("sketch").alias("sketch"))
+    sketch = described.filter("set_key is not null").groupBy("set_key").agg(F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
     open_rows = members.join(mixed, "band").join(spokes, ["hub", "set_key"]).join(sketch, "set_key")
     own = F.pmod(F.xxhash64("set_key"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     blocked = (open_rows.withColumn("own", own).withColumn("other", other)
                .select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-                       "number", "own", "set_key", "label", "distance", "sketch"))
+                       "own", "set_key", "label", "distance", "sketch", "bands"))
     keys = ["band", "i", "j"]
     return blocked.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_pairs_of, "a long, b long")
 
@@ -234,9 +234,10 @@ def _crossing(buckets: DataFrame, spokes: DataFrame, labels: DataFrame, describe
 def _pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Candidate pairs of each group (band, i, j); rows come sorted by group.
 
-    A pair is left out if it is in one component already; if an earlier band has it too; if the two
-    distances to the hub differ by more than a link allows (distances obey the triangle inequality);
-    or if so few coordinates agree that a linked pair falls below with a probability under 4e-6.
+    A pair is left out if it is in one component already; if an earlier band has it too, by its whole
+    key (sketches hold the low bytes of coordinates, which also agree by chance); if the two distances
+    to the hub differ by more than a link allows (distances obey the triangle inequality); or if so few
+    coordinates agree that a linked pair falls below with a probability under 4e-6.
     """
     rest = None
     for batch in batches:
@@ -253,9 +254,11 @@ def _pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _pairs_in(table: pa.Table, cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
     if not table.num_rows:
         return
-    column = {c: table.column(c).to_numpy() for c in ("i", "j", "number", "own", "set_key", "label", "distance")}
+    column = {c: table.column(c).to_numpy() for c in ("i", "j", "own", "set_key", "label", "distance")}
     raw = b"".join(table.column("sketch").to_pylist())
     coordinates = np.frombuffer(raw, np.uint8).reshape(table.num_rows, SIZE)
+    band = table.column("band").to_numpy()
+    bands = pa.concat_arrays(table.column("bands").chunks).flatten().to_numpy().reshape(table.num_rows, -1)
     found_a, found_b = [], []
     for start, end in zip([0, *cuts[:-1].tolist()], cuts.tolist()):
         label, distance, own = (column[c][start:end] for c in ("label", "distance", "own"))
@@ -264,12 +267,12 @@ def _pairs_in(table: pa.Table, cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
                           & (inside | (own[:, None] < own[None, :])))
         if inside:
             x, y = x[x < y], y[x < y]
-        number = int(column["number"][start])
         for at in range(0, len(x), 1 << 13):
             p, q = x[at:at + (1 << 13)] + start, y[at:at + (1 << 13)] + start
-            same = coordinates[p] == coordinates[q]
-            bands = same[:, :BANDED].reshape(len(p), -1, BAND).all(2)
-            take = (same.sum(1) >= AGREEING) & (bands.argmax(1) == number)
+            take = (coordinates[p] == coordinates[q]).sum(1) >= AGREEING
+            p, q = p[take], q[take]
+            first = (bands[p] == bands[q]).argmax(1)
+            take = bands[p, first] == band[start]
             found_a.append(column["set_key"][p[take]])
             found_b.append(column["set_key"][q[take]])
     if found_a:

@@ -74,6 +74,24 @@ def test_sketch_agreement_estimates_similarity():
     assert (rows != np.uint64(0xFFFFFFFFFFFFFFFF)).all()
 
 
+def test_a_pair_stays_if_an_earlier_band_agrees_in_low_bytes_only(spark):
+    import pyarrow as pa
+
+    full = np.arange(2 * near_dedup.SIZE, dtype=np.uint64).reshape(2, -1) << np.uint64(8)      # all low bytes agree, so all pass
+    full[1, near_dedup.BAND:] = full[0, near_dedup.BAND:]              # the bands are shared, but for the first
+    keys = near_dedup.band_keys(full[:, :near_dedup.BANDED])
+    assert (keys[0] == keys[1]).tolist() == [False] + [True] * (near_dedup.BANDED // near_dedup.BAND - 1)
+    number = 1
+    group = pa.RecordBatch.from_pydict({
+        "band": [int(keys[0, number].view(np.int64))] * 2, "i": [0, 0], "j": [0, 0], "number": [number] * 2, "own": [0, 0], "set_key": [7, 5],
+        "label": [7, 5], "distance": [0.2, 0.2], "sketch": [x.tobytes() for x in full.astype(np.uint8)],
+        "bands": keys.view(np.int64).tolist()})
+    later = group.set_column(0, "band", pa.array([int(keys[0, number + 1].view(np.int64))] * 2))
+    assert not sum(x.num_rows for x in near_dedup._pairs_of(iter([later])))         # it comes once
+    found = [(a, b) for x in near_dedup._pairs_of(iter([group])) for a, b in zip(x.column("a").to_pylist(), x.column("b").to_pylist())]
+    assert found == [(5, 7)]
+
+
 def test_contamination(spark, docs, rows_in):
     items = [(1, rows_in[40][1]), (2, " ".join(rows_in[46][1].split()[10:25])), (10, "end"), (11, "..."), (12, None), (None, "été"), (2, "of the")]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
