@@ -1,18 +1,18 @@
 """Removal of repeated byte strings by prefix doubling over sampled suffixes.
 
-A byte goes if a string of LENGTH bytes that covers it starts anywhere else too. Sorting a row for
+A byte goes if a string of `length` bytes that covers it starts anywhere else too. Sorting a row for
 each byte of the corpus from length 1 on would write many times the corpus, so the rounds start long
 and on few suffixes:
 
-1. Of every LENGTH bytes, one suffix is taken: the one whose SHORT-byte string has the lowest hash
+1. Of every `length` bytes, one suffix is taken: the one whose short string (three quarters) has the lowest hash
    (the leftmost of equals). Equal strings take it at the same offset, so every repeated string has
    its suffix among those that remain when unique ones are dropped. A suffix speaks for the run of
    starts that took it.
 2. Remaining suffixes are ranked again by all the bytes their starts cover. Where this is repeated,
    all starts of the run are past the threshold.
-3. For the others, and one suffix of each class of step 2 that shares its SHORT-byte string with
-   another class, each start becomes a row with its rank pair: the HALF bytes from it and those at
-   offset HALF. Spark sorts the pairs; a pair of two classes is a repeated string of LENGTH bytes.
+3. For the others, and one suffix of each class of step 2 that shares its short string with
+   another class, each start becomes a row with its rank pair: the first half's bytes and those
+   of the second. Spark sorts the pairs; a pair of two classes is a repeated string of `length` bytes.
 
 Ranks are 64-bit hashes of the strings they stand for.
 """
@@ -34,41 +34,45 @@ from hourmart.llm.span_cache import ranges
 from hourmart.llm.staging import Steps, session_of
 
 LENGTH = 400
-HALF = LENGTH // 2
-SHORT = 300
-SLACK = LENGTH - SHORT + 1       # SHORT-byte strings in a string of LENGTH bytes
 PART_BITS = 18                   # bits of a filter that are put together in one task
 FILTER_BITS = 26                 # a filter is 2 ** FILTER_BITS bits, whatever the input; it only saves work
 
 
+def short_of(length: int) -> int:
+    """Bytes of the strings that suffixes are sampled by: 300 for 400."""
+    return 3 * length // 4
+
+
 class Suffixes:
     """The sampled suffixes of texts: their place, the run of starts they speak for, and two ranks."""
 
-    def __init__(self, texts: B.Texts):
+    def __init__(self, texts: B.Texts, length: int = LENGTH):
+        size = short_of(length)
+        slack = length - size + 1        # short strings in a string of `length` bytes
         self.hasher = B.SpanHasher(texts.data)
         n = len(texts.data)
-        if n < LENGTH:
+        if n < length:
             self.place = self.first = self.last = self.text = np.zeros(0, np.int64)
             self.rank = self.wide = np.zeros(0, np.uint64)
             return
-        short = self.hasher.windows(SHORT)
+        short = self.hasher.windows(size)
         low = (short & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(short), dtype=np.uint64)
         reach = 1
-        while 2 * reach <= SLACK:
+        while 2 * reach <= slack:
             low = np.minimum(low[:-reach], low[reach:])
             reach *= 2
-        if reach < SLACK:
-            low = np.minimum(low[:len(low) - (SLACK - reach)], low[SLACK - reach:])
+        if reach < slack:
+            low = np.minimum(low[:len(low) - (slack - reach)], low[slack - reach:])
         text = np.repeat(np.arange(len(texts)), np.diff(texts.bounds))[:len(low)]
-        starts = np.flatnonzero(np.arange(len(low)) + LENGTH <= texts.bounds[1:][text])
+        starts = np.flatnonzero(np.arange(len(low)) + length <= texts.bounds[1:][text])
         taken = (low[starts] & np.uint64(0xFFFFFFFF)).astype(np.int64)
         new = np.flatnonzero(np.diff(taken, prepend=-1))      # a suffix lies in one text, so runs end with the text
         self.place, self.first = taken[new], starts[new]
         self.last = starts[np.append(new[1:], len(starts)) - 1] if len(new) else new
         self.text = text[self.first]
         self.rank = short[self.place]
-        shape = ((self.place - self.first) * LENGTH + self.last - self.first).astype(np.uint64)
-        self.wide = B.mix(self.hasher(self.first, self.last + LENGTH) ^ B.mix(shape + np.uint64(1)))
+        shape = ((self.place - self.first) * length + self.last - self.first).astype(np.uint64)
+        self.wide = B.mix(self.hasher(self.first, self.last + length) ^ B.mix(shape + np.uint64(1)))
 
 
 class Filter:
@@ -105,15 +109,17 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def _ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, texts in B.text_slices(batches):
-        yield pa.RecordBatch.from_arrays([_signed(Suffixes(texts).rank)], ["hash"])
+def _ranks(length: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts in B.text_slices(batches):
+            yield pa.RecordBatch.from_arrays([_signed(Suffixes(texts, length).rank)], ["hash"])
+    return run
 
 
-def _remaining(repeated: Broadcast):
+def _remaining(repeated: Broadcast, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in B.text_slices(batches):
-            s = Suffixes(texts)
+            s = Suffixes(texts, length)
             own = np.flatnonzero(repeated.value.has(s.rank))
             base = texts.bounds[:-1][s.text[own]]
             yield pa.RecordBatch.from_arrays(
@@ -127,16 +133,18 @@ def _identity(key: np.ndarray, place: np.ndarray) -> np.ndarray:
     return B.mix(key.view(np.uint64) ^ B.mix(place.astype(np.uint64) + np.uint64(77)))
 
 
-def _pairs(chosen: Broadcast):
+def _pairs(chosen: Broadcast, length: int):
+    half = length // 2
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in B.text_slices(batches):
-            s = Suffixes(texts)
+            s = Suffixes(texts, length)
             keys = rows.column("key").to_numpy()
             own = np.flatnonzero(chosen.value.has(_identity(keys[s.text], s.place - texts.bounds[:-1][s.text])))
             size = s.last[own] - s.first[own] + 1
             start = ranges(s.first[own], size)
             yield pa.RecordBatch.from_arrays(
-                [_signed(s.hasher(start, start + HALF)), _signed(s.hasher(start + HALF, start + LENGTH)),
+                [_signed(s.hasher(start, start + half)), _signed(s.hasher(start + half, start + length)),
                  _signed(np.repeat(s.rank[own], size)), _signed(np.repeat(s.wide[own], size)),
                  pa.array(start - np.repeat(s.first[own], size))],
                 ["rank", "next_rank", "of_rank", "wide", "offset"])
@@ -149,14 +157,14 @@ def _identities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([_signed(found)], ["hash"])
 
 
-def repeated_starts(texts: DataFrame, steps: Steps) -> DataFrame:
+def repeated_starts(texts: DataFrame, steps: Steps, length: int = LENGTH) -> DataFrame:
     """(key, first, last): runs of starts of repeated strings in the text with that key; runs may overlap."""
     spark: SparkSession = texts.sparkSession
-    suffixes = texts.select("text").mapInArrow(_ranks, "hash long")
+    suffixes = texts.select("text").mapInArrow(_ranks(length), "hash long")
     again = suffixes.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash")
     repeated = spark.sparkContext.broadcast(Filter(again))
     rows = steps.keep(texts.select("key", "text").mapInArrow(
-        _remaining(repeated), "key long, place long, rank long, wide long, first long, last long"), "suffixes")
+        _remaining(repeated, length), "key long, place long, rank long, wide long, first long, last long"), "suffixes")
 
     # a class: equal bytes under all starts of the run; its first member speaks for it
     classes = steps.keep(rows.groupBy("rank", "wide").agg(F.count("*").alias("n"), F.min_by("key", F.xxhash64("key", "place")).alias("key"),
@@ -165,11 +173,11 @@ def repeated_starts(texts: DataFrame, steps: Steps) -> DataFrame:
     speakers = classes.join(split, "rank", "left_semi")
     chosen = spark.sparkContext.broadcast(Filter(speakers.select("key", "place").mapInArrow(_identities, "hash long")))
     pairs = steps.keep(texts.select("key", "text").mapInArrow(
-        _pairs(chosen), "rank long, next_rank long, of_rank long, wide long, offset long"), "pairs")
+        _pairs(chosen, length), "rank long, next_rank long, of_rank long, wide long, offset long"), "pairs")
     doubled = (pairs.groupBy("rank", "next_rank").agg(F.min("wide").alias("low"), F.max("wide").alias("high"))
                .filter("low <> high").select("rank", "next_rank"))
     found = (pairs.join(doubled, ["rank", "next_rank"]).select(F.col("of_rank").alias("rank"), "wide", "offset").distinct()
-             .groupBy("rank", "wide").agg(F.collect_list("offset").alias("offsets")))      # at most SLACK of each
+             .groupBy("rank", "wide").agg(F.collect_list("offset").alias("offsets")))      # at most a quarter of the length of each
     whole = classes.filter("n > 1").select("rank", "wide")
     sure = rows.join(whole, ["rank", "wide"], "left_semi").select("key", "first", "last")
     some = (rows.join(whole, ["rank", "wide"], "left_anti").join(found, ["rank", "wide"])
@@ -183,56 +191,58 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("key", F.xxhash64(F.col("doc_id"), F.col("text")))
 
 
-def _with_runs(docs: DataFrame, steps: Steps) -> DataFrame:
+def _with_runs(docs: DataFrame, steps: Steps, length: int) -> DataFrame:
     texts = _keyed(docs.select(F.col("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")))
-    runs = steps.last(repeated_starts(texts.select("key", "text"), steps).groupBy("key").agg(
+    runs = steps.last(repeated_starts(texts.select("key", "text"), steps, length).groupBy("key").agg(
         F.sort_array(F.collect_list(F.struct("first", "last"))).alias("runs")), "runs")     # bounded by the text's own length
     return runs.select(F.col("key").alias("run_key"), F.col("runs.first").alias("run_first"), F.col("runs.last").alias("run_last"))
 
 
-def removed_bytes(texts: B.Texts, first: pa.Array, last: pa.Array) -> np.ndarray:
+def removed_bytes(texts: B.Texts, first: pa.Array, last: pa.Array, length: int = LENGTH) -> np.ndarray:
     """Which bytes are covered by strings that start in the runs of their text (lists, null for none)."""
     edges = np.zeros(len(texts.data) + 1, np.int64)
     for i, (a, b) in enumerate(zip(first, last)):
         if a.is_valid:
             at = texts.bounds[i]
             np.add.at(edges, at + a.values.to_numpy(), 1)
-            np.add.at(edges, at + b.values.to_numpy() + LENGTH, -1)
+            np.add.at(edges, at + b.values.to_numpy() + length, -1)
     return np.cumsum(edges[:-1]) > 0
 
 
-def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows, texts in B.text_slices(batches):
-        gone = removed_bytes(texts, rows.column("run_first"), rows.column("run_last"))
-        begins = gone.copy()
-        begins[1:] &= ~gone[:-1]
-        at = texts.bounds[:-1][texts.bounds[:-1] < len(gone)]
-        begins[at] = gone[at]
-        sums = [hashlib.sha256(texts.data[a:b][~gone[a:b]].tobytes()).hexdigest() for a, b in zip(texts.bounds.tolist(), texts.bounds[1:].tolist())]
-        yield pa.RecordBatch.from_arrays(
-            [rows.column("doc_id"), pa.array(np.diff(texts.bounds)), pa.array(B.sums_between(gone.astype(np.int64), texts.bounds)),
-             pa.array(B.sums_between(begins.astype(np.int64), texts.bounds)), pa.array(sums, pa.string())],
-            ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+def _report(length: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, texts in B.text_slices(batches):
+            gone = removed_bytes(texts, rows.column("run_first"), rows.column("run_last"), length)
+            begins = gone.copy()
+            begins[1:] &= ~gone[:-1]
+            at = texts.bounds[:-1][texts.bounds[:-1] < len(gone)]
+            begins[at] = gone[at]
+            sums = [hashlib.sha256(texts.data[a:b][~gone[a:b]].tobytes()).hexdigest() for a, b in zip(texts.bounds.tolist(), texts.bounds[1:].tolist())]
+            yield pa.RecordBatch.from_arrays(
+                [rows.column("doc_id"), pa.array(np.diff(texts.bounds)), pa.array(B.sums_between(gone.astype(np.int64), texts.bounds)),
+                 pa.array(B.sums_between(begins.astype(np.int64), texts.bounds)), pa.array(sums, pa.string())],
+                ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+    return run
 
 
-def repeated_bytes(docs: DataFrame, steps: Steps | None = None) -> DataFrame:
+def repeated_bytes(docs: DataFrame, steps: Steps | None = None, length: int = LENGTH) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
-    A null text counts as empty. Texts shorter than LENGTH keep all. Rows that repeat a document are
+    A null text counts as empty. Texts shorter than `length` keep all. Rows that repeat a document are
     occurrences of their own, so all of their strings are repeated. An empty table gives no rows.
     Other columns are ignored.
     """
     steps = steps or Steps(session_of(docs))
     rows = _keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")))
-    runs = _with_runs(rows.select("doc_id", "text"), steps)
+    runs = _with_runs(rows.select("doc_id", "text"), steps, length)
     return (rows.join(runs, rows["key"] == runs["run_key"], "left").select("doc_id", "text", "run_first", "run_last")
-            .mapInArrow(_report, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
+            .mapInArrow(_report(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
 
 
-def _cut(columns: list[str]):
+def _cut(columns: list[str], length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in B.text_slices(batches):
-            gone = removed_bytes(texts, rows.column("run_first"), rows.column("run_last"))
+            gone = removed_bytes(texts, rows.column("run_first"), rows.column("run_last"), length)
             kept = B.sums_between((~gone).astype(np.int64), texts.bounds)
             left = texts.data[~gone].tobytes()
             ends = np.cumsum(kept)
@@ -246,13 +256,13 @@ def _cut(columns: list[str]):
     return run
 
 
-def without_repeats(docs: DataFrame, steps: Steps | None = None) -> DataFrame:
-    """The documents with repeated bytes cut out of `text` (and `n_chars` counted again where it is there).
+def without_repeats(docs: DataFrame, steps: Steps | None = None, length: int = LENGTH) -> DataFrame:
+    """The documents with strings of `length` bytes that repeat cut out of `text` (and `n_chars` counted again where it is there).
 
     A character that loses some of its bytes goes as a whole. Rows without repeats stay as they are.
     """
     steps = steps or Steps(session_of(docs))
-    runs = _with_runs(docs.select("doc_id", "text"), steps)
+    runs = _with_runs(docs.select("doc_id", "text"), steps, length)
     key = F.xxhash64(docs["doc_id"], F.coalesce(docs["text"], F.lit("")))
     joined = docs.withColumn("run_key_", key).join(runs, F.col("run_key_") == F.col("run_key"), "left").drop("run_key_", "run_key")
-    return joined.mapInArrow(_cut(docs.columns), docs.schema)
+    return joined.mapInArrow(_cut(docs.columns, length), docs.schema)

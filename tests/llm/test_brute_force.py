@@ -223,6 +223,28 @@ def test_repeated_bytes(docs, rows_in):
     assert cut.schema == docs.schema and cut.count() == len(rows_in)
 
 
+def test_the_pipeline_cuts_repeated_passages_of_51_words(spark, docs):
+    import corpus_pipeline
+
+    words = [f"{c}{d}{c}{d}" for c in "bcdfghj" for d in "aeiouxyz"][:51]
+    passage = " ".join(words)
+    assert corpus_pipeline.PASSAGE < len(passage) < 260
+    texts = [f"{a * 30} {passage} {b * 30}" for a, b in (("1", "2"), ("3", "4"))] + ["5" * 500, passage[:230] + "6" * 90]
+    rows = spark.createDataFrame([(i, t, "en", "x", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars int")
+    stage = dict(corpus_pipeline.STAGES)["suffix_dedup"]
+    size, encoded = corpus_pipeline.PASSAGE, [t.encode() for t in texts]
+    counts = Counter(t[i:i + size] for t in encoded for i in range(len(t) - size + 1))
+    expected = {}
+    for doc_id, t in enumerate(encoded):
+        gone = bytearray(len(t))
+        for i in range(len(t) - size + 1):
+            if counts[t[i:i + size]] > 1:
+                gone[i:i + size] = b"\1" * size
+        expected[doc_id] = bytes(x for x, g in zip(t, gone) if not g).decode()
+    found = {r.doc_id: r.text for r in stage(spark, rows, "").collect()}
+    assert found == expected and passage not in found[0] + found[1] and found[3] == texts[3]
+
+
 def test_word_bpe(docs, rows_in):
     tokenizer = Tokenizer.from_file(WORDS)
     tokenizer.no_truncation()
