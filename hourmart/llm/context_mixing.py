@@ -1,12 +1,13 @@
 """Language-model scores by online logistic mixing of hashed-context bit predictors.
 
-Texts are predicted bit by bit. Each context (the last 2 or 4 bytes, or the word so far) and the
+Texts are predicted bit by bit. Each context (the last 1, 2, 3 or 5 bytes, or the word so far) and the
 bits of the byte so far name a slot of that context's table; the slot's counts of zeros and ones, over
-all training documents, give a log-odds. A mixer adds the log-odds with weights and turns the sum into
-a probability. The bit's place in the byte gates which set of weights is used, and after each bit the
-set moves along the gradient of the coding cost. Weights start anew every SEGMENT bytes, so all
-segments of many texts are scored side by side; contexts reach over segments, not over documents. Each
-text ends with a zero byte.
+all training documents, give a log-odds. Tables have 2 to 4 slots for each state that was counted, so
+they grow with the input. A mixer adds the log-odds with weights and turns the sum into a probability.
+The bit's place in the byte gates which set of weights is used, and after each bit the set moves along
+the gradient of the coding cost. Every SEGMENT bytes the weights start anew from those learned over the
+training texts, so all segments of many texts are scored side by side; contexts reach over segments,
+not over documents. Each text ends with a zero byte.
 """
 
 from __future__ import annotations
@@ -15,31 +16,38 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet
 import zstandard
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hourmart.llm import batches as B
+from hourmart.llm.records import _store
 from hourmart.llm.staging import Steps, session_of
 from hourmart.llm.training import fold
 
 FOLDS, HELD_OUT = 5, 1
-ORDERS = (2, 4)                    # bytes of the contexts; the last context is the word so far
+ORDERS = (1, 2, 3, 5)              # bytes of the contexts; the last context is the word so far
 CONTEXTS = len(ORDERS) + 1
-TABLE_BITS = 20                    # of a slot's number: the tables have a fixed size whatever the input
-CHUNK = 1 << 12                    # slots that are summed as one row
+TABLE_BITS = 18                    # of a slot's number, at the least; see table_bits
+BUCKET_BITS = 10                   # a table's slots are counted, stored and read in so many parts (as a power of two)
+HELD_PAIRS = 1 << 22               # pairs of a context and a byte that a task holds before it sends them on
+HELD_BYTES = 1 << 26               # of tables that a task holds; what is beyond is read part by part for each slice
+SCORED_BYTES = 1 << 20             # of texts that are scored side by side, or one longer text
 SEGMENT = 512
 RATE = 0.02
-START = 0.45                       # first weight of every context
+START = 0.3                        # first weight of every context in learning
 PRIOR = 0.3                        # added to both counts of a slot
 LEVELS = 16                        # steps of a stored log-odds for each unit
 FREQUENT = 1 << 20                 # at most so many words have 1 / FREQUENT of all training tokens or more
 END = -1                           # stands for the end token among word hashes
 
+_BYTE = np.uint64(0xFF)
+
 
 class Stream:
-    """The bytes of texts, each followed by a zero byte, and the context of each byte."""
+    """The bytes of texts, each followed by a zero byte, and the hashed contexts of each byte."""
 
     def __init__(self, texts: B.Texts):
         self.bounds = texts.bounds + np.arange(len(texts.bounds))
@@ -49,126 +57,252 @@ class Stream:
         place = np.arange(n)
         self.contexts = []
         packed = np.zeros(n, np.uint64)
-        shifted = []
         for k in range(1, max(ORDERS) + 1):
             s = np.zeros(n, np.uint64)
             s[k:] = self.data[:-k] if n > k else 0
             s[place - begin < k] = 0
-            shifted.append(s)
-        for order in ORDERS:
-            packed = np.zeros(n, np.uint64)
-            for s in shifted[:order]:
-                packed = (packed << np.uint64(8)) | s
-            self.contexts.append(self._fold(packed + np.uint64(order << 56)))
+            packed = (packed << np.uint64(8)) | s
+            if k in ORDERS:
+                self.contexts.append(B.mix(packed + np.uint64(k << 56)))
         # the word so far starts behind the last blank, or where the text starts
         blank = ~B.IN_WORD[self.data]
         start = np.zeros(n, np.int64)
         start[1:] = np.where(blank[:-1], place[1:], 0)
         start = np.maximum(np.maximum.accumulate(start), begin)
-        self.contexts.append(self._fold(B.SpanHasher(self.data)(start, place)))
+        self.contexts.append(B.mix(B.SpanHasher(self.data)(start, place)))
+
+
+def _by_bit() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    byte = np.arange(256)
+    place = np.arange(8)[:, None]
+    bits = (byte >> (7 - place)) & 1
+    return (byte >> (8 - place)) | (1 << place), bits, (1 - 2 * bits).astype(np.float32)
+
+
+#: For each place of a bit and each byte: the bits before it with a leading one, to be joined with a context's
+#: slot by exclusive or; the bit; and -1 for a one, 1 for a zero.
+NODES, BITS, SIGNS = _by_bit()
+
+
+def table_bits(states: int) -> int:
+    """Bits of a slot's number in a table for so many counted states: at least two slots for each."""
+    return max(TABLE_BITS, int(2 * states - 1).bit_length() if states else 0)
+
+
+def _slots(context: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bucket of each hashed context, and the slot in it where its states are; the node goes in by exclusive or."""
+    slot = (context >> np.uint64(64 - bits)).astype(np.int64)
+    return slot >> (bits - BUCKET_BITS), slot & ((1 << (bits - BUCKET_BITS)) - 1)
+
 
-    @staticmethod
-    def _fold(x: np.ndarray) -> np.ndarray:
-        return (B.mix(x) >> np.uint64(64 - TABLE_BITS)).astype(np.intp)
+def _odds(counts: np.ndarray) -> np.ndarray:
+    """Stored log-odds of (zeros, ones)."""
+    return np.clip(np.rint(np.log((counts[:, 1] + PRIOR) / (counts[:, 0] + PRIOR)) * LEVELS), -127, 127).astype(np.int8)
 
 
-def _by_bit() -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
-    byte = np.arange(256, dtype=np.uint64)
-    nodes, counted, signs = [], [], []
-    for j in range(8):
-        before = (byte >> np.uint64(8 - j)) | np.uint64(1 << j)
-        node = (B.mix(before + np.uint64(3)) >> np.uint64(64 - TABLE_BITS)).astype(np.intp)
-        bit = ((byte >> np.uint64(7 - j)) & np.uint64(1)).astype(np.intp)
-        nodes.append(node)
-        counted.append(2 * node + bit)
-        signs.append((1 - 2 * bit).astype(np.float32))
-    return nodes, counted, signs
+def _without_own() -> np.ndarray:
+    """For a stored log-odds of a state that has seen one bit only: its log-odds before the last time."""
+    seen = _odds(np.stack([np.zeros(2000), np.arange(2000)], 1))
+    found = np.arange(-128, 128).astype(np.int8)
+    for now, before in zip(seen[:0:-1].tolist(), seen[-2::-1].tolist()):
+        found[128 + now], found[128 - now] = before, -before
+    return found
 
 
-#: For each place of a bit and each byte: a number for the bits before it (with a leading one), to be joined
-#: with a context's number by exclusive or; twice that plus the bit; and -1 for a one, 1 for a zero.
-NODES, COUNTED, SIGNS = _by_bit()
+WITHOUT_OWN = _without_own()
 
 
-class Counts:
-    """Counts of zeros and ones in all slots."""
+def _merged(keys: list[np.ndarray], times: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in rising order and the sums of their times."""
+    key, n = np.concatenate(keys), np.concatenate(times)
+    order = np.argsort(key)
+    key, n = key[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return key[first], np.add.reduceat(n, first)
+
+
+_PAIRS = ["context", "bucket", "keys", "times"]
+
+
+def _packed(key: np.ndarray, n: np.ndarray) -> tuple[bytes, bytes]:
+    pack = zstandard.ZstdCompressor(level=1)
+    # neighbours of a sorted list differ in their low bytes, so bytes of the same place go side by side
+    gaps = np.diff(key, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T
+    return pack.compress(np.ascontiguousarray(gaps).tobytes()), pack.compress(n.astype(np.int64).tobytes())
+
+
+def _unpacked(keys: bytes, times: bytes) -> tuple[np.ndarray, np.ndarray]:
+    unpack = zstandard.ZstdDecompressor()
+    gaps = np.ascontiguousarray(np.frombuffer(unpack.decompress(keys), np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
+    return np.cumsum(gaps, dtype=np.uint64), np.frombuffer(unpack.decompress(times), np.int64)
+
+
+class Pairs:
+    """Counts of pairs of a hashed context (its upper 56 bits) and the byte that follows."""
 
     def __init__(self) -> None:
-        self.tables = [np.zeros(2 << TABLE_BITS, np.uint32) for _ in range(CONTEXTS)]
+        self.parts: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(CONTEXTS)]
+        self.held = 0
 
     def add(self, stream: Stream) -> None:
-        doubled = [2 * c for c in stream.contexts]
-        for counted in COUNTED:
-            node = counted[stream.data]
-            for table, context in zip(self.tables, doubled):
-                np.add.at(table, context ^ node, np.uint32(1))
+        data = stream.data.astype(np.uint64)
+        for part, context in zip(self.parts, stream.contexts):
+            part.append(np.unique((context & ~_BYTE) | data, return_counts=True))
+            self.held += len(part[-1][0])
+
+    def merge(self) -> None:
+        self.parts = [[_merged(*map(list, zip(*part)))] if part else [] for part in self.parts]
+        self.held = sum(len(part[0][0]) for part in self.parts if part)
 
     def rows(self) -> Iterator[pa.RecordBatch]:
-        """One row for each chunk with counts: context, chunk, compressed counts."""
-        pack = zstandard.ZstdCompressor(level=1)
-        for number, table in enumerate(self.tables):
-            chunks = table.reshape(-1, 2 * CHUNK)
-            for at in range(0, len(chunks), 64):
-                part = chunks[at:at + 64]
-                used = np.flatnonzero(part.any(1))
-                if len(used):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(used), number, np.int32)), pa.array((used + at).astype(np.int32)),
-                         pa.array([pack.compress(part[i].tobytes()) for i in used], pa.binary())],
-                        ["context", "chunk", "counts"])
-
-
-def _bit_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = None
+        self.merge()
+        for number, part in enumerate(self.parts):
+            for key, n in part:
+                bucket = (key >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+                cuts = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(key)).tolist()
+                made = [_packed(key[a:b], n[a:b]) for a, b in zip(cuts, cuts[1:])]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(made), number, np.int32)), pa.array(bucket[cuts[:-1]].astype(np.int32)),
+                     pa.array([x for x, _ in made], pa.binary()), pa.array([x for _, x in made], pa.binary())], _PAIRS)
+
+
+def _pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    pairs = Pairs()
     for _, texts in B.text_slices(batches):
-        counts = counts or Counts()
-        counts.add(Stream(texts))
-    if counts:
-        yield from counts.rows()
+        pairs.add(Stream(texts))
+        if pairs.held > HELD_PAIRS:
+            pairs.merge()
+            if 2 * pairs.held > HELD_PAIRS:
+                yield from pairs.rows()
+                pairs = Pairs()
+    yield from pairs.rows()
 
 
-def _sum_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Log-odds of each chunk from its rows, which come one after the other."""
-    unpack = zstandard.ZstdDecompressor()
-    key, total = None, None
+def _sum_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each bucket's pairs and its number of states, from rows that come one after the other."""
+    at, keys, times = None, [], []
 
     def done() -> pa.RecordBatch:
-        odds = np.log((total[:, 1] + PRIOR) / (total[:, 0] + PRIOR)) * LEVELS
+        key, n = _merged(keys, times)
+        states = sum(1 + int(np.count_nonzero(np.diff(key >> np.uint64(8 - j)))) for j in range(8))
+        packed = _packed(key, n)
         return pa.RecordBatch.from_arrays(
-            [pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()),
-             pa.array([np.clip(np.rint(odds), -127, 127).astype(np.int8).tobytes()], pa.binary())],
-            ["context", "chunk", "odds"])
+            [pa.array([at[0]], pa.int32()), pa.array([at[1]], pa.int32()), pa.array([packed[0]], pa.binary()),
+             pa.array([packed[1]], pa.binary()), pa.array([states], pa.int64())], [*_PAIRS, "states"])
 
     for batch in batches:
-        for context, chunk, counts in zip(*(batch.column(c).to_pylist() for c in ("context", "chunk", "counts"))):
-            part = np.frombuffer(unpack.decompress(counts), np.uint32).reshape(CHUNK, 2)
-            if (context, chunk) != key:
-                if key:
+        for context, bucket, key, n in zip(*(batch.column(c).to_pylist() for c in _PAIRS)):
+            if (context, bucket) != at:
+                if at:
                     yield done()
-                key, total = (context, chunk), np.zeros((CHUNK, 2), np.int64)
-            total += part
-    if key:
+                at, keys, times = (context, bucket), [], []
+            key, n = _unpacked(key, n)
+            keys.append(key)
+            times.append(n)
+            if sum(map(len, keys)) > 2 * len(keys[0]) + (1 << 16):
+                merged = _merged(keys, times)
+                keys, times = [merged[0]], [merged[1]]
+    if at:
         yield done()
 
 
-def bit_model(training: DataFrame) -> list[np.ndarray]:
-    """Log-odds tables of all contexts, counted over all training texts.
+def _table_parts(bits: list[int]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for context, bucket, key, n in zip(*(batch.column(c).to_pylist() for c in _PAIRS)):
+                key, n = _unpacked(key, n)
+                _, slot = _slots(key & ~_BYTE, bits[context])
+                byte = (key & _BYTE).astype(np.intp)
+                counts = np.zeros(2 << (bits[context] - BUCKET_BITS), np.int64)
+                for node, bit in zip(NODES, BITS):
+                    np.add.at(counts, 2 * (slot ^ node[byte]) + bit[byte], n)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([context], pa.int32()), pa.array([bucket], pa.int32()), pa.array([_odds(counts.reshape(-1, 2)).tobytes()], pa.binary())],
+                    ["context", "bucket", "odds"])
+    return run
 
-    Each task counts its own texts and sends one row for each chunk it has counts in; a chunk's rows
-    are added one by one. The tables have a fixed size, so the driver holds the same few megabytes
-    for any corpus.
-    """
-    parts = training.select("text").mapInArrow(_bit_counts, "context int, chunk int, counts binary")
-    dealt = parts.repartition("context", "chunk").sortWithinPartitions("context", "chunk")
-    tables = [np.zeros(1 << TABLE_BITS, np.int8) for _ in range(CONTEXTS)]
-    for row in dealt.mapInArrow(_sum_chunks, "context int, chunk int, odds binary").toLocalIterator():
-        tables[row.context][row.chunk * CHUNK:(row.chunk + 1) * CHUNK] = np.frombuffer(row.odds, np.int8)
-    return tables
 
+class Tables:
+    """Log-odds tables in files of the shared folder; tasks read them part by part."""
+
+    def __init__(self, files: list[str], bits: list[int]):
+        self.files, self.bits, self.held = files, bits, None
+
+    def _rows(self, files: list[str]) -> Iterator[tuple[int, int, np.ndarray]]:
+        for file in files:
+            store, path = _store(file)
+            with store.open_input_file(path) as source:
+                for batch in pyarrow.parquet.ParquetFile(source, buffer_size=1 << 20).iter_batches(batch_size=16, columns=["context", "bucket", "odds"]):
+                    for context, bucket, odds in zip(*(batch.column(c) for c in ("context", "bucket", "odds"))):
+                        yield context.as_py(), bucket.as_py(), np.frombuffer(odds.as_buffer(), np.int8)
+
+    def parts(self) -> Iterator[tuple[int, int, np.ndarray]]:
+        if self.held is None:
+            self.held, self.rest, size = [], [], 0
+            for file in self.files:
+                if size > HELD_BYTES:
+                    self.rest.append(file)
+                    continue
+                for row in self._rows([file]):
+                    if size <= HELD_BYTES:
+                        self.held.append((row[0], row[1], row[2].copy()))
+                        size += len(row[2])
+                    elif file not in self.rest:
+                        self.rest.append(file)      # its first rows are then met twice, with the same result
+        yield from self.held
+        yield from self._rows(self.rest)
+
+
+def bit_model(training: DataFrame, steps: Steps) -> Tables:
+    """Log-odds tables of all contexts, counted over all training texts.
 
-def log_probabilities(texts: B.Texts, tables: list[np.ndarray]) -> np.ndarray:
-    """The natural log of each text's probability, its end included."""
+    Tasks send sorted pairs of contexts and bytes, which are added up bucket by bucket and tell how many
+    states there are; a table has at least twice as many slots. The driver holds the sizes alone.
+    """
+    layout = "context int, bucket int, keys binary, times binary"
+    pairs = training.select("text").mapInArrow(_pair_counts, layout)
+    dealt = pairs.repartition("context", "bucket").sortWithinPartitions("context", "bucket")
+    summed = steps.keep(dealt.mapInArrow(_sum_pairs, layout + ", states long"), "pairs")
+    states = {r[0]: r[1] for r in summed.groupBy("context").agg(F.sum("states")).collect()}
+    bits = [table_bits(states.get(k, 0)) for k in range(CONTEXTS)]
+    odds = steps.keep(summed.mapInArrow(_table_parts(bits), "context int, bucket int, odds binary"), "odds")
+    steps.drop(summed)
+    return Tables(odds.inputFiles(), bits)
+
+
+def _stored_odds(stream: Stream, tables: Tables | list[np.ndarray]) -> np.ndarray:
+    """A row for each byte: the log-odds that each context gives for each of its bits."""
+    found = np.zeros((len(stream.data), CONTEXTS, 8), np.int8)
+    if isinstance(tables, list):
+        bits = [len(t).bit_length() - 1 for t in tables]
+        parts = ((k, b, t.reshape(1 << BUCKET_BITS, -1)[b]) for k, t in enumerate(tables) for b in range(1 << BUCKET_BITS))
+    else:
+        bits, parts = tables.bits, tables.parts()
+    dealt = []
+    for context, size in zip(stream.contexts, bits):
+        bucket, slot = _slots(context & ~_BYTE, size)
+        bucket = bucket.astype(np.uint16)
+        order = np.argsort(bucket, kind="stable").astype(np.int32)
+        bounds = np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=1 << BUCKET_BITS))])
+        dealt.append((order, bounds, slot[order].astype(np.int32)))
+    stream.contexts = []
+    nodes = np.ascontiguousarray(NODES.T)
+    for k, b, odds in parts:
+        order, bounds, slot = dealt[k]
+        own = slice(bounds[b], bounds[b + 1])
+        if own.start < own.stop:
+            at = order[own]
+            found[at, k] = odds[slot[own][:, None] ^ nodes[stream.data[at]]]
+    return found.reshape(len(stream.data), CONTEXTS * 8)
+
+
+def _mixed(texts: B.Texts, tables: Tables | list[np.ndarray], start_weights: np.ndarray | None, own: bool) -> tuple[np.ndarray, np.ndarray, int]:
+    """Each text's log-probability, and the sum of all segments' last weights with the number of bytes as their own weight.
+
+    With own, the texts are among those that were counted: states that have seen one bit only lose it once.
+    """
     stream = Stream(texts)
+    stored = _stored_odds(stream, tables)
     sizes = np.diff(stream.bounds)
     n = (sizes + SEGMENT - 1) // SEGMENT
     text = np.repeat(np.arange(len(n)), n)
@@ -178,20 +312,23 @@ def log_probabilities(texts: B.Texts, tables: list[np.ndarray]) -> np.ndarray:
     order = np.argsort(-length, kind="stable")        # lanes that end leave from the back
     start, length, text = start[order], length[order], text[order]
     lanes = len(start)
-    weights = np.full((8, len(tables), lanes), START / LEVELS, np.float32)     # for log-odds in stored steps
+    first = np.full((8, CONTEXTS), START) if start_weights is None else start_weights
+    weights = np.repeat((first / LEVELS).astype(np.float32)[:, :, None], lanes, 2)      # for log-odds in stored steps
     rate = np.float32(RATE / LEVELS ** 2)
     total = np.zeros(lanes, np.float64)
     for t in range(int(length[0])):
         live = int(np.searchsorted(-length, -t, "left"))
         at = start[:live] + t
         byte = stream.data[at].astype(np.intp)
-        contexts = [c[at] for c in stream.contexts]
+        all_odds = stored[at].T
+        if own:
+            all_odds = WITHOUT_OWN[all_odds.astype(np.intp) + 128]
+        all_odds = all_odds.astype(np.float32, order="C").reshape(CONTEXTS, 8, live)
         cost = np.ones(live, np.float64)            # one over the byte's probability
         for j in range(8):
-            w, node, sign = weights[j], NODES[j].take(byte), SIGNS[j].take(byte)
-            odds = [table.take(c ^ node).astype(np.float32) for table, c in zip(tables, contexts)]
+            w, sign, odds = weights[j], SIGNS[j].take(byte), all_odds[:, j]
             mixed = odds[0] * w[0, :live]
-            for k in range(1, len(odds)):
+            for k in range(1, CONTEXTS):
                 mixed += odds[k] * w[k, :live]
             mixed *= sign
             np.minimum(mixed, np.float32(40), out=mixed)
@@ -202,10 +339,34 @@ def log_probabilities(texts: B.Texts, tables: list[np.ndarray]) -> np.ndarray:
             step -= np.float32(1)                   # minus the probability of the other bit
             step *= sign
             step *= rate
-            for k in range(len(odds)):
+            for k in range(CONTEXTS):
                 w[k, :live] += step * odds[k]
         total[:live] -= np.log(cost)
-    return np.bincount(text, total, len(sizes))
+    return np.bincount(text, total, len(sizes)), (weights @ length.astype(np.float64)) * LEVELS, int(length.sum())
+
+
+def log_probabilities(texts: B.Texts, tables: Tables | list[np.ndarray], start_weights: np.ndarray | None = None) -> np.ndarray:
+    """The natural log of each text's probability, its end included."""
+    return _mixed(texts, tables, start_weights, False)[0]
+
+
+def _last_weights(tables: Broadcast):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros((8, CONTEXTS)), 0
+        for _, texts in B.text_slices(batches, limit=SCORED_BYTES):
+            _, weights, size = _mixed(texts, tables.value, None, True)
+            total, n = total + weights, n + size
+        if n:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.arange(total.size)), pa.array(total.ravel()), pa.array(np.full(total.size, n))], ["place", "weight", "n"])
+    return run
+
+
+def learned_weights(training: DataFrame, tables: Broadcast) -> np.ndarray | None:
+    """The mean of the weights that segments of all training texts end with; None without such texts."""
+    found = (training.select("text").mapInArrow(_last_weights(tables), "place long, weight double, n long")
+             .groupBy("place").agg((F.sum("weight") / F.sum("n")).alias("weight")).orderBy("place").collect())
+    return np.array([r.weight for r in found]).reshape(8, CONTEXTS) if found else None
 
 
 def _word_hashes(texts: B.Texts) -> tuple[np.ndarray, B.Words]:
@@ -221,16 +382,16 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [pa.array(np.append(keys, END)), pa.array(np.append(n, len(texts)))], ["word", "n"])
 
 
-def _score(tables: Broadcast, frequent: Broadcast):
+def _score(tables: Broadcast, frequent: Broadcast, start_weights: np.ndarray | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, logs = frequent.value
-        for rows, texts in B.text_slices(batches):
+        for rows, texts in B.text_slices(batches, limit=SCORED_BYTES):
             hashes, found = _word_hashes(texts)
             at = np.minimum(np.searchsorted(words, hashes), max(len(words) - 1, 0))
             known = words[at] == hashes if len(words) else np.zeros(len(hashes), bool)
             base = B.sums_between(np.where(known, logs[at], 0.0) if len(words) else np.zeros(len(hashes)), found.bounds)
             rare, text = hashes[~known], found.text[~known]
-            log = log_probabilities(texts, tables.value)
+            log = log_probabilities(texts, tables.value, start_weights)
             yield pa.RecordBatch.from_arrays(
                 [rows.column("row"), rows.column("doc_id"), rows.column("held_out"), pa.array(np.diff(found.bounds) + 1),
                  pa.array(B.sums_between(known.astype(np.int64), found.bounds)), pa.array(base),
@@ -263,11 +424,12 @@ def language_scores(docs: DataFrame, steps: Steps | None = None) -> DataFrame:
     often = counted.filter((F.col("n") * FREQUENT >= n) & (F.col("word") != END)).toPandas().sort_values("word")
     logs = np.log10((often["n"].to_numpy() + 0.5) / (n + 0.5 * (v + 1)))
     frequent = spark.sparkContext.broadcast((often["word"].to_numpy(), logs))
-    tables = spark.sparkContext.broadcast(bit_model(training))
+    tables = spark.sparkContext.broadcast(bit_model(training, steps))
+    start_weights = learned_weights(training, tables)
     end = counted.filter(F.col("word") == END).agg(F.sum("n")).first()[0] or 0
 
     scored = steps.keep(rows.withColumn("row", F.monotonically_increasing_id()).mapInArrow(
-        _score(tables, frequent),
+        _score(tables, frequent, start_weights),
         "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, rare array<long>, "
         "score double, bits_per_byte double"), "scored")
     rare = (scored.select("row", F.explode("rare").alias("word")).groupBy("row", "word").agg(F.count("*").alias("times"))

@@ -166,6 +166,29 @@ def test_scores_do_not_depend_on_neighbours():
     assert np.allclose(together, alone)
 
 
+def test_tables_grow_with_the_states(spark, tmp_path, monkeypatch):
+    import pyarrow as pa
+
+    from hourmart.llm import batches as B
+    from hourmart.llm.staging import Steps
+
+    rng = np.random.default_rng(3)
+    texts = ["".join(chr(97 + c) for c in rng.integers(0, 26, 2000)) + "ab" * 3000 for _ in range(20)] + ["", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    tables = context_mixing.bit_model(rows, Steps(spark))
+    streams = [context_mixing.Stream(B.texts_of(pa.array([t], pa.string()))) for t in texts]
+    for k in range(context_mixing.CONTEXTS):
+        counts = Counter((int(c) >> 8, node) for s in streams for c, x in zip(s.contexts[k], s.data)
+                         for node in ((int(x) | 256) >> j for j in range(8, 0, -1)))
+        assert 1 << tables.bits[k] >= 2 * len(counts)
+    assert len(set(tables.bits)) > 1 and len(tables.bits) == 5
+    whole = B.texts_of(pa.array(texts, pa.string()))
+    scores = context_mixing.log_probabilities(whole, tables)
+    monkeypatch.setattr(context_mixing, "HELD_BYTES", 1000)        # read part by part
+    parted = context_mixing.Tables(tables.files, tables.bits)
+    assert np.array_equal(context_mixing.log_probabilities(whole, parted), scores) and parted.rest
+
+
 def test_token_records(docs, rows_in):
     tokenizer = Tokenizer.from_file(BYTES)
     found = records.token_records(docs, BYTES).collect()
