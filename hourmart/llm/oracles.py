@@ -94,3 +94,89 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(c.n, 0)::BIGINT AS n_hit, c
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(c.n, 0) > 0 AS contaminated
 FROM doc d LEFT JOIN covered c USING (doc_id) LEFT JOIN items i USING (doc_id)
 """.replace("FOLD", _FOLD)
+
+FILTER_AUDIT = r"""
+WITH
+texts AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+found AS (
+  SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w,
+    length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) AS upper_n, min(doc_id) OVER (PARTITION BY text) AS first_id
+  FROM texts),
+marks AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY 1),
+judged AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    CASE WHEN len(w) < 50 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * upper_n > 5 * length(text) THEN 'C' ELSE '' END || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END
+    || CASE WHEN doc_id > first_id THEN 'E' ELSE '' END AS fails
+  FROM found LEFT JOIN marks USING (doc_id)),
+cells AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM judged GROUP BY ALL),
+one AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order
+  FROM one a JOIN one b ON b.x <> a.x JOIN one c ON c.x NOT IN (a.x, b.x) JOIN one d ON d.x NOT IN (a.x, b.x, c.x)
+  JOIN one e ON e.x NOT IN (a.x, b.x, c.x, d.x)),
+steps AS (SELECT filter_order, step::INT AS step, substr(filter_order, step::INT, 1) AS letter FROM orders, range(1, 6) r(step)),
+met AS (
+  SELECT s.*, c.*, contains(fails, letter) AS hit,
+    length(translate(left(filter_order, step - 1), fails, '')) < step - 1 AS gone
+  FROM steps s, cells c),
+counted AS (
+  SELECT part, filter_order, step, letter,
+    sum(n) FILTER (NOT gone AND NOT hit) AS kept, sum(n) FILTER (hit AND NOT gone) AS removed, sum(n) FILTER (hit AND gone) AS redundant,
+    sum(n) FILTER (fails = letter) AS unique_fails, sum(good) FILTER (hit AND NOT gone) AS good_lost,
+    sum(toxic) FILTER (hit AND NOT gone) AS toxic_lost
+  FROM met GROUP BY ALL)
+SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed,
+  coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails,
+  coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+  coalesce(sum(removed) OVER (PARTITION BY part, letter), 0)::BIGINT AS shapley
+FROM counted
+"""
+
+# A checksum is the exclusive or of what each byte adds at its distance from the end and of what the first state becomes.
+SPELLING = r"""
+WITH RECURSIVE
+runs AS (
+  SELECT doc_id::VARCHAR || ':' || run AS said, run, count(*) AS c FROM (
+    SELECT doc_id, unnest(regexp_extract_all(FOLD, '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents)
+  WHERE length(run) >= 5 GROUP BY ALL),
+letters AS (SELECT said, unnest(string_split(said, '')) AS x, generate_subscripts(string_split(said, ''), 1) AS i FROM runs),
+bytes AS (
+  SELECT said, 2 * i AS i, CASE WHEN ord(x) < 128 THEN ord(x) ELSE 195 END AS b FROM letters
+  UNION ALL SELECT said, 2 * i + 1, ord(x) - 64 FROM letters WHERE ord(x) >= 128),
+placed AS (
+  SELECT said, b, row_number() OVER (PARTITION BY said ORDER BY i DESC) - 1 AS d, count(*) OVER (PARTITION BY said) AS n FROM bytes),
+states(b, d, v) AS (
+  SELECT b, 0, list_reduce(list_concat([b], range(8)), lambda a, x: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)
+  FROM range(256) r(b)
+  UNION ALL SELECT -1, 0, 4294967295::BIGINT
+  UNION ALL
+  SELECT b, d + 1, list_reduce(list_concat([v], range(8)), lambda a, x: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)
+  FROM states WHERE d <= (SELECT max(n) FROM placed)),
+sums AS (
+  SELECT said, xor(xor(bit_xor(s.v), any_value(f.v)), 4294967295) AS h
+  FROM placed p JOIN states s ON s.b = p.b AND s.d = p.d JOIN states f ON f.b = -1 AND f.d = p.n GROUP BY said),
+words AS (
+  SELECT word, sum(c)::BIGINT AS n FROM (
+    SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, c
+    FROM runs JOIN sums USING (said))
+  WHERE length(word) >= 5 GROUP BY word HAVING sum(c) >= 3),
+cut AS (
+  SELECT word, i, substr(word, 1, i::INT - 1) || substr(word, i::INT + 1) AS rest
+  FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words)),
+met AS (
+  SELECT c.word, w.word AS near FROM cut c JOIN words w ON w.word = c.rest
+  UNION SELECT w.word, c.word FROM cut c JOIN words w ON w.word = c.rest
+  UNION SELECT a.word, b.word FROM cut a JOIN cut b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word),
+best AS (
+  SELECT m.word, count(*) AS n_near, first(m.near ORDER BY w.n DESC, encode(m.near)) AS near, max(w.n) AS near_n
+  FROM met m JOIN words w ON w.word = m.near GROUP BY m.word),
+forms AS (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 2 * n THEN near END AS form, CASE WHEN near_n >= 2 * n THEN near_n END AS form_n
+  FROM words LEFT JOIN best USING (word)),
+ways(word, root) AS (
+  SELECT word, coalesce(form, word) FROM forms
+  UNION ALL SELECT y.word, f.form FROM ways y JOIN forms f ON f.word = y.root WHERE f.form IS NOT NULL AND f.word <> y.word),
+ended AS (SELECT y.word, y.root FROM ways y JOIN forms f ON f.word = y.root WHERE f.form IS NULL)
+SELECT f.word, f.form, e.root, f.n, f.n_near, f.form_n FROM forms f JOIN ended e USING (word)
+""".replace("FOLD", "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")

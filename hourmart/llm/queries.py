@@ -5,8 +5,11 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from hourmart.llm import context_mixing, decontaminate, edit_counts, importance_rules, language_id, near_dedup, quality_mil, records, suffix_dedup, word_bpe
-from hourmart.llm.oracles import DECONTAMINATE, NEAR_DEDUP, QUALITY_RULES
+from hourmart.llm import (
+    context_mixing, decontaminate, edit_counts, filter_audit, importance_rules, language_id, near_dedup, quality_mil, records, spelling,
+    suffix_dedup, toxicity, word_bpe,
+)
+from hourmart.llm.oracles import DECONTAMINATE, FILTER_AUDIT, NEAR_DEDUP, QUALITY_RULES, SPELLING
 
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -59,6 +62,18 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance_rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op2_decontaminate": op2_decontaminate,
@@ -70,10 +85,15 @@ QUERIES = {
     "op8_edit_counts": op8_edit_counts,
     "op9_bpe_round_trip": op9_bpe_round_trip,
     "op10_quality_rules": op10_quality_rules,
+    "op11_toxicity": op11_toxicity,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_spelling": op13_spelling,
 }
 
 ORACLES = {
     "op1_near_dedup": NEAR_DEDUP,
     "op2_decontaminate": DECONTAMINATE,
     "op10_quality_rules": QUALITY_RULES,
+    "op12_filter_audit": FILTER_AUDIT,
+    "op13_spelling": SPELLING,
 }
