@@ -211,11 +211,17 @@ def train(docs: DataFrame, labels: DataFrame) -> NoisyOr:
     sentence_ends = ends.flatten().to_numpy() + first
     bucket = buckets.flatten().to_numpy().astype(np.int64)
     sentence = np.searchsorted(sentence_ends, np.arange(len(bucket)), "right")
+    # documents with each bucket, some documents at a time; buckets too rare for a weight go before learning
+    docs_with, pairs_of = np.zeros(1 << BUCKET_BITS, np.int64), np.concatenate([[0], np.cumsum(per_pair)])
+    for i in range(0, len(per_pair), 512):
+        upto = min(i + 512, len(per_pair))
+        of_doc = np.repeat(np.arange(upto - i), per_pair[i:upto])
+        in_doc = np.unique(of_doc << BUCKET_BITS | bucket[pairs_of[i]:pairs_of[upto]])
+        docs_with += np.bincount(in_doc & (1 << BUCKET_BITS) - 1, minlength=1 << BUCKET_BITS)
+    frequent = docs_with[bucket] >= MIN_DOCS
     none = np.zeros(0, np.int64)
-    bags = Bags(of, sentence, bucket, none, none)
-    in_doc = np.unique(np.repeat(np.arange(len(per_pair)), per_pair) << BUCKET_BITS | bucket)
-    known, docs_with = np.unique(in_doc & (1 << BUCKET_BITS) - 1, return_counts=True)
-    scorer = NoisyOr(known[docs_with >= MIN_DOCS])
+    bags = Bags(of, sentence[frequent], bucket[frequent], none, none)
+    scorer = NoisyOr(np.flatnonzero(docs_with >= MIN_DOCS))
     weight = {v: counts[v] / max((labelled == v).sum(), 1) for v in counts}
     share = np.array([weight[v] for v in labelled])
     scorer.fit(bags, labelled, share / share.mean())
