@@ -20,7 +20,7 @@ THRESHOLD = -100_000      # lowest mean weight of a kept document
 MIN_WORDS = 20
 REPEAT_PERCENT = 30
 WINDOW = 8
-BLANKS = " \t\n\u000b\f\r"
+WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 
 
@@ -29,7 +29,7 @@ def words(text: Column) -> Column:
 
 
 def _count_of(text: Column, characters: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, characters, ""))
+    return F.length(F.regexp_replace(text, f"[^{characters}]+", ""))
 
 
 def short_hashes(found: Column) -> Column:
@@ -110,13 +110,13 @@ def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
     trusted = labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     table = weights(texts, trusted).scalar()
 
-    lines = F.filter(F.split("text", "\n"), lambda x: F.translate(x, BLANKS, "") != "")
+    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(WORD))
     rows = texts.select(
         "doc_id", words(F.col("text")).alias("words"),
-        (F.length("text") - _count_of(F.col("text"), BLANKS)).cast("long").alias("word_chars"),
         _count_of(F.col("text"), SYMBOLS).cast("long").alias("n_symbols"), lines.alias("lines"))
     rows = rows.select(
-        "doc_id", F.size("words").cast("long").alias("n_words"), "word_chars", "n_symbols",
+        "doc_id", F.size("words").cast("long").alias("n_words"),
+        F.aggregate("words", F.lit(0).cast("long"), lambda n, w: n + F.length(w)).alias("word_chars"), "n_symbols",
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"), short_hashes(F.col("words")).alias("short"))
     for reach in (1, 2, 4):      # one step each, so that no array is worked out twice
