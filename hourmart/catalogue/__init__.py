@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from hourmart.catalogue import (
-    feature_queries, job_queries, model_queries, report_queries, serving_queries, star_queries,
+    chain_queries, feature_queries, job_queries, model_queries, report_queries, serving_queries, star_queries,
     stream_queries, write_queries,
 )
 
 _MODULES = (
     star_queries, feature_queries, serving_queries, write_queries, report_queries,
-    job_queries, model_queries, stream_queries,
+    job_queries, model_queries, chain_queries, stream_queries,
 )
 
 

@@ -6,6 +6,7 @@ from datetime import datetime
 
 from hourmart.catalogue.bindings import DAY, day_rows, lines
 from hourmart.catalogue.stream_queries import scratch
+from hourmart.catalogue.write_queries import RULES
 from hourmart.operators.dims import dim_entity
 from hourmart.operators.stats import daily_stats, split_date
 from hourmart.plans.features import model_rows, training_table
@@ -63,8 +64,8 @@ def q_chained_forecast(spark, d):
     entities, actual, daily, rows = _prepared(spark, d)
     models, _ = train(rows, DAY, SETTINGS)
     warehouse = Warehouse(spark, scratch(spark))
-    job = ForecastJob(warehouse, models, entities, actual, daily, rules=())
-    return run_batch(job, None, datetime(2026, 3, 20, 0, 5), days=2)
+    job = ForecastJob(warehouse, models, entities, actual, daily, RULES)
+    return run_batch(job, None, datetime(2026, 3, 20, 0, 5), days=2).stored
 
 
 QUERIES = {

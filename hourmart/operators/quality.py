@@ -43,15 +43,24 @@ def _reason(rules: tuple[RangeRule, ...]) -> Column:
     return F.coalesce(F.lit(None).cast("string"), *names)
 
 
+def marked(rows: DataFrame, rules: tuple[RangeRule, ...] = RULES) -> DataFrame:
+    """Rows with the first rule they break as ``reason``; NULL for those that keep every rule."""
+    return rows.withColumn("reason", _reason(rules))
+
+
+def split_marked(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Accepted rows without ``reason``, and rejected rows with it."""
+    return (rows.where(F.col("reason").isNull()).drop("reason"),
+            rows.where(F.col("reason").isNotNull()))
+
+
 def validate(rows: DataFrame, rules: tuple[RangeRule, ...] = RULES, strict: bool = False
              ) -> tuple[DataFrame, DataFrame]:
     """Rows that keep every rule, and the others with the first rule they break.
 
     ``strict`` raises instead of setting rows aside, as a statement would abort.
     """
-    marked = rows.withColumn("reason", _reason(rules))
-    accepted = marked.where(F.col("reason").isNull()).drop("reason")
-    rejected = marked.where(F.col("reason").isNotNull())
+    accepted, rejected = split_marked(marked(rows, rules))
     if strict:
         broken = rejected.count()
         if broken:

@@ -4,20 +4,22 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from datetime import date, datetime, timedelta
-from functools import cached_property
+from functools import cached_property, reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from hourmart.functions.numeric import score_round
 from hourmart.model import (
     FORECAST_DAYS, LAG_DAYS, MAX_FORECAST_DAYS, MAX_RANGE_DAYS, Panel,
 )
-from hourmart.operators.quality import RULES, RangeRule, change_audit, repair, touch, validate
+from hourmart.operators.quality import (
+    RULES, RangeRule, change_audit, marked, repair, split_marked, touch,
+)
 from hourmart.operators.serving import (
     coverage_by_day, day_spine, last_date, prefer_actual, slot_spine,
 )
 from hourmart.plans.features import serving_features_for_day
-from hourmart.plans.training import PROBABILITY, Models, score
+from hourmart.plans.scoring import PROBABILITY, Scorer
 from hourmart.session import written
 from hourmart.sources.tables import Warehouse
 
@@ -46,7 +48,7 @@ class ForecastJob:
     """
 
     warehouse: Warehouse
-    models: Models
+    models: Scorer
     entities: DataFrame
     actual: DataFrame
     daily: DataFrame
@@ -123,27 +125,51 @@ def predict_day(job: ForecastJob, day: date, entities: DataFrame | None = None)
         _same_day_before(rows, panel, day, job.first_year) for rows in (job.actual, job.daily))
     features = serving_features_for_day(
         targets, day, source, fact, daily, panel)
-    scored = score(features, job.models, panel.keys)
+    scored = job.models.score(features, panel.keys)
     columns = [score_round(F.col(f"{c}_pred"), 2).alias(c) for c in panel.columns]
     chance = F.lit(None).cast("double")
-    if job.models.wet is not None:
+    if job.models.gives_chance:
         chance = score_round(F.col(PROBABILITY) * 100, 1)
     return scored.select(*panel.keys, *columns, chance.alias("rain_probability"))
 
 
-def save_day(job: ForecastJob, scored: DataFrame, as_of: datetime) -> DataFrame:
-    """Replace the forecast of each (entity, day) in ``scored``; returns rejected rows.
+@dataclass(frozen=True)
+class SavedDay:
+    """One day as it was saved: all scored rows with their ``reason``, and what was counted meanwhile.
 
-    Rows are validated, repaired and stamped; rejected rows and what the new
-    rows change beyond the thresholds are stored first, then the day's partition
-    is rewritten. Run again with the same rows and ``as_of``, it changes nothing.
+    ``scored`` and ``rejected`` are rows, ``pairs`` the (entity, day) pairs among the scored ones.
     """
-    panel = job.panel
-    stamp = F.lit(as_of)
-    # the batch is named by the keys it is for, so other entities of that day are another batch
-    digest = scored.agg(F.coalesce(F.sum(F.xxhash64(*panel.keys).cast("decimal(38,0)")), F.lit(0))).first()[0]
-    name = f"forecast {as_of:%F %T} of {digest}"
-    accepted, rejected = validate(scored, job.rules)
+
+    rows: DataFrame
+    scored: int
+    rejected: int
+    pairs: int
+
+    @property
+    def rejects(self) -> DataFrame:
+        return split_marked(self.rows)[1]
+
+
+def save_day(job: ForecastJob, scored: DataFrame, as_of: datetime) -> SavedDay:
+    """Replace the forecast of each (entity, day) in ``scored``.
+
+    Rows are validated and written once; the counts of a run and the digest that names the batch
+    are observed while they are written, so no further pass is made for them. Rejected rows and what
+    the new rows change beyond the thresholds are stored first, then the day's partition is
+    rewritten. Run again with the same rows and ``as_of``, it changes nothing.
+    """
+    panel, seen = job.panel, Observation()
+    # a pair is counted at its first slot; the digest names the batch by the keys it is for, so other
+    # entities of that day are another batch
+    first = F.col(panel.slot) == 0 if panel.slot else F.lit(True)
+    checked = marked(scored, job.rules).observe(
+        seen, F.count(F.lit(1)).alias("scored"), F.count("reason").alias("rejected"),
+        F.count_if(first).alias("pairs"),
+        F.coalesce(F.sum(F.xxhash64(*panel.keys).cast("decimal(38,0)")), F.lit(0)).alias("digest"))
+    checked = written(checked, "scored")
+    counts = seen.get
+    stamp, name = F.lit(as_of), f"forecast {as_of:%F %T} of {counts['digest']}"
+    accepted, rejected = split_marked(checked)
     if panel.wet_column:
         accepted = repair(accepted, panel.wet_column)
     rows = written(
@@ -155,39 +181,83 @@ def save_day(job: ForecastJob, scored: DataFrame, as_of: datetime) -> DataFrame:
         job.warehouse.write_once(AUDIT, changes, name)
     job.warehouse.write_once(REJECTS, rejected, name)
     job.warehouse.replace(FORECAST, rows, [panel.entity, panel.date], panel.date)
-    return rejected
+    return SavedDay(checked, counts["scored"], counts["rejected"], counts["pairs"])
 
 
-def predict_range(job: ForecastJob, start: str | date, days: int, as_of: datetime,
-                  entities: DataFrame | None = None, most: int = MAX_RANGE_DAYS) -> DataFrame:
-    """Consecutive days, each reading the ones before it as lags.
+def _saved_days(job: ForecastJob, start: date, days: int, as_of: datetime,
+                entities: DataFrame | None) -> list[SavedDay]:
+    """Consecutive days; each reads the ones before it as lags, so they follow one another."""
+    return [save_day(job, predict_day(job, start + timedelta(days=i), entities), as_of)
+            for i in range(days)]
 
-    Days follow one another by definition; within a day all entities and slots
-    are one job. The result is the stored forecast of those days.
-    """
-    start, days = check_date(start), check_days(days, most)
-    for i in range(days):
-        day = start + timedelta(days=i)
-        save_day(job, written(predict_day(job, day, entities), "scored"), as_of)
-    day = F.col(job.panel.date)
-    last = start + timedelta(days=days - 1)
+
+def _stored(job: ForecastJob, start: date, days: int, entities: DataFrame | None) -> DataFrame:
+    day, last = F.col(job.panel.date), start + timedelta(days=days - 1)
     stored = job.forecasts().where((day >= F.lit(start)) & (day <= F.lit(last)))
     if entities is not None:
         stored = stored.join(entities.select(job.panel.entity), job.panel.entity, "left_semi")
     return stored
 
 
+def predict_range(job: ForecastJob, start: str | date, days: int, as_of: datetime,
+                  entities: DataFrame | None = None, most: int = MAX_RANGE_DAYS) -> DataFrame:
+    """Forecast consecutive days; the result is what is stored for them afterwards."""
+    start, days = check_date(start), check_days(days, most)
+    _saved_days(job, start, days, as_of, entities)
+    return _stored(job, start, days, entities)
+
+
+@dataclass(frozen=True)
+class BatchResult:
+    """What a batch did.
+
+    ``stored``: the forecasts kept. ``details``: temperature range and rain total of each scored
+    (entity, day), and how many of its rows were rejected. ``rejected``: rejected rows with their
+    reason. ``errors``: an unknown name on each day asked for. ``totals``: one row, counted while the
+    batch was written.
+    """
+
+    stored: DataFrame
+    details: DataFrame
+    rejected: DataFrame
+    errors: DataFrame
+    totals: DataFrame
+
+
 def run_batch(job: ForecastJob, base_date: str | date | None, as_of: datetime,
-              days: int = FORECAST_DAYS) -> DataFrame:
-    """The days after ``base_date`` (default: the last measured day) for all entities."""
+              days: int = FORECAST_DAYS, requests: DataFrame | None = None) -> BatchResult:
+    """The days after ``base_date`` (default: the last measured day).
+
+    ``requests`` has the entity names asked for (default: all that are known). Names nobody knows
+    end up in ``errors`` and count as failed.
+    """
+    days, panel = check_days(days), job.panel
     if base_date is None:
-        base_date = last_date(job.actual, job.panel.date, as_of.date()).first()[0]
-    return predict_range(
-        job, check_date(base_date) + timedelta(days=1), check_days(days), as_of)
+        base_date = last_date(job.actual, panel.date, as_of.date()).first()[0]
+    start = check_date(base_date) + timedelta(days=1)
+    known, unknown, failed = None, None, 0
+    if requests is not None:
+        found, missing = known_entities(requests, job.entities, panel)
+        known, unknown = written(found, "known"), written(missing, "unknown")
+        failed = days * unknown.count()
+    saved = _saved_days(job, start, days, as_of, known)
+    rows = reduce(DataFrame.unionByName, [day.rows for day in saved])
+    if unknown is None:
+        unknown = job.entities.limit(0).select(panel.entity, F.lit("").alias("error"))
+    errors = day_spine(unknown, start, start + timedelta(days=days - 1), panel)
+    pairs = sum(day.pairs for day in saved)
+    totals = job.warehouse.spark.range(1).select(
+        F.lit(days).alias("forecast_days"), F.lit(pairs + failed).cast("long").alias("total_forecasts"),
+        F.lit(pairs).cast("long").alias("success"), F.lit(failed).cast("long").alias("errors"),
+        F.lit(sum(day.scored for day in saved)).cast("long").alias("rows_scored"),
+        F.lit(sum(day.rejected for day in saved)).cast("long").alias("rows_rejected"))
+    details = batch_details(rows, panel, F.count("reason").alias("rows_rejected"))
+    return BatchResult(
+        _stored(job, start, days, known), details, split_marked(rows)[1], errors, totals)
 
 
 def run_if_needed(job: ForecastJob, base_date: str | date, as_of: datetime,
-                  days: int = FORECAST_DAYS) -> DataFrame | None:
+                  days: int = FORECAST_DAYS) -> BatchResult | None:
     """Forecast the days after ``base_date`` if any entity lacks one of them, else None."""
     base = check_date(base_date)
     coverage = coverage_by_day(
@@ -198,13 +268,13 @@ def run_if_needed(job: ForecastJob, base_date: str | date, as_of: datetime,
     return run_batch(job, base, as_of, days)
 
 
-def batch_details(scored: DataFrame, panel: Panel) -> DataFrame:
-    """Temperature range and rain total per entity and day of a batch."""
+def batch_details(scored: DataFrame, panel: Panel, *more: Column) -> DataFrame:
+    """Temperature range and rain total per entity and day of a batch, and further aggregates."""
     columns = dict(panel.measures)
     return scored.groupBy(panel.entity, panel.date).agg(
         score_round(F.min(columns["temp"]), 1).alias("temp_min"),
         score_round(F.max(columns["temp"]), 1).alias("temp_max"),
-        score_round(F.sum(columns["rain"]), 2).alias("rain_total"))
+        score_round(F.sum(columns["rain"]), 2).alias("rain_total"), *more)
 
 
 def batch_totals(scored: DataFrame, errors: DataFrame, panel: Panel) -> DataFrame:

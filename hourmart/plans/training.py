@@ -12,16 +12,14 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from hourmart.functions.numeric import clip, wet_flag
-from hourmart.model import (
-    HUMIDITY_RANGE, TRAIN_QUANTILE, WET_PROBABILITY, Panel, feature_columns,
-)
+from hourmart.functions.numeric import wet_flag
+from hourmart.model import TRAIN_QUANTILE, WET_PROBABILITY, Panel, feature_columns
 from hourmart.operators.stats import (
     class_balance, classification_metrics, error_metrics, split_date, year_bounds,
 )
+from hourmart.plans.scoring import PROBABILITY, in_range, two_stage
 from hourmart.session import shared_folder, written
 
-PROBABILITY = "rain_prob"
 VECTOR = "_features"
 
 
@@ -64,6 +62,13 @@ class Models:
     wet: GBTClassificationModel | None = None
     amount: GBTRegressionModel | None = None
 
+    @property
+    def gives_chance(self) -> bool:
+        return self.wet is not None
+
+    def score(self, rows: DataFrame, keep: list[str]) -> DataFrame:
+        return score(rows, self, keep)
+
     def save(self, spark: SparkSession, root: str) -> None:
         parts = {"prepare": self.prepare, **self.values}
         if self.wet is not None:
@@ -174,18 +179,15 @@ def score(rows: DataFrame, models: Models, keep: list[str]) -> DataFrame:
     for short, c in panel.measures:
         if c in models.values:
             scored = models.values[c].transform(scored)
-            value = F.col(f"{c}_pred")
-            bounded = clip(value, *HUMIDITY_RANGE) if short == "hum" else value
-            outputs.append(bounded.alias(f"{c}_pred"))
+            outputs.append(in_range(short, F.col(f"{c}_pred")).alias(f"{c}_pred"))
     if models.wet is not None:
         scored = models.wet.transform(scored)
         scored = scored.withColumn(PROBABILITY, vector_to_array("_wet_probability")[1])
         amount = F.lit(0.0)
         if models.amount is not None:
             scored = models.amount.transform(scored)
-            amount = F.greatest(F.col("_amount"), F.lit(0.0))
-        wet = F.col(PROBABILITY) > WET_PROBABILITY
-        outputs += [F.when(wet, amount).otherwise(0.0).alias(f"{panel.wet_column}_pred"),
+            amount = F.col("_amount")
+        outputs += [two_stage(F.col(PROBABILITY), amount).alias(f"{panel.wet_column}_pred"),
                     F.col(PROBABILITY)]
     return scored.select(*keep, *outputs)
 

@@ -13,27 +13,55 @@ from hourmart.session import written
 
 # Conditions Spark reports for a table with no files yet.
 _ABSENT = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
+_COMMITS = "_commits"
 
 
 @dataclass(frozen=True)
 class Warehouse:
     """Named Parquet tables below one root folder.
 
-    ``refresh`` replaces a whole table: the new one is written beside it and
-    takes its place when it is whole. All other writes replace single partitions with dynamic overwrite:
-    Spark moves the new files in when the job commits, so other partitions are
-    not touched and a failed job leaves the old data. What is written over a
-    table it was read from goes through a written step first.
+    A table is a folder of whole versions and of commits. A commit is an empty file whose name holds
+    a rising number and the version it makes current; readers take the highest when they resolve the
+    table, and go on reading that version whatever is committed meanwhile. ``refresh`` writes a new
+    version and then commits it, so there is one whole table at any moment, wherever a job is lost.
+    All other writes replace single partitions of the current version with dynamic overwrite:
+    Spark moves the new files in when the job commits, so other partitions are not touched and a
+    failed job leaves the old data. What is written over a table it was read from goes through a
+    written step first.
     """
 
     spark: SparkSession
     root: str
 
-    def path(self, table: str) -> str:
+    def home(self, table: str) -> str:
         return f"{self.root.rstrip('/')}/{table}"
 
+    def _hadoop(self, path: str):
+        context = self.spark.sparkContext
+        made = context._jvm.org.apache.hadoop.fs.Path(path)
+        return made.getFileSystem(context._jsc.hadoopConfiguration()), made
+
+    def commits(self, table: str) -> list[tuple[int, str]]:
+        """(number, version) of every commit, oldest first; two with one number stand in version order."""
+        files, folder = self._hadoop(f"{self.home(table)}/{_COMMITS}")
+        if not files.exists(folder):
+            return []
+        names = [str(f.getPath().getName()) for f in files.listStatus(folder)]
+        return sorted((int(n), version) for n, _, version in (x.partition(".") for x in names if not x.startswith((".", "_"))))
+
+    def version(self, table: str) -> str | None:
+        """The current version, or None for a table that was never written."""
+        made = self.commits(table)
+        return made[-1][1] if made else None
+
+    def path(self, table: str) -> str:
+        """The folder of the current version."""
+        return f"{self.home(table)}/{self.version(table) or 'none'}"
+
     def read(self, table: str, schema: T.StructType | None = None) -> DataFrame:
-        """The table; with ``schema``, an empty frame when it was never written."""
+        """The table as it is now; with ``schema``, an empty frame when it was never written."""
+        if schema is not None and self.version(table) is None:
+            return self.spark.createDataFrame([], schema)
         try:
             return self.spark.read.parquet(self.path(table))
         except AnalysisException as e:
@@ -42,46 +70,68 @@ class Warehouse:
             return self.spark.createDataFrame([], schema)
 
     def refresh(self, table: str, df: DataFrame, partition_by: list[str] | None = None,
-                sort_by: list[str] | None = None) -> DataFrame:
+                sort_by: list[str] | None = None, range_by: list[str] | None = None) -> DataFrame:
         """Full refresh: the table afterwards holds exactly ``df``.
 
         ``sort_by`` orders rows inside files, so row-group statistics can skip
         for range filters. Rows are rebalanced by partition value first:
         adaptive execution splits a large value over several tasks and merges
-        small ones, so neither huge tasks nor tiny files appear.
+        small ones, so neither huge tasks nor tiny files appear. With ``range_by``
+        they are dealt out by ranges of those columns instead, so that a value
+        lies in few files.
         """
-        if partition_by:
+        if range_by:
+            df = df.repartitionByRange(*range_by)
+        elif partition_by:
             df = df.hint("rebalance", *partition_by)
         if sort_by:
             df = df.sortWithinPartitions(*(partition_by or []), *sort_by)
-        beside = f"{self.path(table)}__{uuid.uuid4().hex}"
+        version = self._new_version()
         writer = df.write
         if partition_by:
             writer = writer.partitionBy(*partition_by)
-        writer.parquet(beside)
-        self._put_in_place(beside, self.path(table))
+        writer.parquet(f"{self.home(table)}/{version}")
+        self._commit(table, version)
         return self.read(table)
 
-    def _put_in_place(self, new: str, path: str) -> None:
-        """Moves a whole new folder to ``path``; what was there goes afterwards."""
-        context = self.spark.sparkContext
-        make = context._jvm.org.apache.hadoop.fs.Path
-        files = make(path).getFileSystem(context._jsc.hadoopConfiguration())
-        old = make(f"{new}-old")
-        if files.exists(make(path)) and not files.rename(make(path), old):
-            raise OSError(f"cannot move {path} aside")
-        if not files.rename(make(new), make(path)):
-            files.rename(old, make(path))
-            raise OSError(f"cannot move {new} to {path}")
-        files.delete(old, True)
-        self.spark.catalog.refreshByPath(path)
+    def _new_version(self) -> str:
+        return f"v-{uuid.uuid4().hex}"
+
+    def _commit(self, table: str, version: str) -> None:
+        """Makes a whole version the current one: one empty file appears, nothing is moved."""
+        made = self.commits(table)
+        files, marker = self._hadoop(
+            f"{self.home(table)}/{_COMMITS}/{made[-1][0] + 1 if made else 0:012d}.{version}")
+        files.create(marker, False).close()
+
+    def vacuum(self, table: str, keep: int = 2) -> None:
+        """Removes all but the newest ``keep`` versions, and what jobs that were lost left behind.
+
+        Call it when no reader of an older version and no writer is at work. Commits go last, so a
+        crash on the way leaves the table as it is.
+        """
+        made = self.commits(table)
+        kept = {version for _, version in made[-keep:]}
+        files, home = self._hadoop(self.home(table))
+        if not made:
+            return
+        for entry in files.listStatus(home):
+            if str(entry.getPath().getName()).startswith("v-") and str(entry.getPath().getName()) not in kept:
+                files.delete(entry.getPath(), True)
+        for number, version in made[:-keep]:
+            files.delete(self._hadoop(f"{self.home(table)}/{_COMMITS}/{number:012d}.{version}")[1], False)
 
     def overwrite_partitions(self, table: str, df: DataFrame, partition_by: list[str]) -> None:
         """Replace the partitions ``df`` has rows for; ``df`` must not read the table."""
+        current = self.version(table)
+        version = current or self._new_version()
         (
             df.hint("rebalance", *partition_by).write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(self.path(table))
+            .option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by)
+            .parquet(f"{self.home(table)}/{version}")
         )
+        if current is None:
+            self._commit(table, version)
 
     def touched(self, table: str, incoming: DataFrame, partition: str) -> DataFrame:
         """Existing rows of the partitions that ``incoming`` falls in.
@@ -110,6 +160,8 @@ class Warehouse:
         self.overwrite_partitions(table, written(result, table), [partition])
 
     def has_rows(self, table: str, where: str) -> bool:
+        if self.version(table) is None:
+            return False
         try:
             rows = self.spark.read.parquet(self.path(table))
         except AnalysisException as e:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hourmart.model import GAUGES, TABLES
-from hourmart.operators.quality import RULES
+from hourmart.operators.quality import RULES, RangeRule
 from hourmart.operators.stats import daily_stats
 from hourmart.plans import reports
 from hourmart.plans.etl import actual_rows, extract, load_star, run_etl
@@ -149,7 +149,7 @@ def test_chain_replaces_and_audits(spark, job):
     # A warmer forecast for the same day is a change worth a record, once.
     warmer = predict_day(job, start).withColumn("temperature_c", F.col("temperature_c") + 1.0)
     for _ in range(2):
-        assert save_day(job, warmer, AS_OF + timedelta(hours=1)).isEmpty()
+        assert save_day(job, warmer, AS_OF + timedelta(hours=1)).rejects.isEmpty()
     last = start + timedelta(days=1)
     assert job.forecasts().where(F.col("full_date").between(start, last)).count() == 2 * 48
     history = job.warehouse.read(AUDIT).where(F.col("full_date") == start)
@@ -162,8 +162,9 @@ def test_rejected_rows_never_reach_the_table(job):
     day = date(2025, 3, 25)
     hot = predict_day(job, day).withColumn(
         "temperature_c", F.when(F.col("hour") == 3, 50.0).otherwise(F.col("temperature_c")))
-    rejected = save_day(job, hot, AS_OF)
-    assert {r.reason for r in rejected.collect()} == {"temperature"}
+    saved = save_day(job, hot, AS_OF)
+    assert {r.reason for r in saved.rejects.collect()} == {"temperature"}
+    assert (saved.scored, saved.rejected, saved.pairs) == (48, 2, 2)
     assert job.forecasts().where(F.col("full_date") == day).count() == 46
 
 
@@ -184,7 +185,7 @@ def test_rejects_and_audit_of_every_subset_are_stored(job):
 
 def test_batch_runs_only_when_days_lack_forecasts(job):
     base = date(2025, 3, 28)
-    assert run_if_needed(job, base, AS_OF).count() == 96
+    assert run_if_needed(job, base, AS_OF).stored.count() == 96
     assert run_if_needed(job, base, AS_OF) is None
 
 
@@ -198,6 +199,24 @@ def test_unknown_names_become_errors(spark, job):
         "success": 1, "errors": 1, "total_forecasts": 2}
 
 
+def test_batch_result_names_what_failed(spark, job):
+    requests = spark.createDataFrame([("My_Khe_Beach",), ("Atlantis",)], "district_name string")
+    rules = (RangeRule("rain", "rain_mm", -1.0, -0.5),)         # every known amount is too high
+    strict = ForecastJob(job.warehouse, job.models, job.entities, job.actual, job.daily, rules)
+    for who, stored, rejected in ((job, 48, 0), (strict, 0, 48)):
+        found = run_batch(who, date(2025, 4, 10), AS_OF, 2, requests)
+        assert found.totals.first().asDict() == {
+            "forecast_days": 2, "total_forecasts": 4, "success": 2, "errors": 2,
+            "rows_scored": 48, "rows_rejected": rejected}
+        assert found.stored.count() == (stored or 48)           # a day without a valid row keeps its old one
+        assert found.rejected.count() == rejected
+        assert sorted((r.district_name, r.full_date.day, r.error) for r in found.errors.collect()) == [
+            ("Atlantis", 11, "unknown entity"), ("Atlantis", 12, "unknown entity")]
+        details = found.details.orderBy("full_date").collect()
+        assert [(r.full_date.day, r.rows_rejected) for r in details] == [(11, rejected // 2), (12, rejected // 2)]
+        assert all(r.temp_min <= r.temp_max for r in details)
+
+
 @pytest.mark.parametrize("days", [0, 8])
 def test_horizon_is_checked(job, days):
     with pytest.raises(ValueError, match="number of days"):
@@ -244,7 +263,7 @@ def test_history_of_a_forecast_day_reads_only_that_day(job):
 def test_forecast_table_reads_prune_days(job):
     plan = job.forecasts().where("full_date = DATE '2025-03-21'")._jdf.queryExecution()
     assert "PartitionFilters: [isnotnull(full_date" in plan.executedPlan().toString()
-    assert job.warehouse.path(FORECAST).endswith("fact_weather_forecast")
+    assert "fact_weather_forecast/v-" in job.warehouse.path(FORECAST)
 
 
 def test_ingest_batch_can_be_retried(spark, tmp_path):
