@@ -10,10 +10,13 @@ from hourmart.catalogue.bindings import (
 )
 from hourmart.functions.numeric import wet_flag
 from hourmart.model import (
-    LAG_DAYS, day_history_columns, flag_columns, lag_columns, rolling_columns,
+    LAG_DAYS, day_history_columns, feature_columns, flag_columns, lag_columns, rolling_columns,
     slot_history_columns,
 )
-from hourmart.operators.history import same_day_history, same_slot_history
+from hourmart.operators.facts import merge_readings
+from hourmart.operators.history import (
+    CALENDAR_DAY, by_calendar_day, same_day_history, same_slot_history,
+)
 from hourmart.operators.lags import (
     calendar_lags, calendar_lags_join, rolling_by_frames, with_flags, with_rolling,
 )
@@ -21,8 +24,10 @@ from hourmart.operators.stats import (
     class_balance, classification_metrics, daily_stats, error_metrics, split_date, wet_share,
     year_bounds,
 )
-from hourmart.plans.features import training_table
+from hourmart.operators.dims import dim_entity
+from hourmart.plans.features import model_rows, training_table
 from hourmart.plans.training import sample_weights
+from hourmart.session import written
 
 
 def _daily(spark, d):
@@ -60,7 +65,9 @@ def q_rolling_frames(spark, d):
 
 
 def _training(spark, d):
-    return training_table(slot_rows(spark, d), _daily(spark, d), SLOT)
+    rows = by_calendar_day(lines(spark, d), SLOT)
+    return training_table(
+        merge_readings(rows, SLOT, CALENDAR_DAY), daily_stats(rows, SLOT, CALENDAR_DAY), SLOT)
 
 
 def q_training_table(spark, d):
@@ -78,6 +85,18 @@ def q_complete_rows(spark, d):
     return rounded(rows.select(*SLOT.keys, *_COMPLETE))
 
 
+def q_model_rows(spark, d):
+    """What the models learn from: all inputs and targets, only rows in which nothing is missing."""
+    rows = by_calendar_day(lines(spark, d), DAY)
+    actual = merge_readings(rows, DAY, CALENDAR_DAY)
+    entities = written(dim_entity(rows, "entity", "entity_id"), "entities")
+    table = training_table(actual.join(entities, "entity"), daily_stats(rows, DAY, CALENDAR_DAY), DAY)
+    found = model_rows(table, DAY).select(*dict.fromkeys(
+        ["entity", "full_date", *feature_columns(DAY), *SHORTS]))
+    whole = ("month", "day", "day_of_year", "day_of_week")
+    return rounded(found.withColumns({c: F.col(c).cast("int") for c in whole}))
+
+
 def q_time_split_counts(spark, d):
     rows = day_rows(spark, d)
     at = split_date(rows, "full_date").scalar()
@@ -133,6 +152,7 @@ QUERIES = {
     "rolling_frames": q_rolling_frames,
     "training_table": q_training_table,
     "complete_rows": q_complete_rows,
+    "model_rows": q_model_rows,
     "time_split_counts": q_time_split_counts,
     "sample_weights": q_sample_weights,
     "class_balance": q_class_balance,
@@ -215,7 +235,7 @@ SELECT entity, year, month_day, slot, {r6_all(*_SLOT_OUT)}, years_count FROM slo
 _LAG_SQL = with_(LINES, DAYS, _lagged("days")) + f"""
 SELECT entity, full_date, {r6_all(*SHORTS, *lag_columns(DAY))} FROM lagged"""
 _slot_lags, _slot_joins = lag_joins("dated", SHORTS, "slot")
-_TRAINING = with_(LINES, SLOTS, daily(), DAY_HISTORY, DATED_SLOTS, SLOT_HISTORY, f"""
+TRAINING_WIDE = f"""
 wide AS (
   SELECT f.*, {", ".join("h." + c for c in day_history_columns(DAY))},
          {", ".join("hh." + c for c in _SLOT_OUT)}, {_slot_lags}
@@ -224,7 +244,8 @@ wide AS (
                          AND h.month_day = f.month_day
   LEFT JOIN slot_history hh ON hh.entity = f.entity AND hh.year = f.year
                            AND hh.month_day = f.month_day AND hh.slot = f.slot
-  {_slot_joins})""")
+  {_slot_joins})"""
+_TRAINING = with_(LINES, SLOTS, daily(), DAY_HISTORY, DATED_SLOTS, SLOT_HISTORY, TRAINING_WIDE)
 
 
 def _cycle(value: str, period: str, name: str) -> str:
@@ -232,7 +253,43 @@ def _cycle(value: str, period: str, name: str) -> str:
     return f"{r6(f'sin({angle})', f'{name}_sin')}, {r6(f'cos({angle})', f'{name}_cos')}"
 
 
+def _rolling_plain() -> str:
+    return ", ".join(
+        f"list_avg([{near}]) AS rolling_3d_{s}_mean, list_avg([{far}]) AS rolling_7d_{s}_mean, "
+        f"list_stddev_samp([{near}]) AS rolling_3d_{s}_std, lag_1d_{s} - lag_3d_{s} AS trend_3d_{s}"
+        for s in SHORTS
+        for near, far in [(", ".join(f"lag_{n}d_{s}" for n in range(1, 4)), ", ".join(f"lag_{n}d_{s}" for n in range(1, 8)))])
+
+
+_MODEL_WHOLE = {"entity_id": "entity_id", "years_count": "years_count", "month": "CAST(month(full_date) AS INTEGER)",
+                "day": "CAST(day(full_date) AS INTEGER)", "day_of_year": "CAST(dayofyear(full_date) AS INTEGER)",
+                "day_of_week": "CAST(isodow(full_date) AS INTEGER)",
+                "recent_rain_count": "CAST(" + " + ".join(_flag(n) for n in (1, 2, 3)) + " AS INTEGER)",
+                **{f"lag_{n}d_is_rainy": f"CAST({_flag(n)} AS INTEGER)" for n in (1, 2, 3)}}
+_MODEL_CYCLES = {
+    f"{name}_{f}": f"{f}(2 * pi() * {value}(full_date) / {period}::DOUBLE)"
+    for name, value, period in (("doy", "dayofyear", 365.25), ("month", "month", 12.0)) for f in ("sin", "cos")}
+_day_lags, _day_joins = lag_joins("days", SHORTS)
+_REQUIRED = [c for c in feature_columns(DAY) if c in {*lag_columns(DAY), *day_history_columns(DAY)}]
+_MODEL_SQL = with_(LINES, DAYS, daily(), DAY_HISTORY, """
+entities AS (
+  SELECT entity, CAST(row_number() OVER (ORDER BY entity) AS INTEGER) AS entity_id
+  FROM (SELECT DISTINCT entity FROM lines))""", f"""
+wide AS (
+  SELECT f.*, entity_id, {", ".join("h." + c for c in day_history_columns(DAY))}, {_day_lags}
+  FROM days f JOIN entities e ON e.entity = f.entity
+  LEFT JOIN day_history h ON h.entity = f.entity AND h.year = year(f.full_date)
+                         AND h.month_day = month(f.full_date) * 100 + day(f.full_date)
+  {_day_joins})""", f"""
+rolled AS (SELECT *, {_rolling_plain()} FROM wide)""") + f"""
+SELECT entity, full_date, {", ".join(
+    f"{_MODEL_WHOLE[c]} AS {c}" if c in _MODEL_WHOLE else r6(_MODEL_CYCLES.get(c, c), c) for c in feature_columns(DAY))},
+  {r6_all(*SHORTS)}
+FROM rolled WHERE {" AND ".join(f"{c} IS NOT NULL" for c in (*_REQUIRED, *SHORTS))}"""
+
+
 ORACLES = {
+    "model_rows": _MODEL_SQL,
     "hist_same_day": _HIST_SQL,
     "hist_same_day_slot": _SLOT_SQL,
     "calendar_lags": _LAG_SQL,

@@ -59,7 +59,9 @@ def cyclic_parts(panel: Panel, date: Column) -> dict[str, Column]:
 
 
 def with_calendar(df: DataFrame, panel: Panel) -> DataFrame:
-    return df.withColumns(calendar_parts(F.col(panel.date)))
+    """The calendar parts that ``df`` does not have yet."""
+    parts = calendar_parts(F.col(panel.date))
+    return df.withColumns({n: c for n, c in parts.items() if n not in df.columns})
 
 
 def with_cyclic(df: DataFrame, panel: Panel) -> DataFrame:

@@ -53,6 +53,10 @@ def dedup_fact(df: DataFrame, panel: Panel, prefer: list[str] | None = None) ->
     return kept.select(*panel.keys, *[F.col(f"_row.{c}").alias(c) for c in rest])
 
 
-def merge_readings(df: DataFrame, panel: Panel) -> DataFrame:
-    """One row per key holding the mean of each measure."""
-    return df.groupBy(*panel.keys).agg(*[F.avg(c).alias(c) for c in panel.columns])
+def merge_readings(df: DataFrame, panel: Panel, within: tuple[str, ...] = ()) -> DataFrame:
+    """One row per key holding the mean of each measure.
+
+    ``within`` names columns that follow from the key; rows that already lie together by some of
+    them are not shuffled again.
+    """
+    return df.groupBy(*within, *panel.keys).agg(*[F.avg(c).alias(c) for c in panel.columns])

@@ -21,6 +21,19 @@ def _earlier_years(*by: str):
     )
 
 
+CALENDAR_DAY = ("year", "month_day")
+
+
+def by_calendar_day(rows: DataFrame, panel: Panel) -> DataFrame:
+    """Rows with year and month-day, those of one entity and calendar day lying together.
+
+    The one shuffle that slot history, daily statistics and their history take between them.
+    """
+    day = F.col(panel.date)
+    parts = {"year": F.year(day).cast("smallint"), "month_day": month_day(day).cast("smallint")}
+    return rows.withColumns(parts).repartition(panel.entity, "month_day")
+
+
 def _day_history(panel: Panel, over) -> dict[str, Column]:
     """Mean of daily means, mean of daily deviations, min of mins, max of maxes."""
     found = {}
@@ -46,6 +59,23 @@ def same_day_history(daily: DataFrame, panel: Panel) -> DataFrame:
     )
 
 
+def with_day_history(rows: DataFrame, daily: DataFrame, panel: Panel) -> DataFrame:
+    """Rows with the same-day history columns; NULL without an earlier year.
+
+    The history of an entity and calendar day is one row with an entry a year, so the join is by
+    entity and calendar day alone: rows that lie together by these, like :func:`by_calendar_day`
+    leaves them, are not shuffled for it.
+    """
+    names = day_history_columns(panel)
+    entry = F.struct(F.col("year").cast("int").alias("year"), F.struct(*names).alias("history"))
+    years = (
+        same_day_history(daily, panel).groupBy(panel.entity, "month_day")
+        .agg(F.map_from_entries(F.collect_list(entry)).alias("_years")))
+    found = rows.join(years, [panel.entity, "month_day"], "left").withColumn(
+        "_history", F.try_element_at("_years", F.col("year").cast("int")))
+    return found.select(*rows.columns, *[F.col(f"_history.{n}").alias(n) for n in names])
+
+
 def _slot_history(panel: Panel, over, known: Column | None = None) -> dict[str, Column]:
     found = {}
     for s, column in panel.measures:
@@ -75,8 +105,9 @@ def same_slot_history(fact: DataFrame, panel: Panel) -> DataFrame:
     """Per entity, year, calendar day and slot: the earlier years' raw values."""
     over = _earlier_years(*panel.series, "month_day")
     day = F.col(panel.date)
+    parts = {"year": F.year(day), "month_day": month_day(day)}
     return (
-        fact.withColumns({"year": F.year(day), "month_day": month_day(day)})
+        fact.withColumns({n: c for n, c in parts.items() if n not in fact.columns})
         .withColumns({**_slot_history(panel, over), "years_count": F.count("year").over(over)})
         .where(F.col("years_count") > 0)
         .select(panel.entity, "year", "month_day", panel.slot,

@@ -9,11 +9,12 @@ from hourmart.functions.numeric import wet_flag
 from hourmart.model import TRAIN_QUANTILE, Panel
 
 
-def daily_stats(fact: DataFrame, panel: Panel) -> DataFrame:
+def daily_stats(fact: DataFrame, panel: Panel, within: tuple[str, ...] = ()) -> DataFrame:
     """Mean, sample deviation, min and max of each measure by entity and day.
 
     One hash aggregate with map-side combine; year and month-day are derived
-    from the date afterwards instead of widening the grouping key.
+    from the date afterwards instead of widening the grouping key. Where ``within``
+    names them, rows that already lie together by them are not shuffled again.
     """
     stats = []
     for short, column in panel.measures:
@@ -24,9 +25,10 @@ def daily_stats(fact: DataFrame, panel: Panel) -> DataFrame:
     if panel.wet_column:
         stats.append(F.sum(panel.wet_column).alias(f"{panel.wet}_total"))
     day = F.col(panel.date)
+    parts = {"year": F.year(day), "month_day": month_day(day)}
     return (
-        fact.groupBy(panel.entity, panel.date).agg(*stats)
-        .withColumns({"year": F.year(day), "month_day": month_day(day)})
+        fact.groupBy(*within, panel.entity, panel.date).agg(*stats)
+        .withColumns({n: c for n, c in parts.items() if n not in within})
     )
 
 
@@ -35,6 +37,31 @@ def wet_share(value: Column, above: float) -> Column:
     return F.avg(wet_flag(value, above).cast("double"))
 
 
+def column_profile(tables: dict[str, DataFrame]) -> DataFrame:
+    """Per table and column the number of values, and their sum: lengths of texts, days since the epoch of dates.
+
+    One aggregate per table; equal profiles mean equal contents for all but chance.
+    """
+    def value(name: str, kind: str) -> Column:
+        column = F.col(name)
+        if kind == "string":
+            return F.length(column)
+        return F.unix_date(column) if kind == "date" else column.cast("int") if kind == "boolean" else column
+
+    found = []
+    for table, df in tables.items():
+        cells = F.array(*[
+            F.struct(F.lit(name).alias("column"), value(name, kind).cast("double").alias("value")) for name, kind in df.dtypes])
+        found.append(
+            df.select(F.inline(cells)).groupBy("column")
+            .agg(F.count("value").alias("n_known"), F.sum("value").alias("total"))
+            .select(F.lit(table).alias("table"), "column", "n_known", "total"))
+    result = found[0]
+    for other in found[1:]:
+        result = result.unionByName(other)
+    return result
+
+
 def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
     """One row per table with its row count."""
     counts = [

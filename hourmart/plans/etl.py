@@ -7,15 +7,19 @@ from pyspark.sql import DataFrame
 from hourmart.model import FACT_HOURLY, GAUGES, Panel
 from hourmart.operators.dims import dim_date, dim_entity, dim_hour
 from hourmart.operators.facts import dedup_fact, load_fact, star_view
-from hourmart.sources.readings_csv import read_readings
+from hourmart.session import written
+from hourmart.sources.readings_csv import marked_readings, split_readings
 from hourmart.sources.tables import Warehouse
 
 _KEYED = Panel(entity="district_id", date="date_id", slot="hour_id", measures=GAUGES.measures)
 
 
 def extract(warehouse: Warehouse, csv_path: str | list[str]) -> tuple[DataFrame, DataFrame]:
-    """Load CSV files into staging; rejected lines are kept beside it."""
-    readings, rejects = read_readings(warehouse.spark, csv_path)
+    """Load CSV files into staging; rejected lines are kept beside it.
+
+    The text is parsed once: marked rows are written, and both tables come from there.
+    """
+    readings, rejects = split_readings(written(marked_readings(warehouse.spark, csv_path), "marked"))
     return (
         warehouse.refresh("staging/raw_weather", readings),
         warehouse.refresh("staging/raw_weather_rejects", rejects),
@@ -27,7 +31,8 @@ def load_star(warehouse: Warehouse, readings: DataFrame) -> None:
 
     Dimensions are stored before the fact joins them, so their sizes are known.
     Forecasts are keyed by name and date and are not touched by a reload. The
-    fact is stored by year, sorted by day inside files, one row per key.
+    fact is stored by year, dealt out by ranges of days, so that a day lies in a few
+    files, and sorted by day inside them, one row per key.
     """
     named = readings.withColumnRenamed("district", "district_name")
     districts = warehouse.refresh("dw/dim_district", dim_entity(named, "district_name"))
@@ -38,7 +43,8 @@ def load_star(warehouse: Warehouse, readings: DataFrame) -> None:
     keyed = fact.join(dates.select("date_id", "full_date", "year"), "date_id")
     keyed = keyed.select(*FACT_HOURLY.names)
     warehouse.refresh(
-        "dw/fact_weather_hourly", keyed, partition_by=["year"], sort_by=["full_date"])
+        "dw/fact_weather_hourly", keyed, partition_by=["year"], sort_by=["full_date"],
+        range_by=["year", "full_date"])
 
 
 def actual_rows(warehouse: Warehouse) -> DataFrame:

@@ -11,7 +11,8 @@ from hourmart.model import (
     lag_columns, rolling_columns, slot_history_columns,
 )
 from hourmart.operators.history import (
-    day_history_for, same_day_history, same_slot_history, slot_history_for, with_slot_history,
+    CALENDAR_DAY, by_calendar_day, day_history_for, same_day_history, same_slot_history, slot_history_for,
+    with_day_history, with_slot_history,
 )
 from hourmart.operators.lags import calendar_lags, lags_for, lags_for_day, with_flags, with_rolling
 from hourmart.operators.stats import daily_stats
@@ -23,14 +24,14 @@ def training_table(fact: DataFrame, daily: DataFrame, panel: Panel) -> DataFrame
     """One row per fact row with calendar, history, lag, flag and target columns.
 
     Slot history and lags are windows over the fact itself, so the fact is read
-    once and joined only to the far smaller daily history. The step that adds
+    once and joined only to the far smaller daily history. If fact and daily rows lie
+    together by entity and calendar day, neither history shuffles them. The step that adds
     the most columns comes last, which keeps the earlier shuffles narrow.
     """
-    history = same_day_history(daily, panel)
     rows = with_calendar(fact, panel)
     if panel.slot:
         rows = with_slot_history(rows, panel)
-    rows = rows.join(history, [panel.entity, "year", "month_day"], "left")
+    rows = with_day_history(rows, daily, panel)
     rows = with_flags(calendar_lags(rows, panel), panel)
     rows = with_cyclic(rows, panel)
     carried = [c for c in (panel.entity_id,) if c in fact.columns]
@@ -87,14 +88,20 @@ def _assemble(targets, lags, fact, daily, panel: Panel, lag_keys: list[str]) ->
 
 
 def build_feature_tables(warehouse: Warehouse, panel: Panel = GAUGES) -> None:
-    """Daily statistics, both histories and the training table, each stored once."""
+    """Daily statistics, both histories and the training table, each stored once.
+
+    The fact is shuffled once, into buckets by entity and calendar day. Statistics and histories come
+    from there without another shuffle; only lags, which run along the days, need their own.
+    """
     fact = actual_rows(warehouse).select(panel.entity_id, *panel.keys, *panel.columns)
-    daily = warehouse.refresh(
-        "features/agg_daily_weather", daily_stats(fact, panel),
-        partition_by=["year"], sort_by=[panel.date])
+    rows = warehouse.refresh_buckets(
+        "features/calendar_rows", by_calendar_day(fact, panel), [panel.entity, "month_day"])
+    daily = daily_stats(rows, panel, CALENDAR_DAY)
+    warehouse.refresh(
+        "features/agg_daily_weather", daily, partition_by=["year"], sort_by=[panel.date])
     warehouse.refresh("features/agg_historical_same_day", same_day_history(daily, panel))
     warehouse.refresh(
-        "features/agg_historical_same_day_hour", same_slot_history(fact, panel))
+        "features/agg_historical_same_day_hour", same_slot_history(rows, panel))
     warehouse.refresh(
-        "features/mv_training_features", training_table(fact, daily, panel),
+        "features/mv_training_features", training_table(rows, daily, panel),
         partition_by=["year"], sort_by=[panel.date])

@@ -11,10 +11,10 @@ _BROKEN = "_broken_line"
 _NAMES = ["district", "datetime", *GAUGES.columns]
 
 
-def read_readings(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame]:
-    """Readings and rejects. Columns are taken by position, whatever the header says.
+def marked_readings(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Lines as text, their converted values, and why a line is rejected.
 
-    Fields are read as text and converted one by one, so a value that does not
+    Columns are taken by position, whatever the header says. Fields are read as text and converted one by one, so a value that does not
     parse is told apart from one that is absent. A row is rejected, with a
     reason, if its line has the wrong number of fields, its name or timestamp
     is unusable, or a measure is not a number. NaN measures become NULL.
@@ -35,9 +35,13 @@ def read_readings(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame
         F.when(F.col("district").isNull(), F.lit("district")),
         F.when(when.isNull(), F.lit("datetime")),
         *bad_number)
-    marked = lines.withColumn("reason", reason)
-    readings = marked.where(F.col("reason").isNull()).select(
-        "district", when.alias("datetime"),
-        *[null_if_nan(n).alias(c) for c, n in numbers.items()])
-    rejects = marked.where(F.col("reason").isNotNull()).select(*_NAMES, "reason")
-    return readings, rejects
+    kept = F.struct("district", when.alias("datetime"), *[null_if_nan(n).alias(c) for c, n in numbers.items()])
+    return lines.select(
+        F.when(reason.isNull(), kept).alias("reading"),
+        F.when(reason.isNotNull(), F.struct(*_NAMES, reason.alias("reason"))).alias("reject"))
+
+
+def split_readings(marked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Readings, and rejected lines with their reason."""
+    return (marked.where(F.col("reading").isNotNull()).select("reading.*"),
+            marked.where(F.col("reject").isNotNull()).select("reject.*"))

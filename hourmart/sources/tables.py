@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from dataclasses import dataclass
 
@@ -13,7 +14,7 @@ from hourmart.session import written
 
 # Conditions Spark reports for a table with no files yet.
 _ABSENT = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
-_COMMITS = "_commits"
+_COMMITS, _LAYOUT = "_commits", "_layout"
 
 
 @dataclass(frozen=True)
@@ -94,6 +95,41 @@ class Warehouse:
         self._commit(table, version)
         return self.read(table)
 
+    def refresh_buckets(self, table: str, df: DataFrame, by: list[str], buckets: int | None = None) -> DataFrame:
+        """Full refresh into buckets by the hash of ``by``, one file each.
+
+        Operators that bring rows together by these columns take what :meth:`read_buckets` returns
+        as it lies. There are as many buckets as shuffle partitions unless a number is given.
+        """
+        buckets = buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        version = self._new_version()
+        folder = f"{self.home(table)}/{version}"
+        (
+            df.repartition(buckets, *by).write.format("parquet").bucketBy(buckets, *by).sortBy(*by)
+            .option("path", folder).saveAsTable(self._name(version))
+        )
+        layout = F.lit(json.dumps({"by": by, "buckets": buckets})).alias("value")
+        self.spark.range(1).select(layout).write.text(f"{folder}/{_LAYOUT}")
+        self._commit(table, version)
+        return self.read_buckets(table)
+
+    @staticmethod
+    def _name(version: str) -> str:
+        return "hourmart_" + version.replace("-", "_")
+
+    def read_buckets(self, table: str) -> DataFrame:
+        """A bucketed table; another session than the writer's is told of its layout first."""
+        version = self.version(table)
+        name, folder = self._name(version), f"{self.home(table)}/{version}"
+        if not self.spark.catalog.tableExists(name):
+            layout = json.loads(self.spark.read.text(f"{folder}/{_LAYOUT}").first()[0])
+            columns = ", ".join(f"`{c}`" for c in layout["by"])
+            schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in self.spark.read.parquet(folder).schema)
+            self.spark.sql(
+                f"CREATE TABLE {name} ({schema}) USING parquet CLUSTERED BY ({columns}) "
+                f"SORTED BY ({columns}) INTO {layout['buckets']} BUCKETS LOCATION '{folder}'")
+        return self.spark.table(name)
+
     def _new_version(self) -> str:
         return f"v-{uuid.uuid4().hex}"
 
