@@ -98,7 +98,7 @@ def q_model_rows(spark, d):
 
 
 def q_time_split_counts(spark, d):
-    rows = day_rows(spark, d)
+    rows = written(day_rows(spark, d), "days")     # read once for the split and once for the counts
     at = split_date(rows, "full_date").scalar()
     earlier, later = (
         F.count_if(F.col("full_date") <= at), F.count_if(F.col("full_date") > at))
@@ -107,7 +107,7 @@ def q_time_split_counts(spark, d):
 
 
 def q_sample_weights(spark, d):
-    rows = day_rows(spark, d).withColumn("year", F.year("full_date"))
+    rows = written(day_rows(spark, d), "days").withColumn("year", F.year("full_date"))
     return rounded(sample_weights(rows).select("entity", "full_date", "weight"))
 
 
@@ -271,7 +271,7 @@ _MODEL_CYCLES = {
     for name, value, period in (("doy", "dayofyear", 365.25), ("month", "month", 12.0)) for f in ("sin", "cos")}
 _day_lags, _day_joins = lag_joins("days", SHORTS)
 _REQUIRED = [c for c in feature_columns(DAY) if c in {*lag_columns(DAY), *day_history_columns(DAY)}]
-_MODEL_SQL = with_(LINES, DAYS, daily(), DAY_HISTORY, """
+MODEL_ROWS = with_(LINES, DAYS, daily(), DAY_HISTORY, """
 entities AS (
   SELECT entity, CAST(row_number() OVER (ORDER BY entity) AS INTEGER) AS entity_id
   FROM (SELECT DISTINCT entity FROM lines))""", f"""
@@ -289,7 +289,7 @@ FROM rolled WHERE {" AND ".join(f"{c} IS NOT NULL" for c in (*_REQUIRED, *SHORTS
 
 
 ORACLES = {
-    "model_rows": _MODEL_SQL,
+    "model_rows": MODEL_ROWS,
     "hist_same_day": _HIST_SQL,
     "hist_same_day_slot": _SLOT_SQL,
     "calendar_lags": _LAG_SQL,

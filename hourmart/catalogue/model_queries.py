@@ -1,10 +1,13 @@
-"""Model fitting, scoring and chained forecasts; no SQL counterpart."""
+"""Model fitting, scoring and chained forecasts by trees; SQL can say only what survives saving."""
 
 from __future__ import annotations
 
 from datetime import datetime
 
+from pyspark.sql import functions as F
+
 from hourmart.catalogue.bindings import DAY, day_rows, lines
+from hourmart.catalogue.feature_queries import MODEL_ROWS
 from hourmart.catalogue.stream_queries import scratch
 from hourmart.catalogue.write_queries import RULES
 from hourmart.operators.dims import dim_entity
@@ -12,7 +15,7 @@ from hourmart.operators.stats import daily_stats, split_date
 from hourmart.plans.features import model_rows, training_table
 from hourmart.plans.forecast import ForecastJob, run_batch
 from hourmart.plans.training import (
-    Models, TrainSettings, fit_prepare, fit_rain, fit_values, sample_weights, score, time_split,
+    Models, TrainSettings, fit_all, fit_prepare, fit_rain, fit_values, sample_weights, score, time_split,
     train, vectors,
 )
 from hourmart.session import written
@@ -68,10 +71,28 @@ def q_chained_forecast(spark, d):
     return run_batch(job, None, datetime(2026, 3, 20, 0, 5), days=2).stored
 
 
+def q_models_reloaded(spark, d):
+    """Every model row scored by models as fitted and as loaded again: how many rows differ."""
+    rows = written(_prepared(spark, d)[3], "model_rows")
+    prepare = fit_prepare(rows, DAY)
+    fit_on = written(vectors(sample_weights(rows), prepare, DAY, [*DAY.columns, "weight"]), "vectors")
+    models, folder = fit_all(fit_on, DAY, TrainSettings.small(trees=2, depth=3), prepare), f"{scratch(spark)}/models"
+    models.save(spark, folder)
+    keep = [*DAY.keys]
+    before, after = (m.score(rows, keep) for m in (models, Models.load(spark, folder, DAY)))
+    same = F.lit(True)
+    for c in before.columns:
+        same = same & F.col(f"b.{c}").eqNullSafe(F.col(f"a.{c}"))
+    return before.alias("b").join(after.alias("a"), DAY.keys).agg(
+        F.count(F.lit(1)).alias("scored"), F.count_if(~same).alias("different"))
+
+
 QUERIES = {
+    "models_reloaded": q_models_reloaded,
     "gbt_forecast": q_gbt_forecast,
     "two_stage": q_two_stage,
     "model_metrics": q_model_metrics,
     "chained_forecast": q_chained_forecast,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "models_reloaded": f"SELECT count(*) AS scored, CAST(0 AS BIGINT) AS different FROM ({MODEL_ROWS})"}

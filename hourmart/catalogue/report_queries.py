@@ -58,6 +58,27 @@ def q_hourly_document(spark, d):
         F.col("summary.rain_total").alias("rain_total"))
 
 
+def q_actual_documents(spark, d):
+    """Documents of measured days opened up again: one row per entry, with the day's summary."""
+    documents = reports.actual_documents(actual_slots(spark, d), SLOT)
+    return documents.select("entity", "full_date", F.inline("hourly"), "summary").select(
+        "entity", "full_date", "slot", *SHORTS, "period_of_day",
+        *[F.col(f"summary.{c}").alias(c) for c in ("temp_min", "temp_max", "temp_avg", "wind_max")])
+
+
+PLACE, DAY_ASKED = "FRANCE", "1998-06-15"      # what a reader asks for
+
+
+def q_entity_document(spark, d):
+    """All forecast days of one place as JSON, in day order."""
+    return reports.as_json(reports.entity_document(forecast_rows(spark, d), SLOT, PLACE), SLOT)
+
+
+def q_entity_day_document(spark, d):
+    """One place on one day as JSON."""
+    return reports.as_json(reports.entity_day_document(forecast_rows(spark, d), SLOT, PLACE, DAY_ASKED), SLOT)
+
+
 def q_document_json(spark, d):
     return reports.as_json(reports.forecast_documents(forecast_rows(spark, d), SLOT), SLOT)
 
@@ -107,6 +128,9 @@ QUERIES = {
     "forecast_hours": q_forecast_hours,
     "actual_hours": q_actual_hours,
     "hourly_document": q_hourly_document,
+    "actual_documents": q_actual_documents,
+    "entity_document": q_entity_document,
+    "entity_day_document": q_entity_day_document,
     "document_json": q_document_json,
     "forecast_days": q_forecast_days,
     "forecast_listing": q_forecast_listing,
@@ -156,6 +180,18 @@ _entry_fields = ", ".join(
     [_field(_even(s, 2 if s == "rain" else 1, s)) for s in SHORTS]
     + [_field(_even("rain_probability", 1, "rain_probability"))])
 
+
+def _documents(where: str = "") -> str:
+    return _FORECAST + f"""
+SELECT entity, full_date, CAST(to_json({{
+         'district': entity, 'date': strftime(full_date, '%Y-%m-%d'),
+         'hourly': list({{'slot': slot, {_entry_fields},
+                         'description': description}} ORDER BY slot),
+         'summary': {{{_summary_fields}}}}}) AS VARCHAR) AS document
+FROM (SELECT *, {_SLOT_LABEL} AS description FROM forecast_slots {where})
+GROUP BY entity, full_date"""
+
+
 ORACLES = {
     "forecast_summary": _FORECAST + f"""
 SELECT entity, full_date, {_up("min(temp)", 1, "temp_min")}, {_up("max(temp)", 1, "temp_max")},
@@ -201,14 +237,17 @@ SELECT entity, full_date,
        {_even("avg(temp) OVER (PARTITION BY entity, full_date)", 1, "temp_avg")},
        {_even("sum(rain) OVER (PARTITION BY entity, full_date)", 2, "rain_total")}
 FROM forecast_slots""",
-    "document_json": _FORECAST + f"""
-SELECT entity, full_date, CAST(to_json({{
-         'district': entity, 'date': strftime(full_date, '%Y-%m-%d'),
-         'hourly': list({{'slot': slot, {_entry_fields},
-                         'description': description}} ORDER BY slot),
-         'summary': {{{_summary_fields}}}}}) AS VARCHAR) AS document
-FROM (SELECT *, {_SLOT_LABEL} AS description FROM forecast_slots)
-GROUP BY entity, full_date""",
+    "actual_documents": with_(LINES, ACTUAL_SLOTS) + f"""
+SELECT a.entity, a.full_date, slot, {_SHOWN},
+       CASE WHEN slot < 6 THEN 'Night' WHEN slot < 12 THEN 'Morning'
+            WHEN slot < 18 THEN 'Afternoon' ELSE 'Evening' END AS period_of_day,
+       temp_min, temp_max, temp_avg, wind_max
+FROM actual_slots a JOIN (
+  SELECT entity, full_date, {", ".join(p for p in _SUMMARY_PARTS if "hum" not in p and "rain" not in p)}
+  FROM actual_slots GROUP BY entity, full_date) s ON s.entity = a.entity AND s.full_date = a.full_date""",
+    "document_json": _documents(),
+    "entity_document": _documents(f"WHERE entity = '{PLACE}'"),
+    "entity_day_document": _documents(f"WHERE entity = '{PLACE}' AND full_date = DATE '{DAY_ASKED}'"),
     "forecast_days": with_(LINES)
     + "SELECT DISTINCT full_date FROM lines WHERE status = 'O' ORDER BY full_date",
     "forecast_listing": _FORECAST + f"""

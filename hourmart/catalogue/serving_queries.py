@@ -14,10 +14,10 @@ from hourmart.catalogue.bindings import (
 from hourmart.catalogue.feature_queries import SLOT_STATS, lag_joins
 from hourmart.model import LAG_DAYS, day_history_columns, lag_columns, slot_history_columns
 from hourmart.operators.history import day_history_for, slot_history_for
-from hourmart.operators.lags import lags_for, lags_for_day
+from hourmart.operators.lags import lags_at, lags_for, lags_for_day
 from hourmart.operators.serving import (
-    coverage_by_day, coverage_gaps, day_spine, days_present, last_date, prefer_actual,
-    prefer_actual_ranked, slot_spine,
+    backfill_columns, coverage_by_day, coverage_gaps, day_spine, days_present, last_date, prefer_actual,
+    prefer_actual_ranked, prefer_actual_tagged, slot_spine,
 )
 from hourmart.operators.stats import daily_stats, error_metrics
 from hourmart.plans.forecast import batch_details, batch_totals, forecast_errors, known_entities
@@ -46,9 +46,21 @@ def q_source_priority_ranked(spark, d):
 
 def q_serving_lags(spark, d):
     """Lags of every forecast day, from actuals where there are any."""
+    source = prefer_actual_tagged(lines(spark, d), DAY, F.col("status") == "F")
+    return rounded(lags_at(source, DAY, F.col("has_forecast")))
+
+
+def q_serving_lags_for(spark, d):
+    """The same for targets given beside the history."""
     return rounded(lags_for(_source(spark, d), forecast_days(spark, d), DAY))
 
 
+def q_known_columns(spark, d):
+    """Serving rows with every trained column, those that are missing as NULL."""
+    return rounded(backfill_columns(actual_days(spark, d), ["entity", "full_date", "rain", "gust", "temp"]).select(
+        "entity", "full_date", "temp", "rain", "gust"))
+
+
 def q_serving_lags_next_day(spark, d):
     """Lags of the day after the last one known."""
     last = last_date(lines(spark, d), "full_date", "1970-01-01").first()[0]
@@ -130,6 +142,8 @@ QUERIES = {
     "source_priority": q_source_priority,
     "source_priority_ranked": q_source_priority_ranked,
     "serving_lags": q_serving_lags,
+    "serving_lags_for": q_serving_lags_for,
+    "known_columns": q_known_columns,
     "serving_lags_next_day": q_serving_lags_next_day,
     "serving_day_history": q_serving_day_history,
     "serving_slot_history": q_serving_slot_history,
@@ -148,12 +162,9 @@ QUERIES = {
 # --------------------------------------------------------------------------
 _SOURCE = """
 source AS (
-  SELECT entity, full_date, temp, hum, wind, rain, source FROM (
-    SELECT *, row_number() OVER (PARTITION BY entity, full_date
-                                 ORDER BY CASE source WHEN 'actual' THEN 0 ELSE 1 END) AS rn
-    FROM (SELECT *, 'actual' AS source FROM actual
-          UNION ALL SELECT *, 'forecast' FROM forecast))
-  WHERE rn = 1)"""
+  SELECT entity, full_date, temp, hum, wind, rain, 'actual' AS source FROM actual
+  UNION ALL
+  SELECT entity, full_date, temp, hum, wind, rain, 'forecast' FROM forecast ANTI JOIN actual USING (entity, full_date))"""
 _PRIORITY = with_(LINES, ACTUAL, FORECAST, _SOURCE) + f"""
 SELECT entity, full_date, {r6_all(*SHORTS)}, source FROM source"""
 _lags, _joins = lag_joins("source", SHORTS)
@@ -178,12 +189,17 @@ errors AS (
     f"f.{s} AS {s}_pred, a.{s} AS {s}, f.{s} - a.{s} AS {s}_error" for s in SHORTS) + """
   FROM forecast f JOIN actual a USING (entity, full_date))"""
 
+_SERVING_LAGS = with_(LINES, ACTUAL, FORECAST, _SOURCE, f"""
+lagged AS (SELECT f.entity, f.full_date, {_lags} FROM forecast f {_joins})""") + f"""
+SELECT entity, full_date, {r6_all(*lag_columns(DAY))} FROM lagged"""
+
 ORACLES = {
     "source_priority": _PRIORITY,
     "source_priority_ranked": _PRIORITY,
-    "serving_lags": with_(LINES, ACTUAL, FORECAST, _SOURCE, f"""
-lagged AS (SELECT f.entity, f.full_date, {_lags} FROM forecast f {_joins})""") + f"""
-SELECT entity, full_date, {r6_all(*lag_columns(DAY))} FROM lagged""",
+    "serving_lags": _SERVING_LAGS,
+    "serving_lags_for": _SERVING_LAGS,
+    "known_columns": with_(LINES, ACTUAL) + f"""
+SELECT entity, full_date, {r6_all("temp", "rain")}, CAST(NULL AS DOUBLE) AS gust FROM actual""",
     "serving_lags_next_day": with_(LINES, ACTUAL, FORECAST, _SOURCE, f"""
 lagged AS (
   SELECT entity, {_NEXT}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from hourmart.catalogue.bindings import (
@@ -13,6 +15,9 @@ from hourmart.operators.writes import (
     add_column_if_missing, conditional_delete, conditional_update, delete_keys,
     insert_if_absent, latest_per_key, replace_groups, upsert,
 )
+from hourmart.plans.scoring import in_range, two_stage
+from hourmart.session import shared_folder, written
+from hourmart.sources.tables import Warehouse
 
 KEYS = DAY.keys
 RULES = (RangeRule("temperature", "temp", 5.0, 45.0), RangeRule("humidity", "hum", 0.0, 100.0))
@@ -97,7 +102,51 @@ def q_touch_stamp(spark, d):
     return rounded(touch(forecast_days(spark, d), stamp()))
 
 
+def _stored(spark, d):
+    """Actual days as a stored table by year, and the forecast days that come in."""
+    actual, forecast = (df.withColumn("year", F.year("full_date")) for df in _both(spark, d))
+    warehouse = Warehouse(spark, f"{shared_folder(spark).rstrip('/')}/hourmart/{uuid.uuid4().hex}")
+    warehouse.refresh("days", actual, ["year"])
+    return warehouse, written(forecast, "forecast")
+
+
+def _days_of(warehouse):
+    return rounded(warehouse.read("days").drop("year"))
+
+
+def q_stored_replace(spark, d):
+    """Partition replace on stored files: only the years that come in are rewritten."""
+    warehouse, forecast = _stored(spark, d)
+    warehouse.replace("days", forecast, KEYS, "year")
+    return _days_of(warehouse)
+
+
+def q_stored_insert(spark, d):
+    warehouse, forecast = _stored(spark, d)
+    warehouse.insert_absent("days", forecast, KEYS, "year")
+    return _days_of(warehouse)
+
+
+def q_stored_upsert(spark, d):
+    warehouse, forecast = _stored(spark, d)
+    warehouse.upsert("days", forecast, KEYS, ["temp", "rain"], "year")
+    return _days_of(warehouse)
+
+
+def q_two_stage_rule(spark, d):
+    """Rain from a wet probability and an amount, and humidity kept in its range, line by line."""
+    rows = table(spark, d, "lineitem").select(
+        "l_orderkey", "l_linenumber",
+        two_stage(F.col("l_discount") * 9.99, F.col("l_tax") * 10.0 - 0.2).alias("rain"),
+        in_range("hum", F.col("l_quantity") * 2.5 - 5.0).alias("hum"))
+    return rounded(rows)
+
+
 QUERIES = {
+    "stored_replace": q_stored_replace,
+    "stored_insert": q_stored_insert,
+    "stored_upsert": q_stored_upsert,
+    "two_stage_rule": q_two_stage_rule,
     "partition_replace": q_partition_replace,
     "insert_if_absent": q_insert_if_absent,
     "upsert": q_upsert,
@@ -122,19 +171,31 @@ WITH guarded AS (
 _BAD_TEMP, _BAD_HUM = "(temp < 5 OR temp > 45)", "(hum < 0 OR hum > 100)"
 _AT = f"TIMESTAMP '{STAMP}'"
 
-ORACLES = {
-    "partition_replace": _AF + f"""{_OUT} FROM (
+_REPLACED = _AF + f"""{_OUT} FROM (
   SELECT * FROM actual ANTI JOIN forecast USING (entity, full_date)
-  UNION ALL SELECT * FROM forecast)""",
-    "insert_if_absent": _AF + f"""{_OUT} FROM (
+  UNION ALL SELECT * FROM forecast)"""
+_INSERTED = _AF + f"""{_OUT} FROM (
   SELECT * FROM actual
-  UNION ALL SELECT * FROM forecast ANTI JOIN actual USING (entity, full_date))""",
-    "upsert": _AF + f"""{_OUT} FROM (
+  UNION ALL SELECT * FROM forecast ANTI JOIN actual USING (entity, full_date))"""
+_UPSERTED = _AF + f"""{_OUT} FROM (
   SELECT entity, full_date, CASE WHEN f.temp IS NULL THEN a.temp ELSE f.temp END AS temp,
          CASE WHEN a.temp IS NULL THEN f.hum ELSE a.hum END AS hum,
          CASE WHEN a.temp IS NULL THEN f.wind ELSE a.wind END AS wind,
          CASE WHEN f.temp IS NULL THEN a.rain ELSE f.rain END AS rain
-  FROM actual a FULL JOIN forecast f USING (entity, full_date))""",
+  FROM actual a FULL JOIN forecast f USING (entity, full_date))"""
+
+ORACLES = {
+    "partition_replace": _REPLACED,
+    "stored_replace": _REPLACED,
+    "insert_if_absent": _INSERTED,
+    "stored_insert": _INSERTED,
+    "upsert": _UPSERTED,
+    "stored_upsert": _UPSERTED,
+    "two_stage_rule": f"""
+SELECT l_orderkey, l_linenumber,
+  {r6("CASE WHEN l_discount * 9.99::DOUBLE > 0.5 THEN greatest(l_tax * 10.0::DOUBLE - 0.2::DOUBLE, 0) ELSE 0 END", "rain")},
+  {r6("greatest(0, least(100, l_quantity * 2.5::DOUBLE - 5.0::DOUBLE))", "hum")}
+FROM lineitem""",
     "latest_per_key": """
 SELECT o_custkey, full_date, o_totalprice, o_orderkey, o_orderpriority FROM (
   SELECT o_custkey, CAST(o_orderdate AS DATE) AS full_date, o_totalprice, o_orderkey,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from hourmart.functions.numeric import known_count, row_mean, row_std, total, wet_flag
 from hourmart.model import (
@@ -85,15 +85,23 @@ def lags_for(history: DataFrame, targets: DataFrame, panel: Panel, horizon: int
     """
     spine = targets.select(*panel.keys).distinct().withColumn("_target", F.lit(True))
     day = F.col(panel.date)
-    first = targets.agg(F.date_sub(F.min(panel.date), horizon)).scalar()
-    last = targets.agg(F.max(panel.date)).scalar()
-    known = (
-        history.select(*panel.keys, *panel.columns).where((day >= first) & (day <= last)))
+    # both bounds from one pass over the targets
+    bounds = targets.agg(F.struct(
+        F.date_sub(F.min(panel.date), horizon).alias("first"), F.max(panel.date).alias("last"))).scalar()
+    known = history.select(*panel.keys, *panel.columns).where(
+        day.between(bounds.getField("first"), bounds.getField("last")))
     rows = known.join(spine, panel.keys, "full_outer")
     lagged = calendar_lags(rows, panel, horizon)
     return lagged.where("_target").drop("_target", *panel.columns)
 
 
+def lags_at(rows: DataFrame, panel: Panel, is_target: Column, horizon: int = LAG_DAYS) -> DataFrame:
+    """Lags of those rows of a history that are targets themselves: no join, no second read."""
+    columns = [*panel.keys, *[panel.lag(n, s) for n in range(1, horizon + 1) for s, _ in panel.measures]]
+    lagged = calendar_lags(rows.withColumn("_target", is_target), panel, horizon)
+    return lagged.where("_target").select(*columns)
+
+
 def with_flags(df: DataFrame, panel: Panel) -> DataFrame:
     """Wet flags of the nearest lags; an unknown lag counts as dry."""
     names = flag_columns(panel)

@@ -54,6 +54,22 @@ def prefer_actual(actual: DataFrame, forecast: DataFrame, panel: Panel) -> DataF
         F.when(has, "actual").otherwise("forecast").alias("source"))
 
 
+def prefer_actual_tagged(readings: DataFrame, panel: Panel, is_actual: Column) -> DataFrame:
+    """The same from one table that holds the raw readings of both sources: one scan, one shuffle.
+
+    Measures are averaged per key and source. ``has_forecast`` says whether the forecast has the key.
+    """
+    picked = readings.withColumn("_is_actual", is_actual).groupBy(*panel.keys).agg(
+        F.max("_is_actual").alias("_has_actual"), F.max(~F.col("_is_actual")).alias("has_forecast"),
+        *[F.avg(F.when(F.col("_is_actual"), F.col(c))).alias(f"_a_{c}") for c in panel.columns],
+        *[F.avg(F.when(~F.col("_is_actual"), F.col(c))).alias(f"_f_{c}") for c in panel.columns])
+    has = F.col("_has_actual")
+    return picked.select(
+        *panel.keys,
+        *[F.when(has, F.col(f"_a_{c}")).otherwise(F.col(f"_f_{c}")).alias(c) for c in panel.columns],
+        F.when(has, "actual").otherwise("forecast").alias("source"), "has_forecast")
+
+
 def prefer_actual_ranked(actual: DataFrame, forecast: DataFrame, panel: Panel) -> DataFrame:
     """The same result by ranking the stacked rows of each key by source."""
     order = F.when(F.col("source") == "actual", 0).otherwise(1)

@@ -32,6 +32,56 @@ def daily_stats(fact: DataFrame, panel: Panel, within: tuple[str, ...] = ()) ->
     )
 
 
+_MOMENTS = ("n", "mean", "m2", "min", "max", "sum")
+
+
+def moments(fact: DataFrame, panel: Panel) -> DataFrame:
+    """Per entity and day the moments of each measure: two of them can be merged into one.
+
+    ``<short>_n`` counts known values, ``_mean`` is their mean, ``_m2`` the sum of squared
+    deviations from it, beside ``_min``, ``_max`` and ``_sum``.
+    """
+    found = []
+    for s, c in panel.measures:
+        values = (F.count(c), F.avg(c), F.var_pop(c) * F.count(c), F.min(c), F.max(c), F.sum(c))
+        found += [v.alias(f"{s}_{k}") for k, v in zip(_MOMENTS, values, strict=True)]
+    return fact.groupBy(panel.entity, panel.date).agg(*found)
+
+
+def merged_moments(old: DataFrame, new: DataFrame, panel: Panel) -> DataFrame:
+    """Moments of both sides together; each side has one row per entity and day.
+
+    The squared deviations are merged by the difference of the means, not from sums of squares,
+    so nothing cancels out.
+    """
+    keys = [panel.entity, panel.date]
+    joined = old.alias("o").join(new.alias("w"), keys, "full_outer")
+    found = []
+    for s, _ in panel.measures:
+        a, b = ({k: F.col(f"{side}.{s}_{k}") for k in _MOMENTS} for side in "ow")
+        na, nb = F.coalesce(a["n"], F.lit(0)), F.coalesce(b["n"], F.lit(0))
+        gap = F.coalesce(b["mean"] - a["mean"], F.lit(0.0))
+        m2 = (F.coalesce(a["m2"], F.lit(0.0)) + F.coalesce(b["m2"], F.lit(0.0))
+              + F.coalesce(F.try_divide(gap * gap * na * nb, na + nb), F.lit(0.0)))
+        mean = F.coalesce(a["mean"] + F.try_divide(gap * nb, na + nb), a["mean"], b["mean"])
+        together = (
+            na + nb, mean, F.when(na + nb > 0, m2), F.least(a["min"], b["min"]), F.greatest(a["max"], b["max"]),
+            F.coalesce(a["sum"] + b["sum"], a["sum"], b["sum"]))
+        found += [v.alias(f"{s}_{k}") for k, v in zip(_MOMENTS, together, strict=True)]
+    return joined.select(*keys, *found)
+
+
+def stats_of_moments(rows: DataFrame, panel: Panel) -> DataFrame:
+    """The daily statistics that moments stand for, as :func:`daily_stats` gives them."""
+    found = []
+    for s, _ in panel.measures:
+        spread = F.when(F.col(f"{s}_n") > 1, F.sqrt(F.col(f"{s}_m2") / (F.col(f"{s}_n") - 1)))
+        found += [F.col(f"{s}_mean"), spread.alias(f"{s}_std"), F.col(f"{s}_min"), F.col(f"{s}_max")]
+    if panel.wet_column:
+        found.append(F.col(f"{panel.wet}_sum").alias(f"{panel.wet}_total"))
+    return rows.select(panel.entity, panel.date, *found)
+
+
 def wet_share(value: Column, above: float) -> Column:
     """Share of wet rows; an unknown value counts as dry."""
     return F.avg(wet_flag(value, above).cast("double"))

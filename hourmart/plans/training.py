@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from datetime import date
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import Imputer, VectorAssembler
@@ -136,22 +138,18 @@ def _learner(kind, label: str, weight: str | None, s: TreeSettings, output: str)
         featuresCol=VECTOR, labelCol=label, predictionCol=output, maxIter=s.trees,
         maxDepth=s.depth, stepSize=s.step, subsamplingRate=s.row_share,
         featureSubsetStrategy=str(s.column_share), minInstancesPerNode=s.min_rows,
-        seed=s.seed, checkpointInterval=10)
+        seed=s.seed, checkpointInterval=10, maxMemoryInMB=1024)   # a level of nodes in one pass
     return learner.setWeightCol(weight) if weight else learner
 
 
-def fit_values(train: DataFrame, panel: Panel, settings: TrainSettings, weight: str = "weight"
-               ) -> dict[str, GBTRegressionModel]:
-    """One weighted regressor per measure other than rain, on vectors."""
+def _value_fits(train: DataFrame, panel: Panel, settings: TrainSettings, weight: str) -> dict:
     return {
-        c: _learner(GBTRegressor, c, weight, settings.value, f"{c}_pred").fit(train)
+        c: (_learner(GBTRegressor, c, weight, settings.value, f"{c}_pred"), train)
         for c in panel.columns if c != panel.wet_column
     }
 
 
-def fit_rain(train: DataFrame, panel: Panel, settings: TrainSettings, weight: str = "weight"
-             ) -> tuple[GBTClassificationModel, GBTRegressionModel | None]:
-    """Wet/dry classifier with balanced weights, and the amount model on wet rows, if there are any."""
+def _rain_fits(train: DataFrame, panel: Panel, settings: TrainSettings, weight: str) -> dict:
     is_wet = F.col(panel.wet_column) > panel.wet_above
     balance = class_balance(train, is_wet).first()
     scaled = F.col(weight) * F.when(is_wet, F.lit(float(balance["scale_pos"]))).otherwise(1.0)
@@ -160,12 +158,55 @@ def fit_rain(train: DataFrame, panel: Panel, settings: TrainSettings, weight: st
         "_wet_weight": scaled})
     classifier = _learner(GBTClassifier, "_wet", "_wet_weight", settings.wet, "_wet_pred")
     classifier = classifier.setProbabilityCol("_wet_probability").setRawPredictionCol("_wet_raw")
-    amount = None
+    fits = {"_wet": (classifier, labelled)}
     if balance["n_pos"]:
-        amount = _learner(
-            GBTRegressor, panel.wet_column, None, settings.amount, "_amount"
-        ).fit(train.where(is_wet))
-    return classifier.fit(labelled), amount
+        fits["_amount"] = (
+            _learner(GBTRegressor, panel.wet_column, None, settings.amount, "_amount"), train.where(is_wet))
+    return fits
+
+
+def _fitted(fits: dict) -> dict:
+    """All models at once, each in a scheduler pool of its own.
+
+    A boosted model is a chain of small jobs, so one fit leaves most of the cluster idle; several
+    fits fill the gaps of one another. With ``spark.scheduler.mode=FAIR`` they share evenly.
+    """
+    def fit(name: str):
+        learner, rows = fits[name]
+        context = rows.sparkSession.sparkContext
+        context.setLocalProperty("spark.scheduler.pool", f"fit {name}")
+        try:
+            return learner.fit(rows)
+        finally:
+            context.setLocalProperty("spark.scheduler.pool", None)
+
+    with ThreadPoolExecutor(len(fits)) as threads:
+        running = {name: threads.submit(inheritable_thread_target(fit), name) for name in fits}
+        return {name: r.result() for name, r in running.items()}
+
+
+def fit_values(train: DataFrame, panel: Panel, settings: TrainSettings, weight: str = "weight"
+               ) -> dict[str, GBTRegressionModel]:
+    """One weighted regressor per measure other than rain, on vectors."""
+    return _fitted(_value_fits(train, panel, settings, weight))
+
+
+def fit_rain(train: DataFrame, panel: Panel, settings: TrainSettings, weight: str = "weight"
+             ) -> tuple[GBTClassificationModel, GBTRegressionModel | None]:
+    """Wet/dry classifier with balanced weights, and the amount model on wet rows, if there are any."""
+    found = _fitted(_rain_fits(train, panel, settings, weight))
+    return found["_wet"], found.get("_amount")
+
+
+def fit_all(train: DataFrame, panel: Panel, settings: TrainSettings, prepare: PipelineModel,
+            weight: str = "weight") -> Models:
+    """The independent models of all measures, fitted side by side."""
+    fits = _value_fits(train, panel, settings, weight)
+    if panel.wet_column:
+        fits |= _rain_fits(train, panel, settings, weight)
+    found = _fitted(fits)
+    wet, amount = found.pop("_wet", None), found.pop("_amount", None)
+    return Models(panel, prepare, found, wet, amount)
 
 
 def score(rows: DataFrame, models: Models, keep: list[str]) -> DataFrame:
@@ -223,8 +264,6 @@ def train(table: DataFrame, panel: Panel, settings: TrainSettings | None = None
     prepare = fit_prepare(earlier, panel)
     fit_on = written(
         vectors(sample_weights(earlier), prepare, panel, [*panel.columns, "weight"]), "vectors")
-    models = Models(panel, prepare, fit_values(fit_on, panel, settings))
-    if panel.wet_column:
-        models.wet, models.amount = fit_rain(fit_on, panel, settings)
+    models = fit_all(fit_on, panel, settings, prepare)
     scored = written(score(later, models, [*panel.keys, *panel.columns]), "holdout")
     return models, evaluate(scored, panel)

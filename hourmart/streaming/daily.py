@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from hourmart.model import Panel
-from hourmart.session import shared_folder
+from hourmart.operators.stats import merged_moments, moments
+from hourmart.session import shared_folder, written
+from hourmart.sources.tables import Warehouse
 
 _DAY_SECONDS = 86400
 
@@ -37,6 +39,43 @@ def stream_daily_stats(readings: DataFrame, panel: Panel, event_time: str,
     )
 
 
+def merge_batch(warehouse: Warehouse, table: str, batch: DataFrame, batch_id: int, panel: Panel) -> None:
+    """Merge one micro-batch into the stored moments; safe to run again.
+
+    Each day is a partition and carries the number of the last batch merged into it. A batch that was
+    lost half-way has replaced some days whole and others not at all; run again, it merges only
+    into days whose number is lower than its own.
+    """
+    fresh = written(moments(batch, panel), "moments")
+    if fresh.isEmpty():
+        return
+    schema = fresh.withColumn("merged_upto", F.lit(0).cast("long")).schema
+    stored = warehouse.read(table, schema)
+    days = stored.join(fresh.select(panel.date).distinct(), panel.date, "left_semi")
+    done = days.where(F.col("merged_upto") >= batch_id).select(panel.date).distinct()
+    fresh = fresh.join(done, panel.date, "left_anti")
+    old = days.where(F.col("merged_upto") < batch_id).drop("merged_upto")
+    merged = merged_moments(old, fresh, panel).withColumn("merged_upto", F.lit(batch_id).cast("long"))
+    rows = written(merged.select(*schema.names), "merged")
+    if not rows.isEmpty():
+        warehouse.overwrite_partitions(table, rows, [panel.date])
+
+
+def run_moments(stream: DataFrame, panel: Panel, warehouse: Warehouse, table: str, checkpoint: str) -> None:
+    """Process what is available; the table holds one row per entity and day, however many batches come.
+
+    Rows of any age are merged, so nothing is dropped as late, and the stream keeps no state. One
+    stream with its checkpoint feeds a table.
+    """
+    shared_folder(stream.sparkSession)
+    query = (
+        stream.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint)
+        .foreachBatch(lambda batch, batch_id: merge_batch(warehouse, table, batch, batch_id, panel))
+        .start()
+    )
+    query.awaitTermination()
+
+
 def run_daily_stats(stream: DataFrame, panel: Panel, path: str, checkpoint: str | None = None
                     ) -> None:
     """Process what is available; each micro-batch writes the groups it changed.
