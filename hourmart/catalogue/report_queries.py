@@ -66,7 +66,7 @@ def q_actual_documents(spark, d):
         *[F.col(f"summary.{c}").alias(c) for c in ("temp_min", "temp_max", "temp_avg", "wind_max")])
 
 
-PLACE, DAY_ASKED = "FRANCE", "1998-06-15"      # what a reader asks for
+PLACE, DAY_ASKED = "NATION_12", "1995-04-26"      # what a reader asks for
 
 
 def q_entity_document(spark, d):
