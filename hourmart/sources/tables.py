@@ -6,14 +6,11 @@ import json
 import uuid
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from hourmart.operators.writes import insert_if_absent, replace_groups, upsert
 from hourmart.session import written
 
-# Conditions Spark reports for a table with no files yet.
-_ABSENT = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
 _COMMITS, _LAYOUT = "_commits", "_layout"
 
 
@@ -61,14 +58,17 @@ class Warehouse:
 
     def read(self, table: str, schema: T.StructType | None = None) -> DataFrame:
         """The table as it is now; with ``schema``, an empty frame when it was never written."""
-        if schema is not None and self.version(table) is None:
-            return self.spark.createDataFrame([], schema)
-        try:
-            return self.spark.read.parquet(self.path(table))
-        except AnalysisException as e:
-            if schema is None or e.getCondition() not in _ABSENT:
-                raise
+        if schema is not None and not self._has_files(table):
             return self.spark.createDataFrame([], schema)
+        return self.spark.read.parquet(self.path(table))
+
+    def _has_files(self, table: str) -> bool:
+        """Whether the current version holds any; partitioned tables without rows have none."""
+        version = self.version(table)
+        if version is None:
+            return False
+        files, folder = self._hadoop(f"{self.home(table)}/{version}")
+        return any(not str(f.getPath().getName()).startswith(("_", ".")) for f in files.listStatus(folder))
 
     def refresh(self, table: str, df: DataFrame, partition_by: list[str] | None = None,
                 sort_by: list[str] | None = None, range_by: list[str] | None = None) -> DataFrame:
@@ -196,15 +196,7 @@ class Warehouse:
         self.overwrite_partitions(table, written(result, table), [partition])
 
     def has_rows(self, table: str, where: str) -> bool:
-        if self.version(table) is None:
-            return False
-        try:
-            rows = self.spark.read.parquet(self.path(table))
-        except AnalysisException as e:
-            if e.getCondition() in _ABSENT:
-                return False
-            raise
-        return not rows.where(where).isEmpty()
+        return self._has_files(table) and not self.read(table).where(where).isEmpty()
 
     def write_once(self, table: str, df: DataFrame, batch: str) -> None:
         """Add the rows of a named batch, unless that batch is already there.
