@@ -181,7 +181,8 @@ def _fitted(fits: dict) -> dict:
             context.setLocalProperty("spark.scheduler.pool", None)
 
     with ThreadPoolExecutor(len(fits)) as threads:
-        running = {name: threads.submit(inheritable_thread_target(fit), name) for name in fits}
+        session = next(iter(fits.values()))[1].sparkSession
+        running = {name: threads.submit(inheritable_thread_target(session)(fit), name) for name in fits}
         return {name: r.result() for name, r in running.items()}
 
 
