@@ -5,6 +5,8 @@ All cuts are at ASCII bytes, so working on UTF-8 bytes gives the same words as w
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -50,17 +52,39 @@ _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse; the usual slice's tables are kept."""
-    size = 2 * SLICE_BYTES
-    if n <= size and size in _powers:
-        return _powers[size]
-    made = tuple(np.cumprod(np.concatenate([[np.uint64(1)], np.full(max(n, size), b, np.uint64)]))
+    """Powers of the base and of its inverse up to the n-th at least; those of usual slices are kept."""
+    size = max(1 << 16, 1 << max(n - 1, 0).bit_length())
+    kept = max(_powers, default=0)
+    if size <= kept:
+        return _powers[kept]
+    made = tuple(np.cumprod(np.concatenate([[np.uint64(1)], np.full(size, b, np.uint64)]))
                  for b in (np.uint64(_BASE), np.uint64(_INVERSE)))
-    if n <= size:
+    if size <= 2 * SLICE_BYTES:
+        _powers.clear()
         _powers[size] = made
     return made
 
 
+def release() -> None:
+    """Gives back what this process keeps for the next slice."""
+    _powers.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)      # glibc has it
+    if trim:
+        trim(0)
+
+
+def tidy(run):
+    """The function of a task, giving back at its end what a reused Python worker would go on holding."""
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+    return tidied
+
+
 @dataclass
 class Texts:
     """Texts one after the other: text i is data[bounds[i]:bounds[i + 1]]."""
@@ -97,8 +121,8 @@ def texts_of(column: pa.Array) -> Texts:
 
 
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text",
-                limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, Texts]]:
-    """Rows of the batches, cut so that a slice holds about `limit` bytes of text, or one longer text."""
+                limit: int = SLICE_BYTES, rows: int = 1 << 30) -> Iterator[tuple[pa.RecordBatch, Texts]]:
+    """Rows of the batches, cut so that a slice holds `rows` at most and about `limit` bytes of text, or one longer text."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -106,7 +130,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text",
         first = 0
         while first < len(whole):
             last = int(np.searchsorted(whole.bounds, whole.bounds[first] + limit, "right")) - 1
-            last = min(max(last, first + 1), len(whole))
+            last = min(max(last, first + 1), first + rows, len(whole))
             bounds = whole.bounds[first:last + 1]
             yield batch.slice(first, last - first), Texts(whole.data[bounds[0]:bounds[-1]], bounds - bounds[0])
             first = last

@@ -210,7 +210,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     session_of(docs)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(_report(_blocks(benchmark)), FIELDS)
+    return texts.mapInArrow(B.tidy(_report(_blocks(benchmark))), FIELDS)
 
 
 def _clean(blocks: Blocks):
@@ -223,4 +223,4 @@ def _clean(blocks: Blocks):
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents, with all their columns, that share no window with the benchmark."""
     session_of(docs)
-    return docs.mapInArrow(_clean(_blocks(benchmark)), docs.schema)
+    return docs.mapInArrow(B.tidy(_clean(_blocks(benchmark))), docs.schema)

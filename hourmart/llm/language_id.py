@@ -23,6 +23,7 @@ from hourmart.llm.training import Adam, fold, sample, sigmoid
 UNKNOWN = "und"
 SAMPLE_DOCS = 400             # labelled documents of each language that are learned from, about
 SAMPLE_CHARS = 20_000         # characters of each of these
+ABOVE_CHANCE = 1.2            # of a document that stays: its best language's probability against chance
 PIECE = 24                    # bytes; a longer word is read in pieces
 STATES = 12                   # of each direction
 STEPS = 500
@@ -223,19 +224,28 @@ def languages(docs: DataFrame, tagger: ByteTagger | None = None) -> DataFrame:
     tagger = tagger or train(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
                        F.coalesce(fold(F.col("doc_id"), FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"))
-    return rows.mapInArrow(_label(tagger), "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(B.tidy(_label(tagger)), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def _known_only(tagger: ByteTagger):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Known(tagger)
+        known, n = _Known(tagger), len(tagger.languages)
         for rows, texts in B.text_slices(batches):
-            label, _ = predict(texts, known)
-            yield rows.filter(pa.array([x != UNKNOWN for x in label]))
+            keep = with_letters(texts)
+            if n > 1:
+                label, score = predict(texts, known)
+                keep &= np.array([x != UNKNOWN for x in label]) & (score * n >= ABOVE_CHANCE)
+            yield rows.filter(pa.array(keep))
     return run
 
 
 def identified(docs: DataFrame) -> DataFrame:
-    """The documents, with all their columns, whose language can be told."""
+    """The documents, with all their columns, whose language can be told.
+
+    Texts that are null, empty or without a letter go, and so do those for which the network's best
+    language has less than ABOVE_CHANCE times the probability that all languages alike would have. Where
+    fewer than two languages can be learned, all texts with letters stay. Repeated rows and null
+    doc_ids are judged like any other, texts are read whole, and an empty table stays empty.
+    """
     session_of(docs)
-    return docs.mapInArrow(_known_only(train(docs)), docs.schema)
+    return docs.mapInArrow(B.tidy(_known_only(train(docs))), docs.schema)

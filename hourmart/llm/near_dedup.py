@@ -30,6 +30,7 @@ SIZE = 512            # coordinates of a sketch, a power of two
 BANDED = 128          # those that make up the bands
 BAND = 4              # coordinates of a band
 AGREEING = 340        # coordinates that must agree before two full sets are compared: 4.5 deviations below 0.75
+SLICE_BYTES, SLICE_ROWS = 1 << 20, 1 << 10      # texts that are sketched together
 BLOCK = 512           # members of a bucket that are handled side by side
 
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -97,7 +98,8 @@ def set_keys(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows, texts in B.text_slices(batches):
+    # 4 KB of sketch a row, however short its text is
+    for rows, texts in B.text_slices(batches, limit=SLICE_BYTES, rows=SLICE_ROWS):
         values, bounds = shingle_sets(texts)
         counts = np.diff(bounds)
         rows_of = sketches(values, bounds)
@@ -113,7 +115,7 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, texts in B.text_slices(batches):
+    for _, texts in B.text_slices(batches, limit=SLICE_BYTES):
         values, bounds = shingle_sets(texts)
         yield pa.RecordBatch.from_arrays(
             [pa.array(set_keys(values, bounds).view(np.int64)), B.list_array(values.view(np.int64), bounds)],
@@ -138,7 +140,7 @@ def _labelled(docs: DataFrame, steps: Steps) -> DataFrame:
     """(doc_id, row_key, n_shingles, label) of all rows: a label for each component, null for empty sets."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _row_key().alias("row_key"))
     described = steps.keep(
-        texts.mapInArrow(_describe, "doc_id long, row_key long, n_shingles long, set_key long, bands array<long>, sketch binary"), "described")
+        texts.mapInArrow(B.tidy(_describe), "doc_id long, row_key long, n_shingles long, set_key long, bands array<long>, sketch binary"), "described")
     members = described.filter("set_key is not null")
     rows = members.groupBy("set_key").agg(F.first("bands").alias("bands")).select(F.explode("bands").alias("band"), "set_key")
     rows = steps.keep(rows, "bands")
@@ -156,7 +158,7 @@ def _labelled(docs: DataFrame, steps: Steps) -> DataFrame:
     candidates = buckets.select("set_key").distinct()
     owners = members.join(candidates, "set_key", "left_semi").groupBy("set_key").agg(F.min("row_key").alias("row_key"))
     chosen = texts.join(owners.select("row_key").distinct(), "row_key", "left_semi")
-    sets = chosen.mapInArrow(_sets, "set_key long, shingles array<long>")
+    sets = chosen.mapInArrow(B.tidy(_sets), "set_key long, shingles array<long>")
     sets = steps.keep(sets.dropDuplicates(["set_key"]), "sets")
 
     stars = (buckets.filter("set_key <> hub").select(F.col("hub").alias("a"), F.col("set_key").alias("b")).distinct())
@@ -228,7 +230,7 @@ def _crossing(buckets: DataFrame, spokes: DataFrame, labels: DataFrame, describe
                .select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
                        "own", "set_key", "label", "distance", "sketch", "bands"))
     keys = ["band", "i", "j"]
-    return blocked.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_pairs_of, "a long, b long")
+    return blocked.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(B.tidy(_pairs_of), "a long, b long")
 
 
 def _pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

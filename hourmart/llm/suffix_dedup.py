@@ -35,6 +35,7 @@ from hourmart.llm.staging import Steps, session_of
 
 LENGTH = 400
 PART_BITS = 18                   # bits of a filter that are put together in one task
+SLICE_BYTES = 1 << 20            # texts that are handled together
 FILTER_BITS = 26                 # a filter is 2 ** FILTER_BITS bits, whatever the input; it only saves work
 
 
@@ -81,7 +82,7 @@ class Filter:
     def __init__(self, hashes: DataFrame):
         bit = F.col("hash").bitwiseAND((1 << FILTER_BITS) - 1)
         dealt = hashes.select(F.shiftright(bit, PART_BITS).cast("int").alias("part"), bit.bitwiseAND((1 << PART_BITS) - 1).cast("int").alias("bit"))
-        parts = dealt.repartition("part").mapInArrow(_bit_parts, "part int, bits binary")
+        parts = dealt.repartition("part").mapInArrow(B.tidy(_bit_parts), "part int, bits binary")
         self.words = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
         size = 1 << (PART_BITS - 5)
         for row in parts.toLocalIterator():         # 2 ** FILTER_BITS bits in all
@@ -111,14 +112,14 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 def _ranks(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in B.text_slices(batches):
+        for _, texts in B.text_slices(batches, limit=SLICE_BYTES):
             yield pa.RecordBatch.from_arrays([_signed(Suffixes(texts, length).rank)], ["hash"])
     return run
 
 
 def _remaining(repeated: Broadcast, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, texts in B.text_slices(batches):
+        for rows, texts in B.text_slices(batches, limit=SLICE_BYTES):
             s = Suffixes(texts, length)
             own = np.flatnonzero(repeated.value.has(s.rank))
             base = texts.bounds[:-1][s.text[own]]
@@ -137,7 +138,7 @@ def _pairs(chosen: Broadcast, length: int):
     half = length // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, texts in B.text_slices(batches):
+        for rows, texts in B.text_slices(batches, limit=SLICE_BYTES):
             s = Suffixes(texts, length)
             keys = rows.column("key").to_numpy()
             own = np.flatnonzero(chosen.value.has(_identity(keys[s.text], s.place - texts.bounds[:-1][s.text])))
@@ -160,20 +161,20 @@ def _identities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_starts(texts: DataFrame, steps: Steps, length: int = LENGTH) -> DataFrame:
     """(key, first, last): runs of starts of repeated strings in the text with that key; runs may overlap."""
     spark: SparkSession = texts.sparkSession
-    suffixes = texts.select("text").mapInArrow(_ranks(length), "hash long")
+    suffixes = texts.select("text").mapInArrow(B.tidy(_ranks(length)), "hash long")
     again = suffixes.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash")
     repeated = spark.sparkContext.broadcast(Filter(again))
     rows = steps.keep(texts.select("key", "text").mapInArrow(
-        _remaining(repeated, length), "key long, place long, rank long, wide long, first long, last long"), "suffixes")
+        B.tidy(_remaining(repeated, length)), "key long, place long, rank long, wide long, first long, last long"), "suffixes")
 
     # a class: equal bytes under all starts of the run; its first member speaks for it
     classes = steps.keep(rows.groupBy("rank", "wide").agg(F.count("*").alias("n"), F.min_by("key", F.xxhash64("key", "place")).alias("key"),
                                                          F.min_by("place", F.xxhash64("key", "place")).alias("place")), "classes")
     split = classes.groupBy("rank").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("rank")
     speakers = classes.join(split, "rank", "left_semi")
-    chosen = spark.sparkContext.broadcast(Filter(speakers.select("key", "place").mapInArrow(_identities, "hash long")))
+    chosen = spark.sparkContext.broadcast(Filter(speakers.select("key", "place").mapInArrow(B.tidy(_identities), "hash long")))
     pairs = steps.keep(texts.select("key", "text").mapInArrow(
-        _pairs(chosen, length), "rank long, next_rank long, of_rank long, wide long, offset long"), "pairs")
+        B.tidy(_pairs(chosen, length)), "rank long, next_rank long, of_rank long, wide long, offset long"), "pairs")
     doubled = (pairs.groupBy("rank", "next_rank").agg(F.min("wide").alias("low"), F.max("wide").alias("high"))
                .filter("low <> high").select("rank", "next_rank"))
     found = (pairs.join(doubled, ["rank", "next_rank"]).select(F.col("of_rank").alias("rank"), "wide", "offset").distinct()
@@ -211,7 +212,7 @@ def removed_bytes(texts: B.Texts, first: pa.Array, last: pa.Array, length: int =
 
 def _report(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, texts in B.text_slices(batches):
+        for rows, texts in B.text_slices(batches, limit=SLICE_BYTES):
             gone = removed_bytes(texts, rows.column("run_first"), rows.column("run_last"), length)
             begins = gone.copy()
             begins[1:] &= ~gone[:-1]
@@ -236,12 +237,12 @@ def repeated_bytes(docs: DataFrame, steps: Steps | None = None, length: int = LE
     rows = _keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")))
     runs = _with_runs(rows.select("doc_id", "text"), steps, length)
     return (rows.join(runs, rows["key"] == runs["run_key"], "left").select("doc_id", "text", "run_first", "run_last")
-            .mapInArrow(_report(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
+            .mapInArrow(B.tidy(_report(length)), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
 
 
 def _cut(columns: list[str], length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, texts in B.text_slices(batches):
+        for rows, texts in B.text_slices(batches, limit=SLICE_BYTES):
             gone = removed_bytes(texts, rows.column("run_first"), rows.column("run_last"), length)
             kept = B.sums_between((~gone).astype(np.int64), texts.bounds)
             left = texts.data[~gone].tobytes()
@@ -265,4 +266,4 @@ def without_repeats(docs: DataFrame, steps: Steps | None = None, length: int = L
     runs = _with_runs(docs.select("doc_id", "text"), steps, length)
     key = F.xxhash64(docs["doc_id"], F.coalesce(docs["text"], F.lit("")))
     joined = docs.withColumn("run_key_", key).join(runs, F.col("run_key_") == F.col("run_key"), "left").drop("run_key_", "run_key")
-    return joined.mapInArrow(_cut(docs.columns, length), docs.schema)
+    return joined.mapInArrow(B.tidy(_cut(docs.columns, length)), docs.schema)

@@ -247,4 +247,4 @@ def bpe_round_trip(docs: DataFrame, path: str) -> DataFrame:
     """
     session_of(docs)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(_round_trip(path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return texts.mapInArrow(B.tidy(_round_trip(path)), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -10,6 +10,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from hourmart.llm import (
@@ -369,6 +370,9 @@ def test_nothing_to_learn_from(spark, docs, rows_in):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     unlabelled = docs.selectExpr("doc_id", "text", "cast(null as string) as lang")
     assert {r.lang_pred for r in language_id.languages(unlabelled).collect()} == {"und"}
+    lettered = sum(any(map(str.isalpha, r[1] or "")) for r in rows_in)      # these stay though nothing was learned
+    assert language_id.identified(unlabelled).count() == lettered
+    assert language_id.identified(unlabelled.withColumn("lang", F.lit("en"))).count() == lettered
     scores = quality_mil.quality_scores(docs, labels).collect()
     assert len(scores) == len(rows_in) and all(0 <= r.score <= 1 for r in scores)
     rules = importance_rules.quality_rules(docs, labels).collect()
