@@ -5,6 +5,7 @@ A written step cuts lineage: what is lost with an executor is read again instead
 
 from __future__ import annotations
 
+import gc
 import os
 import uuid
 
@@ -68,6 +69,11 @@ class Steps:
             self.live.remove(step._written_at)
             self.remove(step._written_at)
 
+    def release(self) -> None:
+        """Lets Spark remove the shuffle files of finished steps: it does so for frames that the driver has collected."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def remove(self, path: str) -> None:
         hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)

@@ -179,6 +179,10 @@ def repeated_starts(texts: DataFrame, steps: Steps, length: int = LENGTH) -> Dat
                .filter("low <> high").select("rank", "next_rank"))
     found = (pairs.join(doubled, ["rank", "next_rank"]).select(F.col("of_rank").alias("rank"), "wide", "offset").distinct()
              .groupBy("rank", "wide").agg(F.collect_list("offset").alias("offsets")))      # at most a quarter of the length of each
+    found = steps.keep(found, "found")
+    steps.drop(pairs)
+    del pairs, doubled
+    steps.release()
     whole = classes.filter("n > 1").select("rank", "wide")
     sure = rows.join(whole, ["rank", "wide"], "left_semi").select("key", "first", "last")
     some = (rows.join(whole, ["rank", "wide"], "left_anti").join(found, ["rank", "wide"])
@@ -196,6 +200,7 @@ def _with_runs(docs: DataFrame, steps: Steps, length: int) -> DataFrame:
     texts = _keyed(docs.select(F.col("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")))
     runs = steps.last(repeated_starts(texts.select("key", "text"), steps, length).groupBy("key").agg(
         F.sort_array(F.collect_list(F.struct("first", "last"))).alias("runs")), "runs")     # bounded by the text's own length
+    steps.release()      # the texts are shuffled next
     return runs.select(F.col("key").alias("run_key"), F.col("runs.first").alias("run_first"), F.col("runs.last").alias("run_last"))
 
 
