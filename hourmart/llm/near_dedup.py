@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from hourmart.llm import batches as B
 from hourmart.llm.components import components
-from hourmart.llm.staging import Steps, session_of
+from hourmart.llm.staging import Steps, free_name, session_of
 
 SHINGLE = 5
 PERCENT = 75
@@ -200,15 +200,17 @@ def near_duplicates(docs: DataFrame, steps: Steps | None = None) -> DataFrame:
 def deduplicated(docs: DataFrame, steps: Steps | None = None) -> DataFrame:
     """The documents, with all their columns, of which one row of each component stays: the lowest doc_id.
 
-    Documents with empty sets all stay. Of rows that share doc_id and text one stays; a null doc_id
-    stays only where its component has no other.
+    Documents with empty sets, null and empty texts among them, all stay. Of rows that share doc_id and
+    text one stays; a null doc_id stays only where its component has no other. Texts are read whole; an
+    empty table stays empty, and columns may have any names.
     """
     found = _labelled(docs, steps or Steps(session_of(docs)))
     first = (found.filter("label is not null").groupBy("label")
              .agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("row")).select("row.row_key"))
     stay = first.unionByName(found.filter("label is null").select("row_key")).distinct()
-    keyed = docs.withColumn("row_key_", _row_key()).join(stay.withColumnRenamed("row_key", "row_key_"), "row_key_", "left_semi")
-    return keyed.dropDuplicates(["row_key_"]).drop("row_key_")
+    key = free_name("row_key", docs.columns)
+    keyed = docs.withColumn(key, _row_key()).join(stay.withColumnRenamed("row_key", key), key, "left_semi")
+    return keyed.dropDuplicates([key]).drop(key)
 
 
 def _crossing(buckets: DataFrame, spokes: DataFrame, labels: DataFrame, described: DataFrame) -> DataFrame:

@@ -20,6 +20,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """A column name that none of `taken` has, whatever its case."""
+    known = {c.lower() for c in taken}
+    while name.lower() in known:
+        name += "_"
+    return name
+
+
 def session_of(df: DataFrame) -> SparkSession:
     """The session of df, with this package on the path of Python workers that share the driver's disk.
 

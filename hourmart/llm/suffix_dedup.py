@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from hourmart.llm import batches as B
 from hourmart.llm.span_cache import ranges
-from hourmart.llm.staging import Steps, session_of
+from hourmart.llm.staging import Steps, free_name, session_of
 
 LENGTH = 400
 PART_BITS = 18                   # bits of a filter that are put together in one task
@@ -245,10 +245,10 @@ def repeated_bytes(docs: DataFrame, steps: Steps | None = None, length: int = LE
             .mapInArrow(B.tidy(_report(length)), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
 
 
-def _cut(columns: list[str], length: int):
+def _cut(columns: list[str], first: str, last: str, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in B.text_slices(batches, limit=SLICE_BYTES):
-            gone = removed_bytes(texts, rows.column("run_first"), rows.column("run_last"), length)
+            gone = removed_bytes(texts, rows.column(first), rows.column(last), length)
             kept = B.sums_between((~gone).astype(np.int64), texts.bounds)
             left = texts.data[~gone].tobytes()
             ends = np.cumsum(kept)
@@ -265,10 +265,13 @@ def _cut(columns: list[str], length: int):
 def without_repeats(docs: DataFrame, steps: Steps | None = None, length: int = LENGTH) -> DataFrame:
     """The documents with strings of `length` bytes that repeat cut out of `text` (and `n_chars` counted again where it is there).
 
-    A character that loses some of its bytes goes as a whole. Rows without repeats stay as they are.
+    A character that loses some of its bytes goes as a whole. Rows without repeats, null and empty texts
+    among them, stay as they are; rows that repeat a document are occurrences of their own. Texts are read
+    whole, an empty table stays empty, and columns may have any names.
     """
     steps = steps or Steps(session_of(docs))
     runs = _with_runs(docs.select("doc_id", "text"), steps, length)
     key = F.xxhash64(docs["doc_id"], F.coalesce(docs["text"], F.lit("")))
-    joined = docs.withColumn("run_key_", key).join(runs, F.col("run_key_") == F.col("run_key"), "left").drop("run_key_", "run_key")
-    return joined.mapInArrow(B.tidy(_cut(docs.columns, length)), docs.schema)
+    own, first, last = (free_name(c, docs.columns) for c in ("run_key", "run_first", "run_last"))
+    joined = docs.withColumn(own, key).join(runs.toDF(own, first, last), own, "left")
+    return joined.mapInArrow(B.tidy(_cut(docs.columns, first, last, length)), docs.schema)

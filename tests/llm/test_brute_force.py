@@ -377,3 +377,15 @@ def test_nothing_to_learn_from(spark, docs, rows_in):
     assert len(scores) == len(rows_in) and all(0 <= r.score <= 1 for r in scores)
     rules = importance_rules.quality_rules(docs, labels).collect()
     assert all(r.kept != r.base_failed for r in rules)
+
+
+def test_columns_may_have_any_names(docs):
+    names = ("run_first", "run_key", "RUN_LAST", "row_key_", "run_key_", "row_key")
+    named = docs.withColumns({c: F.lit(7) for c in names})
+    cut, deduplicated = suffix_dedup.without_repeats(named, length=60), near_dedup.deduplicated(named)
+    plain_cut, plain = suffix_dedup.without_repeats(docs, length=60), near_dedup.deduplicated(docs)
+    for found, other in ((cut, plain_cut), (deduplicated, plain)):
+        assert found.columns == named.columns
+        rows = found.collect()
+        assert all(r[c] == 7 for r in rows for c in names)
+        assert Counter((r.doc_id, r.text) for r in rows) == Counter((r.doc_id, r.text) for r in other.collect())
