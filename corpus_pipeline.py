@@ -17,7 +17,7 @@ PASSAGE = 240
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter go: no language can be told."""
+    """Documents without a letter go, and those for which the learned network is hardly better than chance."""
     return language_id.identified(docs)
 
 
