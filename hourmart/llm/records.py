@@ -8,7 +8,7 @@ A file is a sequence of records. A record is
     message sum  4 bytes: masked CRC-32C of the message
 
 The index, a Parquet table, has the file number, offset and length of every record, so a shuffled
-reader can fetch any record with one ranged read. Files are in ascending doc_id order, within a file
+reader (`shuffled`, `fetch`) gets any record with one ranged read. Files are in ascending doc_id order, within a file
 and from one file number to the next.
 """
 
@@ -17,6 +17,7 @@ from __future__ import annotations
 import os
 import uuid
 import zlib
+from collections import OrderedDict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -34,6 +35,7 @@ from hourmart.llm.staging import Steps, session_of
 END_ID = 0                    # appended to each document
 NO_ID = -(1 << 63)            # stands for a null doc_id
 READ_BYTES = 1 << 22          # files are read in parts of this size
+OPEN_FILES = 16               # of a task that reads by the index
 _POLYNOMIAL = 0x82F63B78      # CRC-32C, reflected
 _MASK_DELTA = 0xA282EAD8
 _CHUNK = 256                  # bytes whose sums are worked out side by side
@@ -294,10 +296,70 @@ def read_records(spark: SparkSession, folder: str, index: str, width: int) -> Da
     sizes = spark.read.parquet(index).groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))   # one row a file
     files = sizes.select("part", F.coalesce(before, F.lit(0)).alias("start"))
-    return files.repartition("part").mapInArrow(
+    # a stated number of partitions, a file each; adaptive execution would merge rows as small as these into one task
+    return files.repartition(max(sizes.count(), 1)).mapInArrow(
         _reader(folder, width), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+def shuffled(index: DataFrame, seed: int = 0) -> DataFrame:
+    """The index's records in a random order that depends on `seed` only, spread over partitions."""
+    order = F.xxhash64(F.lit(seed), "part", "offset")
+    return index.withColumn("place", order).repartitionByRange("place").sortWithinPartitions("place", "part", "offset")
+
+
+def _fetcher(folder: str, width: int):
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = _store(folder)
+        files: OrderedDict[int, pyarrow.NativeFile] = OrderedDict()
+
+        def record(part: int, offset: int, length: int) -> bytes:
+            if part not in files:
+                if len(files) >= OPEN_FILES:
+                    files.popitem(last=False)[1].close()
+                files[part] = store.open_input_file(_file(base, part))
+            files.move_to_end(part)
+            return files[part].read_at(length, offset)
+
+        def made(places: list[tuple[int, int, int]], raw: list[bytes]) -> pa.RecordBatch:
+            data = np.frombuffer(b"".join(raw), np.uint8)
+            starts, ends, _ = unframe(data)
+            if not np.array_equal(ends + 4, np.cumsum([length for _, _, length in places])):
+                raise ValueError("the index does not fit the files")
+            doc_ids = np.ascontiguousarray(data[starts[:, None] + np.arange(8)]).view("<i8").ravel()
+            ids = np.concatenate([data[a + 8:b].view(f"<u{width}") for a, b in zip(starts.tolist(), ends.tolist())]).astype(np.int64)
+            bounds = np.concatenate([[0], np.cumsum((ends - starts - 8) // width)])
+            return pa.RecordBatch.from_arrays(
+                [pa.array([p[0] for p in places], pa.int64()), pa.array([p[1] for p in places], pa.int64()),
+                 pa.array(doc_ids, mask=doc_ids == NO_ID), B.list_array(ids, bounds)], ["part", "offset", "doc_id", "ids"])
+
+        places, raw, size = [], [], 0
+        try:
+            for batch in batches:
+                for place in zip(*(batch.column(c).to_pylist() for c in ("part", "offset", "length"))):
+                    places.append(place)
+                    raw.append(record(*place))
+                    size += len(raw[-1])
+                    if size >= READ_BYTES:
+                        yield made(places, raw)
+                        places, raw, size = [], [], 0
+            if places:
+                yield made(places, raw)
+        finally:
+            for file in files.values():
+                file.close()
+    return read
+
+
+def fetch(wanted: DataFrame, folder: str, width: int) -> DataFrame:
+    """Per row of `wanted` (part, offset and length as the index has them), in its order: part, offset, doc_id, ids.
+
+    One ranged read a record; its checksums are tested, and rows that no record fits raise. At most
+    OPEN_FILES files are open in a task and READ_BYTES of records and one more held. No rows give none.
+    """
+    return wanted.select("part", "offset", "length").mapInArrow(
+        _fetcher(folder, width), "part long, offset long, doc_id long, ids array<long>")
+
+
 def token_records(docs: DataFrame, path: str, steps: Steps | None = None) -> DataFrame:
     """Encodes documents with the vocabulary file at `path`, writes the files and reads them back.
 

@@ -206,6 +206,45 @@ def test_token_records(docs, rows_in):
     assert ids[:2] == [None, None] and ids[2:] == sorted(ids[2:])
 
 
+@pytest.fixture
+def small_files(spark):
+    """Small inputs keep several files."""
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    yield
+    spark.conf.set(name, before)
+
+
+def test_records_in_shuffled_order(spark, docs, rows_in, tmp_path, monkeypatch, small_files):
+    monkeypatch.setattr(records, "OPEN_FILES", 2)
+    folder, index = f"{tmp_path}/files", f"{tmp_path}/index"
+    records.write_records(docs, BYTES, folder, index)
+    rows, width = spark.read.parquet(index), records._encoder(BYTES)[1]
+    assert rows.select("part").distinct().count() > 2
+    order = records.shuffled(rows, 5)
+    found, places = records.fetch(order, folder, width).collect(), order.collect()
+    assert [(r.part, r.offset, r.doc_id) for r in found] == [(r.part, r.offset, r.doc_id) for r in places]
+    assert places == records.shuffled(rows, 5).collect() != records.shuffled(rows, 6).collect()
+    tokenizer = Tokenizer.from_file(BYTES)
+    expected = Counter((r[0], *tokenizer.encode(r[1] or "", add_special_tokens=False).ids, 0) for r in rows_in)
+    assert Counter((r.doc_id, *r.ids) for r in found) == expected
+    some = rows.filter("doc_id % 7 = 3")
+    assert counted(records.fetch(some, folder, width), "part", "offset") == counted(some, "part", "offset")
+    assert records.fetch(rows.limit(0), folder, width).collect() == []
+    with pytest.raises(Exception, match="the index does not fit the files|checksum"):
+        records.fetch(rows.withColumn("length", F.col("length") + 1), folder, width).collect()
+
+
+def test_files_are_read_back_by_a_task_each(spark, docs, tmp_path, small_files):
+    folder, index = f"{tmp_path}/files", f"{tmp_path}/index"
+    records.write_records(docs, BYTES, folder, index)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    files = spark.read.parquet(index).select("part").distinct().count()
+    found = records.read_records(spark, folder, index, records._encoder(BYTES)[1])
+    assert files > 2 and found.groupBy(F.spark_partition_id()).count().count() == files
+
+
 def test_checksums():
     def plain(data):
         c = 0xFFFFFFFF
