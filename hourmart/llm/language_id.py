@@ -18,11 +18,11 @@ from pyspark.sql import functions as F
 from hourmart.llm import batches as B
 from hourmart.llm.span_cache import LIMIT
 from hourmart.llm.staging import session_of
-from hourmart.llm.training import Adam, fold, sample, sigmoid
+from hourmart.llm.training import Adam, drawn, fold, one_text_each, sample, sigmoid
 
 UNKNOWN = "und"
 SAMPLE_DOCS = 400             # labelled documents of each language that are learned from, about
-SAMPLE_CHARS = 20_000         # characters of each of these
+SAMPLE_PIECES = 2048          # pieces of each of these, drawn over the whole text; most texts have fewer
 ABOVE_CHANCE = 1.2            # of a document that stays: its best language's probability against chance
 PIECE = 24                    # bytes; a longer word is read in pieces
 STATES = 12                   # of each direction
@@ -48,7 +48,8 @@ class ByteTagger:
     def _layer(self, d: str, data: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, list]:
         w, h = self.weights, STATES
         n, t = data.shape
-        state, states, tape = np.zeros((n, h), np.float32), np.zeros((t, n, h), np.float32), []
+        kind = w[d + "h"].dtype
+        state, states, tape = np.zeros((n, h), kind), np.zeros((t, n, h), kind), []
         for i in (range(t) if d == "f" else range(t - 1, -1, -1)):
             x = w[d + "x"][data[:, i]] + w[d + "c"]
             u = state @ w[d + "h"]
@@ -82,7 +83,7 @@ class ByteTagger:
         back = error @ w["o"].T
         for d, tape, part in (("f", tape_f, back[:, :, :h]), ("b", tape_b, back[:, :, h:])):
             gx, gh, gc = np.zeros_like(w[d + "x"]), np.zeros_like(w[d + "h"]), np.zeros_like(w[d + "c"])
-            ds = np.zeros((data.shape[0], h), np.float32)
+            ds = np.zeros((data.shape[0], h), gh.dtype)
             for i, state, z, r, c, uc, m in reversed(tape):
                 ds = ds + part[i]
                 dn = m * ds
@@ -147,18 +148,36 @@ def with_letters(texts: B.Texts) -> np.ndarray:
     return found
 
 
+def _draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pieces drawn from each text, as rows of PIECE bytes, and their lengths."""
+    for rows, texts in B.text_slices(batches):
+        starts, ends, bounds = pieces_of(texts)
+        own, bounds = drawn(bounds, SAMPLE_PIECES)
+        data, at = _rows(texts.data, starts[own], ends[own]), bounds.tolist()
+        yield pa.RecordBatch.from_arrays(
+            [rows.column("doc_id"), rows.column("lang"), pa.array([data[a:b].tobytes() for a, b in zip(at, at[1:])], pa.binary()),
+             B.list_array((ends - starts)[own].astype(np.int32), bounds)], ["doc_id", "lang", "data", "sizes"])
+
+
 def train(docs: DataFrame) -> ByteTagger:
-    """Learns from a bounded sample of documents outside the held-out fold that have a text and a language."""
-    rows = (docs.select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text"), F.col("lang").cast("string").alias("lang"))
+    """Learns from a bounded sample of documents outside the held-out fold that have a text and a language.
+
+    About SAMPLE_DOCS documents of a language are chosen by a hash of doc_id, one text a doc_id, and of
+    a text SAMPLE_PIECES pieces at most, drawn over the whole of it.
+    """
+    rows = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
+                        F.col("lang").cast("string").alias("lang"))
             .filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & (fold(F.col("doc_id"), FOLDS) != HELD_OUT)))
-    found = sample(rows, "lang", SAMPLE_DOCS).orderBy("doc_id").collect()
-    languages = sorted({r.lang for r in found})
+    chosen, bound = sample(rows, "lang", SAMPLE_DOCS)
+    found = (one_text_each(chosen, "lang", bound)
+             .mapInArrow(_draw, "doc_id long, lang string, data binary, sizes array<int>").toArrow().sort_by("doc_id").to_pylist())
+    languages = sorted({r["lang"] for r in found})
     tagger = ByteTagger(languages)
     words = []
     for language in languages:
-        texts = B.texts_of(pa.array([r.text for r in found if r.lang == language], pa.string()))
-        starts, ends, _ = pieces_of(texts)
-        words.append((_rows(texts.data, starts, ends), ends - starts))
+        own = [r for r in found if r["lang"] == language]
+        words.append((np.frombuffer(b"".join(r["data"] for r in own), np.uint8).reshape(-1, PIECE),
+                      np.array([n for r in own for n in r["sizes"]], np.int64)))
     if any(len(n) for _, n in words):
         tagger.fit(words)
     return tagger

@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 
 from hourmart.llm import batches as B
 from hourmart.llm.staging import session_of
-from hourmart.llm.training import Adam, fold, sample, sigmoid
+from hourmart.llm.training import Adam, drawn, first_ids, fold, one_text_each, sample, sigmoid
 
 SAMPLE_DOCS = 1500            # labelled documents of each label that are learned from, about
-SAMPLE_CHARS = 50_000         # characters of each of these
+SAMPLE_PASSAGES = 64          # passages of each of these, drawn over the whole text; most texts have fewer
 PASSAGE = 64
 CODE, GATE = 16, 8
 EPOCHS, BAGS = 12, 64
@@ -89,10 +89,9 @@ class BagScorer:
         return {"o": pooled.T @ d, "oc": d.sum(keepdims=True), "a": (t * g).T @ d_energy, "v": code.T @ d_t, "u": code.T @ d_g,
                 "e": x.T @ d_code + 1e-5 * w["e"], "ec": d_code.sum(0)}
 
-    def fit(self, texts: list[str], labels: np.ndarray, seed: int = 3) -> None:
+    def fit(self, x: np.ndarray, bounds: np.ndarray, labels: np.ndarray, seed: int = 3) -> None:
         rng, adam = np.random.default_rng(seed), Adam(self.weights, 0.01)
-        made = [passages(B.texts_of(pa.array(texts[i:i + 256], pa.string()))) for i in range(0, len(texts), 256)]
-        bags = [x[a:b] for x, bounds in made for a, b in zip(bounds, bounds[1:])]
+        bags = [x[a:b] for a, b in zip(bounds, bounds[1:])]
         for _ in range(EPOCHS):
             order = rng.permutation(len(bags))
             for at in range(0, len(order), BAGS):
@@ -101,21 +100,37 @@ class BagScorer:
                 adam.apply(self.gradients(np.concatenate([bags[i] for i in own]), np.concatenate([[0], np.cumsum(sizes)]), labels[own]))
 
 
+def _draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Features of the passages drawn from each text."""
+    for rows, texts in B.text_slices(batches):
+        x, bounds = passages(texts)
+        own, bounds = drawn(bounds, SAMPLE_PASSAGES)
+        yield pa.RecordBatch.from_arrays(
+            [rows.column("doc_id"), rows.column("quality"), B.list_array(x[own].ravel(), bounds * FEATURES)], ["doc_id", "quality", "features"])
+
+
 def train(docs: DataFrame, labels: DataFrame) -> BagScorer:
-    """Learns from a bounded sample of labelled documents outside the held-out fold."""
+    """Learns from a bounded sample of labelled documents outside the held-out fold.
+
+    A label's share of SAMPLE_DOCS is chosen by a hash of doc_id, one text a doc_id, and of a text
+    SAMPLE_PASSAGES passages at most, drawn over the whole of it.
+    """
     marks = (labels.filter("quality is not null and doc_id is not null")
              .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("quality"))
              .filter(fold(F.col("doc_id"), FOLDS) != HELD_OUT))
-    chosen = F.broadcast(sample(marks, "quality", SAMPLE_DOCS))      # bounded by the sample's size
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.substring("text", 1, SAMPLE_CHARS).alias("text"))
-    found = texts.filter("text is not null").join(chosen, "doc_id").select("text", "quality", "doc_id").limit(8 * SAMPLE_DOCS).collect()
-    found.sort(key=lambda r: (r.doc_id, r.text))
+    chosen, bound = sample(marks, "quality", SAMPLE_DOCS)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
+    rows = texts.join(F.broadcast(first_ids(chosen, bound)), "doc_id").select("doc_id", "text", "quality")
+    found = (one_text_each(rows, "quality", bound)
+             .mapInArrow(_draw, "doc_id long, quality int, features array<float>").toArrow().sort_by("doc_id"))
     scorer = BagScorer()
-    if found:
+    if len(found):
         share = marks.agg(F.avg("quality")).first()[0]
-        scorer.fit([r.text for r in found], np.array([r.quality for r in found], np.float32))
+        features, quality = found["features"].combine_chunks(), found["quality"].to_numpy().astype(np.float32)
+        bounds = (features.offsets.to_numpy() - features.offsets[0].as_py()) // FEATURES
+        scorer.fit(features.flatten().to_numpy().reshape(-1, FEATURES), bounds, quality)
         # labels were sampled evenly; the output is moved back to their share among all labelled rows
-        seen = np.mean([r.quality for r in found])
+        seen = np.mean(quality)
         if 0 < share < 1 and 0 < seen < 1:
             scorer.weights["oc"] += np.float32(np.log(share / (1 - share)) - np.log(seen / (1 - seen)))
     return scorer
