@@ -215,7 +215,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def _clean(blocks: Blocks):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, texts in B.text_slices(batches, limit=SHARD_BYTES):
+        for rows, texts in B.text_slices(batches):      # smaller shards, as a pipeline's workers hold more
             yield rows.filter(pa.array(inspect(texts, blocks, blocks.depth).n_hit == 0))
     return run
 

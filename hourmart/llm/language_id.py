@@ -170,7 +170,7 @@ def train(docs: DataFrame) -> ByteTagger:
             .filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & (fold(F.col("doc_id"), FOLDS) != HELD_OUT)))
     chosen, bound = sample(rows, "lang", SAMPLE_DOCS)
     found = (one_text_each(chosen, "lang", bound)
-             .mapInArrow(_draw, "doc_id long, lang string, data binary, sizes array<int>").toArrow().sort_by("doc_id").to_pylist())
+             .mapInArrow(B.tidy(_draw), "doc_id long, lang string, data binary, sizes array<int>").toArrow().sort_by("doc_id").to_pylist())
     languages = sorted({r["lang"] for r in found})
     tagger = ByteTagger(languages)
     words = []
