@@ -1,21 +1,29 @@
 """Language-model scores by online logistic mixing of hashed-context bit predictors.
 
-Texts are predicted bit by bit. Each context (the last 1, 2, 3 or 5 bytes, or the word so far) and the
-bits of the byte so far name a slot of that context's table; the slot's counts of zeros and ones, over
-all training documents, give a log-odds. Tables have 2 to 4 slots for each state that was counted, so
-they grow with the input. A mixer adds the log-odds with weights and turns the sum into a probability.
-The bit's place in the byte gates which set of weights is used, and after each bit the set moves along
-the gradient of the coding cost. Every SEGMENT bytes the weights start anew from those learned over the
-training texts, so all segments of many texts are scored side by side; contexts reach over segments,
-not over documents. Each text ends with a zero byte.
+Texts are predicted bit by bit. Each context (the last 1, 2, 3 or 5 bytes, or the word so far; hashed to 40
+bits) and the bits of the byte so far name a state; its counts of zeros and ones, over all training documents,
+give a log-odds. A mixer adds the log-odds with weights and turns the sum into a probability. The bit's place
+in the byte gates which set of weights is used, and after each bit the set moves along the gradient of the
+coding cost. Every SEGMENT bytes the weights start anew from those learned over the training texts, so all
+segments of many texts are scored side by side; contexts reach over segments, not over documents. Each text
+ends with a zero byte.
+
+Texts are dealt into slices. The distinct pairs of a context and a byte of every slice go to the bucket of
+their context, where they are added up once, and the log-odds go back by slice. So every state is counted and
+read once, however many slices there are. :func:`bit_model` makes tables of hashed slots of the same counts,
+for scoring texts elsewhere with :func:`log_probabilities`; states that share a slot share their counts there.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
+import pyarrow.fs
 import pyarrow.parquet
 import zstandard
 from pyspark import Broadcast
@@ -33,43 +41,66 @@ CONTEXTS = len(ORDERS) + 1
 TABLE_BITS = 18                    # of a slot's number, at the least; see table_bits
 BUCKET_BITS = 10                   # a table's slots are counted, stored and read in so many parts (as a power of two)
 HELD_PAIRS = 1 << 22               # pairs of a context and a byte that a task holds before it sends them on
-HELD_BYTES = 1 << 26               # of tables that a task holds; what is beyond is read part by part for each slice
+HELD_BYTES = 1 << 26               # of stored tables that are held; what is beyond is read part by part for each slice
+DEALT_BYTES = 1 << 25              # of texts in a slice at the most, but for its last texts; its distinct pairs are bounded by HELD_PAIRS
 SCORED_BYTES = 1 << 20             # of texts that are scored side by side, or one longer text
+COUNTED_BYTES = 1 << 23            # of texts whose words are counted together
 SEGMENT = 512
+LOGGED = 16                        # bytes whose costs are multiplied before their log is taken: (1 + e^40)^16 is below 1e308
 RATE = 0.02
 START = 0.3                        # first weight of every context in learning
 PRIOR = 0.3                        # added to both counts of a slot
 LEVELS = 16                        # steps of a stored log-odds for each unit
 FREQUENT = 1 << 20                 # at most so many words have 1 / FREQUENT of all training tokens or more
 END = -1                           # stands for the end token among word hashes
+CHAINS = -1                        # stands for the contexts of all orders among numbers of contexts
 
 _BYTE = np.uint64(0xFF)
+_UPPER = np.uint64((1 << 64) - (1 << 24))      # of a hashed context; more bits than any slot's number has
 
 
 class Stream:
-    """The bytes of texts, each followed by a zero byte, and the hashed contexts of each byte."""
+    """The bytes of texts, each followed by a zero byte, the bytes before each of them, and its hashed contexts."""
 
     def __init__(self, texts: B.Texts):
         self.bounds = texts.bounds + np.arange(len(texts.bounds))
         self.data = np.insert(texts.data, texts.bounds[1:], 0)
         n = len(self.data)
-        begin = np.repeat(self.bounds[:-1], np.diff(self.bounds))
-        place = np.arange(n)
-        self.contexts = []
-        packed = np.zeros(n, np.uint64)
+        begin, end = self.bounds[:-1], self.bounds[1:]
+        # the longest order's bytes, the last one first, so a shift leaves those of a shorter order
+        self.packed = np.zeros(n, np.uint64)
         for k in range(1, max(ORDERS) + 1):
             s = np.zeros(n, np.uint64)
             s[k:] = self.data[:-k] if n > k else 0
-            s[place - begin < k] = 0
-            packed = (packed << np.uint64(8)) | s
-            if k in ORDERS:
-                self.contexts.append(B.mix(packed + np.uint64(k << 56)))
+            for i in range(k):
+                s[(begin + i)[begin + i < end]] = 0
+            self.packed <<= np.uint64(8)
+            self.packed |= s
         # the word so far starts behind the last blank, or where the text starts
+        place = np.arange(n)
         blank = ~B.IN_WORD[self.data]
         start = np.zeros(n, np.int64)
         start[1:] = np.where(blank[:-1], place[1:], 0)
-        start = np.maximum(np.maximum.accumulate(start), begin)
-        self.contexts.append(B.mix(B.SpanHasher(self.data)(start, place)))
+        start[begin] = begin
+        start = np.maximum.accumulate(start)
+        self.word = B.mix(B.SpanHasher(self.data)(start, place)) & _UPPER
+
+    @property
+    def contexts(self) -> list[np.ndarray]:
+        return [_hashed(self.packed, k) for k in ORDERS] + [self.word]
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Each byte with the bytes before it, and with the hashed word so far."""
+        return (self.packed << np.uint64(8)) | self.data, self.word | self.data
+
+
+def _hashed(packed: np.ndarray, order: int) -> np.ndarray:
+    return B.mix((packed >> np.uint64(8 * (max(ORDERS) - order))) + np.uint64(order << 56)) & _UPPER
+
+
+def _hashed_pairs(pairs: np.ndarray, order: int) -> np.ndarray:
+    """Of pairs of the longest order's bytes and a byte: the hash of a shorter order's bytes, and the byte."""
+    return _hashed(pairs >> np.uint64(8), order) | (pairs & _BYTE)
 
 
 def _by_bit() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -124,71 +155,163 @@ def _merged(keys: list[np.ndarray], times: list[np.ndarray]) -> tuple[np.ndarray
 _PAIRS = ["context", "bucket", "keys", "times"]
 
 
+def _planes(rows: np.ndarray) -> bytes:
+    """Numbers of 64 bits, packed; bytes of the same place go side by side."""
+    return _zstd()[0].compress(np.ascontiguousarray(rows.view(np.uint8).reshape(-1, 8).T))
+
+
+def _from_planes(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(_zstd()[1].decompress(raw), np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
+
+
+@lru_cache(maxsize=1)
+def _zstd() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
 def _packed(key: np.ndarray, n: np.ndarray) -> tuple[bytes, bytes]:
-    pack = zstandard.ZstdCompressor(level=1)
-    # neighbours of a sorted list differ in their low bytes, so bytes of the same place go side by side
-    gaps = np.diff(key, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T
-    return pack.compress(np.ascontiguousarray(gaps).tobytes()), pack.compress(n.astype(np.int64).tobytes())
+    # neighbours of a sorted list differ in their low bytes
+    return _planes(np.diff(key, prepend=np.uint64(0))), _zstd()[0].compress(n.astype(np.int64))
 
 
 def _unpacked(keys: bytes, times: bytes) -> tuple[np.ndarray, np.ndarray]:
-    unpack = zstandard.ZstdDecompressor()
-    gaps = np.ascontiguousarray(np.frombuffer(unpack.decompress(keys), np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
-    return np.cumsum(gaps, dtype=np.uint64), np.frombuffer(unpack.decompress(times), np.int64)
+    return np.cumsum(_from_planes(keys), dtype=np.uint64), np.frombuffer(_zstd()[1].decompress(times), np.int64)
 
 
 class Pairs:
-    """Counts of pairs of a hashed context (its upper 56 bits) and the byte that follows."""
+    """Distinct pairs of a slice of the texts: bytes with the bytes before them, and with the hashed word so far; and how often."""
 
     def __init__(self) -> None:
-        self.parts: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(CONTEXTS)]
-        self.held = 0
-
-    def add(self, stream: Stream) -> None:
-        data = stream.data.astype(np.uint64)
-        for part, context in zip(self.parts, stream.contexts):
-            part.append(np.unique((context & ~_BYTE) | data, return_counts=True))
-            self.held += len(part[-1][0])
+        self.parts: list[list[tuple[np.ndarray, np.ndarray]]] = [[], []]
+        self.held = self.size = 0
+
+    def add(self, stream: Stream, counted: np.ndarray | None = None) -> None:
+        """Adds the pairs of texts; those of texts that are not `counted` are there without a time."""
+        inside = None if counted is None or counted.all() else np.repeat(counted, np.diff(stream.bounds))
+        for part, pair in zip(self.parts, stream.pairs()):
+            new = [np.unique(pair if inside is None else pair[inside], return_counts=True)]
+            if inside is not None:
+                other = np.unique(pair[~inside])
+                new.append((other, np.zeros(len(other), np.int64)))
+            part += new
+            self.held += sum(len(key) for key, _ in new)
+        self.size += len(stream.data)
 
     def merge(self) -> None:
         self.parts = [[_merged(*map(list, zip(*part)))] if part else [] for part in self.parts]
         self.held = sum(len(part[0][0]) for part in self.parts if part)
 
+    def full(self) -> bool:
+        if self.held > HELD_PAIRS:
+            self.merge()
+            if 2 * self.held > HELD_PAIRS:
+                return True
+        return self.size >= DEALT_BYTES
+
     def rows(self) -> Iterator[pa.RecordBatch]:
         self.merge()
-        for number, part in enumerate(self.parts):
-            for key, n in part:
-                bucket = (key >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
-                cuts = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(key)).tolist()
-                made = [_packed(key[a:b], n[a:b]) for a, b in zip(cuts, cuts[1:])]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(made), number, np.int32)), pa.array(bucket[cuts[:-1]].astype(np.int32)),
-                     pa.array([x for x, _ in made], pa.binary()), pa.array([x for _, x in made], pa.binary())], _PAIRS)
+        for chain, n in self.parts[0]:
+            yield from _orders(chain, n)
+        for word, n in self.parts[1]:
+            yield _bucket_rows(len(ORDERS), word, n)
+
+
+def _bucket_rows(number: int, key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    bucket = (key >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+    cuts = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(key)).tolist()
+    made = [_packed(key[a:b], n[a:b]) for a, b in zip(cuts, cuts[1:])]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.full(len(made), number, np.int32)), pa.array(bucket[cuts[:-1]].astype(np.int32)),
+         pa.array([x for x, _ in made], pa.binary()), pa.array([x for _, x in made], pa.binary())], _PAIRS)
+
+
+def _orders(chain: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The rows of all orders; shorter ones are sums of the longest."""
+    for number, order in enumerate(ORDERS):
+        yield _bucket_rows(number, *_merged([_hashed_pairs(chain, order)], [n]))
 
 
 def _pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pairs = Pairs()
     for _, texts in B.text_slices(batches):
         pairs.add(Stream(texts))
-        if pairs.held > HELD_PAIRS:
-            pairs.merge()
-            if 2 * pairs.held > HELD_PAIRS:
-                yield from pairs.rows()
-                pairs = Pairs()
+        if pairs.full():
+            yield from pairs.rows()
+            pairs = Pairs()
     yield from pairs.rows()
 
 
+_DEALT = "row long, doc_id long, held_out boolean, text string, slice string, context int, bucket int, keys binary, times binary"
+
+
+def _deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of texts with the name of their slice, and behind those of a slice the rows of its pairs.
+
+    Texts that are held out ask for their pairs and add nothing to their times. Names are new in every
+    attempt of a task, so what a lost attempt has left is met by nobody.
+    """
+    def filled(found: pa.RecordBatch, name: str) -> pa.RecordBatch:
+        n = found.num_rows
+        return pa.RecordBatch.from_arrays(
+            [pa.array([name] * n, pa.string()) if f.name == "slice" else found.column(f.name) if f.name in found.schema.names else pa.nulls(n, f.type)
+             for f in _DEALT_SCHEMA], schema=_DEALT_SCHEMA)
+
+    def done() -> Iterator[pa.RecordBatch]:
+        pairs.merge()
+        for chain, n in pairs.parts[0]:
+            keys, times = _packed(chain, n)
+            yield filled(pa.RecordBatch.from_arrays(
+                [pa.array([CHAINS], pa.int32()), pa.array([0], pa.int32()), pa.array([keys], pa.binary()), pa.array([times], pa.binary())], _PAIRS), name)
+        for word, n in pairs.parts[1]:
+            yield filled(_bucket_rows(len(ORDERS), word, n), name)
+
+    pairs, name = Pairs(), uuid.uuid4().hex
+    for rows, texts in B.text_slices(batches):
+        pairs.add(Stream(texts), ~rows.column("held_out").to_numpy(zero_copy_only=False))
+        yield filled(rows, name)
+        if pairs.full():
+            yield from done()
+            pairs, name = Pairs(), uuid.uuid4().hex
+    yield from done()
+
+
+def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for name, keys, times in zip(*(batch.column(c).to_pylist() for c in ("slice", "keys", "times"))):
+            for found in _orders(*_unpacked(keys, times)):
+                yield pa.RecordBatch.from_arrays([pa.array([name] * found.num_rows, pa.string()), *found.columns], ["slice", *_PAIRS])
+
+
+_DEALT_SCHEMA = pa.schema([
+    ("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("text", pa.string()), ("slice", pa.string()),
+    ("context", pa.int32()), ("bucket", pa.int32()), ("keys", pa.binary()), ("times", pa.binary())])
+
+
+def _states(key: np.ndarray) -> int:
+    """Distinct contexts with the bits so far among pairs in rising order."""
+    return sum(1 + int(np.count_nonzero(np.diff(key >> np.uint64(8 - j)))) for j in range(8)) if len(key) else 0
+
+
+def _table_part(key: np.ndarray, n: np.ndarray, bits: int) -> np.ndarray:
+    """The stored log-odds of all slots of a bucket, from its pairs."""
+    _, slot = _slots(key & ~_BYTE, bits)
+    byte = (key & _BYTE).astype(np.intp)
+    counts = np.zeros(2 << (bits - BUCKET_BITS), np.int64)
+    for node, bit in zip(NODES, BITS):
+        np.add.at(counts, 2 * (slot ^ node[byte]) + bit[byte], n)
+    return _odds(counts.reshape(-1, 2))
+
+
 def _sum_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each bucket's pairs and its number of states, from rows that come one after the other."""
     at, keys, times = None, [], []
 
     def done() -> pa.RecordBatch:
         key, n = _merged(keys, times)
-        states = sum(1 + int(np.count_nonzero(np.diff(key >> np.uint64(8 - j)))) for j in range(8))
         packed = _packed(key, n)
         return pa.RecordBatch.from_arrays(
             [pa.array([at[0]], pa.int32()), pa.array([at[1]], pa.int32()), pa.array([packed[0]], pa.binary()),
-             pa.array([packed[1]], pa.binary()), pa.array([states], pa.int64())], [*_PAIRS, "states"])
+             pa.array([packed[1]], pa.binary()), pa.array([_states(key)], pa.int64())], [*_PAIRS, "states"])
 
     for batch in batches:
         for context, bucket, key, n in zip(*(batch.column(c).to_pylist() for c in _PAIRS)):
@@ -211,13 +334,8 @@ def _table_parts(bits: list[int]):
         for batch in batches:
             for context, bucket, key, n in zip(*(batch.column(c).to_pylist() for c in _PAIRS)):
                 key, n = _unpacked(key, n)
-                _, slot = _slots(key & ~_BYTE, bits[context])
-                byte = (key & _BYTE).astype(np.intp)
-                counts = np.zeros(2 << (bits[context] - BUCKET_BITS), np.int64)
-                for node, bit in zip(NODES, BITS):
-                    np.add.at(counts, 2 * (slot ^ node[byte]) + bit[byte], n)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([context], pa.int32()), pa.array([bucket], pa.int32()), pa.array([_odds(counts.reshape(-1, 2)).tobytes()], pa.binary())],
+                    [pa.array([context], pa.int32()), pa.array([bucket], pa.int32()), pa.array([_table_part(key, n, bits[context]).tobytes()], pa.binary())],
                     ["context", "bucket", "odds"])
     return run
 
@@ -271,7 +389,7 @@ def bit_model(training: DataFrame, steps: Steps) -> Tables:
 
 
 def _stored_odds(stream: Stream, tables: Tables | list[np.ndarray]) -> np.ndarray:
-    """A row for each byte: the log-odds that each context gives for each of its bits."""
+    """A row for each byte and a number for each context: the log-odds that it gives for each of the eight bits."""
     found = np.zeros((len(stream.data), CONTEXTS, 8), np.int8)
     if isinstance(tables, list):
         bits = [len(t).bit_length() - 1 for t in tables]
@@ -285,7 +403,6 @@ def _stored_odds(stream: Stream, tables: Tables | list[np.ndarray]) -> np.ndarra
         order = np.argsort(bucket, kind="stable").astype(np.int32)
         bounds = np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=1 << BUCKET_BITS))])
         dealt.append((order, bounds, slot[order].astype(np.int32)))
-    stream.contexts = []
     nodes = np.ascontiguousarray(NODES.T)
     for k, b, odds in parts:
         order, bounds, slot = dealt[k]
@@ -293,68 +410,256 @@ def _stored_odds(stream: Stream, tables: Tables | list[np.ndarray]) -> np.ndarra
         if own.start < own.stop:
             at = order[own]
             found[at, k] = odds[slot[own][:, None] ^ nodes[stream.data[at]]]
-    return found.reshape(len(stream.data), CONTEXTS * 8)
+    return found.reshape(len(stream.data), CONTEXTS * 8).view(np.uint64)
+
 
+class Lanes:
+    """Segments of texts side by side: the places of their first bytes, then of their second ones, and so on; long ones come first."""
 
-def _mixed(texts: B.Texts, tables: Tables | list[np.ndarray], start_weights: np.ndarray | None, own: bool) -> tuple[np.ndarray, np.ndarray, int]:
+    def __init__(self, bounds: np.ndarray):
+        sizes = np.diff(bounds)
+        n = (sizes + SEGMENT - 1) // SEGMENT
+        text = np.repeat(np.arange(len(n)), n)
+        inner = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
+        length = np.minimum(sizes[text] - inner * SEGMENT, SEGMENT)
+        order = np.argsort(-length, kind="stable")        # lanes that end leave from the back
+        self.length, self.text = length[order], text[order]
+        start = (bounds[text] + inner * SEGMENT)[order]
+        self.live = np.searchsorted(-self.length, -np.arange(int(self.length[0])), "left")
+        self.places = np.concatenate([start[:live] + t for t, live in enumerate(self.live.tolist())])
+
+
+def _mixed(data: np.ndarray, lanes: Lanes, stored: np.ndarray, start_weights: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, int]:
     """Each text's log-probability, and the sum of all segments' last weights with the number of bytes as their own weight.
 
-    With own, the texts are among those that were counted: states that have seen one bit only lose it once.
+    `stored` has a row for each byte in the order of the lanes and a number for each context: the log-odds of
+    its eight bits. Bits of a place in the byte have weights of their own, so the eight places move side by side.
     """
-    stream = Stream(texts)
-    stored = _stored_odds(stream, tables)
-    sizes = np.diff(stream.bounds)
-    n = (sizes + SEGMENT - 1) // SEGMENT
-    text = np.repeat(np.arange(len(n)), n)
-    inner = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
-    start = stream.bounds[text] + inner * SEGMENT
-    length = np.minimum(sizes[text] - inner * SEGMENT, SEGMENT)
-    order = np.argsort(-length, kind="stable")        # lanes that end leave from the back
-    start, length, text = start[order], length[order], text[order]
-    lanes = len(start)
     first = np.full((8, CONTEXTS), START) if start_weights is None else start_weights
-    weights = np.repeat((first / LEVELS).astype(np.float32)[:, :, None], lanes, 2)      # for log-odds in stored steps
+    weights = np.empty((CONTEXTS, len(lanes.text), 8), np.float32)        # for log-odds in stored steps
+    weights[:] = (first / LEVELS).astype(np.float32).T[:, None, :]
     rate = np.float32(RATE / LEVELS ** 2)
-    total = np.zeros(lanes, np.float64)
-    for t in range(int(length[0])):
-        live = int(np.searchsorted(-length, -t, "left"))
-        at = start[:live] + t
-        byte = stream.data[at].astype(np.intp)
-        all_odds = stored[at].T
-        if own:
-            all_odds = WITHOUT_OWN[all_odds.astype(np.intp) + 128]
-        all_odds = all_odds.astype(np.float32, order="C").reshape(CONTEXTS, 8, live)
-        cost = np.ones(live, np.float64)            # one over the byte's probability
-        for j in range(8):
-            w, sign, odds = weights[j], SIGNS[j].take(byte), all_odds[:, j]
-            mixed = odds[0] * w[0, :live]
-            for k in range(1, CONTEXTS):
-                mixed += odds[k] * w[k, :live]
-            mixed *= sign
-            np.minimum(mixed, np.float32(40), out=mixed)
-            np.exp(mixed, out=mixed)                # odds against the bit
-            mixed += np.float32(1)                  # one over the bit's probability
-            cost *= mixed
-            step = np.float32(1) / mixed
-            step -= np.float32(1)                   # minus the probability of the other bit
-            step *= sign
-            step *= rate
-            for k in range(CONTEXTS):
-                w[k, :live] += step * odds[k]
-        total[:live] -= np.log(cost)
-    return np.bincount(text, total, len(sizes)), (weights @ length.astype(np.float64)) * LEVELS, int(length.sum())
+    signs, data = np.ascontiguousarray(SIGNS.T), data.take(lanes.places)
+    total, cost = np.zeros(len(lanes.text), np.float64), np.ones((len(lanes.text), 8), np.float64)
+    odds, moves, now = np.empty_like(weights), np.empty_like(weights), weights
+    at = 0
+    for t, live in enumerate(lanes.live.tolist()):
+        if now.shape[1] > live:
+            now, odds, moves = weights[:, :live], odds[:, :live], moves[:, :live]
+        odds[:] = np.ascontiguousarray(stored[at:at + live].T).view(np.int8).reshape(CONTEXTS, live, 8)
+        sign = signs.take(data[at:at + live], axis=0)
+        at += live
+        np.multiply(odds, now, out=moves)
+        mixed = np.add.reduce(moves, axis=0)
+        mixed *= sign
+        np.minimum(mixed, np.float32(40), out=mixed)
+        np.exp(mixed, out=mixed)                # odds against the bit
+        mixed += np.float32(1)                  # one over the bit's probability
+        if t % LOGGED == 0:
+            total[:len(cost)] -= np.log(cost).sum(1)
+            cost = np.ones((live, 8), np.float64)
+        cost[:live] *= mixed
+        np.reciprocal(mixed, out=mixed)
+        mixed -= np.float32(1)                  # minus the probability of the other bit
+        mixed *= sign
+        mixed *= rate
+        np.multiply(odds, mixed, out=moves)
+        now += moves
+    total[:len(cost)] -= np.log(cost).sum(1)
+    ends = np.einsum("klj,l->jk", weights, lanes.length.astype(np.float64)) * LEVELS
+    return np.bincount(lanes.text, total), ends, len(data)
 
 
 def log_probabilities(texts: B.Texts, tables: Tables | list[np.ndarray], start_weights: np.ndarray | None = None) -> np.ndarray:
-    """The natural log of each text's probability, its end included."""
-    return _mixed(texts, tables, start_weights, False)[0]
+    """The natural log of each text's probability, its end included, by tables as they are stored."""
+    stream = Stream(texts)
+    lanes = Lanes(stream.bounds)
+    return _mixed(stream.data, lanes, _stored_odds(stream, tables).take(lanes.places, axis=0), start_weights)[0]
+
+
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)      # odd
+
+
+class Places:
+    """Where each of some distinct numbers of 64 bits is, found by its hash; only numbers that are there may be looked for."""
+
+    def __init__(self, keys: np.ndarray):
+        hashes = keys * _SPREAD
+        self.order = np.argsort(hashes)
+        self.keys = keys[self.order]
+        self.shift = np.uint64(64 - max(1, int(4 * len(keys)).bit_length()))
+        top = (hashes[self.order] >> self.shift).view(np.int64)
+        begin = np.flatnonzero(np.concatenate([[True], top[1:] != top[:-1]]))
+        alone = np.diff(np.append(begin, len(top))) == 1
+        self.first = np.zeros(1 << (64 - int(self.shift)), np.int32)
+        self.first[top[begin]] = np.where(alone, begin, ~begin)      # below 0: several share it
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        """Of each key, its place among those sorted by `order`."""
+        at = self.first.take(((keys * _SPREAD) >> self.shift).view(np.int64))
+        more = np.flatnonzero(at < 0)
+        at[more] = ~at[more]
+        while len(more):
+            more = more[self.keys[at[more]] != keys[more]]
+            at[more] += 1
+        return at
+
+
+def _file_rows(store: pyarrow.fs.FileSystem, path: str, columns: list[str], wanted: pa.compute.Expression) -> dict[int, list[tuple]]:
+    """By context: (bucket, bytes) of the wanted rows of a file, in the order of buckets."""
+    found: dict[int, list[tuple]] = {}
+    with store.open_input_file(path) as source:
+        for batch in pyarrow.parquet.ParquetFile(source).iter_batches(columns=columns):
+            for context, *row in zip(*(c.to_pylist() for c in batch.filter(wanted).select(["context", "bucket", columns[-1]]).columns)):
+                found.setdefault(context, []).append(tuple(row))
+    return {context: sorted(rows) for context, rows in found.items()}
+
+
+class Answers:
+    """The log-odds of all pairs of one slice, from the file that was written for it; `dealt` is the file with its rows."""
+
+    def __init__(self, folder: str, dealt: str, name: str, own: bool):
+        store, path = _store(dealt)
+        keys = _file_rows(store, path, ["slice", "context", "bucket", "keys"],
+                          (pa.compute.field("slice") == name) & pa.compute.field("context").isin([CHAINS, len(ORDERS)]))
+        store, base = _store(folder)
+        found: dict[int, list[tuple]] = {}
+        for info in store.get_file_info(pyarrow.fs.FileSelector(f"{base}/slice={name}")):
+            if info.base_name.endswith(".parquet"):
+                for context, rows in _file_rows(store, info.path, ["context", "bucket", "odds"], pa.compute.field("context") >= 0).items():
+                    found[context] = sorted(found.get(context, []) + rows)
+
+        def odds_of(context: int, pairs: np.ndarray) -> np.ndarray:
+            rows = np.concatenate([_from_planes(odds) for _, odds in found[context]])
+            if len(rows) != len(pairs):
+                raise ValueError(f"the answers do not fit slice {name}")
+            odds = _filled(rows, pairs)
+            if own:       # texts that were counted themselves
+                for state in odds.view(np.int8).reshape(-1, 8).T:
+                    state[:] = WITHOUT_OWN.take(state.astype(np.intp) + 128)
+            return odds
+
+        chains, words = (np.concatenate([np.cumsum(_from_planes(k), dtype=np.uint64) for _, k in keys[context]]) for context in (CHAINS, len(ORDERS)))
+        rows = np.zeros((len(chains), CONTEXTS), np.uint64)      # the last place is the word's
+        for number, order in enumerate(ORDERS):
+            pairs, place = np.unique(_hashed_pairs(chains, order), return_inverse=True)
+            rows[:, number] = odds_of(number, pairs)[place]
+        self.chains, self.words = Places(chains), Places(words)
+        self.chain_odds, self.word_odds = rows.take(self.chains.order, axis=0), odds_of(len(ORDERS), words).take(self.words.order)
+
+    def __call__(self, stream: Stream, lanes: Lanes) -> np.ndarray:
+        chain, word = (pair.take(lanes.places) for pair in stream.pairs())
+        found = self.chain_odds.take(self.chains(chain), axis=0)
+        found[:, len(ORDERS)] = self.word_odds.take(self.words(word))
+        return found
+
+
+def _state_odds(key: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Stored log-odds of the eight states of each pair; pairs are in rising order, so those of a state are neighbours."""
+    found = np.empty((len(key), 8), np.int8)
+    for j, bit in enumerate(BITS):
+        state = key >> np.uint64(8 - j)
+        first = np.flatnonzero(np.concatenate([[True], state[1:] != state[:-1]]))
+        ones = n * bit[(key & _BYTE).astype(np.intp)]
+        counts = np.stack([np.add.reduceat(n - ones, first), np.add.reduceat(ones, first)], 1)
+        found[:, j] = np.repeat(_odds(counts), np.diff(np.append(first, len(key))))
+    return found.view(np.uint64).ravel()
+
+
+_TURNS = np.ascontiguousarray(-SIGNS.T).astype(np.int8)
+
+
+def _thinned(odds: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """The log-odds of pairs in rising order, for packing: each state once, for the bit that is there, less the next state's."""
+    rows = odds.view(np.int8).reshape(-1, 8) * _TURNS.take((key & _BYTE).astype(np.intp), axis=0)
+    rows[:, :7] -= rows[:, 1:]
+    for j in range(8):
+        rows[1:, j][(key[1:] ^ key[:-1]) >> np.uint64(8 - j) == 0] = 0       # the pair before has this state too
+    return rows.view(np.uint64).ravel()
+
+
+def _filled(rows: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """What :func:`_thinned` was given."""
+    odds = np.cumsum(rows.view(np.int8).reshape(-1, 8)[:, ::-1], axis=1, dtype=np.int8)[:, ::-1]
+    odds = odds * _TURNS.take((key & _BYTE).astype(np.intp), axis=0)
+    place = np.arange(len(key))
+    for j in range(8):
+        first = place.copy()
+        first[1:][(key[1:] ^ key[:-1]) >> np.uint64(8 - j) == 0] = 0
+        odds[:, j] = odds[:, j].take(np.maximum.accumulate(first))
+    return np.ascontiguousarray(odds).view(np.uint64).ravel()
+
+
+def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For every slice the log-odds of its pairs in each bucket, in their order; rows come by bucket."""
+    at, names, keys, times = None, [], [], []
+
+    def done() -> pa.RecordBatch:
+        key, n = _merged(keys, times)
+        odds = _state_odds(key, n)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(names, pa.string()), pa.array(np.full(len(names), at[0], np.int32)), pa.array(np.full(len(names), at[1], np.int32)),
+             pa.array([_planes(_thinned(odds[np.searchsorted(key, k)], k)) for k in keys], pa.binary())], ["slice", "context", "bucket", "odds"])
+
+    for batch in batches:
+        for name, context, bucket, key, n in zip(*(batch.column(c).to_pylist() for c in ("slice", *_PAIRS))):
+            if (context, bucket) != at:
+                if at:
+                    yield done()
+                at, names, keys, times = (context, bucket), [], [], []
+            key, n = _unpacked(key, n)
+            names.append(name)
+            keys.append(key)
+            times.append(n)
+    if at:
+        yield done()
+
+
+def answered(dealt: DataFrame, steps: Steps) -> str:
+    """The folder of the answers to the slices of `dealt`, a step that :func:`_deal` made.
 
+    Every state is counted once over all slices, and what a slice asked for goes back to it. No states
+    go through the driver or to all tasks.
+    """
+    asked = dealt.filter(f"context = {len(ORDERS)}").select("slice", *_PAIRS).unionByName(
+        dealt.filter(f"context = {CHAINS}").select("slice", "keys", "times").mapInArrow(
+            B.tidy(_asked), "slice string, context int, bucket int, keys binary, times binary"))
+    found = (asked.repartition("context", "bucket").sortWithinPartitions("context", "bucket")
+             .mapInArrow(B.tidy(_answers), "slice string, context int, bucket int, odds binary"))
+    folder = steps.path("answers")
+    found.repartition("slice").write.partitionBy("slice").parquet(folder)
+    del asked, found
+    steps.release()
+    return folder
+
+
+def _by_slice(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, str, pa.RecordBatch]]:
+    """The rows of the batches, those of one slice at once."""
+    for batch in batches:
+        names = batch.column("slice").to_pylist()
+        cuts = [0] + [i for i in range(1, len(names)) if names[i] != names[i - 1]] + [len(names)]
+        for a, b in zip(cuts, cuts[1:]):
+            if a < b:
+                yield names[a], batch.column("file")[a].as_py(), batch.slice(a, b - a)
+
+
+def _answered(batches: Iterator[pa.RecordBatch], folder: str, own: bool) -> Iterator[tuple[pa.RecordBatch, B.Texts, Answers]]:
+    answers, name = None, None
+    for now, file, batch in _by_slice(batches):
+        if now != name:
+            answers = None          # one slice is held at a time
+            answers, name = Answers(folder, file, now, own), now
+        for rows, texts in B.text_slices(iter([batch]), limit=SCORED_BYTES):
+            yield rows, texts, answers
 
-def _last_weights(tables: Broadcast):
+
+def _last_weights(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros((8, CONTEXTS)), 0
-        for _, texts in B.text_slices(batches, limit=SCORED_BYTES):
-            _, weights, size = _mixed(texts, tables.value, None, True)
+        for _, texts, answers in _answered(batches, folder, True):
+            stream = Stream(texts)
+            lanes = Lanes(stream.bounds)
+            _, weights, size = _mixed(stream.data, lanes, answers(stream, lanes), None)
             total, n = total + weights, n + size
         if n:
             yield pa.RecordBatch.from_arrays(
@@ -362,9 +667,12 @@ def _last_weights(tables: Broadcast):
     return run
 
 
-def learned_weights(training: DataFrame, tables: Broadcast) -> np.ndarray | None:
-    """The mean of the weights that segments of all training texts end with; None without such texts."""
-    found = (training.select("text").mapInArrow(_last_weights(tables), "place long, weight double, n long")
+def learned_weights(training: DataFrame, folder: str) -> np.ndarray | None:
+    """The mean of the weights that segments of all training texts end with; None without such texts.
+
+    The texts are among those that were counted, so states that have seen one bit only lose it once.
+    """
+    found = (training.select("text", "slice", "file").mapInArrow(B.tidy(_last_weights(folder)), "place long, weight double, n long")
              .groupBy("place").agg((F.sum("weight") / F.sum("n")).alias("weight")).orderBy("place").collect())
     return np.array([r.weight for r in found]).reshape(8, CONTEXTS) if found else None
 
@@ -375,23 +683,26 @@ def _word_hashes(texts: B.Texts) -> tuple[np.ndarray, B.Words]:
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, texts in B.text_slices(batches):
+    for _, texts in B.text_slices(batches, limit=COUNTED_BYTES):
         hashes, _ = _word_hashes(texts)
         keys, n = np.unique(hashes, return_counts=True)
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.append(keys, END)), pa.array(np.append(n, len(texts)))], ["word", "n"])
 
 
-def _score(tables: Broadcast, frequent: Broadcast, start_weights: np.ndarray | None):
+def _score(folder: str, frequent: Broadcast, start_weights: np.ndarray | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, logs = frequent.value
-        for rows, texts in B.text_slices(batches, limit=SCORED_BYTES):
+        for rows, texts, answers in _answered(batches, folder, False):
             hashes, found = _word_hashes(texts)
-            at = np.minimum(np.searchsorted(words, hashes), max(len(words) - 1, 0))
+            order, at = np.argsort(hashes), np.empty(len(hashes), np.int64)
+            at[order] = np.minimum(np.searchsorted(words, hashes[order]), max(len(words) - 1, 0))      # in rising order, a quicker search
             known = words[at] == hashes if len(words) else np.zeros(len(hashes), bool)
             base = B.sums_between(np.where(known, logs[at], 0.0) if len(words) else np.zeros(len(hashes)), found.bounds)
             rare, text = hashes[~known], found.text[~known]
-            log = log_probabilities(texts, tables.value, start_weights)
+            stream = Stream(texts)
+            lanes = Lanes(stream.bounds)
+            log = _mixed(stream.data, lanes, answers(stream, lanes), start_weights)[0]
             yield pa.RecordBatch.from_arrays(
                 [rows.column("row"), rows.column("doc_id"), rows.column("held_out"), pa.array(np.diff(found.bounds) + 1),
                  pa.array(B.sums_between(known.astype(np.int64), found.bounds)), pa.array(base),
@@ -424,14 +735,19 @@ def language_scores(docs: DataFrame, steps: Steps | None = None) -> DataFrame:
     often = counted.filter((F.col("n") * FREQUENT >= n) & (F.col("word") != END)).toPandas().sort_values("word")
     logs = np.log10((often["n"].to_numpy() + 0.5) / (n + 0.5 * (v + 1)))
     frequent = spark.sparkContext.broadcast((often["word"].to_numpy(), logs))
-    tables = spark.sparkContext.broadcast(bit_model(training, steps))
-    start_weights = learned_weights(training, tables)
+    steps.release()
+    dealt = steps.keep(rows.withColumn("row", F.monotonically_increasing_id()).mapInArrow(B.tidy(_deal), _DEALT), "dealt", compression="zstd")
+    texts = dealt.filter("context is null").select("row", "doc_id", "held_out", "text", "slice", F.col("_metadata.file_path").alias("file"))
+    answers = answered(dealt, steps)
+    start_weights = learned_weights(texts.filter("not held_out"), answers)
     end = counted.filter(F.col("word") == END).agg(F.sum("n")).first()[0] or 0
 
-    scored = steps.keep(rows.withColumn("row", F.monotonically_increasing_id()).mapInArrow(
-        _score(tables, frequent, start_weights),
+    scored = steps.keep(texts.mapInArrow(
+        B.tidy(_score(answers, frequent, start_weights)),
         "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, rare array<long>, "
         "score double, bits_per_byte double"), "scored")
+    steps.drop(dealt)
+    steps.remove(answers)
     rare = (scored.select("row", F.explode("rare").alias("word")).groupBy("row", "word").agg(F.count("*").alias("times"))
             .join(counted, "word", "left")
             .groupBy("row").agg(F.sum(F.col("times") * share(F.coalesce("n", F.lit(0)))).alias("rare_score"),
