@@ -35,6 +35,7 @@ from hourmart.llm.staging import Steps, session_of
 END_ID = 0                    # appended to each document
 NO_ID = -(1 << 63)            # stands for a null doc_id
 READ_BYTES = 1 << 22          # files are read in parts of this size
+HELD_SPANS = 1 << 20          # encoded spans that a worker keeps; with fewer, most of a task's spans are encoded again
 OPEN_FILES = 16               # of a task that reads by the index
 _POLYNOMIAL = 0x82F63B78      # CRC-32C, reflected
 _MASK_DELTA = 0xA282EAD8
@@ -194,7 +195,7 @@ def _encoder(path: str) -> tuple[SpanCache, int]:
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
-    return (SpanCache(lambda strings: [e.ids for e in tokenizer.encode_batch_fast(strings, add_special_tokens=False)]),
+    return (SpanCache(lambda strings: [e.ids for e in tokenizer.encode_batch_fast(strings, add_special_tokens=False)], HELD_SPANS),
             2 if tokenizer.get_vocab_size() <= 1 << 16 else 4)
 
 
