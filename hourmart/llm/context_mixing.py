@@ -17,7 +17,7 @@ for scoring texts elsewhere with :func:`log_probabilities`; states that share a
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -46,6 +46,7 @@ DEALT_BYTES = 1 << 25              # of texts in a slice at the most, but for it
 SCORED_BYTES = 1 << 20             # of texts that are scored side by side, or one longer text
 COUNTED_BYTES = 1 << 23            # of texts whose words are counted together
 SEGMENT = 512
+ANSWERED_PAIRS = 1 << 16           # of several slices, that are packed together
 LOGGED = 16                        # bytes whose costs are multiplied before their log is taken: (1 + e^40)^16 is below 1e308
 RATE = 0.02
 START = 0.3                        # first weight of every context in learning
@@ -53,6 +54,7 @@ PRIOR = 0.3                        # added to both counts of a slot
 LEVELS = 16                        # steps of a stored log-odds for each unit
 FREQUENT = 1 << 20                 # at most so many words have 1 / FREQUENT of all training tokens or more
 END = -1                           # stands for the end token among word hashes
+ROUNDS = ([len(ORDERS) - 1], [*range(len(ORDERS) - 1), len(ORDERS)])       # contexts that are answered together
 CHAINS = -1                        # stands for the contexts of all orders among numbers of contexts
 
 _BYTE = np.uint64(0xFF)
@@ -64,43 +66,44 @@ class Stream:
 
     def __init__(self, texts: B.Texts):
         self.bounds = texts.bounds + np.arange(len(texts.bounds))
-        self.data = np.insert(texts.data, texts.bounds[1:], 0)
-        n = len(self.data)
-        begin, end = self.bounds[:-1], self.bounds[1:]
+        n, longest = int(self.bounds[-1]), max(ORDERS)
+        begin = self.bounds[:-1]
+        # texts with `longest` zeros before each, so eight bytes read from so far back hold the bytes before
+        inside = np.ones(n + longest * len(begin) + 8, bool)
+        inside[np.add.outer(begin + longest * np.arange(len(begin)), np.arange(longest)).ravel()] = False
+        inside[len(inside) - 8:] = False
+        filled = inside.copy()
+        filled[self.bounds[1:] + longest * np.arange(1, len(begin) + 1) - 1] = False
+        padded = np.zeros(len(inside), np.uint8)
+        padded[filled] = texts.data
+        self.data = padded[inside]
+        back = np.lib.stride_tricks.as_strided(padded[:8].view("<u8"), (len(padded) - 8,), (1,))[inside[longest:len(inside) - 8 + longest]]
         # the longest order's bytes, the last one first, so a shift leaves those of a shorter order
-        self.packed = np.zeros(n, np.uint64)
-        for k in range(1, max(ORDERS) + 1):
-            s = np.zeros(n, np.uint64)
-            s[k:] = self.data[:-k] if n > k else 0
-            for i in range(k):
-                s[(begin + i)[begin + i < end]] = 0
-            self.packed <<= np.uint64(8)
-            self.packed |= s
+        self.chain = ((back << np.uint64(8)) & np.uint64((1 << (8 * longest + 8)) - 1)) | self.data
         # the word so far starts behind the last blank, or where the text starts
-        place = np.arange(n)
-        blank = ~B.IN_WORD[self.data]
-        start = np.zeros(n, np.int64)
-        start[1:] = np.where(blank[:-1], place[1:], 0)
-        start[begin] = begin
-        start = np.maximum.accumulate(start)
-        self.word = B.mix(B.SpanHasher(self.data)(start, place)) & _UPPER
+        new = np.ones(n, bool)
+        np.logical_not(B.IN_WORD[self.data[:-1]], out=new[1:])
+        new[begin] = True
+        self.word = B.SpanHasher(self.data).beginnings(np.flatnonzero(new))
+        self.word &= _UPPER
 
     @property
     def contexts(self) -> list[np.ndarray]:
-        return [_hashed(self.packed, k) for k in ORDERS] + [self.word]
+        return [_hashed(_shorter(self.chain, max(ORDERS), k), k) & ~_BYTE for k in ORDERS] + [self.word]
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray]:
         """Each byte with the bytes before it, and with the hashed word so far."""
-        return (self.packed << np.uint64(8)) | self.data, self.word | self.data
+        return self.chain, self.word | self.data
 
 
-def _hashed(packed: np.ndarray, order: int) -> np.ndarray:
-    return B.mix((packed >> np.uint64(8 * (max(ORDERS) - order))) + np.uint64(order << 56)) & _UPPER
+def _shorter(pairs: np.ndarray, longer: int, order: int) -> np.ndarray:
+    """Of pairs of so many bytes and a byte: those of a shorter order's bytes and the byte."""
+    return pairs if longer == order else ((pairs >> np.uint64(8 * (1 + longer - order))) << np.uint64(8)) | (pairs & _BYTE)
 
 
-def _hashed_pairs(pairs: np.ndarray, order: int) -> np.ndarray:
-    """Of pairs of the longest order's bytes and a byte: the hash of a shorter order's bytes, and the byte."""
-    return _hashed(pairs >> np.uint64(8), order) | (pairs & _BYTE)
+def _hashed(pairs: np.ndarray, order: int) -> np.ndarray:
+    """Of pairs of an order's bytes and a byte: the hash of the bytes, and the byte."""
+    return (B.mix((pairs >> np.uint64(8)) + np.uint64(order << 56)) & _UPPER) | (pairs & _BYTE)
 
 
 def _by_bit() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -126,14 +129,18 @@ def _slots(context: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return slot >> (bits - BUCKET_BITS), slot & ((1 << (bits - BUCKET_BITS)) - 1)
 
 
-def _odds(counts: np.ndarray) -> np.ndarray:
-    """Stored log-odds of (zeros, ones)."""
-    return np.clip(np.rint(np.log((counts[:, 1] + PRIOR) / (counts[:, 0] + PRIOR)) * LEVELS), -127, 127).astype(np.int8)
+def _odds(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """Stored log-odds of counted bits."""
+    odds = (ones + PRIOR) / (zeros + PRIOR)
+    np.log(odds, out=odds)
+    odds *= LEVELS
+    np.rint(odds, out=odds)
+    return np.minimum(np.maximum(odds, -127), 127).astype(np.int8)
 
 
 def _without_own() -> np.ndarray:
     """For a stored log-odds of a state that has seen one bit only: its log-odds before the last time."""
-    seen = _odds(np.stack([np.zeros(2000), np.arange(2000)], 1))
+    seen = _odds(np.zeros(2000), np.arange(2000))
     found = np.arange(-128, 128).astype(np.int8)
     for now, before in zip(seen[:0:-1].tolist(), seen[-2::-1].tolist()):
         found[128 + now], found[128 - now] = before, -before
@@ -141,17 +148,42 @@ def _without_own() -> np.ndarray:
 
 
 WITHOUT_OWN = _without_own()
+_BEFORE = np.roll(WITHOUT_OWN, -128)      # by the byte of a stored log-odds
 
 
 def _merged(keys: list[np.ndarray], times: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in rising order and the sums of their times."""
     key, n = np.concatenate(keys), np.concatenate(times)
-    order = np.argsort(key)
+    order = np.argsort(key, kind="stable" if len(keys) > 1 else None)      # several lists are in rising order, which a merge makes use of
     key, n = key[order], n[order]
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    first = _firsts(key)
     return key[first], np.add.reduceat(n, first)
 
 
+def _firsts(key: np.ndarray) -> np.ndarray:
+    """Where keys in rising order are not the one before."""
+    new = np.ones(len(key), bool)
+    np.not_equal(key[1:], key[:-1], out=new[1:])
+    return np.flatnonzero(new)
+
+
+def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in rising order and how often each is there."""
+    key = np.sort(keys)
+    first = _firsts(key)
+    return key[first], np.diff(np.append(first, len(key)))
+
+
+def _placed(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in rising order, and the place of each key among them."""
+    order = np.argsort(keys)
+    key = keys[order]
+    first = _firsts(key)
+    place = np.empty(len(key), np.int32)
+    place[order] = np.repeat(np.arange(len(first), dtype=np.int32), np.diff(np.append(first, len(key))))
+    return key[first], place
+
+
 _PAIRS = ["context", "bucket", "keys", "times"]
 
 
@@ -189,9 +221,9 @@ class Pairs:
         """Adds the pairs of texts; those of texts that are not `counted` are there without a time."""
         inside = None if counted is None or counted.all() else np.repeat(counted, np.diff(stream.bounds))
         for part, pair in zip(self.parts, stream.pairs()):
-            new = [np.unique(pair if inside is None else pair[inside], return_counts=True)]
+            new = [_counted(pair if inside is None else pair[inside])]
             if inside is not None:
-                other = np.unique(pair[~inside])
+                other, _ = _counted(pair[~inside])
                 new.append((other, np.zeros(len(other), np.int64)))
             part += new
             self.held += sum(len(key) for key, _ in new)
@@ -211,7 +243,7 @@ class Pairs:
     def rows(self) -> Iterator[pa.RecordBatch]:
         self.merge()
         for chain, n in self.parts[0]:
-            yield from _orders(chain, n)
+            yield from _orders(chain, n, range(len(ORDERS)))
         for word, n in self.parts[1]:
             yield _bucket_rows(len(ORDERS), word, n)
 
@@ -225,10 +257,15 @@ def _bucket_rows(number: int, key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
          pa.array([x for x, _ in made], pa.binary()), pa.array([x for _, x in made], pa.binary())], _PAIRS)
 
 
-def _orders(chain: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """The rows of all orders; shorter ones are sums of the longest."""
-    for number, order in enumerate(ORDERS):
-        yield _bucket_rows(number, *_merged([_hashed_pairs(chain, order)], [n]))
+def _orders(chain: np.ndarray, n: np.ndarray, numbers: Iterable[int]) -> Iterator[pa.RecordBatch]:
+    """The rows of these orders; shorter ones are sums of longer ones."""
+    longer = max(ORDERS)
+    for number in sorted(numbers, reverse=True):
+        order = ORDERS[number]
+        if order < longer:
+            chain, n = _merged([_shorter(chain, longer, order)], [n])
+            longer = order
+        yield _bucket_rows(number, *_merged([_hashed(chain, order)], [n]))
 
 
 def _pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,11 +312,13 @@ def _deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from done()
 
 
-def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for name, keys, times in zip(*(batch.column(c).to_pylist() for c in ("slice", "keys", "times"))):
-            for found in _orders(*_unpacked(keys, times)):
-                yield pa.RecordBatch.from_arrays([pa.array([name] * found.num_rows, pa.string()), *found.columns], ["slice", *_PAIRS])
+def _asked(numbers: Iterable[int]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, keys, times in zip(*(batch.column(c).to_pylist() for c in ("slice", "keys", "times"))):
+                for found in _orders(*_unpacked(keys, times), numbers):
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * found.num_rows, pa.string()), *found.columns], ["slice", *_PAIRS])
+    return run
 
 
 _DEALT_SCHEMA = pa.schema([
@@ -299,7 +338,7 @@ def _table_part(key: np.ndarray, n: np.ndarray, bits: int) -> np.ndarray:
     counts = np.zeros(2 << (bits - BUCKET_BITS), np.int64)
     for node, bit in zip(NODES, BITS):
         np.add.at(counts, 2 * (slot ^ node[byte]) + bit[byte], n)
-    return _odds(counts.reshape(-1, 2))
+    return _odds(counts[::2], counts[1::2])
 
 
 def _sum_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -429,79 +468,99 @@ class Lanes:
         self.places = np.concatenate([start[:live] + t for t, live in enumerate(self.live.tolist())])
 
 
-def _mixed(data: np.ndarray, lanes: Lanes, stored: np.ndarray, start_weights: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, int]:
+def _mixed(lanes: Lanes, turned: list[np.ndarray], start_weights: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, int]:
     """Each text's log-probability, and the sum of all segments' last weights with the number of bytes as their own weight.
 
-    `stored` has a row for each byte in the order of the lanes and a number for each context: the log-odds of
-    its eight bits. Bits of a place in the byte have weights of their own, so the eight places move side by side.
+    `turned` has arrays with a row for each byte in the order of the lanes and a number for each context: the
+    log-odds of its eight bits, turned to speak for the bit that is there. Bits of a place in the byte have
+    weights of their own, so the eight places move side by side.
     """
     first = np.full((8, CONTEXTS), START) if start_weights is None else start_weights
-    weights = np.empty((CONTEXTS, len(lanes.text), 8), np.float32)        # for log-odds in stored steps
-    weights[:] = (first / LEVELS).astype(np.float32).T[:, None, :]
-    rate = np.float32(RATE / LEVELS ** 2)
-    signs, data = np.ascontiguousarray(SIGNS.T), data.take(lanes.places)
-    total, cost = np.zeros(len(lanes.text), np.float64), np.ones((len(lanes.text), 8), np.float64)
-    odds, moves, now = np.empty_like(weights), np.empty_like(weights), weights
-    at = 0
+    weights = np.empty((CONTEXTS, 8 * len(lanes.text)), np.float32)        # for log-odds in stored steps, negative
+    weights[:] = np.tile((-first / LEVELS).astype(np.float32).T, len(lanes.text))
+    rate, one, most = np.float32(RATE / LEVELS ** 2), np.float32(1), np.float32(40)
+    total, cost = np.zeros(len(lanes.text), np.float64), np.ones(8 * len(lanes.text), np.float64)
+    odds, moves, now, mixed = np.empty_like(weights), np.empty_like(weights), weights, np.empty(weights.shape[1], np.float32)
+    at, logged = 0, cost
+
+    def log() -> None:
+        live = len(logged) // 8
+        total[:live] -= np.log(logged).reshape(live, 8).sum(1)
+        logged[:] = 1
+
     for t, live in enumerate(lanes.live.tolist()):
-        if now.shape[1] > live:
-            now, odds, moves = weights[:, :live], odds[:, :live], moves[:, :live]
-        odds[:] = np.ascontiguousarray(stored[at:at + live].T).view(np.int8).reshape(CONTEXTS, live, 8)
-        sign = signs.take(data[at:at + live], axis=0)
+        if t % LOGGED == 0 and t:
+            log()
+            logged = cost[:8 * live]
+        if len(mixed) > 8 * live:
+            now, odds, moves, mixed = weights[:, :8 * live], odds[:, :8 * live], moves[:, :8 * live], mixed[:8 * live]
+        k = 0
+        for part in turned:
+            of = part[at:at + live].T
+            odds[k:k + len(of)] = np.ascontiguousarray(of).view(np.int8)
+            k += len(of)
         at += live
-        np.multiply(odds, now, out=moves)
-        mixed = np.add.reduce(moves, axis=0)
-        mixed *= sign
-        np.minimum(mixed, np.float32(40), out=mixed)
+        np.einsum("kl,kl->l", odds, now, out=mixed)
+        np.minimum(mixed, most, out=mixed)
         np.exp(mixed, out=mixed)                # odds against the bit
-        mixed += np.float32(1)                  # one over the bit's probability
-        if t % LOGGED == 0:
-            total[:len(cost)] -= np.log(cost).sum(1)
-            cost = np.ones((live, 8), np.float64)
-        cost[:live] *= mixed
-        np.reciprocal(mixed, out=mixed)
-        mixed -= np.float32(1)                  # minus the probability of the other bit
-        mixed *= sign
-        mixed *= rate
+        mixed += one                            # one over the bit's probability
+        cost[:8 * live] *= mixed
+        np.divide(rate, mixed, out=mixed)
+        mixed -= rate                           # minus the probability of the other bit
         np.multiply(odds, mixed, out=moves)
         now += moves
-    total[:len(cost)] -= np.log(cost).sum(1)
-    ends = np.einsum("klj,l->jk", weights, lanes.length.astype(np.float64)) * LEVELS
-    return np.bincount(lanes.text, total), ends, len(data)
+    log()
+    ends = np.einsum("klj,l->jk", weights.reshape(CONTEXTS, -1, 8), lanes.length.astype(np.float64)) * -LEVELS
+    return np.bincount(lanes.text, total), ends, len(lanes.places)
 
 
 def log_probabilities(texts: B.Texts, tables: Tables | list[np.ndarray], start_weights: np.ndarray | None = None) -> np.ndarray:
     """The natural log of each text's probability, its end included, by tables as they are stored."""
     stream = Stream(texts)
     lanes = Lanes(stream.bounds)
-    return _mixed(stream.data, lanes, _stored_odds(stream, tables).take(lanes.places, axis=0), start_weights)[0]
+    odds = _stored_odds(stream, tables)
+    turned = odds.view(np.int8).reshape(-1, CONTEXTS, 8) * _TURNS.take(stream.data, axis=0)[:, None, :]
+    return _mixed(lanes, [turned.reshape(len(odds), -1).view(np.uint64).take(lanes.places, axis=0)], start_weights)[0]
 
 
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)      # odd
 
 
 class Places:
-    """Where each of some distinct numbers of 64 bits is, found by its hash; only numbers that are there may be looked for."""
+    """Where each of some distinct numbers of 64 bits is, found by its hash; only numbers that are there may be looked for.
+
+    A number that is alone in its slot is known by that; those that share slots are dealt anew into the next table.
+    """
 
     def __init__(self, keys: np.ndarray):
-        hashes = keys * _SPREAD
-        self.order = np.argsort(hashes)
-        self.keys = keys[self.order]
-        self.shift = np.uint64(64 - max(1, int(4 * len(keys)).bit_length()))
-        top = (hashes[self.order] >> self.shift).view(np.int64)
-        begin = np.flatnonzero(np.concatenate([[True], top[1:] != top[:-1]]))
-        alone = np.diff(np.append(begin, len(top))) == 1
-        self.first = np.zeros(1 << (64 - int(self.shift)), np.int32)
-        self.first[top[begin]] = np.where(alone, begin, ~begin)      # below 0: several share it
+        self.tables: list[tuple[np.uint64, np.uint64, np.ndarray]] = []
+        place, spread = np.arange(len(keys), dtype=np.int32), _SPREAD
+        while len(place) and len(self.tables) < 24:
+            shift = np.uint64(64 - max(8, int(4 * len(place)).bit_length()))
+            slot = ((keys * spread) >> shift).view(np.int64)
+            table = np.full(1 << (64 - int(shift)), -1, np.int32)
+            table[slot] = place
+            lost = table.take(slot) != place
+            table[slot[lost]] = -1
+            self.tables.append((spread, shift, table))
+            shared = np.flatnonzero(table.take(slot) < 0)
+            place, keys, spread = place[shared], keys[shared], B.mix(np.array([spread]))[0] | np.uint64(1)
+        self.rest = dict(zip(keys.tolist(), place.tolist()))
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
-        """Of each key, its place among those sorted by `order`."""
-        at = self.first.take(((keys * _SPREAD) >> self.shift).view(np.int64))
-        more = np.flatnonzero(at < 0)
-        at[more] = ~at[more]
-        while len(more):
-            more = more[self.keys[at[more]] != keys[more]]
-            at[more] += 1
+        at = more = None
+        for spread, shift, table in self.tables:
+            found = table.take(((keys * spread) >> shift).view(np.int64))
+            open_ = np.flatnonzero(found < 0)
+            if at is None:
+                at, more = found, open_
+            else:
+                at[more] = found
+                more = more[open_]
+            if not len(more):
+                return at
+            keys = keys[open_]
+        at[more] = [self.rest[key] for key in keys.tolist()]
         return at
 
 
@@ -535,46 +594,60 @@ class Answers:
                 raise ValueError(f"the answers do not fit slice {name}")
             odds = _filled(rows, pairs)
             if own:       # texts that were counted themselves
-                for state in odds.view(np.int8).reshape(-1, 8).T:
-                    state[:] = WITHOUT_OWN.take(state.astype(np.intp) + 128)
-            return odds
+                odds = _BEFORE.take(odds.view(np.uint8)).view(np.uint64)
+            return (odds.view(np.int8).reshape(-1, 8) * _TURNS.take((pairs & _BYTE).astype(np.intp), axis=0)).view(np.uint64).ravel()
 
         chains, words = (np.concatenate([np.cumsum(_from_planes(k), dtype=np.uint64) for _, k in keys[context]]) for context in (CHAINS, len(ORDERS)))
-        rows = np.zeros((len(chains), CONTEXTS), np.uint64)      # the last place is the word's
-        for number, order in enumerate(ORDERS):
-            pairs, place = np.unique(_hashed_pairs(chains, order), return_inverse=True)
-            rows[:, number] = odds_of(number, pairs)[place]
-        self.chains, self.words = Places(chains), Places(words)
-        self.chain_odds, self.word_odds = rows.take(self.chains.order, axis=0), odds_of(len(ORDERS), words).take(self.words.order)
-
-    def __call__(self, stream: Stream, lanes: Lanes) -> np.ndarray:
+        self.chain_odds = np.empty((len(chains), len(ORDERS)), np.uint64)
+        pairs, place, longer = chains, None, max(ORDERS)
+        for number in range(len(ORDERS) - 1, -1, -1):
+            order = ORDERS[number]
+            if order < longer:
+                pairs, at = _placed(_shorter(pairs, longer, order))
+                place, longer = at if place is None else at.take(place), order
+            hashed, at = _placed(_hashed(pairs, order))
+            odds = odds_of(number, hashed).take(at)
+            self.chain_odds[:, number] = odds if place is None else odds.take(place)
+        self.chains, self.words, self.word_odds = Places(chains), Places(words), odds_of(len(ORDERS), words)
+
+    def __call__(self, stream: Stream, lanes: Lanes) -> list[np.ndarray]:
         chain, word = (pair.take(lanes.places) for pair in stream.pairs())
-        found = self.chain_odds.take(self.chains(chain), axis=0)
-        found[:, len(ORDERS)] = self.word_odds.take(self.words(word))
-        return found
+        return [self.chain_odds.take(self.chains(chain), axis=0), self.word_odds.take(self.words(word))[:, None]]
 
 
 def _state_odds(key: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Stored log-odds of the eight states of each pair; pairs are in rising order, so those of a state are neighbours."""
     found = np.empty((len(key), 8), np.int8)
-    for j, bit in enumerate(BITS):
-        state = key >> np.uint64(8 - j)
-        first = np.flatnonzero(np.concatenate([[True], state[1:] != state[:-1]]))
-        ones = n * bit[(key & _BYTE).astype(np.intp)]
-        counts = np.stack([np.add.reduceat(n - ones, first), np.add.reduceat(ones, first)], 1)
-        found[:, j] = np.repeat(_odds(counts), np.diff(np.append(first, len(key))))
+    other, total, byte = _unlike(key), np.concatenate([[0], np.cumsum(n)]), (key & _BYTE).astype(np.uint8)
+    for j in range(8):
+        first = np.flatnonzero(other >= np.uint64(1 << (8 - j)))
+        end = np.append(first[1:], len(key))
+        ones = np.add.reduceat(n * ((byte >> (7 - j)) & 1), first)
+        found[:, j] = np.repeat(_odds(total[end] - total[first] - ones, ones), end - first)
     return found.view(np.uint64).ravel()
 
 
+def _unlike(key: np.ndarray, begin: np.ndarray | int = 0) -> np.ndarray:
+    """The bits in which numbers differ from the one before; all bits where a list begins."""
+    other = np.empty_like(key)
+    np.bitwise_xor(key[1:], key[:-1], out=other[1:])
+    other[begin] = ~np.uint64(0)
+    return other
+
+
 _TURNS = np.ascontiguousarray(-SIGNS.T).astype(np.int8)
 
 
-def _thinned(odds: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """The log-odds of pairs in rising order, for packing: each state once, for the bit that is there, less the next state's."""
+def _thinned(odds: np.ndarray, key: np.ndarray, begin: np.ndarray | int = 0) -> np.ndarray:
+    """The log-odds of pairs in rising order, for packing: each state once, for the bit that is there, less the next state's.
+
+    Several lists may come one after the other; `begin` tells where.
+    """
     rows = odds.view(np.int8).reshape(-1, 8) * _TURNS.take((key & _BYTE).astype(np.intp), axis=0)
     rows[:, :7] -= rows[:, 1:]
+    other = _unlike(key, begin)
     for j in range(8):
-        rows[1:, j][(key[1:] ^ key[:-1]) >> np.uint64(8 - j) == 0] = 0       # the pair before has this state too
+        rows[other < np.uint64(1 << (8 - j)), j] = 0       # the pair before has this state too
     return rows.view(np.uint64).ravel()
 
 
@@ -582,11 +655,10 @@ def _filled(rows: np.ndarray, key: np.ndarray) -> np.ndarray:
     """What :func:`_thinned` was given."""
     odds = np.cumsum(rows.view(np.int8).reshape(-1, 8)[:, ::-1], axis=1, dtype=np.int8)[:, ::-1]
     odds = odds * _TURNS.take((key & _BYTE).astype(np.intp), axis=0)
-    place = np.arange(len(key))
+    other = _unlike(key)
     for j in range(8):
-        first = place.copy()
-        first[1:][(key[1:] ^ key[:-1]) >> np.uint64(8 - j) == 0] = 0
-        odds[:, j] = odds[:, j].take(np.maximum.accumulate(first))
+        first = np.flatnonzero(other >= np.uint64(1 << (8 - j)))
+        odds[:, j] = np.repeat(odds[first, j], np.diff(np.append(first, len(key))))
     return np.ascontiguousarray(odds).view(np.uint64).ravel()
 
 
@@ -597,9 +669,15 @@ def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def done() -> pa.RecordBatch:
         key, n = _merged(keys, times)
         odds = _state_odds(key, n)
+        made, cuts = [], np.cumsum([0, *map(len, keys)])
+        for some in np.split(np.arange(len(keys)), np.flatnonzero(np.diff(cuts[:-1] // ANSWERED_PAIRS)) + 1):      # lists of several slices at once
+            own = np.concatenate([keys[i] for i in some])
+            begin = cuts[some] - cuts[some[0]]
+            rows = _thinned(odds.take(np.searchsorted(key, own)), own, begin)
+            made += [_planes(rows[a:b]) for a, b in zip(begin, np.append(begin[1:], len(own)))]
         return pa.RecordBatch.from_arrays(
             [pa.array(names, pa.string()), pa.array(np.full(len(names), at[0], np.int32)), pa.array(np.full(len(names), at[1], np.int32)),
-             pa.array([_planes(_thinned(odds[np.searchsorted(key, k)], k)) for k in keys], pa.binary())], ["slice", "context", "bucket", "odds"])
+             pa.array(made, pa.binary())], ["slice", "context", "bucket", "odds"])
 
     for batch in batches:
         for name, context, bucket, key, n in zip(*(batch.column(c).to_pylist() for c in ("slice", *_PAIRS))):
@@ -619,17 +697,20 @@ def answered(dealt: DataFrame, steps: Steps) -> str:
     """The folder of the answers to the slices of `dealt`, a step that :func:`_deal` made.
 
     Every state is counted once over all slices, and what a slice asked for goes back to it. No states
-    go through the driver or to all tasks.
+    go through the driver or to all tasks. The longest order has a round of its own, so that shuffle files of
+    half the pairs are there at once.
     """
-    asked = dealt.filter(f"context = {len(ORDERS)}").select("slice", *_PAIRS).unionByName(
-        dealt.filter(f"context = {CHAINS}").select("slice", "keys", "times").mapInArrow(
-            B.tidy(_asked), "slice string, context int, bucket int, keys binary, times binary"))
-    found = (asked.repartition("context", "bucket").sortWithinPartitions("context", "bucket")
-             .mapInArrow(B.tidy(_answers), "slice string, context int, bucket int, odds binary"))
     folder = steps.path("answers")
-    found.repartition("slice").write.partitionBy("slice").parquet(folder)
-    del asked, found
-    steps.release()
+    for numbers in ROUNDS:
+        asked = dealt.filter(f"context = {CHAINS}").select("slice", "keys", "times").mapInArrow(
+            B.tidy(_asked([k for k in numbers if k < len(ORDERS)])), "slice string, context int, bucket int, keys binary, times binary")
+        if len(ORDERS) in numbers:
+            asked = asked.unionByName(dealt.filter(f"context = {len(ORDERS)}").select("slice", *_PAIRS))
+        found = (asked.repartition("context", "bucket").sortWithinPartitions("context", "bucket")
+                 .mapInArrow(B.tidy(_answers), "slice string, context int, bucket int, odds binary"))
+        found.repartition("slice").write.mode("append").partitionBy("slice").parquet(folder)
+        del asked, found
+        steps.release()
     return folder
 
 
@@ -659,7 +740,7 @@ def _last_weights(folder: str):
         for _, texts, answers in _answered(batches, folder, True):
             stream = Stream(texts)
             lanes = Lanes(stream.bounds)
-            _, weights, size = _mixed(stream.data, lanes, answers(stream, lanes), None)
+            _, weights, size = _mixed(lanes, answers(stream, lanes), None)
             total, n = total + weights, n + size
         if n:
             yield pa.RecordBatch.from_arrays(
@@ -702,7 +783,7 @@ def _score(folder: str, frequent: Broadcast, start_weights: np.ndarray | None):
             rare, text = hashes[~known], found.text[~known]
             stream = Stream(texts)
             lanes = Lanes(stream.bounds)
-            log = _mixed(stream.data, lanes, answers(stream, lanes), start_weights)[0]
+            log = _mixed(lanes, answers(stream, lanes), start_weights)[0]
             yield pa.RecordBatch.from_arrays(
                 [rows.column("row"), rows.column("doc_id"), rows.column("held_out"), pa.array(np.diff(found.bounds) + 1),
                  pa.array(B.sums_between(known.astype(np.int64), found.bounds)), pa.array(base),

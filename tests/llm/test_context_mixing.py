@@ -94,3 +94,49 @@ def test_thinned_odds_come_back():
     assert np.array_equal(C._filled(C._thinned(odds, key), key), odds)
     rows = odds.view(np.int8).reshape(-1, 8)
     assert len(np.unique(np.stack([key >> np.uint64(8), rows[:, 0].view(np.uint8)], 1), axis=0)) == len(np.unique(key >> np.uint64(8)))
+
+
+def test_streams_have_the_contexts_of_plain_texts():
+    texts = ["one two  one", "", "a", "été\tx" * 40, "one", "\n\n"]
+    stream = C.Stream(C.B.texts_of(C.pa.array(texts)))
+    plain = [(byte, contexts) for text in texts for byte, contexts in steps_of(text)]
+    assert stream.data.tolist() == [byte for byte, _ in plain]
+    assert stream.chain.tolist() == [int.from_bytes(contexts[-2][::-1] + bytes([byte])) for byte, contexts in plain]
+    for k, hashes in enumerate(stream.contexts):
+        assert len({(contexts[k], int(h)) for (_, contexts), h in zip(plain, hashes)}) == len({contexts[k] for _, contexts in plain}) == len(set(hashes.tolist()))
+
+
+def test_places_are_found_where_slots_are_shared():
+    keys = np.random.default_rng(3).integers(0, 1 << 62, 5000).astype(np.uint64)
+    keys = np.unique(keys)[::-1]
+    asked = np.random.default_rng(4).integers(0, len(keys), 20000)
+    places = C.Places(keys)
+    assert len(places.tables) > 2 and np.array_equal(places(keys[asked]), asked)
+    places.rest |= dict(zip(keys.tolist(), range(len(keys))))
+    places.tables = places.tables[:1]           # what tables leave is found too
+    assert np.array_equal(places(keys[asked]), asked)
+
+
+def test_rounds_ask_for_each_order_once():
+    chain, n = C._counted(C.Stream(C.B.texts_of(C.pa.array(["one two three four " * 9, "two"]))).chain)
+    assert sorted(k for numbers in C.ROUNDS for k in numbers) == list(range(C.CONTEXTS))
+    batch = C.pa.RecordBatch.from_arrays([C.pa.array(["s"]), *(C.pa.array([x]) for x in C._packed(chain, n))], ["slice", "keys", "times"])
+    rounds = [list(C._asked([k for k in numbers if k < len(C.ORDERS)])(iter([batch]))) for numbers in C.ROUNDS]
+    found = {k: [] for k in range(len(C.ORDERS))}
+    for rows in sum(rounds, []):
+        for row in rows.to_pylist():
+            found[row["context"]] += zip(*(x.tolist() for x in C._unpacked(row["keys"], row["times"])))
+    for k, order in enumerate(C.ORDERS):
+        hashed = C._hashed(C._shorter(chain, max(C.ORDERS), order), order).tolist()
+        counts = defaultdict(int)
+        for key, times in zip(hashed, n.tolist()):
+            counts[key] += times
+        assert found[k] == sorted(counts.items())
+
+
+def test_lists_thinned_together_are_those_thinned_alone():
+    rng = np.random.default_rng(6)
+    lists = [np.unique((rng.integers(0, 9, n).astype(np.uint64) << np.uint64(24)) | rng.integers(0, 256, n).astype(np.uint64)) for n in (1, 300, 40)]
+    odds = [C._state_odds(key, rng.integers(0, 9, len(key))) for key in lists]
+    together = C._thinned(np.concatenate(odds), np.concatenate(lists), np.cumsum([0, *map(len, lists[:-1])]))
+    assert np.array_equal(together, np.concatenate([C._thinned(o, key) for o, key in zip(odds, lists)]))
