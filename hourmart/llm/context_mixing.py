@@ -10,7 +10,7 @@ ends with a zero byte.
 
 Texts are dealt into slices. The distinct pairs of a context and a byte of every slice go to the bucket of
 their context, where they are added up once, and the log-odds go back by slice. So every state is counted and
-read once, however many slices there are. :func:`bit_model` makes tables of hashed slots of the same counts,
+read once, however many slices there are. Words of the base score take the same way. :func:`bit_model` makes tables of hashed slots of the same counts,
 for scoring texts elsewhere with :func:`log_probabilities`; states that share a slot share their counts there.
 """
 
@@ -26,8 +26,7 @@ import pyarrow.compute
 import pyarrow.fs
 import pyarrow.parquet
 import zstandard
-from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hourmart.llm import batches as B
@@ -44,7 +43,6 @@ HELD_PAIRS = 1 << 22               # pairs of a context and a byte that a task h
 HELD_BYTES = 1 << 26               # of stored tables that are held; what is beyond is read part by part for each slice
 DEALT_BYTES = 1 << 25              # of texts in a slice at the most, but for its last texts; its distinct pairs are bounded by HELD_PAIRS
 SCORED_BYTES = 1 << 20             # of texts that are scored side by side, or one longer text
-COUNTED_BYTES = 1 << 23            # of texts whose words are counted together
 SEGMENT = 512
 ANSWERED_PAIRS = 1 << 16           # of several slices, that are packed together
 LOGGED = 16                        # bytes whose costs are multiplied before their log is taken: (1 + e^40)^16 is below 1e308
@@ -52,9 +50,9 @@ RATE = 0.02
 START = 0.3                        # first weight of every context in learning
 PRIOR = 0.3                        # added to both counts of a slot
 LEVELS = 16                        # steps of a stored log-odds for each unit
-FREQUENT = 1 << 20                 # at most so many words have 1 / FREQUENT of all training tokens or more
-END = -1                           # stands for the end token among word hashes
-ROUNDS = ([len(ORDERS) - 1], [*range(len(ORDERS) - 1), len(ORDERS)])       # contexts that are answered together
+ROUNDS = ([*range(len(ORDERS))], [len(ORDERS)])      # contexts that are answered together; words come last
+WORDS = CONTEXTS                   # stands for whole words, lower-cased, among numbers of contexts
+TOTALS = "totals"                  # stands for all slices among their names
 CHAINS = -1                        # stands for the contexts of all orders among numbers of contexts
 
 _BYTE = np.uint64(0xFF)
@@ -211,27 +209,31 @@ def _unpacked(keys: bytes, times: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Pairs:
-    """Distinct pairs of a slice of the texts: bytes with the bytes before them, and with the hashed word so far; and how often."""
+    """Distinct pairs of a slice of the texts, bytes with the bytes before them and with the hashed word so far, and its words; and how often."""
 
     def __init__(self) -> None:
-        self.parts: list[list[tuple[np.ndarray, np.ndarray]]] = [[], []]
+        self.parts: list[list[tuple[np.ndarray, np.ndarray]]] = [[], [], []]
         self.held = self.size = 0
 
-    def add(self, stream: Stream, counted: np.ndarray | None = None) -> None:
-        """Adds the pairs of texts; those of texts that are not `counted` are there without a time."""
-        inside = None if counted is None or counted.all() else np.repeat(counted, np.diff(stream.bounds))
-        for part, pair in zip(self.parts, stream.pairs()):
-            new = [_counted(pair if inside is None else pair[inside])]
-            if inside is not None:
-                other, _ = _counted(pair[~inside])
-                new.append((other, np.zeros(len(other), np.int64)))
-            part += new
-            self.held += sum(len(key) for key, _ in new)
+    def add(self, stream: Stream, counted: np.ndarray | None = None, words: tuple[np.ndarray, B.Words] | None = None) -> None:
+        """Adds the pairs of texts, and their hashed words; those of texts that are not `counted` are there without a time."""
+        found = [(pair, stream.bounds) for pair in stream.pairs()] + ([(words[0], words[1].bounds)] if words else [])
+        for part, (keys, bounds) in zip(self.parts, found):
+            if counted is None or counted.all():
+                part.append(_counted(keys))
+            else:
+                inside = np.repeat(counted, np.diff(bounds))
+                other, _ = _counted(keys[~inside])
+                part += [_counted(keys[inside]), (other, np.zeros(len(other), np.int64))]
         self.size += len(stream.data)
+        self._hold()
 
     def merge(self) -> None:
         self.parts = [[_merged(*map(list, zip(*part)))] if part else [] for part in self.parts]
-        self.held = sum(len(part[0][0]) for part in self.parts if part)
+        self._hold()
+
+    def _hold(self) -> None:
+        self.held = sum(len(key) for part in self.parts[:2] for key, _ in part)       # words are fewer than pairs with them
 
     def full(self) -> bool:
         if self.held > HELD_PAIRS:
@@ -278,7 +280,7 @@ def _pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from pairs.rows()
 
 
-_DEALT = "row long, doc_id long, held_out boolean, text string, slice string, context int, bucket int, keys binary, times binary"
+_DEALT = "doc_id long, held_out boolean, text string, slice string, context int, bucket int, keys binary, times binary"
 
 
 def _deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,12 +301,13 @@ def _deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys, times = _packed(chain, n)
             yield filled(pa.RecordBatch.from_arrays(
                 [pa.array([CHAINS], pa.int32()), pa.array([0], pa.int32()), pa.array([keys], pa.binary()), pa.array([times], pa.binary())], _PAIRS), name)
-        for word, n in pairs.parts[1]:
-            yield filled(_bucket_rows(len(ORDERS), word, n), name)
+        for number, part in ((len(ORDERS), pairs.parts[1]), (WORDS, pairs.parts[2])):
+            for word, n in part:
+                yield filled(_bucket_rows(number, word, n), name)
 
     pairs, name = Pairs(), uuid.uuid4().hex
     for rows, texts in B.text_slices(batches):
-        pairs.add(Stream(texts), ~rows.column("held_out").to_numpy(zero_copy_only=False))
+        pairs.add(Stream(texts), ~rows.column("held_out").to_numpy(zero_copy_only=False), _word_hashes(texts))
         yield filled(rows, name)
         if pairs.full():
             yield from done()
@@ -322,7 +325,7 @@ def _asked(numbers: Iterable[int]):
 
 
 _DEALT_SCHEMA = pa.schema([
-    ("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("text", pa.string()), ("slice", pa.string()),
+    ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("text", pa.string()), ("slice", pa.string()),
     ("context", pa.int32()), ("bucket", pa.int32()), ("keys", pa.binary()), ("times", pa.binary())])
 
 
@@ -580,7 +583,7 @@ class Answers:
     def __init__(self, folder: str, dealt: str, name: str, own: bool):
         store, path = _store(dealt)
         keys = _file_rows(store, path, ["slice", "context", "bucket", "keys"],
-                          (pa.compute.field("slice") == name) & pa.compute.field("context").isin([CHAINS, len(ORDERS)]))
+                          (pa.compute.field("slice") == name) & pa.compute.field("context").isin([CHAINS, len(ORDERS), WORDS]))
         store, base = _store(folder)
         found: dict[int, list[tuple]] = {}
         for info in store.get_file_info(pyarrow.fs.FileSelector(f"{base}/slice={name}")):
@@ -597,7 +600,8 @@ class Answers:
                 odds = _BEFORE.take(odds.view(np.uint8)).view(np.uint64)
             return (odds.view(np.int8).reshape(-1, 8) * _TURNS.take((pairs & _BYTE).astype(np.intp), axis=0)).view(np.uint64).ravel()
 
-        chains, words = (np.concatenate([np.cumsum(_from_planes(k), dtype=np.uint64) for _, k in keys[context]]) for context in (CHAINS, len(ORDERS)))
+        chains, words, whole = (np.concatenate([np.zeros(0, np.uint64), *(np.cumsum(_from_planes(k), dtype=np.uint64) for _, k in keys.get(context, []))])
+                                for context in (CHAINS, len(ORDERS), WORDS))
         self.chain_odds = np.empty((len(chains), len(ORDERS)), np.uint64)
         pairs, place, longer = chains, None, max(ORDERS)
         for number in range(len(ORDERS) - 1, -1, -1):
@@ -609,10 +613,18 @@ class Answers:
             odds = odds_of(number, hashed).take(at)
             self.chain_odds[:, number] = odds if place is None else odds.take(place)
         self.chains, self.words, self.word_odds = Places(chains), Places(words), odds_of(len(ORDERS), words)
+        self.whole = whole, np.concatenate([np.zeros(0, np.uint64), *(_from_planes(n) for _, n in found.get(WORDS, []))]).view(np.int64)
 
     def __call__(self, stream: Stream, lanes: Lanes) -> list[np.ndarray]:
-        chain, word = (pair.take(lanes.places) for pair in stream.pairs())
-        return [self.chain_odds.take(self.chains(chain), axis=0), self.word_odds.take(self.words(word))[:, None]]
+        chain, word = (places(pair).take(lanes.places) for places, pair in zip((self.chains, self.words), stream.pairs()))
+        return [self.chain_odds.take(chain, axis=0), self.word_odds.take(word)[:, None]]
+
+    def times(self, words: np.ndarray) -> np.ndarray:
+        """How often each hashed word is in all training texts."""
+        keys, n = self.whole
+        order, times = np.argsort(words), np.empty(len(words), np.int64)
+        times[order] = n.take(np.searchsorted(keys, words[order]))      # in rising order, a quicker search
+        return times
 
 
 def _state_odds(key: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -663,11 +675,18 @@ def _filled(rows: np.ndarray, key: np.ndarray) -> np.ndarray:
 
 
 def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For every slice the log-odds of its pairs in each bucket, in their order; rows come by bucket."""
+    """For every slice the log-odds of its pairs in each bucket, and the times of its words, in their order; rows come by bucket.
+
+    For words also the sum of their times and how many are there, as of a slice TOTALS.
+    """
     at, names, keys, times = None, [], [], []
 
-    def done() -> pa.RecordBatch:
+    def done() -> Iterator[pa.RecordBatch]:
         key, n = _merged(keys, times)
+        if at[0] == WORDS:
+            yield answer([TOTALS, *names], [_planes(np.array([n.sum(), np.count_nonzero(n)]).view(np.uint64)),
+                                            *(_planes(n.take(np.searchsorted(key, k)).view(np.uint64)) for k in keys)])
+            return
         odds = _state_odds(key, n)
         made, cuts = [], np.cumsum([0, *map(len, keys)])
         for some in np.split(np.arange(len(keys)), np.flatnonzero(np.diff(cuts[:-1] // ANSWERED_PAIRS)) + 1):      # lists of several slices at once
@@ -675,6 +694,9 @@ def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             begin = cuts[some] - cuts[some[0]]
             rows = _thinned(odds.take(np.searchsorted(key, own)), own, begin)
             made += [_planes(rows[a:b]) for a, b in zip(begin, np.append(begin[1:], len(own)))]
+        yield answer(names, made)
+
+    def answer(names: list[str], made: list[bytes]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
             [pa.array(names, pa.string()), pa.array(np.full(len(names), at[0], np.int32)), pa.array(np.full(len(names), at[1], np.int32)),
              pa.array(made, pa.binary())], ["slice", "context", "bucket", "odds"])
@@ -683,29 +705,30 @@ def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, context, bucket, key, n in zip(*(batch.column(c).to_pylist() for c in ("slice", *_PAIRS))):
             if (context, bucket) != at:
                 if at:
-                    yield done()
+                    yield from done()
                 at, names, keys, times = (context, bucket), [], [], []
             key, n = _unpacked(key, n)
             names.append(name)
             keys.append(key)
             times.append(n)
     if at:
-        yield done()
+        yield from done()
 
 
 def answered(dealt: DataFrame, steps: Steps) -> str:
     """The folder of the answers to the slices of `dealt`, a step that :func:`_deal` made.
 
     Every state is counted once over all slices, and what a slice asked for goes back to it. No states
-    go through the driver or to all tasks. The longest order has a round of its own, so that shuffle files of
-    half the pairs are there at once.
+    go through the driver or to all tasks. Orders, words so far and words have rounds of their
+    own, so that shuffle files of half the pairs are there at once.
     """
     folder = steps.path("answers")
-    for numbers in ROUNDS:
-        asked = dealt.filter(f"context = {CHAINS}").select("slice", "keys", "times").mapInArrow(
-            B.tidy(_asked([k for k in numbers if k < len(ORDERS)])), "slice string, context int, bucket int, keys binary, times binary")
-        if len(ORDERS) in numbers:
-            asked = asked.unionByName(dealt.filter(f"context = {len(ORDERS)}").select("slice", *_PAIRS))
+    for numbers in (*ROUNDS, [WORDS]):
+        asked = dealt.filter(F.col("context").isin([k for k in numbers if k >= len(ORDERS)])).select("slice", *_PAIRS)
+        orders = [k for k in numbers if k < len(ORDERS)]
+        if orders:
+            asked = asked.unionByName(dealt.filter(f"context = {CHAINS}").select("slice", "keys", "times").mapInArrow(
+                B.tidy(_asked(orders)), "slice string, context int, bucket int, keys binary, times binary"))
         found = (asked.repartition("context", "bucket").sortWithinPartitions("context", "bucket")
                  .mapInArrow(B.tidy(_answers), "slice string, context int, bucket int, odds binary"))
         found.repartition("slice").write.mode("append").partitionBy("slice").parquet(folder)
@@ -760,44 +783,40 @@ def learned_weights(training: DataFrame, folder: str) -> np.ndarray | None:
 
 def _word_hashes(texts: B.Texts) -> tuple[np.ndarray, B.Words]:
     words = B.words_of(texts)
-    return B.SpanHasher(texts.data, B.FOLDED_VALUES)(words.starts, words.ends).view(np.int64), words
+    return B.SpanHasher(texts.data, B.FOLDED_VALUES)(words.starts, words.ends), words
+
 
+def word_totals(spark: SparkSession, folder: str) -> tuple[int, int]:
+    """Of all training texts: the number of words, and of distinct ones. The driver gets two numbers of each bucket."""
+    found = (spark.read.schema("context int, bucket int, odds binary, slice string").parquet(folder)
+             .filter((F.col("slice") == TOTALS) & (F.col("context") == WORDS)).select("odds").collect())
+    return tuple(sum(int(_from_planes(r.odds)[k]) for r in found) for k in (0, 1))
 
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, texts in B.text_slices(batches, limit=COUNTED_BYTES):
-        hashes, _ = _word_hashes(texts)
-        keys, n = np.unique(hashes, return_counts=True)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.append(keys, END)), pa.array(np.append(n, len(texts)))], ["word", "n"])
 
+def _score(folder: str, n: int, v: int, ends: int, start_weights: np.ndarray | None):
+    def share(times):
+        return np.log10((times + 0.5) / (n + 0.5 * (v + 1)))
 
-def _score(folder: str, frequent: Broadcast, start_weights: np.ndarray | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, logs = frequent.value
         for rows, texts, answers in _answered(batches, folder, False):
             hashes, found = _word_hashes(texts)
-            order, at = np.argsort(hashes), np.empty(len(hashes), np.int64)
-            at[order] = np.minimum(np.searchsorted(words, hashes[order]), max(len(words) - 1, 0))      # in rising order, a quicker search
-            known = words[at] == hashes if len(words) else np.zeros(len(hashes), bool)
-            base = B.sums_between(np.where(known, logs[at], 0.0) if len(words) else np.zeros(len(hashes)), found.bounds)
-            rare, text = hashes[~known], found.text[~known]
+            times = answers.times(hashes)
             stream = Stream(texts)
             lanes = Lanes(stream.bounds)
             log = _mixed(lanes, answers(stream, lanes), start_weights)[0]
             yield pa.RecordBatch.from_arrays(
-                [rows.column("row"), rows.column("doc_id"), rows.column("held_out"), pa.array(np.diff(found.bounds) + 1),
-                 pa.array(B.sums_between(known.astype(np.int64), found.bounds)), pa.array(base),
-                 B.list_array(rare, np.searchsorted(text, np.arange(len(texts) + 1))),
+                [rows.column("doc_id"), rows.column("held_out"), pa.array(np.diff(found.bounds) + 1),
+                 pa.array(B.sums_between((times > 0).astype(np.int64), found.bounds) + int(ends > 0)), pa.array(np.full(len(texts), n, np.int64)),
+                 pa.array(B.sums_between(share(times), found.bounds) + share(ends)),
                  pa.array(log / np.log(10)), pa.array(-log / np.log(2) / np.maximum(np.diff(texts.bounds), 1))],
-                ["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "rare", "score", "bits_per_byte"])
+                ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"])
     return run
 
 
 def language_scores(docs: DataFrame, steps: Steps | None = None) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
 
-    Words that make up 1 / FREQUENT of the training tokens or more, FREQUENT of them at most, are sent
-    to all tasks; the other words of a document meet their counts in a join. A null text counts as
+    Words meet their counts in their buckets, as the states of contexts do. A null text counts as
     empty: its end alone is a token. A null doc_id is in no held-out fold and is learned from.
     Repeated rows give a row each; without training documents every word is unknown. Other columns
     are ignored.
@@ -806,35 +825,15 @@ def language_scores(docs: DataFrame, steps: Steps | None = None) -> DataFrame:
     steps = steps or Steps(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
                        F.coalesce(fold(F.col("doc_id"), FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"))
-    training = rows.filter("not held_out")
-    counted = steps.keep(training.select("text").mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
-    n, v = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-
-    def share(c):
-        return F.log10((c + 0.5) / F.lit(n + 0.5 * (v + 1)))
-
-    often = counted.filter((F.col("n") * FREQUENT >= n) & (F.col("word") != END)).toPandas().sort_values("word")
-    logs = np.log10((often["n"].to_numpy() + 0.5) / (n + 0.5 * (v + 1)))
-    frequent = spark.sparkContext.broadcast((often["word"].to_numpy(), logs))
-    steps.release()
-    dealt = steps.keep(rows.withColumn("row", F.monotonically_increasing_id()).mapInArrow(B.tidy(_deal), _DEALT), "dealt", compression="zstd")
-    texts = dealt.filter("context is null").select("row", "doc_id", "held_out", "text", "slice", F.col("_metadata.file_path").alias("file"))
+    dealt = steps.keep(rows.mapInArrow(B.tidy(_deal), _DEALT), "dealt", compression="zstd")
+    texts = dealt.filter("context is null").select("doc_id", "held_out", "text", "slice", F.col("_metadata.file_path").alias("file"))
+    ends = texts.filter("not held_out").count()
     answers = answered(dealt, steps)
+    n, v = word_totals(spark, answers)
     start_weights = learned_weights(texts.filter("not held_out"), answers)
-    end = counted.filter(F.col("word") == END).agg(F.sum("n")).first()[0] or 0
-
     scored = steps.keep(texts.mapInArrow(
-        B.tidy(_score(answers, frequent, start_weights)),
-        "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, rare array<long>, "
-        "score double, bits_per_byte double"), "scored")
+        B.tidy(_score(answers, n + ends, v + int(ends > 0), ends, start_weights)),
+        "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"), "scored")
     steps.drop(dealt)
     steps.remove(answers)
-    rare = (scored.select("row", F.explode("rare").alias("word")).groupBy("row", "word").agg(F.count("*").alias("times"))
-            .join(counted, "word", "left")
-            .groupBy("row").agg(F.sum(F.col("times") * share(F.coalesce("n", F.lit(0)))).alias("rare_score"),
-                                F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("rare_known")))
-    return scored.drop("rare").join(rare, "row", "left").select(
-        "doc_id", "held_out", "n_tokens",
-        (F.col("n_known") + F.coalesce("rare_known", F.lit(0)) + F.lit(int(end > 0))).alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base_score") + F.coalesce("rare_score", F.lit(0.0)) + share(F.lit(end))).alias("base_score"), "score", "bits_per_byte")
+    return scored

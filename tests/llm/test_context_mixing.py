@@ -140,3 +140,18 @@ def test_lists_thinned_together_are_those_thinned_alone():
     odds = [C._state_odds(key, rng.integers(0, 9, len(key))) for key in lists]
     together = C._thinned(np.concatenate(odds), np.concatenate(lists), np.cumsum([0, *map(len, lists[:-1])]))
     assert np.array_equal(together, np.concatenate([C._thinned(o, key) for o, key in zip(odds, lists)]))
+
+
+def test_words_meet_their_counts_in_their_buckets():
+    slices = {"one": C._counted(C._word_hashes(C.B.texts_of(C.pa.array(["The the cat"])))[0]),
+              "two": C._counted(C._word_hashes(C.B.texts_of(C.pa.array(["the mat", ""])))[0])}
+    slices["asks"] = slices["one"][0], 0 * slices["one"][1]
+    rows = sorted(((r["bucket"], name, r["keys"], r["times"]) for name, (key, n) in slices.items() for r in C._bucket_rows(C.WORDS, key, n).to_pylist()))
+    batch = C.pa.RecordBatch.from_arrays([C.pa.array([name for _, name, _, _ in rows]), C.pa.array([C.WORDS] * len(rows)),
+                                          *(C.pa.array([r[k] for r in rows]) for k in (0, 2, 3))], ["slice", *C._PAIRS])
+    found = defaultdict(list)
+    for answers in C._answers(iter([batch])):
+        for r in answers.to_pylist():
+            found[r["slice"]] += [C._from_planes(r["odds"]).tolist()]
+    assert np.sum(found.pop(C.TOTALS), axis=0).tolist() == [5, 3]           # words, and distinct ones
+    assert {name: sorted(sum(n, [])) for name, n in found.items()} == {"one": [1, 3], "two": [1, 3], "asks": [1, 3]}
