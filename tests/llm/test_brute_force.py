@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import random
 import zlib
 from collections import Counter
 
@@ -308,6 +309,43 @@ def test_the_pipeline_cuts_repeated_passages_of_51_words(spark, docs):
     assert found == expected and passage not in found[0] + found[1] and found[3] == texts[3]
 
 
+def test_only_chosen_suffixes_get_a_row_for_each_start(spark, monkeypatch):
+    """A filter that lets all suffixes pass, as one does that is full, costs a row for each of them and no more."""
+    written, keep, made, rng = {}, suffix_dedup.Steps.keep, suffix_dedup.Filter.__init__, random.Random(5)
+    letters = lambda n: "".join(rng.choices("abcdefghij ", k=n))      # noqa: E731
+    passage = letters(450)
+    texts = [letters(3000) for _ in range(20)] + [letters(700) + passage + letters(rng.randint(0, 500)) for _ in range(4)]
+    rows = list(enumerate(texts)) + [(30, passage), (31, None), (32, ""), (20, texts[20])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    expected = Counter(plain_repeats(rows))
+
+    def counting(self, df, name, *args, **kwargs):
+        step = keep(self, df, name, *args, **kwargs)
+        written[name] = step.count()
+        return step
+
+    def full(self, hashes):
+        made(self, hashes)
+        self.words[:] = 0xFFFFFFFF
+
+    monkeypatch.setattr(suffix_dedup.Steps, "keep", counting)
+    assert counted(suffix_dedup.repeated_bytes(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == expected
+    exact = dict(written)
+    monkeypatch.setattr(suffix_dedup.Filter, "__init__", full)
+    assert counted(suffix_dedup.repeated_bytes(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == expected
+    assert written["suffixes"] > 2 * exact["suffixes"] and 0 < written["pairs"] == exact["pairs"]
+
+
+def test_filters_grow_with_their_hashes(spark):
+    n = 6_000_000
+    hashes = spark.range(0, n, 1, 8).select(F.shiftrightunsigned(F.xxhash64("id"), 6).alias("hash"))      # uneven highest bits
+    found = suffix_dedup.Filter(hashes)
+    own = hashes.limit(1000).toPandas().hash.to_numpy().view(np.uint64)
+    others = spark.range(n, n + 100_000).select(F.shiftrightunsigned(F.xxhash64("id"), 6).alias("hash")).toPandas().hash.to_numpy().view(np.uint64)
+    assert found.has(own).all() and found.has(others).mean() < 0.02
+    assert len(suffix_dedup.Filter(hashes.limit(0)).words) < len(found.words) <= 1 << (suffix_dedup.FILTER_BITS - 5)
+
+
 def test_word_bpe(docs, rows_in):
     tokenizer = Tokenizer.from_file(WORDS)
     tokenizer.no_truncation()
